@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -10,15 +10,27 @@ from pyspark.sql import Column, functions as F
 BUCKET_HOURS = (0, 6, 12, 24, 48, 72, 96, 120, 168)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _interpolated(points: Column, h: Column) -> Column:
+    below = F.try_element_at(F.filter(points, lambda p: p["t"] <= h), F.lit(-1))
+    above = F.get(F.filter(points, lambda p: p["t"] > h), 0)
+    ends = F.struct(below.alias("a"), above.alias("b"))
+    return _let(
+        ends,
+        lambda e: F.when(e["a"].isNull(), e["b"]["s"])
+        .when(e["b"].isNull(), e["a"]["s"])
+        .otherwise(e["a"]["s"] + (e["b"]["s"] - e["a"]["s"]) * (h - e["a"]["t"]) / (e["b"]["t"] - e["a"]["t"])),
+    )
+
+
 def curve_at(curve: Column, hour: Column | float) -> Column:
     """Linear interpolation in an array of structs (t, s); flat outside its range."""
     h = hour if isinstance(hour, Column) else F.lit(float(hour))
-    points = F.array_sort(curve)
-    below = F.try_element_at(F.filter(points, lambda p: p["t"] <= h), F.lit(-1))
-    above = F.get(F.filter(points, lambda p: p["t"] > h), 0)
-    span = above["t"] - below["t"]
-    between = below["s"] + (above["s"] - below["s"]) * (h - below["t"]) / span
-    return F.when(below.isNull(), above["s"]).when(above.isNull(), below["s"]).otherwise(between)
+    return _let(F.array_sort(curve), lambda points: _interpolated(points, h))
 
 
 def bucket_labels(bounds: Sequence[int] = BUCKET_HOURS) -> list[str]:
@@ -27,10 +39,16 @@ def bucket_labels(bounds: Sequence[int] = BUCKET_HOURS) -> list[str]:
 
 def bucket_probabilities(curve: Column, bounds: Sequence[int] = BUCKET_HOURS) -> Column:
     """Map bucket -> S(start) - S(end), clamped to 0..1; an empty curve gives zeros."""
-    at = F.transform(F.array(*[F.lit(float(b)) for b in bounds]), lambda h: curve_at(curve, h))
-    starts, ends = F.slice(at, 1, len(bounds) - 1), F.slice(at, 2, len(bounds) - 1)
-    drops = F.zip_with(
-        starts, ends, lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(a - b, F.lit(0.0))))
+    hours = F.array(*[F.lit(float(b)) for b in bounds])
+    at = _let(F.array_sort(curve), lambda points: F.transform(hours, lambda h: _interpolated(points, h)))
+    n = len(bounds) - 1
+    drops = _let(
+        at,
+        lambda s: F.zip_with(
+            F.slice(s, 1, n),
+            F.slice(s, 2, n),
+            lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(a - b, F.lit(0.0)))),
+        ),
     )
     return F.map_from_arrays(F.array(*[F.lit(x) for x in bucket_labels(bounds)]), drops)
 

@@ -15,7 +15,7 @@ from fluxloom.functions.magnetic import magnetic_flags, magnetic_score, sunspot_
 from fluxloom.functions.timing import HOUR_US, from_micros, hours_to_us, micros
 from fluxloom.plans.ordering import running_index, running_sums
 from fluxloom.plans.quantiles import range_medians
-from fluxloom.plans.ranges import Part, ladder, range_aggregate
+from fluxloom.plans.ranges import Part, range_aggregate
 
 TS = "timestamp"
 
@@ -263,18 +263,13 @@ def acceleration(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (),
 # --- event history -----------------------------------------------------------------------
 
 
-def _epoch_width(windows_us: Sequence[int]) -> int:
-    """A width that every ladder cell divides and no window exceeds: local time origin of sums."""
-    widest = ladder(_finest(windows_us), max(windows_us), 6)[-1]
-    return widest * (max(windows_us) // widest + 1)
+def _hours(us: Column) -> Column:
+    return us / F.lit(float(HOUR_US))
 
 
-def _local_hours(width: int) -> Column:
-    return F.pmod("us", F.lit(width)) / F.lit(float(HOUR_US))
-
-
-def _origin_part(width: int) -> Part:
-    return Part("origin", F.col("us") - F.pmod("us", F.lit(width)), "min")
+def _into_cell() -> Column:
+    """Hours of a sample after the start of its cell."""
+    return _hours(F.col("us") - F.col("origin"))
 
 
 def weighted_counts(
@@ -290,17 +285,20 @@ def weighted_counts(
 ) -> DataFrame:
     """Event counts and sums of ``decay ** hours_ago`` per class and window [t - w, t].
 
-    The weight splits into a factor of the sample (to a local origin) and one of the grid
+    The weight splits into a factor of the sample (to its cell's start) and one of the grid
     row, so weighted sums merge like counts.
     """
     spec = [(f"{w}h", hours_to_us(w), 0) for w in windows]
-    width = _epoch_width([b for _, b, _ in spec])
-    weight = F.pow(F.lit(decay), -_local_hours(width))
-    parts = [_origin_part(width), Part("w_all", weight, "sum")]
+    weight = F.pow(F.lit(decay), -_into_cell())
+
+    def weighted(name: str, value: Column) -> Part:
+        return Part(name, value, "sum", lift=lambda shift: F.col(name) * F.pow(F.lit(decay), -_hours(shift)))
+
+    parts = [weighted("w_all", weight)]
     for c in classes:
         hit = F.col("class_category") == c
-        parts += [Part(f"n_{c}", hit.cast("bigint"), "sum"), Part(f"w_{c}", F.when(hit, weight), "sum")]
-    age = F.pow(F.lit(decay), (F.col("_t") - F.col("origin")) / F.lit(float(HOUR_US)))
+        parts += [Part(f"n_{c}", hit.cast("bigint"), "sum"), weighted(f"w_{c}", F.when(hit, weight))]
+    age = F.pow(F.lit(decay), _hours(F.col("_t") - F.col("origin")))
     finals = []
     for w, _, _ in spec:
         for c in classes:
@@ -318,27 +316,26 @@ def flux_covariates(
 ) -> DataFrame:
     """Mean, max and slope against hours of both bands per lookback; empty gives 0."""
     spec = [(f"{w}h", hours_to_us(w), 0) for w in lookbacks]
-    width = _epoch_width([b for _, b, _ in spec])
-    parts, finals = [_origin_part(width)], []
+    parts, finals = [], []
+    off = _hours(F.col("origin") - F.col("_t"))
     for b in ("long", "short"):
         v = F.col(f"flux_{b}")
-        x = F.when(v.isNotNull(), _local_hours(width))
+        x = F.when(v.isNotNull(), _into_cell())
+        n_, s_, x_, xx_, xv_ = (F.col(f"{b}_{m}") for m in ("n", "s", "x", "xx", "xv"))
         parts += [
             Part(f"{b}_n", v.isNotNull().cast("bigint"), "sum"),
             Part(f"{b}_s", v, "sum"),
             Part(f"{b}_m", v, "max"),
-            Part(f"{b}_x", x, "sum"),
-            Part(f"{b}_xx", x * x, "sum"),
-            Part(f"{b}_xv", x * v, "sum"),
+            Part(f"{b}_x", x, "sum", lift=lambda d, n_=n_, x_=x_: x_ + n_ * _hours(d)),
+            Part(f"{b}_xx", x * x, "sum", lift=lambda d, n_=n_, x_=x_, xx_=xx_: xx_ + 2 * _hours(d) * x_ + n_ * _hours(d) * _hours(d)),
+            Part(f"{b}_xv", x * v, "sum", lift=lambda d, s_=s_, xv_=xv_: xv_ + _hours(d) * s_),
         ]
-        off = (F.col("origin") - F.col("_t")) / F.lit(float(HOUR_US))
-        n_, s_, x_ = F.col(f"{b}_n"), F.col(f"{b}_s"), F.col(f"{b}_x")
         for w, _, _ in spec:
             n = F.sum(in_window(w, n_)).cast("double")
             s = F.sum(in_window(w, s_))
             sx = F.sum(in_window(w, x_ + n_ * off))
-            sxx = F.sum(in_window(w, F.col(f"{b}_xx") + 2 * off * x_ + n_ * off * off))
-            sxv = F.sum(in_window(w, F.col(f"{b}_xv") + off * s_))
+            sxx = F.sum(in_window(w, xx_ + 2 * off * x_ + n_ * off * off))
+            sxv = F.sum(in_window(w, xv_ + off * s_))
             spread = sxx - sx * sx / n
             slope = F.when((n >= 2) & (spread > 1e-12), (sxv - sx * s / n) / spread)
             finals += [

@@ -10,7 +10,7 @@ the number of samples in it. Joins are plain equi-joins on (keys, cell).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +24,7 @@ class Part:
     sample: Column
     merge: str  # sum | min | max | first_by | last_by
     by: str = "us"
+    lift: Callable[[Column], Column] | None = None  # value about an origin ``shift`` us earlier
 
     def combined(self) -> Column:
         own = F.col(self.name)
@@ -77,24 +78,36 @@ def range_aggregate(
     base     width of the finest cell; longest, an upper bound of ``hi - lo`` that only
              tunes the ladder
     by       sample columns kept apart inside a cell (e.g. a value bin)
+
+    Finals may also read ``origin``, the start (us) of the cell a partial row stands for. A part
+    may be kept about its cell's start (``us - origin`` in ``sample``), which keeps sums of
+    squares small; its ``lift`` moves it to the start of a wider cell.
     """
     keys, by = list(keys), list(by)
     names = [p.name for p in parts]
     widths = ladder(base, longest, fan)
-    points = samples.where(F.col(us).isNotNull()).select(
-        *keys, *by, F.col(us).alias("us"), *[p.sample.alias(p.name) for p in parts]
-    )
+    placed = samples.where(F.col(us).isNotNull()).withColumn("us", F.col(us))
+    placed = placed.withColumn("origin", F.col("us") - F.pmod("us", F.lit(base)))
+    points = placed.select(*keys, *by, "us", "origin", *[p.sample.alias(p.name) for p in parts])
 
     finest = points.groupBy(*keys, *by, cell_of(F.col("us"), base).alias("cell")).agg(
         *[p.combined() for p in parts]
     )
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(w // base).cast("bigint").alias("ratio")) for i, w in enumerate(widths)])
+    into = F.pmod("cell", F.col("_s.ratio"))
+    shift = into * F.lit(base)
     full = (
         finest.withColumn("_s", F.explode(steps))
-        .withColumn("step", F.col("_s.step"))
-        .withColumn("cell", F.call_function("div", F.col("cell") - F.pmod("cell", F.col("_s.ratio")), F.col("_s.ratio")))
+        .select(
+            *keys,
+            *by,
+            F.col("_s.step").alias("step"),
+            F.call_function("div", F.col("cell") - into, F.col("_s.ratio")).alias("cell"),
+            ((F.col("cell") - into) * F.lit(base)).alias("origin"),
+            *[(p.lift(shift) if p.lift else F.col(p.name)).alias(p.name) for p in parts],
+        )
         .groupBy(*keys, *by, "step", "cell")
-        .agg(*[p.combined() for p in parts])
+        .agg(F.min("origin").alias("origin"), *[p.combined() for p in parts])
     )
 
     carried = [c for c in ranges.columns if c not in ("lo", "hi")]
@@ -119,7 +132,7 @@ def range_aggregate(
         spans.withColumn("_c", F.explode(F.concat(*pieces)))
         .select(*carried, F.col("_c.step").alias("step"), F.col("_c.cell").alias("cell"))
         .join(full, keys + ["step", "cell"])
-        .select(*carried, *by, *names)
+        .select(*carried, *by, "origin", *names)
     )
 
     left = F.when(F.pmod("lo", F.lit(base)) != 0, cell_of(F.col("lo"), base))
@@ -132,7 +145,7 @@ def range_aggregate(
         live.withColumn("cell", F.explode(inside))
         .join(points.withColumn("cell", cell_of(F.col("us"), base)), keys + ["cell"])
         .where(F.col("us").between(F.col("lo"), F.col("hi")))
-        .select(*carried, *by, *names)
+        .select(*carried, *by, "origin", *names)
     )
     merged = covered.unionByName(edges)
     if keep_empty and not by:

@@ -1,3 +1,4 @@
 """Imports every query module, which fills the registry."""
 
 from fluxloom.queries import feature_queries  # noqa: F401
+from fluxloom.queries import scalar_queries  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,13 +11,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def expand_rounding(text: str) -> str:
+    """Expands ``q_N(expr)`` in an oracle text to the rounding both engines share (see ``q``)."""
+    while m := re.search(r"\bq_(\d+)\(", text):
+        depth, i = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[i], 0)
+            i += 1
+        unit = f"1e{m.group(1)}"
+        text = text[: m.start()] + f"(cast(floor(({text[m.end() : i - 1]}) * {unit} + 0.537) as double) / {unit})" + text[i:]
+    return text
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = expand_rounding(sql)
         return fn
 
     return add

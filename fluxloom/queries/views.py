@@ -79,8 +79,6 @@ def oracle(body: str, *names: str) -> str:
     """``body`` with the named views (and what it reads in braces) in front as CTEs."""
     found = [n for n in names]
     ctes = ",\n".join(f"{n} as ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})" for n in found)
-    body = re.sub(r"\bq\((\d+),", r"q_\1(", body)
-    body = _rounded(body)
     stripped = body.strip()
     if not found:
         return stripped
@@ -90,17 +88,3 @@ def oracle(body: str, *names: str) -> str:
         return f"with {ctes},\n{stripped[5:]}"
     return f"with {ctes}\n{stripped}"
 
-
-def _rounded(body: str) -> str:
-    """Expands ``q_N(expr)`` to the rounding both engines share."""
-    while True:
-        m = re.search(r"\bq_(\d+)\(", body)
-        if not m:
-            return body
-        depth, i = 1, m.end()
-        while depth:
-            depth += {"(": 1, ")": -1}.get(body[i], 0)
-            i += 1
-        inner = body[m.end() : i - 1]
-        unit = f"1e{m.group(1)}"
-        body = body[: m.start()] + f"(cast(floor(({inner}) * {unit} + 0.537) as double) / {unit})" + body[i:]
