@@ -6,7 +6,7 @@ None makes (grid row, sample) pairs: see ``plans.ranges``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,11 +26,9 @@ def _finest(spans: Sequence[int]) -> int:
 
 def trailing_ranges(grid: DataFrame, windows: Sequence[tuple[str, int, int]], *, keys: Sequence[str], ts: str = TS) -> DataFrame:
     """One range [t - back, t + ahead] per grid row and window (label, back, ahead)."""
-    spec = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b"), F.lit(a).alias("a")) for w, b, a in windows])
-    at = grid.select(*keys, ts).withColumn("_t", micros(ts)).withColumn("_x", F.explode(spec))
-    return at.select(
-        *keys, ts, "_t", F.col("_x.w").alias("_w"), (F.col("_t") - F.col("_x.b")).alias("lo"), (F.col("_t") + F.col("_x.a")).alias("hi")
-    )
+    spec = ", ".join(f"named_struct('_w', '{w}', 'b', {b}L, 'a', {a}L)" for w, b, a in windows)
+    at = grid.select(*keys, ts, micros(ts).alias("_t"), F.expr(f"inline(array({spec}))"))
+    return at.selectExpr(*keys, ts, "_t", "_w", "_t - b as lo", "_t + a as hi")
 
 
 def trailing(
@@ -60,46 +58,47 @@ def trailing(
     )
 
 
-def in_window(label: str, value: Column | str) -> Column:
-    return F.when(F.col("_w") == label, F.col(value) if isinstance(value, str) else value)
+def in_window(label: str, value: str) -> str:
+    return f"CASE WHEN _w = '{label}' THEN {value} END"
+
+
+def named(expression: str, name: str) -> Column:
+    return F.expr(expression).alias(name)
 
 
 # --- moments -----------------------------------------------------------------------------
 
 
 def moment_parts(column: str) -> list[Part]:
-    v = F.col(column).cast("double")
+    v = f"cast({column} as double)"
     return [
-        Part(f"{column}_n", v.isNotNull().cast("bigint"), "sum"),
+        Part(f"{column}_n", f"cast({column} is not null as bigint)", "sum"),
         Part(f"{column}_s", v, "sum"),
-        Part(f"{column}_q", v * v, "sum"),
+        Part(f"{column}_q", f"{v} * {v}", "sum"),
         Part(f"{column}_lo", v, "min"),
         Part(f"{column}_hi", v, "max"),
     ]
 
 
-def sample_std(n: Column, s: Column, q: Column) -> Column:
+def sample_std(n: str, s: str, q: str) -> str:
     """Sample standard deviation from count, sum and sum of squares; null below two values.
 
     A spread under the resolution of the sums (a constant series) is zero.
     """
-    spread = q - s * s / n
-    clean = F.when(spread > q * 1e-14, spread).otherwise(0.0)
-    return F.when(n >= 2, F.sqrt(clean / (n - 1)))
+    spread = f"({q} - {s} * {s} / {n})"
+    return f"CASE WHEN {n} >= 2 THEN sqrt(CASE WHEN {spread} > {q} * 1e-14 THEN {spread} ELSE 0e0 END / ({n} - 1)) END"
 
 
-def _stat(column: str, label: str, fn: str) -> Column:
-    n = F.coalesce(F.sum(in_window(label, f"{column}_n")), F.lit(0))
-    s, q = F.sum(in_window(label, f"{column}_s")), F.sum(in_window(label, f"{column}_q"))
-    table: dict[str, Callable[[], Column]] = {
-        "count": lambda: n,
-        "sum": lambda: s,
-        "mean": lambda: F.when(n > 0, s / n),
-        "std": lambda: sample_std(n, s, q),
-        "min": lambda: F.min(in_window(label, f"{column}_lo")),
-        "max": lambda: F.max(in_window(label, f"{column}_hi")),
-    }
-    return table[fn]()
+def _stat(column: str, label: str, fn: str) -> str:
+    n, s, q = (f"sum({in_window(label, f'{column}_{m}')})" for m in ("n", "s", "q"))
+    return {
+        "count": f"coalesce({n}, 0L)",
+        "sum": s,
+        "mean": f"CASE WHEN {n} > 0 THEN {s} / {n} END",
+        "std": sample_std(n, s, q),
+        "min": f"min({in_window(label, f'{column}_lo')})",
+        "max": f"max({in_window(label, f'{column}_hi')})",
+    }[fn]
 
 
 def rolling_stats(
@@ -121,7 +120,7 @@ def rolling_stats(
         keys=keys,
         windows=spec,
         parts=[p for c in columns for p in moment_parts(c)],
-        finals=[_stat(c, w, f).alias(f"{c}_{w}_{f}") for c in columns for w, _, _ in spec for f in plain or ["count"]],
+        finals=[named(_stat(c, w, f), f"{c}_{w}_{f}") for c in columns for w, _, _ in spec for f in plain or ["count"]],
         ts=ts,
     )
     if "median" in functions:
@@ -132,7 +131,7 @@ def rolling_stats(
                 ranges, samples, keys=keys, group=[*keys, ts, "_w"], value=c,
                 base=_finest([b for _, b, _ in spec]), longest=max(b for _, b, _ in spec),
             )
-            wide = medians.groupBy(*keys, ts).agg(*[F.max(in_window(w, "median")).alias(f"{c}_{w}_median") for w, _, _ in spec])
+            wide = medians.groupBy(*keys, ts).agg(*[named(f"max({in_window(w, 'median')})", f"{c}_{w}_median") for w, _, _ in spec])
             out = out.join(wide, [*keys, ts], "left")
     return out
 
@@ -144,7 +143,7 @@ def flux_summary(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (),
     """Mean, max, min, std of both bands over the last ``hours`` and the hardness ratio of the means."""
     label = "d"
     finals = [
-        _stat(f"flux_{band}", label, fn).alias(f"flux_{band}_{fn}") for band in ("short", "long") for fn in ("mean", "max", "min", "std")
+        named(_stat(f"flux_{band}", label, fn), f"flux_{band}_{fn}") for band in ("short", "long") for fn in ("mean", "max", "min", "std")
     ]
     parts = moment_parts("flux_short") + moment_parts("flux_long")
     out = trailing(grid, flux, keys=keys, windows=[(label, hours_to_us(hours), 0)], parts=parts, finals=finals, ts=ts)
@@ -167,40 +166,41 @@ def index_trend(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (), h
     numbered = running_sums(flux.select(*keys, TS, "flux_short", "flux_long"), [TS], marks, keys)
     parts, finals = [], []
     for b in bands:
-        v, i = F.col(f"flux_{b}"), F.when(F.col(f"flux_{b}").isNotNull(), F.col(f"_i_{b}")).cast("double")
-        parts += [Part(f"{b}_n", v.isNotNull().cast("bigint"), "sum"), Part(f"{b}_s", v, "sum"), Part(f"{b}_iv", i * v, "sum"), Part(f"{b}_i0", i, "min")]
-        n, s, iv, i0 = F.sum(f"{b}_n"), F.sum(f"{b}_s"), F.sum(f"{b}_iv"), F.min(f"{b}_i0")
-        n_ = n.cast("double")
-        slope = (iv - (i0 + (n_ - 1) / 2) * s) / (n_ * (n_ * n_ - 1) / 12)
-        finals.append(F.when(n >= 2, slope).alias(f"flux_trend_{b}"))
+        i = f"CASE WHEN flux_{b} IS NOT NULL THEN cast(_i_{b} as double) END"
+        parts += [
+            Part(f"{b}_n", f"cast(flux_{b} is not null as bigint)", "sum"),
+            Part(f"{b}_s", f"flux_{b}", "sum"),
+            Part(f"{b}_iv", f"{i} * flux_{b}", "sum"),
+            Part(f"{b}_i0", i, "min"),
+        ]
+        n = f"cast(sum({b}_n) as double)"
+        slope = f"(sum({b}_iv) - (min({b}_i0) + ({n} - 1) / 2) * sum({b}_s)) / ({n} * ({n} * {n} - 1) / 12)"
+        finals.append(named(f"CASE WHEN {n} >= 2 THEN {slope} END", f"flux_trend_{b}"))
     return trailing(grid, numbered, keys=keys, windows=[("w", hours_to_us(hours), 0)], parts=parts, finals=finals, ts=ts)
 
 
 def _change_parts(bands: Sequence[str]) -> list[Part]:
-    parts = [Part("rows", F.lit(1).cast("bigint"), "sum"), Part("t0", F.col("us"), "min"), Part("t1", F.col("us"), "max")]
+    parts = [Part("rows", "1L", "sum"), Part("t0", "us", "min"), Part("t1", "us", "max")]
     for b in bands:
-        v = F.col(f"flux_{b}")
-        at = F.when(v.isNotNull(), F.col("us"))
+        at = f"CASE WHEN flux_{b} IS NOT NULL THEN us END"
         parts += [
-            Part(f"{b}_n", v.isNotNull().cast("bigint"), "sum"),
-            Part(f"{b}_first", v, "first_by", f"{b}_u0"),
-            Part(f"{b}_last", v, "last_by", f"{b}_u1"),
+            Part(f"{b}_n", f"cast(flux_{b} is not null as bigint)", "sum"),
+            Part(f"{b}_first", f"flux_{b}", "first_by", f"{b}_u0"),
+            Part(f"{b}_last", f"flux_{b}", "last_by", f"{b}_u1"),
             Part(f"{b}_u0", at, "min"),
             Part(f"{b}_u1", at, "max"),
         ]
     return parts
 
 
-def _change(b: str, label: str) -> dict[str, Column]:
-    u0, u1 = in_window(label, f"{b}_u0"), in_window(label, f"{b}_u1")
-    return {
-        "diff": F.max_by(in_window(label, f"{b}_last"), u1) - F.min_by(in_window(label, f"{b}_first"), u0),
-        "valid": F.coalesce(F.sum(in_window(label, f"{b}_n")), F.lit(0)),
-    }
+def _change(b: str, label: str) -> tuple[str, str]:
+    """(last minus first non-null value, number of non-null values)."""
+    first, last, u0, u1, n = (in_window(label, f"{b}_{m}") for m in ("first", "last", "u0", "u1", "n"))
+    return f"(max_by({last}, {u1}) - min_by({first}, {u0}))", f"coalesce(sum({n}), 0L)"
 
 
-def _span_hours(label: str) -> Column:
-    return (F.max(in_window(label, "t1")) - F.min(in_window(label, "t0"))) / F.lit(float(HOUR_US))
+def _span_hours(label: str) -> str:
+    return f"((max({in_window(label, 't1')}) - min({in_window(label, 't0')})) / 3.6e9)"
 
 
 def rate_of_change(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (), hours: int = 12, ts: str = TS) -> DataFrame:
@@ -208,8 +208,8 @@ def rate_of_change(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = ()
     bands, label = ("short", "long"), "w"
     finals = []
     for b in bands:
-        c, span = _change(b, label), _span_hours(label)
-        finals.append(F.when((c["valid"] >= 2) & (span > 0), c["diff"] / span).alias(f"flux_{b}_rate_of_change"))
+        (diff, valid), span = _change(b, label), _span_hours(label)
+        finals.append(named(f"CASE WHEN {valid} >= 2 AND {span} > 0 THEN {diff} / {span} END", f"flux_{b}_rate_of_change"))
     return trailing(grid, flux, keys=keys, windows=[(label, hours_to_us(hours), 0)], parts=_change_parts(bands), finals=finals, ts=ts)
 
 
@@ -226,7 +226,7 @@ def acceleration(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (),
         indexed,
         keys=keys,
         windows=[("w", back, 0)],
-        parts=[Part("rows", F.lit(1).cast("bigint"), "sum"), Part("i0", F.col("_i"), "min")],
+        parts=[Part("rows", "1L", "sum"), Part("i0", "_i", "min")],
         finals=[F.coalesce(F.sum("rows"), F.lit(0)).alias("_n"), F.min("i0").alias("_i0")],
         ts=ts,
     )
@@ -243,10 +243,10 @@ def acceleration(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (),
     ).select(*keys, ts, F.col("_x.w").alias("_w"), F.col("_x.lo").alias("lo"), F.col("_x.hi").alias("hi"))
     finals = []
     for b in bands:
-        first, second = _change(b, "a"), _change(b, "b")
+        (d1, n1), (d2, n2) = _change(b, "a"), _change(b, "b")
         h1, h2 = _span_hours("a"), _span_hours("b")
-        usable = (first["valid"] >= 2) & (second["valid"] >= 2) & (h1 > 0) & (h2 > 0)
-        finals.append(F.when(usable, (second["diff"] / h2 - first["diff"] / h1) / (h1 + h2)).alias(f"flux_{b}_acceleration"))
+        usable = f"{n1} >= 2 AND {n2} >= 2 AND {h1} > 0 AND {h2} > 0"
+        finals.append(named(f"CASE WHEN {usable} THEN ({d2} / {h2} - {d1} / {h1}) / ({h1} + {h2}) END", f"flux_{b}_acceleration"))
     found = range_aggregate(
         halves,
         indexed.withColumn("us", micros(TS)),
@@ -267,9 +267,16 @@ def _hours(us: Column) -> Column:
     return us / F.lit(float(HOUR_US))
 
 
-def _into_cell() -> Column:
-    """Hours of a sample after the start of its cell."""
-    return _hours(F.col("us") - F.col("origin"))
+def _lift_x(n: str, x: str):
+    return lambda d: F.col(x) + F.col(n) * _hours(d)
+
+
+def _lift_xx(n: str, x: str, xx: str):
+    return lambda d: F.col(xx) + 2 * _hours(d) * F.col(x) + F.col(n) * _hours(d) * _hours(d)
+
+
+def _lift_xv(s: str, xv: str):
+    return lambda d: F.col(xv) + _hours(d) * F.col(s)
 
 
 def weighted_counts(
@@ -289,22 +296,23 @@ def weighted_counts(
     row, so weighted sums merge like counts.
     """
     spec = [(f"{w}h", hours_to_us(w), 0) for w in windows]
-    weight = F.pow(F.lit(decay), -_into_cell())
+    weight = f"pow({decay}, -(us - origin) / 3.6e9)"
 
-    def weighted(name: str, value: Column) -> Part:
+    def weighted(name: str, value: str) -> Part:
         return Part(name, value, "sum", lift=lambda shift: F.col(name) * F.pow(F.lit(decay), -_hours(shift)))
 
     parts = [weighted("w_all", weight)]
     for c in classes:
-        hit = F.col("class_category") == c
-        parts += [Part(f"n_{c}", hit.cast("bigint"), "sum"), weighted(f"w_{c}", F.when(hit, weight))]
-    age = F.pow(F.lit(decay), _hours(F.col("_t") - F.col("origin")))
+        hit = f"class_category = '{c}'"
+        parts += [Part(f"n_{c}", f"cast({hit} as bigint)", "sum"), weighted(f"w_{c}", f"CASE WHEN {hit} THEN {weight} END")]
+    age = f"pow({decay}, (_t - origin) / 3.6e9)"
+    total = lambda w, part: f"coalesce(sum({in_window(w, f'{part} * {age}')}), 0e0)"
     finals = []
     for w, _, _ in spec:
         for c in classes:
-            finals.append(F.coalesce(F.sum(in_window(w, f"n_{c}")), F.lit(0)).alias(f"flare_{c}_{w}_count"))
-            finals.append(F.coalesce(F.sum(in_window(w, F.col(f"w_{c}") * age)), F.lit(0.0)).alias(f"flare_{c}_{w}_weighted_count"))
-        finals.append(F.coalesce(F.sum(in_window(w, F.col("w_all") * age)), F.lit(0.0)).alias(f"flare_total_{w}_weighted_count"))
+            finals.append(named(f"coalesce(sum({in_window(w, f'n_{c}')}), 0L)", f"flare_{c}_{w}_count"))
+            finals.append(named(total(w, f"w_{c}"), f"flare_{c}_{w}_weighted_count"))
+        finals.append(named(total(w, "w_all"), f"flare_total_{w}_weighted_count"))
     return trailing(grid, events, keys=keys, windows=spec, parts=parts, finals=finals, ts=ts, series_ts=event_ts)
 
 
@@ -317,31 +325,29 @@ def flux_covariates(
     """Mean, max and slope against hours of both bands per lookback; empty gives 0."""
     spec = [(f"{w}h", hours_to_us(w), 0) for w in lookbacks]
     parts, finals = [], []
-    off = _hours(F.col("origin") - F.col("_t"))
+    off = "((origin - _t) / 3.6e9)"
     for b in ("long", "short"):
-        v = F.col(f"flux_{b}")
-        x = F.when(v.isNotNull(), _into_cell())
-        n_, s_, x_, xx_, xv_ = (F.col(f"{b}_{m}") for m in ("n", "s", "x", "xx", "xv"))
+        v, n_, s_, x_, xx_, xv_ = f"flux_{b}", *(f"{b}_{m}" for m in ("n", "s", "x", "xx", "xv"))
+        x = f"CASE WHEN {v} IS NOT NULL THEN (us - origin) / 3.6e9 END"
         parts += [
-            Part(f"{b}_n", v.isNotNull().cast("bigint"), "sum"),
-            Part(f"{b}_s", v, "sum"),
+            Part(n_, f"cast({v} is not null as bigint)", "sum"),
+            Part(s_, v, "sum"),
             Part(f"{b}_m", v, "max"),
-            Part(f"{b}_x", x, "sum", lift=lambda d, n_=n_, x_=x_: x_ + n_ * _hours(d)),
-            Part(f"{b}_xx", x * x, "sum", lift=lambda d, n_=n_, x_=x_, xx_=xx_: xx_ + 2 * _hours(d) * x_ + n_ * _hours(d) * _hours(d)),
-            Part(f"{b}_xv", x * v, "sum", lift=lambda d, s_=s_, xv_=xv_: xv_ + _hours(d) * s_),
+            Part(x_, x, "sum", lift=_lift_x(n_, x_)),
+            Part(xx_, f"({x}) * ({x})", "sum", lift=_lift_xx(n_, x_, xx_)),
+            Part(xv_, f"({x}) * {v}", "sum", lift=_lift_xv(s_, xv_)),
         ]
         for w, _, _ in spec:
-            n = F.sum(in_window(w, n_)).cast("double")
-            s = F.sum(in_window(w, s_))
-            sx = F.sum(in_window(w, x_ + n_ * off))
-            sxx = F.sum(in_window(w, xx_ + 2 * off * x_ + n_ * off * off))
-            sxv = F.sum(in_window(w, xv_ + off * s_))
-            spread = sxx - sx * sx / n
-            slope = F.when((n >= 2) & (spread > 1e-12), (sxv - sx * s / n) / spread)
+            total = lambda value: f"sum({in_window(w, value)})"
+            n, s = f"cast({total(n_)} as double)", total(s_)
+            sx, sxx = total(f"{x_} + {n_} * {off}"), total(f"{xx_} + 2 * {off} * {x_} + {n_} * {off} * {off}")
+            sxv = total(f"{xv_} + {off} * {s_}")
+            spread = f"({sxx} - {sx} * {sx} / {n})"
+            slope = f"CASE WHEN {n} >= 2 AND {spread} > 1e-16 THEN ({sxv} - {sx} * {s} / {n}) / {spread} END"
             finals += [
-                F.coalesce(F.when(n > 0, s / n), F.lit(0.0)).alias(f"flux_{b}_mean_{w}"),
-                F.coalesce(F.max(in_window(w, f"{b}_m")), F.lit(0.0)).alias(f"flux_{b}_max_{w}"),
-                F.coalesce(slope, F.lit(0.0)).alias(f"flux_{b}_trend_{w}"),
+                named(f"coalesce(CASE WHEN {n} > 0 THEN {s} / {n} END, 0e0)", f"flux_{b}_mean_{w}"),
+                named(f"coalesce(max({in_window(w, f'{b}_m')}), 0e0)", f"flux_{b}_max_{w}"),
+                named(f"coalesce({slope}, 0e0)", f"flux_{b}_trend_{w}"),
             ]
     return trailing(grid, flux, keys=keys, windows=spec, parts=parts, finals=finals, ts=ts)
 
@@ -362,12 +368,13 @@ def region_covariates(
     ]
     finals = []
     for w, _, _ in spec:
-        n = F.sum(in_window(w, "a_n"))
+        top = lambda part: f"coalesce(max({in_window(w, part)}), 0e0)"
+        n, area_sum = (f"sum({in_window(w, part)})" for part in ("a_n", "a_s"))
         finals += [
-            F.coalesce(F.max(in_window(w, "best")), F.lit(0.0)).alias(f"max_complexity_{w}"),
-            F.coalesce(F.when(n > 0, F.sum(in_window(w, "a_s")) / n), F.lit(0.0)).alias(f"avg_area_{w}"),
-            F.coalesce(F.max(in_window(w, "mc")), F.lit(0.0)).alias(f"max_mcintosh_{w}"),
-            F.coalesce(F.max(in_window(w, "mw")), F.lit(0.0)).alias(f"max_mount_wilson_{w}"),
+            named(top("best"), f"max_complexity_{w}"),
+            named(f"coalesce(CASE WHEN {n} > 0 THEN {area_sum} / {n} END, 0e0)", f"avg_area_{w}"),
+            named(top("mc"), f"max_mcintosh_{w}"),
+            named(top("mw"), f"max_mount_wilson_{w}"),
         ]
     return trailing(grid, scored, keys=keys, windows=spec, parts=parts, finals=finals, ts=ts)
 
@@ -384,11 +391,11 @@ def event_covariates(
     ]
     finals = []
     for (w, _, _), hours in zip(spec, lookbacks):
-        since = (F.max(in_window(w, "_t")) - F.max(in_window(w, "last"))) / F.lit(float(HOUR_US))
+        since = f"(max({in_window(w, '_t')}) - max({in_window(w, 'last')})) / 3.6e9"
         finals += [
-            F.coalesce(F.sum(in_window(w, "n")), F.lit(0)).alias(f"flare_count_{w}"),
-            F.coalesce(F.max(in_window(w, "top")), F.lit(0)).alias(f"max_flare_class_{w}"),
-            F.coalesce(since, F.lit(float(hours))).alias(f"hours_since_last_flare_{w}"),
+            named(f"coalesce(sum({in_window(w, 'n')}), 0L)", f"flare_count_{w}"),
+            named(f"coalesce(max({in_window(w, 'top')}), 0)", f"max_flare_class_{w}"),
+            named(f"coalesce({since}, {float(hours)}e0)", f"hours_since_last_flare_{w}"),
         ]
     return trailing(grid, events, keys=keys, windows=spec, parts=parts, finals=finals, ts=ts, series_ts="peak_time")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluxloom.functions.classes import LABEL_RANK, rank_name, rank_of
 from fluxloom.functions.timing import HOUR_US, from_micros, hours_to_us
-from fluxloom.operators.features import TS, in_window, trailing
+from fluxloom.operators.features import TS, in_window, named, trailing
 from fluxloom.plans.ranges import Part
 
 CLASSES = ("B", "C", "M", "X")
@@ -31,14 +31,13 @@ def class_labels(
     ]
     finals = []
     for w, _, _ in spec:
-        seen = F.array_compact(
-            F.array(*[F.when(F.min(in_window(w, f"at_{c}")).isNotNull(), F.struct(F.min(in_window(w, f"at_{c}")).alias("t"), F.lit(c).alias("c"))) for c in classes])
-        )
+        first = {c: f"min({in_window(w, f'at_{c}')})" for c in classes}
+        seen = ", ".join(f"CASE WHEN {t} IS NOT NULL THEN named_struct('t', {t}, 'c', '{c}') END" for c, t in first.items())
         finals += [
-            rank_name(F.coalesce(F.max(in_window(w, "top")), F.lit(0)), LABEL_RANK).alias(f"label_{w}"),
-            F.coalesce(F.sum(in_window(w, "n")), F.lit(0)).alias(f"num_flares_{w}"),
-            F.coalesce(F.max(in_window(w, "mag")), F.lit(0.0)).alias(f"max_magnitude_{w}"),
-            F.array_join(F.transform(F.array_sort(seen), lambda e: e["c"]), ",").alias(f"flare_classes_{w}"),
+            rank_name(F.expr(f"coalesce(max({in_window(w, 'top')}), 0)"), LABEL_RANK).alias(f"label_{w}"),
+            named(f"coalesce(sum({in_window(w, 'n')}), 0L)", f"num_flares_{w}"),
+            named(f"coalesce(max({in_window(w, 'mag')}), 0e0)", f"max_magnitude_{w}"),
+            named(f"array_join(transform(array_sort(array_compact(array({seen}))), e -> e.c), ',')", f"flare_classes_{w}"),
         ]
     return trailing(grid, events, keys=keys, windows=spec, parts=parts, finals=finals, ts=ts, series_ts="start_time")
 

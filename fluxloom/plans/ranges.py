@@ -21,29 +21,30 @@ class Part:
     """A mergeable value: what one sample gives, and how two of them combine."""
 
     name: str
-    sample: Column
+    sample: Column | str
     merge: str  # sum | min | max | first_by | last_by
     by: str = "us"
-    lift: Callable[[Column], Column] | None = None  # value about an origin ``shift`` us earlier
+    lift: Callable[[Column], Column] | None = None  # the value about an origin that much (us) earlier
 
     def combined(self) -> Column:
-        own = F.col(self.name)
-        if self.merge == "first_by":
-            return F.min_by(own, F.col(self.by)).alias(self.name)
-        if self.merge == "last_by":
-            return F.max_by(own, F.col(self.by)).alias(self.name)
-        return {"sum": F.sum, "min": F.min, "max": F.max}[self.merge](own).alias(self.name)
+        call = {"first_by": f"min_by({self.name}, {self.by})", "last_by": f"max_by({self.name}, {self.by})"}
+        return F.expr(call.get(self.merge, f"{self.merge}({self.name})")).alias(self.name)
 
 
-def cell_of(us: Column, width: int) -> Column:
+def cell_of(us: Column | str, width: int) -> Column:
     """Index of the cell of ``width`` microseconds that holds ``us`` (integer arithmetic)."""
-    return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width))
+    c = F.col(us) if isinstance(us, str) else us
+    return F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
 
 
-def _cells(start: Column, end: Column, step: int) -> Column:
-    """Structs (step, cell) for the cells start <= cell < end; empty when there are none."""
-    run = F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(run, lambda c: F.struct(F.lit(step).alias("step"), c.alias("cell")))
+def _cell(x: str, width: int) -> str:
+    return f"(({x}) - pmod({x}, {width}L)) div {width}L"
+
+
+def _cells(start: str, end: str, step: int) -> str:
+    """Array of structs (step, cell) for start <= cell < end; empty when there are none."""
+    run = f"if({start} < {end}, sequence({start}, {end} - 1), cast(array() as array<bigint>))"
+    return f"transform({run}, c -> named_struct('step', {step}, 'cell', c))"
 
 
 def ladder(base: int, longest: int, fan: int) -> list[int]:
@@ -88,22 +89,23 @@ def range_aggregate(
     widths = ladder(base, longest, fan)
     placed = samples.where(F.col(us).isNotNull()).withColumn("us", F.col(us))
     placed = placed.withColumn("origin", F.col("us") - F.pmod("us", F.lit(base)))
-    points = placed.select(*keys, *by, "us", "origin", *[p.sample.alias(p.name) for p in parts])
+    points = placed.select(
+        *keys, *by, "us", "origin", *[(F.expr(p.sample) if isinstance(p.sample, str) else p.sample).alias(p.name) for p in parts]
+    )
 
     finest = points.groupBy(*keys, *by, cell_of(F.col("us"), base).alias("cell")).agg(
         *[p.combined() for p in parts]
     )
-    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(w // base).cast("bigint").alias("ratio")) for i, w in enumerate(widths)])
-    into = F.pmod("cell", F.col("_s.ratio"))
-    shift = into * F.lit(base)
+    steps = "array(" + ", ".join(f"named_struct('step', {i}, 'ratio', {w // base}L)" for i, w in enumerate(widths)) + ")"
+    shift = F.expr(f"pmod(cell, _s.ratio) * {base}L")
     full = (
-        finest.withColumn("_s", F.explode(steps))
+        finest.withColumn("_s", F.expr(f"explode({steps})"))
         .select(
             *keys,
             *by,
-            F.col("_s.step").alias("step"),
-            F.call_function("div", F.col("cell") - into, F.col("_s.ratio")).alias("cell"),
-            ((F.col("cell") - into) * F.lit(base)).alias("origin"),
+            F.expr("_s.step as step"),
+            F.expr("(cell - pmod(cell, _s.ratio)) div _s.ratio as cell"),
+            F.expr(f"(cell - pmod(cell, _s.ratio)) * {base}L as origin"),
             *[(p.lift(shift) if p.lift else F.col(p.name)).alias(p.name) for p in parts],
         )
         .groupBy(*keys, *by, "step", "cell")
@@ -111,36 +113,32 @@ def range_aggregate(
     )
 
     carried = [c for c in ranges.columns if c not in ("lo", "hi")]
-    live = ranges.where(F.col("lo") <= F.col("hi"))
-    first = cell_of(F.col("lo") + (base - 1), base)
-    last = cell_of(F.col("hi") + 1, base)
-    spans = live.withColumn("_a0", first).withColumn("_b0", last)
+    live = ranges.where("lo <= hi")
+    spans = live.select(
+        "*", F.expr(_cell(f"lo + {base - 1}L", base)).alias("_a0"), F.expr(_cell("hi + 1", base)).alias("_b0")
+    )
     pieces = []
-    for i in range(len(widths)):
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        if i + 1 == len(widths):
-            pieces.append(_cells(a, b, i))
-            break
-        up_a, up_b = cell_of(a + (fan - 1), fan), cell_of(b, fan)
-        climbs = up_a < up_b
-        spans = spans.withColumn(f"_a{i + 1}", F.when(climbs, up_a).otherwise(F.lit(0).cast("bigint")))
-        spans = spans.withColumn(f"_b{i + 1}", F.when(climbs, up_b).otherwise(F.lit(0).cast("bigint")))
-        climbed = F.col(f"_a{i + 1}") < F.col(f"_b{i + 1}")
-        pieces.append(_cells(a, F.when(climbed, F.col(f"_a{i + 1}") * fan).otherwise(b), i))
-        pieces.append(_cells(F.when(climbed, F.col(f"_b{i + 1}") * fan).otherwise(b), b, i))
+    for i in range(len(widths) - 1):
+        up_a, up_b, nxt = _cell(f"_a{i} + {fan - 1}", fan), _cell(f"_b{i}", fan), i + 1
+        climbs = f"{up_a} < {up_b}"
+        spans = spans.select(
+            "*", F.expr(f"if({climbs}, {up_a}, 0L)").alias(f"_a{nxt}"), F.expr(f"if({climbs}, {up_b}, 0L)").alias(f"_b{nxt}")
+        )
+        climbed = f"_a{nxt} < _b{nxt}"
+        pieces.append(_cells(f"_a{i}", f"if({climbed}, _a{nxt} * {fan}, _b{i})", i))
+        pieces.append(_cells(f"if({climbed}, _b{nxt} * {fan}, _b{i})", f"_b{i}", i))
+    top = len(widths) - 1
+    pieces.append(_cells(f"_a{top}", f"_b{top}", top))
     covered = (
-        spans.withColumn("_c", F.explode(F.concat(*pieces)))
-        .select(*carried, F.col("_c.step").alias("step"), F.col("_c.cell").alias("cell"))
+        spans.select(*carried, F.expr(f"inline(concat({', '.join(pieces)}))"))
         .join(full, keys + ["step", "cell"])
         .select(*carried, *by, "origin", *names)
     )
 
-    left = F.when(F.pmod("lo", F.lit(base)) != 0, cell_of(F.col("lo"), base))
-    right = F.when(F.pmod(F.col("hi") + 1, F.lit(base)) != 0, cell_of(F.col("hi"), base))
-    inside = F.when(
-        cell_of(F.col("lo"), base) == cell_of(F.col("hi"), base),
-        F.array_compact(F.array(F.coalesce(left, right))),
-    ).otherwise(F.array_compact(F.array(left, right)))
+    left = f"if(pmod(lo, {base}L) != 0, {_cell('lo', base)}, null)"
+    right = f"if(pmod(hi + 1, {base}L) != 0, {_cell('hi', base)}, null)"
+    same = f"{_cell('lo', base)} = {_cell('hi', base)}"
+    inside = F.expr(f"array_compact(if({same}, array(coalesce({left}, {right})), array({left}, {right})))")
     edges = (
         live.withColumn("cell", F.explode(inside))
         .join(points.withColumn("cell", cell_of(F.col("us"), base)), keys + ["cell"])
