@@ -90,3 +90,19 @@ def with_previous(
     local = rows.withColumn("_lag", F.lag(order).over(W.partitionBy("_chunk", *keys).orderBy("_pos")))
     out = _same(keys, local, carried)
     return out.withColumn(name, F.coalesce("_lag", "_carry")).drop("_pos", "_chunk", "_lag", "_carry")
+
+
+def carried_values(
+    df: DataFrame, order: Sequence[str | Column], columns: Sequence[str], keys: Sequence[str] = (), backward: bool = False
+) -> DataFrame:
+    """Adds ``_fill_<column>``: the nearest non-null value at or before (after) each row."""
+    keys = list(keys)
+    rows = range_chunks(df, [*keys, *order])
+    pick = F.min_by if backward else F.max_by
+    edge = rows.groupBy("_chunk", *keys).agg(*[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_e_{c}") for c in columns])
+    beyond = W.partitionBy(*keys).orderBy(F.desc("_chunk") if backward else "_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = edge.select("_chunk", *keys, *[F.last(f"_e_{c}", ignorenulls=True).over(beyond).alias(f"_c_{c}") for c in columns])
+    here = W.partitionBy("_chunk", *keys).orderBy(F.desc("_pos") if backward else "_pos").rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select("*", *[F.last(c, ignorenulls=True).over(here).alias(f"_l_{c}") for c in columns])
+    out = _same(keys, local, carry)
+    return out.select(*df.columns, *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(f"_fill_{c}") for c in columns])

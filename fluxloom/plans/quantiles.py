@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fluxloom.plans.ordering import running_sums
 from fluxloom.plans.ranges import Part, range_aggregate, range_join
 
 
@@ -61,3 +62,25 @@ def range_medians(
     placed = counted.withColumn("_end", rank).withColumn("_start", F.col("_end") - F.col("_c"))
     pick = lambda k: F.max(F.when(holds(k, F.col("_start"), F.col("_end")), F.col("_v")))
     return placed.groupBy(*group).agg(((pick("_low") + pick("_high")) / 2).alias(name))
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of whole columns: rows (column_name, probability, value).
+
+    Values are counted before they are ordered, and the order is global, so no task holds a
+    column. Nulls are skipped.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "_v")
+    counted = long.where("_v is not null").groupBy("column_name", "_v").agg(F.count("*").alias("_c"))
+    placed = running_sums(counted, ["_v"], {"_end": F.col("_c")}, ["column_name"])
+    sizes = placed.groupBy("column_name").agg(F.max("_end").alias("_n"))
+    probs = F.array(*[F.lit(float(p)) for p in probabilities])
+    wanted = sizes.withColumn("probability", F.explode(probs)).withColumn("_h", (F.col("_n") - 1) * F.col("probability"))
+    wanted = wanted.withColumn("_k", F.floor("_h"))
+    both = placed.join(wanted, "column_name")  # a few ranks per column
+    holds = lambda k: (F.col("_end") > k) & (F.col("_end") - F.col("_c") <= k)
+    lower, upper = holds(F.col("_k")), holds(F.least(F.col("_k") + 1, F.col("_n") - 1))
+    ends = both.where(lower | upper).groupBy("column_name", "probability", "_h", "_k").agg(
+        F.max(F.when(lower, F.col("_v"))).alias("_a"), F.max(F.when(upper, F.col("_v"))).alias("_b")
+    )
+    return ends.select("column_name", "probability", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_k"))).alias("value"))

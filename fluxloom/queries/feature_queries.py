@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fluxloom.functions.timing import hours_to_us, micros
 from fluxloom.operators import features, grids, labels
 from fluxloom.plans.ranges import window_join
-from fluxloom.queries.registry import q, query, rounded
+from fluxloom.queries.registry import ORACLES, expand_rounding, query, rounded
 from fluxloom.queries.views import oracle, view
 
 K = ["series_id"]
@@ -31,14 +31,16 @@ def over(body, *views):
     return oracle(f"with {GRID_SQL},\n{body.strip()[5:]}" if body.strip().lower().startswith("with ") else f"with {GRID_SQL}\n{body}", *names)
 
 
-def _w1_sql():
+_SQL_FN = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "median": "median", "sum": "sum"}
+
+
+def _w1_sql(windows=(6, 24), fns=("mean", "std", "min", "max", "median", "sum", "count")):
     cols = []
     for c in ("flux_short", "flux_long"):
-        for w in (6, 24):
+        for w in windows:
             cond = f"filter (s.timestamp >= g.timestamp - interval {w} hour)"
-            for fn, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"), ("median", "median"), ("sum", "sum")):
-                cols.append(f"q_14({f}(s.{c}) {cond}) as {c}_{w}h_{fn}")
-            cols.append(f"count(s.{c}) {cond} as {c}_{w}h_count")
+            for fn in fns:
+                cols.append(f"count(s.{c}) {cond} as {c}_{w}h_count" if fn == "count" else f"q_14({_SQL_FN[fn]}(s.{c}) {cond}) as {c}_{w}h_{fn}")
     return f"""select g.series_id, g.timestamp, {', '.join(cols)} from grid g left join flux s
         on s.series_id = g.series_id and s.timestamp between g.timestamp - interval 24 hour and g.timestamp group by 1, 2"""
 
@@ -150,9 +152,6 @@ def w9(s, d):
     return rounded(rounded(out, 11, trends), 14, [c for c in out.columns if "_mean_" in c or "_max_" in c])
 
 
-MC_SQL = """(with_mc.sz / 8.0e0 * 0.4 + with_mc.sh / 5.0e0 * 0.3 + with_mc.th / 5.0e0 * 0.3)"""
-
-
 def mc_codes(col="mcintosh_class"):
     t = f"upper(trim({col}))"
     size = f"coalesce(case substr({t},1,1) when 'A' then 1 when 'B' then 2 when 'C' then 3 when 'D' then 4 when 'E' then 5 when 'F' then 6 when 'H' then 7 when 'J' then 8 end, 0)"
@@ -309,3 +308,81 @@ def u2(s, d):
     from flux group by series_id) select series_id, timestamp from grid union select series_id, timestamp from {_BEFORE} x""", "flux", "flares"))
 def m38(s, d):
     return grids.training_grid(flux(s, d), view(s, d, "flares"), keys=K)
+
+
+# --- composites ---------------------------------------------------------------------------
+
+
+def _joined(*texts):
+    """One oracle text of several on the grid, joined; missing numbers become 0."""
+    first, *rest = [f"({t}) t{i}" for i, t in enumerate(texts)]
+    return f"select * from {first} " + " ".join(f"join {r} using (series_id, timestamp)" for r in rest)
+
+
+_REGION_PART = over(f"""select g.series_id, g.timestamp, {', '.join(f"max(r.{c}) as {c}" for c in ('size_code', 'shape_code', 'third_code'))},
+      q_8(max(r.mc)) as mcintosh_complexity_score, q_8(max(r.mw)) as mount_wilson_complexity_score, q_8(max(r.mw)) as magnetic_complexity_score,
+      max(cast(r.area as double)) as region_area, max(cast(r.num_sunspots as double)) as region_num_sunspots
+    from (select g.series_id, g.timestamp, max((s.timestamp, s.region_number)) as k from grid g left join regions s
+        on s.series_id = g.series_id and s.timestamp between g.timestamp - interval 48 hour and g.timestamp group by 1, 2) g
+      left join (select *, {mc_codes()[0]} as size_code, {mc_codes()[1]} as shape_code, {mc_codes()[2]} as third_code, {mc_score()} as mc, {mw_score()} as mw from regions) r
+        on r.series_id = g.series_id and (r.timestamp, r.region_number) = g.k group by 1, 2""", "regions")
+
+
+def _m1_sql():
+    parts = [expand_rounding(_REGION_PART), *[ORACLES[n] for n in ("w2_flux_summary", "w4_hardness_ratio", "w3_index_trend", "w5_rate_of_change", "w6_acceleration")]]
+    parts += [expand_rounding(over(_w1_sql((6, 12, 24), ("mean", "max", "std")))), ORACLES["w8_weighted_counts"]]
+    return f"select series_id, timestamp, coalesce(columns(* exclude (series_id, timestamp)), 0) from ({_joined(*parts)}) x"
+
+
+_FLUX_14 = ("_mean", "_max", "_min", "_std", "_trend_short", "_trend_long", "_rate_of_change", "_acceleration")
+
+
+def _features(s, d):
+    out = features.build_features(grid(s, d), flux(s, d), view(s, d, "regions"), view(s, d, "flares"), keys=K)
+    drop = ["mcintosh_size", "mcintosh_shape", "mcintosh_penumbra", *[f"mount_wilson_has_{w}" for w in ("alpha", "beta", "gamma", "delta")]]
+    out = out.drop(*drop).withColumnsRenamed({f"mcintosh_{n}_encoded": f"{c}_code" for n, c in (("size", "size"), ("shape", "shape"), ("penumbra", "third"))})
+    fine = [c for c in out.columns if c.startswith("flux_") and c.endswith(_FLUX_14)]
+    coarse = [c for c, t in out.dtypes if t == "double" and c not in fine]
+    return rounded(rounded(out, 14, fine), 8, coarse)
+
+
+@query("m1_feature_table", _m1_sql())
+def m1(s, d):
+    return _features(s, d)
+
+
+def _m2_sql():
+    return _joined(*[ORACLES[n] for n in ("w9_flux_covariates", "w10_region_covariates", "w11_event_covariates")])
+
+
+def _covariates(s, d):
+    out = features.build_covariates(grid(s, d), flux(s, d), view(s, d, "regions"), view(s, d, "flares"), keys=K)
+    trends = [c for c in out.columns if "_trend_" in c]
+    fine = [c for c in out.columns if c.startswith("flux_") and c not in trends]
+    rest = [c for c, t in out.dtypes if t == "double" and c not in trends + fine]
+    return rounded(rounded(rounded(out, 11, trends), 14, fine), 8, rest)
+
+
+@query("m2_covariate_table", _m2_sql())
+def m2(s, d):
+    return _covariates(s, d)
+
+
+def _m3_sql():
+    return f"select * from ({_m1_sql()}) f join ({ORACLES['w12_forward_labels']}) l using (series_id, timestamp)"
+
+
+@query("m3_classification_set", _m3_sql())
+def m3(s, d):
+    lab = labels.class_labels(grid(s, d), view(s, d, "flares"), keys=K)
+    return labels.classification_set(_features(s, d), lab, keys=K, label="label_24h")
+
+
+def _m4_sql():
+    return f"select * from ({_m2_sql()}) f join ({ORACLES['w13_survival_labels']}) l using (series_id, timestamp)"
+
+
+@query("m4_survival_set", _m4_sql())
+def m4(s, d):
+    lab = rounded(labels.survival_labels(grid(s, d), view(s, d, "flares"), keys=K, target="M"), 8)
+    return labels.survival_set(_covariates(s, d), lab, keys=K)
