@@ -22,8 +22,12 @@ def drift_reference(df: DataFrame, features: Sequence[str], order: Sequence[str]
     ``rows`` values per feature.
     """
     long = df.select(*order, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(list(order), list(features), "feature", "value")
+    return newest_per_feature(long.where("value is not null"), order, rows=rows)
+
+
+def newest_per_feature(long: DataFrame, order: Sequence[str], *, rows: int = REFERENCE_ROWS) -> DataFrame:
     newest = W.partitionBy("feature").orderBy(*[F.desc(c) for c in order])
-    return long.where("value is not null").withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= rows).drop("_k")
+    return long.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= rows).drop("_k")
 
 
 def long_form(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -167,13 +167,13 @@ def class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFram
     return df.join(weights, label)
 
 
-def _draw(ident: str, seed: int):
+def draw(ident: str, seed: int):
     """Repeatable order: a digest of the row id and the seed, the same on every retry."""
     return F.md5(F.concat_ws("-", F.col(ident).cast("string"), F.lit(str(seed))))
 
 
 def _ranked_in_label(df: DataFrame, label: str, ident: str, seed: int) -> DataFrame:
-    return running_index(df.withColumn("_draw", _draw(ident, seed)), ["_draw", ident], [label], name="_i").drop("_draw")
+    return running_index(df.withColumn("_draw", draw(ident, seed)), ["_draw", ident], [label], name="_i").drop("_draw")
 
 
 def stratified_split(df: DataFrame, label: str, ident: str, *, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -236,11 +236,12 @@ def smote(
     rows = df.join(need, label).select(
         F.col(label).alias("label"), F.col(ident).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"), "_n", "_need"
     )
-    ranked = durable(running_index(rows.withColumn("_draw", _draw("id", seed)), ["_draw", "id"], ["label"], name="_i"))
+    ranked = durable(running_index(rows.withColumn("_draw", draw("id", seed)), ["_draw", "id"], ["label"], name="_i"))
     blocks = F.expr(f"(_n + {block_rows - 1}) div {block_rows}")
     placed = ranked.withColumn("_b", F.expr(f"_i div {block_rows}")).withColumn("_blocks", blocks)
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = placed.select("label", "id", "vec", F.lit(0).alias("side"), F.col("_b").alias("a"), others.alias("b"))
+    seeding = F.expr("_need div _n + if(_i < _need % _n, 1, 0)") > 0
+    left = placed.where(seeding).select("label", "id", "vec", F.lit(0).alias("side"), F.col("_b").alias("a"), others.alias("b"))
     right = placed.select("label", "id", "vec", F.lit(1).alias("side"), others.alias("a"), F.col("_b").alias("b"))
     label_type = df.schema[label].dataType.simpleString()
     schema = f"label {label_type}, id bigint, other bigint, dist double, vec array<double>, other_vec array<double>"
