@@ -35,22 +35,31 @@ def hours_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(float(HOUR_US))
 
 
-# The feed's accepted time layouts, tried in this order.
-TIME_LAYOUTS = (
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSS]XXX",
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSS]X",
-    "yyyy-MM-dd HH:mm[:ss][.SSSSSS][.SSS]X",
-    "yyyy-MM-ddX",
-)
+# Fixed value: what counts as a time text (seconds, fraction and zone may be missing).
+TIME_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 
 
 def parse_utc(text: Column | str) -> Column:
     """Feed time text to a zone-free UTC timestamp; anything unreadable becomes null.
 
-    Offsets are applied, not dropped. Text without an offset counts as UTC, whatever
-    the session zone: an explicit Z is added before parsing.
+    Offsets are applied, not dropped; text without one counts as UTC whatever the session
+    zone. The text is completed to full form first, so one cast reads every layout.
     """
     raw = F.trim(F.col(text) if isinstance(text, str) else text)
-    zoned = F.when(raw.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$") & raw.contains(":"), raw).otherwise(F.concat(raw, F.lit("Z")))
-    instant = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(p)) for p in TIME_LAYOUTS])
+    full = raw
+    for shape, form in (
+        (r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00"),  # date only
+        (r"^(.{16})(?=Z|[+-]|$)", "$1:00"),  # no seconds
+        (r"^(.{16}:\d{2}(?:\.\d+)?)$", "$1Z"),  # no zone
+        (r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00"),  # offset of hours only
+        (r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2"),  # offset without colon
+    ):
+        full = F.regexp_replace(full, shape, form)
+    instant = F.when(raw.rlike(TIME_TEXT), full).try_cast("timestamp")
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
+
+
+def as_utc(df, column: str) -> Column:
+    """A time column as zone-free timestamp, whether it holds text or a timestamp."""
+    kind = dict(df.dtypes)[column]
+    return parse_utc(column) if kind == "string" else F.col(column).cast("timestamp_ntz")

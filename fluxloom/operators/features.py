@@ -124,18 +124,30 @@ def rolling_stats(
         ts=ts,
     )
     if "median" in functions:
-        ranges = trailing_ranges(grid, spec, keys=keys, ts=ts)
-        samples = series.withColumn("us", micros(TS))
-        for c in columns:
-            medians = range_medians(
-                ranges, samples, keys=keys, group=[*keys, ts, "_w"], value=c,
-                base=_finest([b for _, b, _ in spec]), longest=max(b for _, b, _ in spec),
-            )
-            wide = medians.groupBy(*keys, ts).agg(*[named(f"max({in_window(w, 'median')})", f"{c}_{w}_median") for w, _, _ in spec])
-            out = out.join(wide, [*keys, ts], "left")
+        out = out.join(_rolling_medians(grid, series, columns, spec, keys=keys, ts=ts), [*keys, ts], "left")
     return out
 
 
+def _rolling_medians(
+    grid: DataFrame, series: DataFrame, columns: Sequence[str], spec: Sequence[tuple[str, int, int]], *, keys: Sequence[str], ts: str
+) -> DataFrame:
+    """Medians of all columns and windows in one pass, the column being one more key."""
+    each = ", ".join(f"named_struct('_col', '{c}', '_value', cast({c} as double))" for c in columns)
+    names = ", ".join(f"'{c}'" for c in columns)
+    backs = [b for _, b, _ in spec]
+    medians = range_medians(
+        trailing_ranges(grid, spec, keys=keys, ts=ts).withColumn("_col", F.expr(f"explode(array({names}))")),
+        series.select(*keys, micros(TS).alias("us"), F.expr(f"inline(array({each}))")),
+        keys=[*keys, "_col"],
+        group=[*keys, "_col", ts, "_w"],
+        value="_value",
+        base=_finest(backs),
+        longest=max(backs),
+    )
+    picks = [named(f"max(CASE WHEN _w = '{w}' AND _col = '{c}' THEN median END)", f"{c}_{w}_median") for c in columns for w, _, _ in spec]
+    return medians.groupBy(*keys, ts).agg(*picks)
+
+
 # --- trends ------------------------------------------------------------------------------
 
 

@@ -151,11 +151,16 @@ def fit_cox(
     fixed = [F.sum(F.when(F.col("e") == 1, c).otherwise(0.0)).alias(f"x{i}") for i, c in enumerate(x)]
     width = 1 + p + len(pairs)
 
+    spark = df.sparkSession
+    shape = ", ".join(f"b{i} double" for i in range(p))
+
     def terms(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        score = sum((c * float(b) for c, b in zip(x, beta)), F.lit(0.0))
+        # coefficients come as a one-row table, so every step runs the same compiled plan
+        current = F.broadcast(spark.createDataFrame([tuple(float(b) for b in beta)], shape))
+        score = sum((c * F.col(f"b{i}") for i, c in enumerate(x)), F.lit(0.0))
         weight = F.exp(F.greatest(F.least(score, F.lit(60.0)), F.lit(-60.0)))
         moments = [F.lit(1.0), *x, *[x[i] * x[j] for i, j in pairs]]
-        weighted = rows.withColumn("_w", weight).withColumn("_score", score)
+        weighted = rows.join(current, F.lit(True)).withColumn("_w", weight).withColumn("_score", score)
         died = F.col("e") == 1
         per_d = weighted.groupBy("_chunk", "d").agg(
             F.sum(F.col("e").cast("double")).alias("m"),

@@ -138,8 +138,8 @@ def stored_flux(s, d):
 def s9(s, d):
     stored, load = stored_flux(s, d)
     path = staging_path(s, "xray_flux")
-    tables.write_upsert(s, path, stored.withColumn("seq", F.lit(0)), keys=["timestamp"], order=["seq"])
-    tables.write_upsert(s, path, load, keys=["timestamp"], order=["seq"])
+    tables.write_upsert(s, path, stored.withColumn("seq", F.lit(0)), keys=["timestamp"], order=["seq"], drop=["seq"])
+    tables.write_upsert(s, path, load, keys=["timestamp"], order=["seq"], drop=["seq"])
     return s.read.parquet(path).drop("dt")
 
 

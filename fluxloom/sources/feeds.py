@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fluxloom import schemas
 from fluxloom.functions.classes import parsed_class
 from fluxloom.functions.magnetic import magnetic_complexity, polarity
-from fluxloom.functions.timing import parse_utc
+from fluxloom.functions.timing import as_utc, parse_utc
 
 # The feed's two bands.
 SHORT_BAND, LONG_BAND = "0.05-0.4nm", "0.1-0.8nm"
@@ -27,7 +27,7 @@ def widen_bands(df: DataFrame, layout: str = "long") -> DataFrame:
     ``long`` rows carry one band each. One aggregation replaces a full outer join: map-side
     combine, one shuffle. The satellite comes from the short band only.
     """
-    when = F.col("time_tag") if dict(df.dtypes)["time_tag"] == "timestamp_ntz" else parse_utc("time_tag")
+    when = as_utc(df, "time_tag")
     if layout == "wide":
         return df.select(
             when.alias("timestamp"), _numeric("A_FLUX").alias("flux_short"), _numeric("B_FLUX").alias("flux_long"), "satellite"
@@ -55,12 +55,9 @@ def whole_number(c: Column | str) -> Column:
 
 
 def normalize_regions(df: DataFrame) -> DataFrame:
-    when = F.col("observed_date")
-    if dict(df.dtypes)["observed_date"] == "string":
-        when = parse_utc("observed_date")
     return (
         df.select(
-            when.alias("timestamp"),
+            as_utc(df, "observed_date").alias("timestamp"),
             whole_number("region").alias("region_number"),
             F.col("latitude").try_cast("double").alias("latitude"),
             F.col("longitude").try_cast("double").alias("longitude"),

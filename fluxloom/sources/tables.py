@@ -66,16 +66,16 @@ def coerce_regions(df: DataFrame) -> DataFrame:
 
 
 def write_upsert(
-    spark: SparkSession, path: str, updates: DataFrame, *, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp"
+    spark: SparkSession, path: str, updates: DataFrame, *, keys: Sequence[str], order: Sequence[str], ts: str = "timestamp", drop: Sequence[str] = ()
 ) -> None:
     """Upsert into a Parquet dataset partitioned by day (``dt``).
 
     Only the days present in the updates are read and rewritten: the pruning filter comes
     from the updates themselves. The result is staged first, so no path is overwritten
-    while it is being read.
+    while it is being read. ``drop`` names columns that only order the updates.
     """
     fresh = updates.withColumn("dt", F.to_date(F.col(ts)))
-    columns = [c for c in fresh.columns if c not in order or c in keys]
+    columns = [c for c in fresh.columns if c not in drop]
     try:
         current = spark.read.parquet(path)
     except Exception as e:  # first load: the dataset is not there yet
@@ -88,7 +88,7 @@ def write_upsert(
     merged.write.parquet(staged)
     (
         spark.read.parquet(staged)
-        .repartition("dt", F.pmod(F.xxhash64(*keys), F.lit(16)))
+        .hint("rebalance", "dt")  # adaptive: small days share a task, a hot day is split
         .sortWithinPartitions("dt", ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
