@@ -14,8 +14,15 @@ def _epoch() -> Column:
 
 
 def micros(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp."""
-    return F.timestamp_diff("MICROSECOND", _epoch(), F.col(ts) if isinstance(ts, str) else ts)
+    """Microseconds since 1970 of a zone-free timestamp.
+
+    Built from the calendar fields: the difference functions cast to a zoned timestamp and
+    would be an hour off across a clock change of the session zone.
+    """
+    t = F.col(ts) if isinstance(ts, str) else ts
+    day = F.unix_date(t.cast("date")).cast("bigint") * DAY_US
+    clock = F.hour(t).cast("bigint") * HOUR_US + F.minute(t).cast("bigint") * MINUTE_US
+    return day + clock + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
 
 
 def from_micros(us: Column | str) -> Column:

@@ -10,9 +10,9 @@ from fluxloom.functions.timing import plus_hours
 from fluxloom.plans.ordering import running_index
 
 
-def coverage_bounds(series: DataFrame, *, keys: Sequence[str] = (), ts: str = "timestamp", align: str = "day") -> DataFrame:
-    """First (cut down to ``align``) and last time per key."""
-    return series.groupBy(*keys).agg(F.date_trunc(align, F.min(ts)).cast("timestamp_ntz").alias("start"), F.max(ts).alias("end"))
+def coverage_bounds(series: DataFrame, *, keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
+    """Midnight of the first day and the last time per key."""
+    return series.groupBy(*keys).agg(F.min(ts).cast("date").cast("timestamp_ntz").alias("start"), F.max(ts).alias("end"))
 
 
 def regular_grid(bounds: DataFrame, *, keys: Sequence[str] = (), hours: int, ts: str = "timestamp") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from fluxloom.functions.classes import LABEL_RANK, rank_name, rank_of
-from fluxloom.functions.timing import HOUR_US, from_micros, hours_to_us
+from fluxloom.functions.timing import from_micros, hours_between, hours_to_us
 from fluxloom.operators.features import TS, in_window, named, trailing
 from fluxloom.plans.ranges import Part
 
@@ -61,7 +61,7 @@ def survival_labels(
 ) -> DataFrame:
     """Hours to the next target event (event 1), or the horizon (event 0)."""
     found = next_event(grid, events.where(F.col("class_category") == target), keys=keys, horizon_hours=max_hours, ts=ts)
-    waited = F.timestamp_diff("MICROSECOND", F.col(ts), F.col("event_time")) / F.lit(float(HOUR_US))
+    waited = hours_between(F.col("event_time"), F.col(ts))
     return found.select(
         *keys,
         ts,

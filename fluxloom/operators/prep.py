@@ -222,7 +222,7 @@ def _nearest_in_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def smote(
-    df: DataFrame, label: str, ident: str, columns: Sequence[str], *, k: int = 5, seed: int = 42, block_rows: int = 2000
+    df: DataFrame, label: str, ident: str, columns: Sequence[str], *, k: int = 5, seed: int = 42, block_rows: int = 10_000
 ) -> DataFrame:
     """Synthetic rows (label + columns) that bring every class to the size of the largest.
 

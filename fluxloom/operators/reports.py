@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluxloom.functions.classes import FILTER_RANK, rank_of
 from fluxloom.functions.curves import bucket_start
-from fluxloom.functions.timing import plus_hours
+from fluxloom.functions.timing import micros, plus_hours
 
 CLASS_PROBS = ("None", "C", "M", "X")
 
@@ -74,7 +74,8 @@ def sufficiency(events: DataFrame, target: dict[str, int] | None = None) -> Data
     enough = F.lit(True)
     for c, k in want.items():
         enough = enough & (n[c] >= k)
-    days = F.timestamp_diff("SECOND", F.min("start_time"), F.max("start_time")) / F.lit(86400.0)
+    seconds = F.floor((micros(F.max("start_time")) - micros(F.min("start_time"))) / 1_000_000)
+    days = seconds / F.lit(86400.0)
     return events.agg(
         *[n[c].alias(f"n_{c.lower()}") for c in want], F.count("*").alias("total"), days.alias("period_days"), enough.alias("sufficient")
     )

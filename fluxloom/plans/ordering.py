@@ -2,7 +2,7 @@
 
 ``repartitionByRange`` balances rows by sampled quantiles of (keys, order), so one hot
 key is spread over many tasks. Positions inside a chunk come from
-``monotonically_increasing_id`` and are written down once; what a chunk must know of
+``monotonically_increasing_id`` and are written down once (``durable``); what a chunk must know of
 earlier ones is a table with one row per (chunk, key).
 """
 

@@ -1,6 +1,6 @@
 """Exact medians over time ranges by histogram and refinement.
 
-A monotone value bin (about 3 % wide) is counted per cell, so the bins holding the middle
+A monotone value bin (under 1 % wide) is counted per cell, so the bins holding the middle
 ranks are known without pairing ranges with samples; only values of those bins are then
 looked at, already counted per distinct value.
 """
@@ -16,8 +16,8 @@ from fluxloom.plans.ranges import Part, range_aggregate, range_join
 
 
 def value_bin(v: Column) -> Column:
-    """Order-preserving bin of a double: 32 bins per factor e, mirrored for negatives."""
-    size = (F.floor(F.log(F.abs(v)) * 32) + 40_000).cast("int")
+    """Order-preserving bin of a double: 128 bins per factor e, mirrored for negatives."""
+    size = (F.floor(F.log(F.abs(v)) * 128) + 100_000).cast("int")
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
 
 

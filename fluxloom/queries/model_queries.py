@@ -9,6 +9,7 @@ from fluxloom.queries.registry import query, rounded
 from fluxloom.queries.scalar_queries import _PRED_CASE, predicted, prob_map
 from fluxloom.queries.views import oracle, table, view
 
+DIMENSIONS = 64  # of the embedding vectors
 FLUX_COLS = ["flux_short", "flux_long"]
 
 
@@ -127,13 +128,13 @@ def vectors(s, d, label="label"):
     e = table(s, d, "embeddings")
     key = e.columns[0]
     cls = F.when(F.pmod("label", F.lit(10)) < 5, 0).when(F.pmod("label", F.lit(10)) < 7, 1).when(F.pmod("label", F.lit(10)) < 9, 2).otherwise(3)
-    return e.select(F.col(key).cast("bigint").alias("id"), cls.alias(label), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+    return e.select(F.col(key).cast("bigint").alias("id"), cls.alias(label), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMENSIONS)])
 
 
 @query("m14_smote")
 def m14(s, d):
     df = vectors(s, d)
-    return prep.smote(df, "label", "id", [f"x{i}" for i in range(8)])
+    return prep.smote(df, "label", "id", [f"x{i}" for i in range(DIMENSIONS)])
 
 
 # --- evaluation ---------------------------------------------------------------------------

@@ -9,13 +9,13 @@ from fluxloom.functions.timing import micros
 from fluxloom.operators import classify, features, labels, monitor, scoring, survival
 from fluxloom.operators.prep import stratified_split
 from fluxloom.queries.feature_queries import K, flux, grid
-from fluxloom.queries.model_queries import vectors
+from fluxloom.queries.model_queries import DIMENSIONS, vectors
 from fluxloom.queries.registry import q, query, rounded
 from fluxloom.queries.views import oracle, table, view
 from fluxloom.session import durable, staging_path
 from fluxloom.streaming import live
 
-XS = [f"x{i}" for i in range(8)]
+XS = [f"x{i}" for i in range(DIMENSIONS)]
 # Boosting rounds of the registered queries; the library default is 100.
 GBT = {"trees": 20}
 

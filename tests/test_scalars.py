@@ -76,3 +76,15 @@ def test_load_status(spark):
     rows = [(run, n, s) for run, (states, _) in cases.items() for n, s in zip(names, states) if s]
     got = status.load_status(spark.createDataFrame(rows, "run_id string, source_name string, status string"))
     assert {r["run_id"]: r["overall_status"] for r in got.collect()} == {k: v[1] for k, v in cases.items()}
+
+
+def test_microseconds_ignore_the_session_zone(spark):
+    times = [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 7, 1, 12, 0, 0, 5), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), None]
+    want = [None if t is None else (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for t in times]
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert column(spark, times, "timestamp_ntz", timing.micros("x")) == want
+            assert column(spark, times, "timestamp_ntz", timing.from_micros(timing.micros("x"))) == times
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
