@@ -92,12 +92,12 @@ def _indexed(df: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
     return df.withColumn("_y", table[F.col(label).cast("string")])
 
 
-def fit_logistic(train: DataFrame, label: str, columns: Sequence[str], *, weight: str | None = None, max_iter: int = 2000) -> ClassModel:
+def fit_logistic(train: DataFrame, label: str, columns: Sequence[str], *, weight: str | None = None, max_iter: int = 2000, tolerance: float = 1e-5) -> ClassModel:
     """Multinomial logistic regression with an L2 penalty of 1/rows on raw columns."""
     classes = class_names(train, label)
     data = assemble(_indexed(train, label, classes), columns)
     lr = LogisticRegression(
-        featuresCol=VECTOR, labelCol="_y", family="multinomial", maxIter=max_iter, regParam=1.0 / max(train.count(), 1), standardization=False
+        featuresCol=VECTOR, labelCol="_y", family="multinomial", maxIter=max_iter, tol=tolerance, regParam=1.0 / max(train.count(), 1), standardization=False
     )
     if weight:
         lr = lr.setWeightCol(weight)
@@ -253,16 +253,19 @@ def train_classifiers(
 def permutation_importance(model: ClassModel, df: DataFrame, label: str, ident: str, *, seed: int = 42) -> DataFrame:
     """Accuracy lost when one column is shuffled, per column, descending.
 
-    The shuffled values come from the row that follows in a digest order, by an equi-join on
-    running numbers; nothing is collected.
+    Every row gets a donor row (the one of its number in a digest order, an equi-join). Each
+    column then makes one variant of every row with the donor's value, and all variants are
+    scored in one pass.
     """
-    right = lambda d: d.agg(F.avg((predicted_class(model) == F.col(label).cast("string")).cast("double")).alias("a")).first()["a"]
-    data = durable(df.select(ident, label, *model.columns))
-    base, rows = right(model.probabilities(data)), []
-    plain = running_index(data, [ident], name="_i")
-    for c in model.columns:
-        drawn = running_index(data.select(F.col(c).alias("_v"), draw(ident, seed).alias("_d"), ident), ["_d", ident], name="_i").select("_i", "_v")
-        shuffled = plain.join(drawn, "_i").withColumn(c, F.col("_v")).drop("_v", "_i")
-        rows.append((c, float(base - right(model.probabilities(shuffled)))))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
+    names = model.columns
+    data = df.select(ident, label, *[F.col(c).cast("double").alias(c) for c in names])
+    right = (predicted_class(model) == F.col(label).cast("string")).cast("double")
+    plain = durable(running_index(data, [ident], name="_i"))
+    drawn = running_index(data.withColumn("_d", draw(ident, seed)), ["_d", ident], name="_i").select("_i", F.array(*names).alias("_donor"))
+    variants = plain.join(drawn, "_i").select(ident, label, *names, F.posexplode("_donor").alias("_c", "_v"))
+    shuffled = variants.select(ident, label, "_c", *[F.when(F.col("_c") == i, F.col("_v")).otherwise(F.col(c)).alias(c) for i, c in enumerate(names)])
+    lost = model.probabilities(shuffled).groupBy("_c").agg(F.avg(right).alias("_a"))
+    base = model.probabilities(plain).agg(F.avg(right).alias("_base"))  # one row
+    table = F.array(*[F.lit(c) for c in names])
+    out = lost.join(F.broadcast(base), F.lit(True)).select(F.get(table, F.col("_c")).alias("feature"), (F.col("_base") - F.col("_a")).alias("importance"))
+    return out.orderBy(F.desc("importance"), "feature")

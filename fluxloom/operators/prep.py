@@ -29,9 +29,13 @@ def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def clean_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null, NaN and infinities become 0."""
-    bad = lambda c: F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    fixed = {c: F.when(F.col(c).isNull() | bad(F.col(c).cast("double")), 0.0).otherwise(F.col(c).cast("double")) for c in columns}
-    return df.withColumns(fixed)
+    wanted = set(columns)
+
+    def fixed(c: str) -> str:
+        v = f"double(`{c}`)"
+        return f"CASE WHEN {v} IS NULL OR isnan({v}) OR abs({v}) = double('inf') THEN 0e0 ELSE {v} END AS `{c}`"
+
+    return df.selectExpr(*[fixed(c) if c in wanted else f"`{c}`" for c in df.columns])
 
 
 def varying_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
