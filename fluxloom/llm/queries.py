@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import minhash, rlz
+from fluxloom.llm import minhash, packing, rlz, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,12 @@ def _query(fn):
     return fn
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,3 +63,17 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(sum(gone::in
 sha256(coalesce(string_agg(r.w, ' ' order by r.i) filter (where not gone), '')) as kept_sha256
 from w left join r using (doc_id) group by w.doc_id, w.w
 """
+
+
+@_query
+def op4_packing(spark, sf_dir):
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
+@_query
+def op7_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = toxicity.held_out()
+    model = toxicity.fit(docs, labels.where(~out))
+    scored = toxicity.score(docs.select("doc_id", "text", out.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

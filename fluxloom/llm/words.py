@@ -18,6 +18,13 @@ INVERSE = pow(BASE, -1, 1 << 64)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 SLICE_BYTES = 1 << 20
+
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+#: Everything but ASCII letters, digits and bytes of longer characters: for terms without their punctuation.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -61,11 +68,11 @@ class Words:
 
     __slots__ = ("data", "starts", "ends", "keys", "first")
 
-    def __init__(self, data: np.ndarray, text_ends: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, text_ends: np.ndarray, lower: bool, gaps: np.ndarray = SPACES):
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data = data
-        gap = (data == 32) | ((data >= 9) & (data <= 13))
+        gap = gaps[data]
         inside = np.zeros(len(data) + 2, dtype=np.int8)
         inside[1:-1] = ~gap
         starts_mask = (inside[1:-1] == 1) & (inside[:-2] == 0)
@@ -104,7 +111,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds[1:] - bounds[0]
 
 
-def sliced_words(column: pa.Array, lower: bool, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def sliced_words(column: pa.Array, lower: bool, slice_bytes: int = SLICE_BYTES, gaps: np.ndarray = SPACES) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, words) over slices of about ``slice_bytes``; a longer text is a slice of its own.
 
     Every text is read whole; slices only bound the memory of the arrays made from it.
@@ -114,7 +121,7 @@ def sliced_words(column: pa.Array, lower: bool, slice_bytes: int = SLICE_BYTES)
     while row < n:
         begin = int(ends[row - 1]) if row else 0
         stop = max(row + 1, int(np.searchsorted(ends, begin + slice_bytes, side="right")))
-        yield row, stop, Words(raw[begin : int(ends[stop - 1])], ends[row:stop] - begin, lower)
+        yield row, stop, Words(raw[begin : int(ends[stop - 1])], ends[row:stop] - begin, lower, gaps)
         row = stop
 
 
