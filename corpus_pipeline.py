@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import minhash, rlz
+from fluxloom.llm import minhash, packing, rlz, toxicity
+from fluxloom.llm.queries import vocabulary
 from fluxloom.session import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+TOXIC_AT = 0.3
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, learnt from the labels, scores at ``TOXIC_AT`` or more go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.withColumn("_all", F.struct(*docs.columns)).select("text", "_all"), model)
+    return scored.where(F.col("score") < TOXIC_AT).select("_all.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id. Rows without an id stay."""
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
@@ -26,9 +37,16 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.where(whole).withColumn("n_chars", length).select(*docs.columns)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the texts placed in training sequences of at most ``packing.LENGTH`` ids."""
+    return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json")))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic),
     ("near_duplicates", near_duplicates),
     ("substrings", substrings),
+    ("packing", packed),
 ]
 
 ORACLE_SQL = None

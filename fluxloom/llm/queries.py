@@ -17,7 +17,7 @@ def _query(fn):
     return fn
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -67,7 +67,7 @@ from w left join r using (doc_id) group by w.doc_id, w.w
 
 @_query
 def op4_packing(spark, sf_dir):
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 @_query

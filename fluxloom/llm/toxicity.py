@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its lower-cased terms and of the first five bytes of longer ones, hashed to ``2**BITS`` buckets. The model is
+A document is the set of its lower-cased terms and of the first four and five bytes of longer ones, hashed to ``2**BITS`` buckets. The model is
 ``bias + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)`` over the buckets present: the factor products give a
 weight to pairs of terms, such as an insult with a mention of a group, that additive weights alone cannot have.
 
@@ -22,23 +22,28 @@ from fluxloom.llm.words import PUNCTUATION, mix64, sliced_words, span_sums
 from fluxloom.session import durable
 
 BITS = 20
-PREFIX = 5
+PREFIXES = (4, 5)
 MAX_LABELLED = 20_000
 MAX_TERMS = 4096
 LEAST_Z = 4.0
 FACTORS = 8
-EPOCHS = 30
-RATE = 0.1
-L2 = 1e-4
+EPOCHS = 60
+RATE = 0.2
+FACTOR_RATE = 0.01
+L2 = 1e-6
 
 
 def term_buckets(words) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every term and prefix, not yet distinct."""
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    long = np.flatnonzero(words.ends - words.starts > PREFIX)
-    stem = mix64(span_sums(words.data.astype(np.uint64) + np.uint64(1), words.starts[long], words.starts[long] + PREFIX) + np.uint64(7))
-    key = np.concatenate([words.keys, stem])
-    return np.concatenate([text, text[long]]), (key >> np.uint64(64 - BITS)).astype(np.int64)
+    texts, keys = [text], [words.keys]
+    for size in PREFIXES:
+        long = np.flatnonzero(words.ends - words.starts > size)
+        stem = span_sums(words.data.astype(np.uint64) + np.uint64(1), words.starts[long], words.starts[long] + size)
+        texts.append(text[long])
+        keys.append(mix64(stem + np.uint64(size)))
+    key = np.concatenate(keys)
+    return np.concatenate(texts), (key >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _features(selected: np.ndarray | None):
@@ -112,7 +117,7 @@ def fit_machine(selected: np.ndarray, rows: list[np.ndarray], labels: np.ndarray
             gv[seen] += dv * dv
             gb += error.sum() ** 2
             model.weights[seen] -= RATE * dw / np.sqrt(gw[seen])
-            model.factors[seen] -= RATE * dv / np.sqrt(gv[seen])
+            model.factors[seen] -= FACTOR_RATE * dv / np.sqrt(gv[seen])
             model.bias -= RATE * error.sum() / gb**0.5
     return model
 
