@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,37 @@ def durable(df: DataFrame) -> DataFrame:
     path = staging_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Cuts:
+    """Lineage cuts of one operator; see ``scratch``."""
+
+    def __init__(self):
+        self._made: list[tuple[SparkSession, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``durable``, for as long as the ``scratch`` block runs."""
+        path = staging_path(df.sparkSession, "cut")
+        self._made.append((df.sparkSession, path))
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self._made:
+            drop_table(*self._made.pop())
+
+
+@contextmanager
+def scratch() -> Iterator[Cuts]:
+    """A block whose cuts are deleted at its end. What leaves the block must be ``durable`` or read no cut."""
+    cuts = Cuts()
+    try:
+        yield cuts
+    finally:
+        cuts.drop()
