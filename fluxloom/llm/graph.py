@@ -2,14 +2,14 @@
 
 Every vertex hooks to its smallest neighbour, chains are halved by joins, and the edges are rewritten between what is
 left. Stars vanish in one round, long chains in a logarithmic number. Nothing reaches the driver but the number
-of edges left; each round is cut by tables in the shared folder.
+of edges left; each round is cut by tables in the shared folder, of which only the result stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fluxloom.session import durable
+from fluxloom.session import durable, scratch
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,35 +17,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Self-loops, repeated edges and rows with a null end are ignored; an empty edge table gives an empty result.
     """
-    left = durable(
-        edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b")))
-        .distinct()
-    )
-    labels = None
-    while not left.isEmpty():
-        both = left.select(F.col("a").alias("v"), F.col("b").alias("n")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("n")))
-        hook = both.groupBy("v").agg(F.least("v", F.min("n")).alias("p"))
-        for _ in range(2):
-            hook = durable(hook)
-            up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            hook = hook.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
-        hook = durable(hook)
-        ends = [hook.select(F.col("v").alias(c), F.col("p").alias(f"_{c}")) for c in ("a", "b")]
-        left = durable(
-            left.join(ends[0], "a").join(ends[1], "b")
-            .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-            .where(F.col("a") < F.col("b"))
+    with scratch() as cuts:
+        left = cuts.cut(
+            edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+            .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b")))
             .distinct()
         )
-        if labels is None:
-            labels = hook.select(F.col("v").alias("vertex"), F.col("p").alias("component"))
-        else:
+        labels = left.select(F.col("a").alias("vertex")).union(left.select(F.col("b").alias("vertex"))).distinct().withColumn("component", F.col("vertex"))
+        while not left.isEmpty():
+            both = left.select(F.col("a").alias("v"), F.col("b").alias("n")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("n")))
+            hook = both.groupBy("v").agg(F.least("v", F.min("n")).alias("p"))
+            for _ in range(2):
+                hook = cuts.cut(hook)
+                up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
+                hook = hook.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
+            hook = cuts.cut(hook)
+            ends = [hook.select(F.col("v").alias(c), F.col("p").alias(f"_{c}")) for c in ("a", "b")]
+            left = cuts.cut(
+                left.join(ends[0], "a").join(ends[1], "b")
+                .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+                .where(F.col("a") < F.col("b"))
+                .distinct()
+            )
             moved = hook.select(F.col("v").alias("component"), "p")
-            labels = durable(labels.join(moved, "component", "left").select("vertex", F.coalesce("p", "component").alias("component")))
-    if labels is None:
-        return left.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-    return labels
+            labels = cuts.cut(labels.join(moved, "component", "left").select("vertex", F.coalesce("p", "component").alias("component")))
+        return durable(labels)
 
 
 class Forest:

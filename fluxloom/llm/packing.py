@@ -20,29 +20,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fluxloom.llm.words import Words, sliced_words
-from fluxloom.session import durable
+from fluxloom.session import durable, scratch
 
 LENGTH = 2048
 NEARLY_FULL = 0.98
 BINS_PER_GROUP = 20_000
 FAN_IN = 8
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 1_000_000
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of words; the first ``KNOWN_WORDS`` different words met are remembered."""
+    """Ids of words; the first ``KNOWN_WORDS`` different words met are remembered.
+
+    New words are encoded many in one text, with a digit between them: the tokenizer takes every digit for itself,
+    so its id ends a word. Words that hold that digit are encoded one by one.
+    """
+
+    MARK = "0"
+    TOGETHER = 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
+        self.mark = self._ids(self.MARK)
         self.ids = np.zeros(0, dtype=np.int32)
+        empty = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
+        self.levels = [empty, empty]  # a large sorted table and the words met since it was made: keys, place, number of ids
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -51,32 +58,63 @@ class WordEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _fresh(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new words, the number of ids of each, and where each word's ids begin."""
+        mark = self.MARK.encode()
+        single = len(self.mark) != 1
+        ids, size = [], np.zeros(len(texts), dtype=np.int64)
+        alone = [i for i, t in enumerate(texts) if single or mark in t]
+        together = [i for i, t in enumerate(texts) if not (single or mark in t)]
+        order = together + alone
+        for at in range(0, len(together), self.TOGETHER):
+            part = together[at : at + self.TOGETHER]
+            got = np.array(self._ids(b" 0 ".join(texts[i] for i in part).decode("utf-8") + " 0"), dtype=np.int32)
+            ends = np.flatnonzero(got == self.mark[0])
+            size[part] = np.diff(ends, prepend=-1) - 1
+            ids.append(got[got != self.mark[0]])
+        for i in alone:
+            got = np.array(self._ids(texts[i].decode("utf-8")), dtype=np.int32)
+            size[i] = len(got)
+            ids.append(got)
+        at = np.empty(len(texts), dtype=np.int64)
+        at[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), size, at
+
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and the number of ids of each word."""
-        unique, first, inverse = np.unique(words.keys, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, unique)
-        place[place == len(self.keys)] = 0
-        known = self.keys[place] == unique if len(self.keys) else np.zeros(len(unique), dtype=bool)
+        unique, inverse = np.unique(words.keys, return_inverse=True)
+        at, size, known = np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=bool)
+        for keys, places, sizes in self.levels:
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
+                hit = keys[place] == unique
+                at[hit], size[hit] = places[place[hit]], sizes[place[hit]]
+                known |= hit
         new = np.flatnonzero(~known)
-        texts = [words.text(i).decode("utf-8") for i in first[new]]
-        fresh = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
-        fresh_size = np.array([len(x) for x in fresh], dtype=np.int64)
-        fresh_ids = np.array([i for x in fresh for i in x], dtype=np.int32)
-        ids = np.concatenate([self.ids, fresh_ids])
-        at, size = np.empty(len(unique), dtype=np.int64), np.empty(len(unique), dtype=np.int64)
-        old = np.flatnonzero(known)
-        at[old], size[old] = self.at[place[old]], self.size[place[old]]
-        at[new], size[new] = len(self.ids) + np.cumsum(fresh_size) - fresh_size, fresh_size
-        if len(new) and len(self.keys) < KNOWN_WORDS:
-            keys = np.concatenate([self.keys, unique[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at[new]])[order], np.concatenate([self.size, size[new]])[order]
+        first = np.empty(len(unique), dtype=np.int64)
+        first[inverse] = np.arange(len(words))
+        fresh, size[new], fresh_at = self._fresh([words.text(i) for i in first[new]])
+        at[new] = len(self.ids) + fresh_at
+        ids = np.concatenate([self.ids, fresh])
+        if len(new) and sum(len(level[0]) for level in self.levels) < KNOWN_WORDS:
             self.ids = ids
+            self.levels[1] = self._merged(self.levels[1], (unique[new], at[new], size[new].astype(np.int32)))
+            if 4 * len(self.levels[1][0]) > len(self.levels[0][0]):
+                self.levels = [self._merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
         count = size[inverse]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         return ids[np.arange(total) + np.repeat(at[inverse] - (ends - count), count)], count
 
+    @staticmethod
+    def _merged(left: tuple, right: tuple) -> tuple:
+        keys = np.concatenate([left[0], right[0]])
+        order = np.argsort(keys, kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(left, right))
+
 
 def _pieces(path: str, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,27 +199,28 @@ def pack(cut: DataFrame, length: int = LENGTH, nearly_full: float = NEARLY_FULL,
 
     Every row is in exactly one sequence; a sequence's rows stand without gaps from offset 0 and sum up to at most ``length``.
     """
-    cut = durable(cut.withColumn("_row", F.monotonically_increasing_id()))
-    items = cut.select(F.col("_row").alias("row"), F.col("length").cast("long").alias("length"))
-    kinds = "bin long, offset long, length long, row long, done boolean"
-    full = items.where(F.col("length") >= length)
-    emitted = [full.select(F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), "row")]
-    left = items.where(F.col("length") < length).select(F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), "length", "row")
-    bins, groups = left.count(), None
-    while bins:
-        wanted = -(-bins // bins_per_group)
-        groups = wanted if groups is None else max(-(-groups // FAN_IN), wanted)
-        dealt = left.withColumn("_group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
-        packed = durable(dealt.groupBy("_group").applyInPandas(_round(length, int(nearly_full * length)), kinds))
-        under = packed.where(~F.col("done"))
-        now = under.select("bin").distinct().count()
-        if groups == 1 or now > 0.9 * bins:  # one group has seen everything, or nothing fits any more
-            emitted.append(packed.select("bin", "offset", "row"))
-            break
-        emitted.append(packed.where("done").select("bin", "offset", "row"))
-        left, bins = under.drop("done"), now
-    placed = emitted[0]
-    for part in emitted[1:]:
-        placed = placed.unionByName(part)
-    placed = placed.select(F.col("row").alias("_row"), F.col("bin").alias("sequence_id"), "offset")
-    return cut.drop("sequence_id", "offset").join(placed, "_row").drop("_row")
+    with scratch() as cuts:
+        cut = cuts.cut(cut.withColumn("_row", F.monotonically_increasing_id()))
+        items = cut.select(F.col("_row").alias("row"), F.col("length").cast("long").alias("length"))
+        kinds = "bin long, offset long, length long, row long, done boolean"
+        full = items.where(F.col("length") >= length)
+        emitted = [full.select(F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), "row")]
+        left = items.where(F.col("length") < length).select(F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), "length", "row")
+        bins, groups = left.count(), None
+        while bins:
+            wanted = -(-bins // bins_per_group)
+            groups = wanted if groups is None else max(-(-groups // FAN_IN), wanted)
+            dealt = left.withColumn("_group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+            packed = cuts.cut(dealt.groupBy("_group").applyInPandas(_round(length, int(nearly_full * length)), kinds))
+            under = packed.where(~F.col("done"))
+            now = under.select("bin").distinct().count()
+            if groups == 1 or now > 0.9 * bins:  # one group has seen everything, or nothing fits any more
+                emitted.append(packed.select("bin", "offset", "row"))
+                break
+            emitted.append(packed.where("done").select("bin", "offset", "row"))
+            left, bins = under.drop("done"), now
+        placed = emitted[0]
+        for part in emitted[1:]:
+            placed = placed.unionByName(part)
+        placed = placed.select(F.col("row").alias("_row"), F.col("bin").alias("sequence_id"), "offset")
+        return durable(cut.drop("sequence_id", "offset").join(placed, "_row").drop("_row"))
