@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluxloom.llm.graph import Forest, components
 from fluxloom.llm.words import mix64, signed, sliced_words, span_sums, window_keys
-from fluxloom.session import durable
+from fluxloom.session import durable, scratch
 
 BANDS, ROWS = 32, 5
 STEP = np.uint32(0x9E3779B1)  # spreads the shifts over the circle; any odd value does
 SECOND = (np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
-BLOCK = 128
+BLOCK = 512
 ROWS_PER_TASK = 2000
 
 
@@ -80,39 +80,45 @@ def _profile(n: int):
                     size.append(len(own))
                     k1.append(int(own.sum(dtype=np.uint64)))  # order-free keys of the whole set
                     k2.append(int(mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                bands = band_keys(sig)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
                         pa.array(size, pa.int64()),
                         pa.array(signed(np.array(k1, dtype=np.uint64))),
                         pa.array(signed(np.array(k2, dtype=np.uint64))),
-                        pa.array([r.tobytes() for r in sig], pa.binary()),
+                        pa.array([r.tobytes() for r in bands], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "k1", "k2", "sig"],
+                    ["doc_id", "n_shingles", "k1", "k2", "bands"],
                 )
 
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """(texts, bands) of 64 bits; the band's number is part of its key."""
+    own = mix64(span_sums(sig.reshape(-1).astype(np.uint64), np.arange(0, sig.size, ROWS), np.arange(ROWS, sig.size + 1, ROWS)))
+    return mix64(own.reshape(len(sig), BANDS) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(STEP))
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per (class, band)."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(len(ids), BANDS, ROWS)
-        bucket = mix64(span_sums(sig.reshape(-1).astype(np.uint64), np.arange(0, sig.size, ROWS), np.arange(ROWS, sig.size + 1, ROWS)))
-        bucket = mix64(bucket + np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), len(ids)) * STEP)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(bucket)), pa.array(np.repeat(ids, BANDS))], ["bucket", "rep"])
+        bucket = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(ids, BANDS))], ["bucket", "rep"])
 
 
 def _sets(n: int):
-    """Sorted distinct shingle keys of every text, as bytes."""
+    """Sorted distinct shingle keys of every text, and one byte of each signature coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in sliced_words(batch.column(1), lower=True):
                 keys, bounds = shingle_keys(words, n)
                 own = [np.unique(keys[bounds[i] : bounds[i + 1]]).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["rep", "set"])
+                sig = [r.tobytes() for r in (signatures(keys, bounds, BANDS * ROWS) & np.uint32(255)).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary()), pa.array(sig, pa.binary())], ["rep", "set", "sig"])
 
     return run
 
@@ -147,8 +153,8 @@ def _compare_blocks(percent: int):
         home, stray = rows[~rows.stray], rows[rows.stray]
         if home.empty or stray.empty:
             return []
-        sig_h = np.frombuffer(b"".join(home.sig), np.uint32).reshape(len(home), -1)
-        sig_s = np.frombuffer(b"".join(stray.sig), np.uint32).reshape(len(stray), -1)
+        sig_h = np.frombuffer(b"".join(home.sig), np.uint8).reshape(len(home), -1)
+        sig_s = np.frombuffer(b"".join(stray.sig), np.uint8).reshape(len(stray), -1)
         sets_h = [np.frombuffer(x, np.uint64) for x in home.set]
         sizes = np.array([len(x) for x in sets_h])
         ids_h, comp_h, is_stray = home.rep.to_numpy(), home.comp.to_numpy(), home.lost.to_numpy()
@@ -181,46 +187,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing, has no component and is kept. Repeated rows with one id get the same component; all of them say
     kept if the id is its component. Other columns of ``docs`` are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = durable(source.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
-    known = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = durable(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    member = profile.select("doc_id", "n_shingles", "k1", "k2").join(classes.drop("sig"), ["k1", "k2", "n_shingles"], "left")
-
-    banded = classes.select("rep", "sig").mapInArrow(_bands, "bucket long, rep long").distinct()
-    leaders = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = durable(banded.join(leaders, "bucket"))
-    star = durable(buckets.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    asked = star.select(F.col("a").alias("rep")).union(star.select(F.col("b").alias("rep"))).distinct()
-    texts = source.join(asked, source.doc_id == asked.rep, "left_semi").dropDuplicates(["doc_id"])
-    sets = durable(texts.mapInArrow(_sets(shingle), "rep long, set binary"))
-    pairs = (
-        star.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-        .select("a", "b", "x", "y")
-    )
-    links = durable(pairs.mapInArrow(_confirm(percent), "a long, b long"))
-    found = components(links)
-
-    # Buckets of three and more that the stars left in several components.
-    placed = buckets.where("n > 2").join(found.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    home = placed.groupBy("bucket").agg(F.min_by("comp", "rep").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    home = home.where("lo < hi").drop("lo", "hi")
-    rest = placed.join(home, "bucket").withColumn("lost", F.col("comp") != F.col("home"))
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum(F.col("lost").cast("int")) / BLOCK).alias("lost_blocks"))
-    rest = durable(rest.join(sizes, "bucket").select("bucket", "rep", "comp", "lost", "blocks", "lost_blocks"))
-    own = F.xxhash64("rep")
-    as_member = rest.withColumn("stray", F.lit(False)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lost_blocks").cast("int") - 1))).withColumn("j", F.pmod(own, "blocks").cast("int"))
-    as_stray = rest.where("lost").withColumn("stray", F.lit(True)).withColumn("i", F.pmod(own, "lost_blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    units = as_member.unionByName(as_stray).drop("blocks", "lost_blocks")
-    tasks = max(1, units.count() // ROWS_PER_TASK)
-    units = units.join(sets, "rep").join(classes.select("rep", "sig"), "rep").withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)))
-    more = units.groupBy("task").applyInPandas(_compare_blocks(percent), "a long, b long")
-    more = durable(more)
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    return (
-        member.join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    with scratch() as cuts:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        profile = cuts.cut(source.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, k1 long, k2 long, bands binary"))
+        known = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        classes = cuts.cut(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+        member = profile.select("doc_id", "n_shingles", "k1", "k2").join(classes.drop("bands"), ["k1", "k2", "n_shingles"], "left")
+
+        banded = classes.select("rep", "bands").mapInArrow(_banded, "bucket long, rep long").distinct()
+        leaders = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+        buckets = cuts.cut(banded.join(leaders, "bucket"))
+        star = cuts.cut(buckets.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+        asked = star.select(F.col("a").alias("rep")).union(star.select(F.col("b").alias("rep"))).distinct()
+        texts = source.join(asked, source.doc_id == asked.rep, "left_semi").dropDuplicates(["doc_id"])
+        sets = cuts.cut(texts.mapInArrow(_sets(shingle), "rep long, set binary, sig binary"))
+        pairs = (
+            star.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+            .select("a", "b", "x", "y")
+        )
+        links = cuts.cut(pairs.mapInArrow(_confirm(percent), "a long, b long"))
+        found = components(links)
+
+        # Buckets of three and more that the stars left in several components.
+        placed = buckets.where("n > 2").join(found.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        home = placed.groupBy("bucket").agg(F.min_by("comp", "rep").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        home = home.where("lo < hi").drop("lo", "hi")
+        rest = placed.join(home, "bucket").withColumn("lost", F.col("comp") != F.col("home"))
+        sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum(F.col("lost").cast("int")) / BLOCK).alias("lost_blocks"))
+        rest = cuts.cut(rest.join(sizes, "bucket").select("bucket", "rep", "comp", "lost", "blocks", "lost_blocks"))
+        own = F.xxhash64("rep")
+        as_member = rest.withColumn("stray", F.lit(False)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lost_blocks").cast("int") - 1))).withColumn("j", F.pmod(own, "blocks").cast("int"))
+        as_stray = rest.where("lost").withColumn("stray", F.lit(True)).withColumn("i", F.pmod(own, "lost_blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+        units = as_member.unionByName(as_stray).drop("blocks", "lost_blocks")
+        tasks = max(1, units.count() // ROWS_PER_TASK)
+        units = units.join(sets, "rep").withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)))
+        more = units.groupBy("task").applyInPandas(_compare_blocks(percent), "a long, b long")
+        more = cuts.cut(more)
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
+        out = (
+            member.join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        )
+        return durable(out)

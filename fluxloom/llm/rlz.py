@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fluxloom.llm.words import Words, mix64, signed, sliced_words, span_sums, window_keys
-from fluxloom.session import durable
+from fluxloom.session import durable, scratch
 
 WINDOW = 50
 GRAM = 10
@@ -184,31 +184,32 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``tk`` is Spark's xxhash64 of the text and tells apart rows that share an id. Factors of one document may overlap. Rows with a
     null id and texts under ``window`` words take no part; a passage repeated inside one document alone is no duplicate.
     """
-    source = _source(docs, id_col, text_col)
-    heads = source.where("doc_id is not null").mapInArrow(_heads(window), "doc_id long, tk long, n_words long, k1 long, k2 long, anchors array<long>")
-    heads = durable(heads.where(F.col("n_words") >= window))
-    firsts = heads.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("ref_doc"))
-    heads_ = heads.join(firsts, ["k1", "k2", "n_words"])
-    copies = heads_.where("ref_doc < doc_id").select("doc_id", "tk", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"), "ref_doc")
-
-    marks = durable(heads_.where("ref_doc = doc_id").select("doc_id", "tk", F.explode("anchors").alias("anchor")).distinct())
-    index = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    needed = marks.join(index, "anchor").groupBy("doc_id", "tk").agg(F.collect_list("anchor").alias("anchors"))
-    blocks = source.join(needed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors")
-    blocks = durable(blocks.mapInArrow(_blocks(window), "doc_id long, tk long, anchor long, start long, n long, run_key long, windows binary"))
-
-    known = durable(blocks.groupBy("anchor", "run_key").agg(F.min("doc_id").alias("ref_doc")))
-    placed = blocks.drop("windows").join(known, ["anchor", "run_key"])
-    whole = placed.where("ref_doc < doc_id").select("doc_id", "tk", "start", (F.col("n") + window - 1).alias("length"), "ref_doc")
-
-    ragged = known.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    ragged = known.join(ragged, "anchor").select("anchor", "run_key", F.col("ref_doc").alias("doc_id"), F.ceil(F.col("kinds") / SPLIT_AT).alias("parts"))
-    dealt = blocks.join(ragged, ["anchor", "run_key", "doc_id"]).select("doc_id", "tk", "anchor", "start", "parts", "windows")
-    tasks = max(1, ragged.count() // BLOCKS_PER_TASK)
-    dealt = dealt.mapInArrow(_deal, "doc_id long, tk long, anchor long, start long, salt long, at binary, windows binary")
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("anchor", "salt"), F.lit(tasks)))
-    parsed = dealt.groupBy("task").applyInPandas(_factor(window), "doc_id long, tk long, start long, length long, ref_doc long")
-    return copies.unionByName(whole).unionByName(parsed)
+    with scratch() as cuts:
+        source = _source(docs, id_col, text_col)
+        heads = source.where("doc_id is not null").mapInArrow(_heads(window), "doc_id long, tk long, n_words long, k1 long, k2 long, anchors array<long>")
+        heads = cuts.cut(heads.where(F.col("n_words") >= window))
+        firsts = heads.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("ref_doc"))
+        heads_ = heads.join(firsts, ["k1", "k2", "n_words"])
+        copies = heads_.where("ref_doc < doc_id").select("doc_id", "tk", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"), "ref_doc")
+
+        marks = cuts.cut(heads_.where("ref_doc = doc_id").select("doc_id", "tk", F.explode("anchors").alias("anchor")).distinct())
+        index = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+        needed = marks.join(index, "anchor").groupBy("doc_id", "tk").agg(F.collect_list("anchor").alias("anchors"))
+        blocks = source.join(needed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors")
+        blocks = cuts.cut(blocks.mapInArrow(_blocks(window), "doc_id long, tk long, anchor long, start long, n long, run_key long, windows binary"))
+
+        known = cuts.cut(blocks.groupBy("anchor", "run_key").agg(F.min("doc_id").alias("ref_doc")))
+        placed = blocks.drop("windows").join(known, ["anchor", "run_key"])
+        whole = placed.where("ref_doc < doc_id").select("doc_id", "tk", "start", (F.col("n") + window - 1).alias("length"), "ref_doc")
+
+        ragged = known.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        ragged = known.join(ragged, "anchor").select("anchor", "run_key", F.col("ref_doc").alias("doc_id"), F.ceil(F.col("kinds") / SPLIT_AT).alias("parts"))
+        dealt = blocks.join(ragged, ["anchor", "run_key", "doc_id"]).select("doc_id", "tk", "anchor", "start", "parts", "windows")
+        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ragged.count() // BLOCKS_PER_TASK)
+        dealt = dealt.mapInArrow(_deal, "doc_id long, tk long, anchor long, start long, salt long, at binary, windows binary")
+        dealt = dealt.withColumn("task", F.pmod(F.xxhash64("anchor", "salt"), F.lit(tasks)))
+        parsed = dealt.groupBy("task").applyInPandas(_factor(window), "doc_id long, tk long, start long, length long, ref_doc long")
+        return durable(copies.unionByName(whole).unionByName(parsed))
 
 
 def kept_bytes(words: Words, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +269,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty. A row with a null id keeps all its words. The digest is over the kept words joined by one space.
     """
-    spans = durable(duplicate_spans(docs, id_col, text_col, window))
+    spans = duplicate_spans(docs, id_col, text_col, window)
     rows = _with_spans(docs, _source(docs, id_col, text_col), spans).select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -278,7 +279,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts that lose nothing stay as they are, byte for byte; null texts become empty. Other columns are carried along.
     """
-    spans = durable(duplicate_spans(docs, id_col, text_col, window))
+    spans = duplicate_spans(docs, id_col, text_col, window)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     carried = F.struct(*[F.col(c) for c in others]).alias("_others") if others else F.lit(None).cast("struct<_none:int>").alias("_others")
