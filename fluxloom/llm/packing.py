@@ -26,7 +26,7 @@ LENGTH = 2048
 NEARLY_FULL = 0.98
 BINS_PER_GROUP = 20_000
 FAN_IN = 8
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import minhash, packing, rlz, toxicity
+from fluxloom.llm import ann, html_text, licenses, minhash, packing, rlz, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,18 @@ def op7_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, labels.where(~out))
     scored = toxicity.score(docs.select("doc_id", "text", out.alias("held_out")), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op1_ads(spark, sf_dir):
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op6_html(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_licenses(spark, sf_dir):
+    return licenses.license_spans(_table(spark, sf_dir, "documents"))

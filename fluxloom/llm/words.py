@@ -17,7 +17,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
