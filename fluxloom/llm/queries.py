@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import ann, html_text, licenses, minhash, packing, rlz, toxicity
+from fluxloom.llm import ann, hnsw, html_text, licenses, minhash, packing, rlz, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,25 @@ def op6_html(spark, sf_dir):
 @_query
 def op10_licenses(spark, sf_dir):
     return licenses.license_spans(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_hnsw(spark, sf_dir):
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op3_hnsw"] = """
+with v as (select vec_id, label, embedding::double[] as e from embeddings),
+l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id < y.vec_id
+  where list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.93),
+b as (select a, b from l union all select b, a from l),
+r as (with recursive r(v, m) as (select vec_id, vec_id from v union select b.b, r.m from r join b on r.v = b.a) select v, min(m) as m from r group by v)
+select vec_id, (select count(*) from b where b.a = v.vec_id) as n_links, m as component_id, vec_id = m as kept from v join r on r.v = vec_id
+"""
+
+ORACLES["op1_ads"] = """
+with v as (select vec_id, embedding::double[] as e from embeddings),
+d as (select q.vec_id as query_id, v.vec_id, list_distance(q.e, v.e) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from d)
+select * from r where rank <= 10
+"""
