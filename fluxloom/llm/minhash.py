@@ -29,6 +29,7 @@ STEP = np.uint32(0x9E3779B1)  # spreads the shifts over the circle; any odd valu
 SECOND = (np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 BLOCK = 512
 ROWS_PER_TASK = 2000
+BROADCAST_IDS = 1_000_000  # ids of texts to fetch: up to so many (some 20 MB) go to every executor, more are shuffled
 
 
 def _second(x: np.ndarray) -> np.ndarray:
@@ -198,8 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         leaders = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
         buckets = cuts.cut(banded.join(leaders, "bucket"))
         star = cuts.cut(buckets.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-        asked = star.select(F.col("a").alias("rep")).union(star.select(F.col("b").alias("rep"))).distinct()
-        texts = source.join(asked, source.doc_id == asked.rep, "left_semi").dropDuplicates(["doc_id"])
+        asked = cuts.cut(star.select(F.col("a").alias("rep")).union(star.select(F.col("b").alias("rep"))).distinct())
+        few = asked.count() <= BROADCAST_IDS
+        texts = source.join(F.broadcast(asked) if few else asked, source.doc_id == asked.rep, "left_semi").dropDuplicates(["doc_id"])
         sets = cuts.cut(texts.mapInArrow(_sets(shingle), "rep long, set binary, sig binary"))
         pairs = (
             star.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
