@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import ann, hnsw, html_text, licenses, minhash, packing, rlz, toxicity
+from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, minhash, packing, rlz, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ d as (select q.vec_id as query_id, v.vec_id, list_distance(q.e, v.e) as score fr
 r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from d)
 select * from r where rank <= 10
 """
+
+
+@_query
+def op5_attention(spark, sf_dir):
+    return attention_lm.score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 != 1, vocabulary("word_bpe_49k.json"))
