@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, minhash, packing, rlz, toxicity
+from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, minhash, packing, pieces, rlz, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,11 @@ select * from r where rank <= 10
 @_query
 def op5_attention(spark, sf_dir):
     return attention_lm.score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 != 1, vocabulary("word_bpe_49k.json"))
+
+
+@_query
+def op9_pieces(spark, sf_dir):
+    path = vocabulary("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), path), path)
+    same = F.coalesce(F.col("decoded"), F.lit("")) == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
