@@ -26,6 +26,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id. Rows without an id stay."""
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    if gone.count() <= minhash.BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
 
 

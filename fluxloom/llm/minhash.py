@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = components(links.unionByName(more))
         out = (
             member.join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
         )
         return durable(out)

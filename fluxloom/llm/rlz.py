@@ -33,6 +33,7 @@ GRAM = 10
 LONGEST_BLOCK = 256
 SPLIT_AT = 2000
 BLOCKS_PER_TASK = 4000
+BROADCAST_IDS = 1_000_000  # ids of texts to fetch: up to so many (some 30 MB) go to every executor, more are shuffled
 _SECOND = 0xD6E8FEB86659FD93
 
 
@@ -195,6 +196,9 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         marks = cuts.cut(heads_.where("ref_doc = doc_id").select("doc_id", "tk", F.explode("anchors").alias("anchor")).distinct())
         index = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
         needed = marks.join(index, "anchor").groupBy("doc_id", "tk").agg(F.collect_list("anchor").alias("anchors"))
+        needed = cuts.cut(needed)
+        if needed.count() <= BROADCAST_IDS:  # only texts that are parsed are shuffled
+            source = source.join(F.broadcast(needed.select("doc_id", "tk")), ["doc_id", "tk"], "left_semi")
         blocks = source.join(needed, ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors")
         blocks = cuts.cut(blocks.mapInArrow(_blocks(window), "doc_id long, tk long, anchor long, start long, n long, run_key long, windows binary"))
 
@@ -259,9 +263,17 @@ def _cut(with_text: bool):
     return run
 
 
-def _with_spans(docs: DataFrame, source: DataFrame, spans: DataFrame) -> DataFrame:
-    lists = spans.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    return source.join(lists, ["doc_id", "tk"], "left")
+def _with_spans(source: DataFrame, spans: DataFrame) -> DataFrame:
+    """``source`` with the list of its spans. While the ids are few, texts that lose nothing are not shuffled."""
+    keys = ["doc_id", "tk"]
+    lists = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    ids = spans.select(*keys).distinct()
+    if ids.count() > BROADCAST_IDS:
+        return source.join(lists, keys, "left")
+    ids = F.broadcast(ids)
+    cut = source.join(ids, keys, "left_semi").join(lists, keys)
+    whole = source.join(ids, keys, "left_anti").withColumn("spans", F.lit(None).cast(lists.schema["spans"].dataType))
+    return cut.unionByName(whole)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -270,7 +282,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty. A row with a null id keeps all its words. The digest is over the kept words joined by one space.
     """
     spans = duplicate_spans(docs, id_col, text_col, window)
-    rows = _with_spans(docs, _source(docs, id_col, text_col), spans).select("doc_id", "text", "spans")
+    rows = _with_spans(_source(docs, id_col, text_col), spans).select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -284,7 +296,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     carried = F.struct(*[F.col(c) for c in others]).alias("_others") if others else F.lit(None).cast("struct<_none:int>").alias("_others")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"), carried)
-    rows = _with_spans(docs, source, spans).select("doc_id", "text", "spans", "_others")
+    rows = _with_spans(source, spans).select("doc_id", "text", "spans", "_others")
     kind = source.schema["_others"].dataType.simpleString()
     out = rows.mapInArrow(_cut(True), f"doc_id long, n_words long, n_removed long, kept_sha256 string, text string, _others {kind}")
     taken = {"n_words", "n_removed", "kept_sha256"} & set(others)
