@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fluxloom.session import durable, scratch
 
 SPACE = "▁"
 LONGEST = 60
 BUCKET_CHARS = 8_000_000
+UNITS_PER_TASK = 40_000
+ID_BITS = 22
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -44,45 +46,55 @@ class Pieces:
         self.rows = [(self.texts[i], i, -float(model.get_score(i))) for i in plain]
         self.width = max(len(t) for t, _, _ in self.rows)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, rank double")
-
 
 def units_of(text: str) -> list[str]:
     """A dummy space opens every text that is not empty, as in the library."""
     return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) of units up to ``LONGEST`` characters."""
+def _lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+    """(unit, ids) of units up to ``LONGEST`` characters.
+
+    Units are dealt out once, by ``unit``; their substrings are exploded, joined and grouped where they lie. An edge is one number: the order in
+    which its piece joins, where it starts, its size, and the piece's id plus 1 (0: a character without a piece).
+    """
     n = F.char_length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    order = {r: k for k, r in enumerate(sorted({r for _, _, r in pieces.rows}))}
+    if max(len(order), max(i for _, i, _ in pieces.rows) + 2) >= 1 << ID_BITS:
+        raise ValueError("the model has too many pieces")
+    table = units.sparkSession.createDataFrame([(t, (order[r] << ID_BITS + 12) + i + 1) for t, i, r in pieces.rows], "piece string, code long")
+    starts = units.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     spans = starts.select("unit", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.width), n - F.col("i")))).alias("size"))
     spans = spans.select("unit", "i", "size", F.substring("unit", F.col("i") + 1, F.col("size")).alias("piece"))
-    edges = spans.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
-    code = F.hex(F.encode("piece", "UTF-8"))
-    each = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + pieces.byte0)
-    low, high = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i")), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i") + F.col("size"))
-    edge = F.struct(
-        F.coalesce("rank", F.lit(1e300)).alias("rank"), "i", (low + high).alias("ends"), (high - low).alias("inside"), F.when(F.col("id").isNull(), each).otherwise(F.array("id")).alias("ids")
-    )
-    grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    edges = spans.join(F.broadcast(table), "piece", "left").where(F.col("code").isNotNull() | (F.col("size") == 1))
+    last = F.lit(len(order) << ID_BITS + 12)
+    code = F.coalesce("code", last) + F.call_function("shiftleft", (F.col("i") * 64 + F.col("size")).cast("long"), F.lit(ID_BITS))
+    grouped = edges.groupBy("unit").agg(F.collect_list(code).alias("codes"))
+
+    def edge(c: Column) -> Column:
+        i, size = F.shiftright(c, ID_BITS + 6).bitwiseAND(63).cast("int"), F.shiftright(c, ID_BITS).bitwiseAND(63).cast("int")
+        low, high = F.call_function("shiftleft", F.lit(1).cast("long"), i), F.call_function("shiftleft", F.lit(1).cast("long"), i + size)
+        return F.struct(c.alias("code"), i.alias("i"), (low + high).alias("ends"), (high - low).alias("inside"))
 
     def present(cuts: Column, pieces_inside: int):
         return lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inside"])) == pieces_inside)
 
     def join(cuts: Column, _: Column) -> Column:
-        best = F.array_min(F.filter(joins, present(cuts, 2)))
+        best = F.array_min(F.filter("joins", present(cuts, 2)))
         start = best["inside"].bitwiseAND(-best["inside"])
         return F.coalesce(cuts - cuts.bitwiseAND(best["inside"]) + start, cuts)
 
-    joins = F.filter("edges", lambda e: F.bit_count(e["inside"]) > 1)
-    grouped = grouped.withColumn("joins", joins)
-    joins = F.col("joins")
+    def ids(e: Column) -> Column:
+        code = F.hex(F.encode(F.substring("unit", e["i"] + 1, F.lit(1)), "UTF-8"))
+        each = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + pieces.byte0)
+        own = e["code"].bitwiseAND((1 << ID_BITS) - 1).cast("int")
+        return F.when(own == 0, each).otherwise(F.array(own - 1))
+
+    grouped = grouped.withColumn("edges", F.transform("codes", edge)).withColumn("joins", F.filter("edges", lambda e: F.bit_count(e["inside"]) > 1))
     every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
     grouped = grouped.withColumn("cuts", F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, join))
-    path = F.array_sort(F.transform(F.filter("edges", present(F.col("cuts"), 1)), lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids"))))
-    return grouped.select("unit", F.flatten(F.transform(path, lambda e: e["ids"])).alias("ids"))
+    path = F.array_sort(F.transform(F.filter("edges", present(F.col("cuts"), 1)), lambda e: F.struct(e["i"].alias("i"), e["code"].alias("code"))))
+    return grouped.select("unit", F.flatten(F.transform(path, ids)).alias("ids"))
 
 
 def join_pairs(unit: str, ranks: dict[str, float], ids: dict[str, int], byte0: int) -> list[int]:
@@ -129,7 +141,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(total) // BUCKET_CHARS + 1)).cast("int"))
         asked = cuts.cut(dealt.groupBy("bucket").applyInPandas(distinct_units, "bucket int, unit string"))
         units = cuts.cut(asked.select("unit").distinct())
-        short = _lattice(units.where(F.char_length("unit") <= LONGEST), pieces)
+        short = _lattice(units.where(F.char_length("unit") <= LONGEST), pieces, units.count() // UNITS_PER_TASK + 1)
         long = units.where(F.char_length("unit") > LONGEST).mapInArrow(_long_units(pieces.rows, pieces.byte0), "unit string, ids array<int>")
         known = cuts.cut(asked.join(short.unionByName(long), "unit"))
         return durable(dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(assemble, "doc_id long, text string, ids array<int>"))
