@@ -66,6 +66,8 @@ class ClassModel:
     def save(self, path: str, spark: SparkSession) -> None:
         meta = [(self.kind, self.classes, self.columns, len(self.parts))]
         spark.createDataFrame(meta, "kind string, classes array<string>, columns array<string>, parts int").write.mode("overwrite").parquet(f"{path}/meta")
+        maps = [(i, isinstance(a, float), [a] if isinstance(a, float) else a, [b] if isinstance(b, float) else b) for i, (a, b) in enumerate(self.calibration or [])]
+        spark.createDataFrame(maps, "class_no int, sigmoid boolean, a array<double>, b array<double>").write.mode("overwrite").parquet(f"{path}/calibration")
         for i, m in enumerate(self.parts):
             m.write().overwrite().save(f"{path}/part{i}")
 
@@ -73,7 +75,8 @@ class ClassModel:
     def load(path: str, spark: SparkSession) -> ClassModel:
         row = spark.read.parquet(f"{path}/meta").first()
         reader = LogisticRegressionModel if row["kind"] == "logistic" else GBTClassificationModel
-        return ClassModel(row["kind"], list(row["classes"]), list(row["columns"]), [reader.load(f"{path}/part{i}") for i in range(row["parts"])])
+        maps = [(r["a"][0], r["b"][0]) if r["sigmoid"] else (list(r["a"]), list(r["b"])) for r in spark.read.parquet(f"{path}/calibration").orderBy("class_no").collect()]
+        return ClassModel(row["kind"], list(row["classes"]), list(row["columns"]), [reader.load(f"{path}/part{i}") for i in range(row["parts"])], maps or None)
 
 
 def _normalised(values: Column) -> Column:

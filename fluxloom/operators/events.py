@@ -208,7 +208,7 @@ def local_peaks(flux: DataFrame, *, keys: Sequence[str] = (), min_class: str = "
     """
     keys = list(keys)
     floor = CLASS_FLOORS[min_class]
-    clean = flux.where(F.col(column).isNotNull()).select(*keys, TS, F.col(column).alias("v"))
+    clean = flux.where(F.col(column).isNotNull() & ~F.isnan(column)).select(*keys, TS, F.col(column).alias("v"))
     rows = running_index(clean, [TS], keys).select(*keys, "idx", micros(TS).alias("us"), "v")
     sizes = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("series_rows"))
     rows = durable(rows.join(sizes, keys) if keys else rows.join(F.broadcast(sizes), F.lit(True)))
@@ -249,7 +249,7 @@ def event_edges(flux: DataFrame, peaks: DataFrame, *, keys: Sequence[str] = (),
     aggregations over numbers instead of times.
     """
     keys = list(keys)
-    clean = flux.where(F.col(column).isNotNull()).select(*keys, TS, F.col(column).alias("v"))
+    clean = flux.where(F.col(column).isNotNull() & ~F.isnan(column)).select(*keys, TS, F.col(column).alias("v"))
     rows = running_index(clean, [TS], keys).select(*keys, "idx", micros(TS).alias("at"), "v")
     sizes = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("series_rows"))
     sized = peaks.join(sizes, keys) if keys else peaks.join(F.broadcast(sizes), F.lit(True))

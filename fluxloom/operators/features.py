@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fluxloom.functions.missing import nan_as_null
 from fluxloom.functions.classes import FILTER_RANK, rank_of
 from fluxloom.functions.magnetic import magnetic_flags, magnetic_score, sunspot_codes, sunspot_letters, sunspot_score
 from fluxloom.functions.timing import HOUR_US, from_micros, hours_to_us, micros
@@ -70,9 +71,9 @@ def named(expression: str, name: str) -> Column:
 
 
 def moment_parts(column: str) -> list[Part]:
-    v = f"cast({column} as double)"
+    v = f"nanvl(cast({column} as double), cast(null as double))"  # NaN counts as missing
     return [
-        Part(f"{column}_n", f"cast({column} is not null as bigint)", "sum"),
+        Part(f"{column}_n", f"cast({v} is not null as bigint)", "sum"),
         Part(f"{column}_s", v, "sum"),
         Part(f"{column}_q", f"{v} * {v}", "sum"),
         Part(f"{column}_lo", v, "min"),
@@ -173,6 +174,7 @@ def index_trend(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (), h
     The slope does not change when the index is shifted, so one running number per series
     serves every window; consecutive numbers make the index spread n(n^2-1)/12.
     """
+    flux = nan_as_null(flux)
     bands = ("short", "long")
     marks = {f"_i_{b}": F.col(f"flux_{b}").isNotNull().cast("bigint") for b in bands}
     numbered = running_sums(flux.select(*keys, TS, "flux_short", "flux_long"), [TS], marks, keys)
@@ -217,6 +219,7 @@ def _span_hours(label: str) -> str:
 
 def rate_of_change(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (), hours: int = 12, ts: str = TS) -> DataFrame:
     """Change per hour: last minus first non-null value over the time span of all rows."""
+    flux = nan_as_null(flux)
     bands, label = ("short", "long"), "w"
     finals = []
     for b in bands:
@@ -231,6 +234,7 @@ def acceleration(grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (),
     The row that opens the later half is found by its running number: rows of a window are
     consecutive, so it is the first number plus n // 2, an equi-join away.
     """
+    flux = nan_as_null(flux)
     bands, back = ("short", "long"), hours_to_us(hours)
     indexed = running_index(flux.select(*keys, TS, "flux_short", "flux_long"), [TS], keys, name="_i")
     sizes = trailing(
@@ -335,6 +339,7 @@ def flux_covariates(
     grid: DataFrame, flux: DataFrame, *, keys: Sequence[str] = (), lookbacks: Sequence[int] = LOOKBACKS, ts: str = TS
 ) -> DataFrame:
     """Mean, max and slope against hours of both bands per lookback; empty gives 0."""
+    flux = nan_as_null(flux)
     spec = [(f"{w}h", hours_to_us(w), 0) for w in lookbacks]
     parts, finals = [], []
     off = "((origin - _t) / 3.6e9)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ class CoxModel:
     baseline: list[tuple]
     steps: int = 0
     log_likelihood: float = 0.0
+    converged: bool = True
 
     def _require(self, df: DataFrame) -> None:
         missing = [c for c in self.columns if c not in df.columns]
@@ -158,9 +160,10 @@ def fit_cox(
         # coefficients come as a one-row table, so every step runs the same compiled plan
         current = F.broadcast(spark.createDataFrame([tuple(float(b) for b in beta)], shape))
         score = sum((c * F.col(f"b{i}") for i, c in enumerate(x)), F.lit(0.0))
-        weight = F.exp(F.greatest(F.least(score, F.lit(60.0)), F.lit(-60.0)))
         moments = [F.lit(1.0), *x, *[x[i] * x[j] for i, j in pairs]]
-        weighted = rows.join(current, F.lit(True)).withColumn("_w", weight).withColumn("_score", score)
+        scored = rows.join(current, F.lit(True)).withColumn("_score", score)
+        top = float(scored.agg(F.max("_score")).first()[0])  # taken off every score: it cancels, and no exponential overflows
+        weighted = scored.withColumn("_score", F.col("_score") - top).withColumn("_w", F.exp("_score"))
         died = F.col("e") == 1
         per_d = weighted.groupBy("_chunk", "d").agg(
             F.sum(F.col("e").cast("double")).alias("m"),
@@ -182,8 +185,8 @@ def fit_cox(
 
     beta = np.zeros(p)
     ll, grad, hess = terms(beta)
-    steps = 0
-    while steps < max_steps:
+    steps, converged = 0, False
+    while steps < max_steps and not converged:
         steps += 1
         bump = 0.0
         while True:
@@ -196,14 +199,18 @@ def fit_cox(
         while True:
             trial = beta + size * move
             new = terms(trial)
-            if new[0] >= ll - 1e-9 or size < 1e-3:
+            if np.isfinite(new[0]) and new[0] >= ll - 1e-9 * max(1.0, abs(ll)):
                 break
             size /= 2
+            if np.abs(size * move).max() < tolerance:  # no step along this direction gains: the old coefficients stay
+                trial, new = beta, (ll, grad, hess)
+                break
+        converged = bool(np.abs(trial - beta).max() < tolerance)
         beta, (ll, grad, hess) = trial, new
-        if np.abs(size * move).max() < tolerance:
-            break
+    if not converged:
+        warnings.warn(f"no convergence in {max_steps} steps", stacklevel=2)
     own = (beta / np.array(stds)).tolist()
-    model = CoxModel(names, means, own, [], steps, float(ll))
+    model = CoxModel(names, means, own, [], steps, float(ll), converged)
     model.baseline = _hourly_baseline(rows, beta)
     return model
 

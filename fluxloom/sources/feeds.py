@@ -18,7 +18,7 @@ def read_xray_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numeric(c: str) -> Column:
-    return F.col(c).try_cast("double")
+    return F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def widen_bands(df: DataFrame, layout: str = "long") -> DataFrame:

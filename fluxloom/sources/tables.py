@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fluxloom.session import staging_path
+from fluxloom.functions.missing import nan_as_null
+from fluxloom.session import drop_table, staging_path
 from fluxloom.sources.feeds import whole_number
 
 
@@ -50,8 +51,8 @@ def upsert_stats(target: DataFrame, updates: DataFrame, *, keys: Sequence[str])
 
 
 def coerce_flux(df: DataFrame) -> DataFrame:
-    """Flux rows as stored: quality flag from the long band, satellite defaulted."""
-    return df.withColumn("data_quality", F.when(F.col("flux_long").isNotNull(), "good").otherwise("missing")).withColumn(
+    """Flux rows as stored: NaN becomes null, quality flag from the long band, satellite defaulted."""
+    return nan_as_null(df).withColumn("data_quality", F.when(F.col("flux_long").isNotNull(), "good").otherwise("missing")).withColumn(
         "satellite", F.coalesce("satellite", F.lit("unknown"))
     )
 
@@ -71,7 +72,8 @@ def write_upsert(
     """Upsert into a Parquet dataset partitioned by day (``dt``).
 
     Only the days present in the updates are read and rewritten: the pruning filter comes
-    from the updates themselves. The result is staged first, so no path is overwritten
+    from the updates themselves. Where ``keys`` lack ``ts``, a key's time may move to another day; then the
+    days that hold the updated keys are found by a scan of the key columns and are rewritten too. The result is staged first, so no path is overwritten
     while it is being read. ``drop`` names columns that only order the updates.
     """
     fresh = updates.withColumn("dt", F.to_date(F.col(ts)))
@@ -83,9 +85,14 @@ def write_upsert(
             raise
         current = spark.createDataFrame([], fresh.select(*columns).schema)
     days = fresh.select("dt").distinct()
-    merged = upsert(current.join(days, "dt", "left_semi").select(*columns), fresh, keys=[*keys, "dt"], order=order)
+    fixed = ts in keys
+    if not fixed:
+        days = days.union(current.join(fresh.select(*keys), list(keys), "left_semi").select("dt")).distinct()
+    merged = upsert(current.join(days, "dt", "left_semi").select(*columns), fresh, keys=[*keys, "dt"] if fixed else keys, order=order)
     staged = staging_path(spark, "upsert")
     merged.write.parquet(staged)
+    # days that all rows have left, one row a day; null days never lose rows that way unless their key gains a time
+    left_empty = [] if fixed else [r["day"] for r in days.join(spark.read.parquet(staged), "dt", "left_anti").where("dt is not null").select(F.col("dt").cast("string").alias("day")).collect()]
     (
         spark.read.parquet(staged)
         .hint("rebalance", "dt")  # adaptive: small days share a task, a hot day is split
@@ -95,6 +102,8 @@ def write_upsert(
         .partitionBy("dt")
         .parquet(path)
     )
+    for day in left_empty:
+        drop_table(spark, f"{path}/dt={day}")
 
 
 def snapshot(df: DataFrame, path: str) -> None:

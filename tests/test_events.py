@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxloom.operators import events, metrics, monitor, prep, survival
+from fluxloom.operators import classify, events, metrics, monitor, prep, survival
 from fluxloom.plans.chains import spaced_anchors
 from fluxloom.session import staging_path
 from fluxloom.sources import tables
@@ -138,6 +138,39 @@ def test_upsert_is_idempotent(spark):
     assert tuple(stats) == (3, 1, 1)
 
 
+def test_upsert_moves_a_key_to_another_day(spark):
+    schema = "external_id string, timestamp timestamp_ntz, v double, seq int"
+    path = staging_path(spark, "t")
+    late, early = dt.datetime(2024, 1, 1, 23, 58), dt.datetime(2024, 1, 2, 0, 3)
+    first = spark.createDataFrame([("a", late, 1.0, 0), ("b", early, 2.0, 0)], schema)
+    second = spark.createDataFrame([("a", early, 3.0, 1)], schema)
+    for load in (first, second, second):
+        tables.write_upsert(spark, path, load, keys=["external_id"], order=["seq"], drop=["seq"])
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("external_id", "timestamp", "v").collect())
+    assert got == [("a", early, 3.0), ("b", early, 2.0)]
+
+
+def test_nan_flux_is_missing(spark):
+    rows = spark.createDataFrame([(1e-7, float("nan"), None), (float("nan"), 2e-6, "G16")], "flux_short double, flux_long double, satellite string")
+    got = [tuple(r) for r in tables.coerce_flux(rows).select("flux_short", "flux_long", "data_quality", "satellite").collect()]
+    assert got == [(1e-7, None, "missing", "unknown"), (None, 2e-6, "good", "G16")]
+
+
+def test_saved_calibration_comes_back(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=240)
+    df = spark.createDataFrame([(i, float(v), "abc"[int(v + rng.normal() > 0) + int(v > 1)]) for i, v in enumerate(x)], "id int, x double, label string")
+    fit = classify.fitter("logistic")
+    model = fit(df, "label", ["x"])
+    for method in ("isotonic", "sigmoid"):
+        better = classify.calibrate(model, df, "label", "id", fit, method=method)
+        path = staging_path(spark, "model")
+        better.save(path, spark)
+        back = classify.ClassModel.load(path, spark)
+        want, got = ([r["_p"] for r in m.probabilities(df).orderBy("id").collect()] for m in (better, back))
+        assert got == want and got != [r["_p"] for r in model.probabilities(df).orderBy("id").collect()]
+
+
 def test_concordance(spark):
     rng = random.Random(4)
     rows = [(float(rng.randrange(12)), rng.randrange(2), float(rng.randrange(20))) for _ in range(120)]
@@ -188,7 +221,7 @@ def test_cox_matches_direct_newton(spark):
     e = (life <= 40).astype(int)
     df = spark.createDataFrame([(float(a), int(b), float(c), float(f), 1.0) for a, b, (c, f) in zip(d, e, x)], "duration double, event int, x0 double, x1 double, flat double")
     model = survival.fit_cox(df, ["x0", "x1", "flat"])
-    assert model.columns == ["x0", "x1"]  # the constant column is left out
+    assert model.converged and model.columns == ["x0", "x1"]  # the constant column is left out
     assert model.beta == pytest.approx(numpy_cox(d, e, x, 0.1).tolist(), abs=1e-5)
     curve = model.curve(df.limit(5)).select("curve").collect()
     for row in curve:
