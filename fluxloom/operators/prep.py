@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from fluxloom.functions.missing import nan_as_null
 from fluxloom.plans.ordering import carried_values, running_index
 from fluxloom.plans.quantiles import column_quantiles
 from fluxloom.session import durable
@@ -40,7 +41,7 @@ def clean_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def varying_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns whose sample deviation is neither zero nor undefined (one pass, one row back)."""
-    row = df.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
+    row = nan_as_null(df, columns).agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
     return [c for c in columns if row[c] is not None and row[c] > 0]
 
 
@@ -57,7 +58,7 @@ def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()
 
 def sparse_columns(df: DataFrame, columns: Sequence[str], threshold: float = 0.5) -> list[str]:
     """Columns with more than ``threshold`` missing, for tables of more than one row."""
-    row = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    row = nan_as_null(df, columns).agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     return [c for c in columns if row["_n"] > 1 and row[c] / row["_n"] > threshold]
 
 
@@ -93,12 +94,12 @@ def impute(
     keys: Sequence[str] = (),
     fill_value: float = 0.0,
 ) -> DataFrame:
-    """Fill missing numbers; what a strategy leaves open gets the column mean, or 0.
+    """Fill missing numbers (NaN is missing); what a strategy leaves open gets the column mean, or 0.
 
     forward_fill / backward_fill run in ``order_by`` inside each key and are completed from the
     other side; mean and median of an empty column count as 0; drop removes incomplete rows.
     """
-    keys = list(keys)
+    keys, df = list(keys), nan_as_null(df, columns)
     if strategy == "drop":
         return df.dropna(subset=list(columns))
     if strategy in ("zero", "constant"):
@@ -130,11 +131,11 @@ def impute(
 
 
 def scale(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
-    """minmax, standard (population deviation) or robust (median, quartiles); nulls count as 0.
+    """minmax, standard (population deviation) or robust (median, quartiles); nulls and NaN count as 0.
 
     A column without spread becomes 0.
     """
-    zeroed = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+    zeroed = nan_as_null(df, columns).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
     if method == "robust":
         figures = _quantile_row(zeroed, columns, [0.25, 0.5, 0.75])
         centre, spread = (lambda c: F.col(f"`{c}@1`")), (lambda c: F.col(f"`{c}@2`") - F.col(f"`{c}@0`"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +19,7 @@ from fluxloom.operators.metrics import concordance
 from fluxloom.operators.prep import clean_matrix, tail_split, varying_columns
 from fluxloom.operators.reports import top_contributions
 from fluxloom.plans.ordering import range_chunks, running_sums
-from fluxloom.session import durable
+from fluxloom.session import durable, scratch
 
 HORIZON = 168
 # Columns that never are covariates.
@@ -50,7 +52,7 @@ class CoxModel:
             raise ValueError(f"missing columns: {missing}")
 
     def contributions(self) -> dict[str, Column]:
-        return {c: F.lit(b) * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) for c, b, m in zip(self.columns, self.beta, self.means)}
+        return {c: F.lit(b) * (F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) - F.lit(m)) for c, b, m in zip(self.columns, self.beta, self.means)}
 
     def hazard(self, df: DataFrame, output: str = "hazard_score") -> DataFrame:
         """Partial hazard exp(sum of beta * (x - mean))."""
@@ -84,52 +86,150 @@ class CoxModel:
         return CoxModel(list(r["columns"]), list(r["means"]), list(r["beta"]), [tuple(x) for x in r["baseline"]])
 
 
-def _pairs(p: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(p) for j in range(i, p)]
+MAX_OPEN = 20_000  # durations a task adds up before it hands their sums on
 
 
-def _chunk_terms(pdf: pd.DataFrame, offsets: dict[int, np.ndarray], p: int, ties: str) -> pd.DataFrame:
-    """Log-likelihood, gradient and Hessian terms of one chunk of distinct durations.
+def _columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk, duration, event and covariates (a row each) of a batch."""
+    d, e, c = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("d", "e", "_chunk"))
+    return c, d, e.astype(float), batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(len(d), -1)
 
-    ``a*`` columns are sums over all rows of a duration, ``e*`` over its events; offsets hold the
-    sums of all longer durations outside the chunk.
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), pa.float64()), values.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def _group_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and the sums of their rows of ``values``."""
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    return found, np.add.reduceat(values[order], first, axis=0)
+
+
+def _chunk_sums(beta: np.ndarray):
+    """Per chunk of durations: the largest score, and sums of risk and of risk times covariates relative to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            chunk, _, _, z = _columns_of(batch)
+            score = z @ beta
+            w = np.exp(score - score.max())[:, None]
+            found, sums = _group_sums(chunk, np.hstack([w, w * z]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), score.max())), _lists(sums)], ["_chunk", "top", "sums"])
+
+    return run
+
+
+def _merge_chunk(rows: pd.DataFrame) -> pd.DataFrame:
+    top = rows["top"].max()
+    sums = (np.stack(rows["sums"].to_numpy()) * np.exp(rows["top"].to_numpy() - top)[:, None]).sum(axis=0)
+    return pd.DataFrame({"_chunk": rows["_chunk"].iloc[:1], "top": [top], "sums": [sums.tolist()]})
+
+
+def _duration_sums(beta: np.ndarray, top: float):
+    """Per duration: deaths, their scores, and sums of (risk, risk * covariates) over all rows and over the deaths.
+
+    A task adds up over its batches, so that a duration shared by most rows leaves it as one row.
     """
-    pdf = pdf.sort_values("d", ascending=False)
-    pairs = _pairs(p)
-    width = 1 + p + len(pairs)
-    alls = pdf[[f"a{i}" for i in range(width)]].to_numpy(float)
-    events = pdf[[f"e{i}" for i in range(width)]].to_numpy(float)
-    risk = np.cumsum(alls, axis=0) + offsets.get(int(pdf["_chunk"].iloc[0]), np.zeros(width))
-    deaths, eta = pdf["m"].to_numpy(float), pdf["eta"].to_numpy(float)
-    xsum = pdf[[f"x{i}" for i in range(p)]].to_numpy(float)
-    ll, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
-    upper = tuple(np.array([ij[k] for ij in pairs]) for k in (0, 1))
-    hit = np.flatnonzero(deaths > 0)
-    ll += eta[hit].sum()
-    grad += xsum[hit].sum(axis=0)
-    for r in hit:
-        m = int(round(deaths[r]))
-        shares = np.arange(m) / m if ties == "efron" else np.zeros(m)
-        s = risk[r][None, :] - shares[:, None] * events[r][None, :]
-        s0, s1, s2 = s[:, 0], s[:, 1 : 1 + p] / s[:, :1], s[:, 1 + p :] / s[:, :1]
-        ll -= np.log(s0).sum()
-        grad -= s1.sum(axis=0)
-        flat = s2.sum(axis=0)
-        second = np.zeros((p, p))
-        second[upper] = flat
-        second = second + np.triu(second, 1).T
-        hess -= second - s1.T @ s1
-    return pd.DataFrame({"ll": [ll], "grad": [grad.tolist()], "hess": [hess.ravel().tolist()]})
+
+    def rows_of(open_sums: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        keys, sums = open_sums
+        return pa.RecordBatch.from_arrays([pa.array(keys["c"], pa.int64()), pa.array(keys["d"]), _lists(sums)], ["_chunk", "d", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            chunk, d, e, z = _columns_of(batch)
+            score = z @ beta - top
+            w = np.exp(score)[:, None]
+            keys = np.empty(len(d), dtype=[("c", "i8"), ("d", "f8")])
+            keys["c"], keys["d"] = chunk, d
+            part = _group_sums(keys, np.hstack([e[:, None], (e * score)[:, None], w, w * z, e[:, None] * w, e[:, None] * w * z]))
+            held = part if held is None else _group_sums(np.concatenate([held[0], part[0]]), np.vstack([held[1], part[1]]))
+            if len(held[0]) > MAX_OPEN:
+                yield rows_of(held)
+                held = None
+        if held is not None:
+            yield rows_of(held)
+
+    return run
+
+
+def _tie_sums(deaths: int, risk: float, dying: float, ties: str, block: int = 1_000_000) -> np.ndarray:
+    """Sums over the deaths k of one duration, with s = k / deaths and v = risk - s * dying (Breslow: s = 0):
+    ln v, 1/v, s/v, 1/v^2, s/v^2, s^2/v^2; in blocks, as any number of rows may die at once."""
+    if ties != "efron":
+        return deaths * np.array([np.log(risk), 1 / risk, 0.0, 1 / risk**2, 0.0, 0.0])
+    out = np.zeros(6)
+    for k in range(0, deaths, block):
+        s = np.arange(k, min(k + block, deaths)) / deaths
+        v = risk - s * dying
+        out += [np.log(v).sum(), (1 / v).sum(), (s / v).sum(), (1 / v**2).sum(), (s / v**2).sum(), (s**2 / v**2).sum()]
+    return out
+
+
+def _chunk_terms(rows: pd.DataFrame, longer: dict[int, np.ndarray], p: int, ties: str) -> pd.DataFrame:
+    """The terms of one chunk of durations, given the sums of all longer durations outside it.
+
+    One row per duration (``up``: 1/risk summed over the chunk's deaths up to it, ``own``: what its own deaths take off that)
+    and one row without duration for the chunk: log-likelihood, outer products of the mean covariates, and the last ``up``.
+    """
+    chunk = int(rows["_chunk"].iloc[0])
+    d, sums = _group_sums(rows["d"].to_numpy(), np.stack(rows["sums"].to_numpy()))
+    deaths, eta = np.rint(sums[:, 0]).astype(np.int64), sums[:, 1]
+    alls, dying = sums[:, 2 : 3 + p], sums[:, 3 + p :]
+    risk = np.cumsum(alls[::-1], axis=0)[::-1] + longer[chunk]
+    t = np.zeros((len(d), 6))
+    with np.errstate(all="ignore"):  # a risk that underflows gives an infinite likelihood, and the step is refused
+        for r in np.flatnonzero(deaths):
+            t[r] = _tie_sums(int(deaths[r]), risk[r, 0], dying[r, 0], ties)
+        mixed = (risk[:, 1:] * t[:, 4:5]).T @ dying[:, 1:]
+        outer = (risk[:, 1:] * t[:, 3:4]).T @ risk[:, 1:] - mixed - mixed.T + (dying[:, 1:] * t[:, 5:6]).T @ dying[:, 1:]
+        up = np.cumsum(t[:, 1])
+        ll = eta.sum() - t[:, 0].sum()
+    each = pd.DataFrame({"_chunk": chunk, "d": d, "up": up, "own": t[:, 2], "ll": None, "outer": None})
+    whole = pd.DataFrame({"_chunk": [chunk], "d": [None], "up": [up[-1]], "own": [None], "ll": [ll], "outer": [outer.ravel().tolist()]})
+    return pd.concat([each.astype({"ll": float}), whole.astype({"d": float, "own": float})], ignore_index=True)
+
+
+def _row_terms(beta: np.ndarray, top: float, before: dict[int, float], p: int, slots: int = 64):
+    """Per task: sum of (event - v) * z and of v * z z' with v = risk * (1/risk set summed over the deaths up to the row's duration).
+
+    Tasks share ``slots`` slots, so that the next step adds up in parallel and the driver gets that many rows at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p + p * p)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            chunk, d, e, z = _columns_of(batch)
+            up, own = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("up", "own"))
+            v = np.exp(z @ beta - top) * (up + np.array([before[int(c)] for c in chunk]) - e * own)
+            total[:p] += (e - v) @ z
+            total[p:] += ((z * v[:, None]).T @ z).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots]), _lists(total[None, :])], ["slot", "sums"])
+
+    return run
+
+
+def _merge_slot(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"slot": rows["slot"].iloc[:1], "sums": [np.stack(rows["sums"].to_numpy()).sum(axis=0).tolist()]})
 
 
 def fit_cox(
     df: DataFrame, columns: Sequence[str] | None = None, *, ridge: float = 0.1, ties: str = "efron", max_steps: int = 25, tolerance: float = 1e-7
 ) -> CoxModel:
-    """Ridge-penalised proportional hazards.
+    """Ridge-penalised proportional hazards; missing covariates count as 0.
 
-    Rows are reduced per distinct duration with map-side combine (a duration shared by most rows,
-    such as the censoring horizon, is cheap), the durations are range-chunked once, and each
-    Newton step sums the chunks' terms; the driver sees p + p*p numbers per chunk and step.
+    Every sum over risk sets is turned round: a row counts in the risk set of each death up to its own duration, so the gradient and the
+    second moments need one weight per row, and only sums that are linear in the covariates are kept per duration. Durations are cut into
+    ranges once; a step adds up per task (a duration shared by most rows, such as the censoring horizon, is cheap), solves the chunks, and
+    joins their two figures per duration back to the rows. The driver sees p * p numbers per chunk and per slot of tasks.
     """
     names = list(columns or covariate_columns(df))
     data = df.where(F.col("duration").isNotNull() & F.col("event").isNotNull())
@@ -137,51 +237,46 @@ def fit_cox(
     if not names:
         raise ValueError("no covariate varies")
     p = len(names)
-    figures = data.agg(
-        F.count("*").alias("n"), *[f(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_samp))]
-    ).first()
+    filled = clean_matrix(data, names)
+    figures = filled.agg(F.count("*").alias("n"), *[f(F.col(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     n, means, stds = figures["n"], [figures[f"m{i}"] for i in range(p)], [figures[f"s{i}"] for i in range(p)]
-    z = [((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - means[i]) / stds[i]).alias(f"z{i}") for i, c in enumerate(names)]
-    rows = data.select(F.col("duration").cast("double").alias("d"), F.col("event").cast("int").alias("e"), *z)
-    pairs = _pairs(p)
-    times = durable(rows.select("d").distinct())
-    # enough chunks that one holds at most about ten million sums
-    wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), times.count() * 2 * (1 + p + len(pairs)) // 10_000_000 + 1)
-    chunked = range_chunks(times, ["d"], wanted).select("d", "_chunk")
-    rows = durable(rows.join(chunked, "d"))
-    x = [F.col(f"z{i}") for i in range(p)]
-    fixed = [F.sum(F.when(F.col("e") == 1, c).otherwise(0.0)).alias(f"x{i}") for i, c in enumerate(x)]
-    width = 1 + p + len(pairs)
-
-    spark = df.sparkSession
-    shape = ", ".join(f"b{i} double" for i in range(p))
+    z = F.array(*[(F.col(c) - means[i]) / stds[i] for i, c in enumerate(names)])
+    with scratch() as cuts:
+        rows = cuts.cut(filled.select(F.col("duration").cast("double").alias("d"), F.col("event").cast("int").alias("e"), z.alias("z")))
+        times = cuts.cut(rows.select("d").distinct())
+        # enough chunks that one holds at most about ten million sums
+        wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), times.count() * 2 * (2 + p) // 10_000_000 + 1)
+        rows = cuts.cut(rows.join(cuts.cut(range_chunks(times, ["d"], wanted).select("d", "_chunk")), "d").select("_chunk", "d", "e", "z"))
+        return _newton(rows, names, means, stds, n, ridge, ties, max_steps, tolerance)
+
+
+def _newton(rows: DataFrame, names: list[str], means: list[float], stds: list[float], n: int, ridge: float, ties: str, max_steps: int, tolerance: float) -> CoxModel:
+    p = len(names)
 
     def terms(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        # coefficients come as a one-row table, so every step runs the same compiled plan
-        current = F.broadcast(spark.createDataFrame([tuple(float(b) for b in beta)], shape))
-        score = sum((c * F.col(f"b{i}") for i, c in enumerate(x)), F.lit(0.0))
-        moments = [F.lit(1.0), *x, *[x[i] * x[j] for i, j in pairs]]
-        scored = rows.join(current, F.lit(True)).withColumn("_score", score)
-        top = float(scored.agg(F.max("_score")).first()[0])  # taken off every score: it cancels, and no exponential overflows
-        weighted = scored.withColumn("_score", F.col("_score") - top).withColumn("_w", F.exp("_score"))
-        died = F.col("e") == 1
-        per_d = weighted.groupBy("_chunk", "d").agg(
-            F.sum(F.col("e").cast("double")).alias("m"),
-            F.sum(F.when(died, F.col("_score")).otherwise(0.0)).alias("eta"),
-            *fixed,
-            *[F.sum(F.col("_w") * q).alias(f"a{k}") for k, q in enumerate(moments)],
-            *[F.sum(F.when(died, F.col("_w") * q).otherwise(0.0)).alias(f"e{k}") for k, q in enumerate(moments)],
-        )
-        totals = {r["_chunk"]: np.array([r[f"t{k}"] for k in range(width)]) for r in per_d.groupBy("_chunk").agg(*[F.sum(f"a{k}").alias(f"t{k}") for k in range(width)]).collect()}
-        offsets, running = {}, np.zeros(width)
-        for c in sorted(totals, reverse=True):  # longer durations first
-            offsets[int(c)] = running.copy()
-            running = running + totals[c]
-        parts = per_d.groupBy("_chunk").applyInPandas(lambda pdf: _chunk_terms(pdf, offsets, p, ties), "ll double, grad array<double>, hess array<double>").collect()
-        ll = sum(r["ll"] for r in parts) - 0.5 * ridge * n * float(beta @ beta)
-        grad = np.sum([r["grad"] for r in parts], axis=0) - ridge * n * beta
-        hess = np.sum([np.array(r["hess"]).reshape(p, p) for r in parts], axis=0) - ridge * n * np.eye(p)
-        return ll, grad, hess
+        with scratch() as cuts:
+            totals = rows.mapInArrow(_chunk_sums(beta), "_chunk bigint, top double, sums array<double>")
+            totals = totals.groupBy("_chunk").applyInPandas(_merge_chunk, "_chunk bigint, top double, sums array<double>").collect()
+            top = max(r["top"] for r in totals)  # taken off every score: it cancels, and no exponential overflows
+            longer, running = {}, np.zeros(1 + p)
+            for r in sorted(totals, key=lambda r: -r["_chunk"]):
+                longer[int(r["_chunk"])] = running
+                running = running + np.array(r["sums"]) * np.exp(r["top"] - top)
+            per_d = rows.mapInArrow(_duration_sums(beta, top), "_chunk bigint, d double, sums array<double>")
+            shape = "_chunk bigint, d double, up double, own double, ll double, outer array<double>"
+            solved = cuts.cut(per_d.groupBy("_chunk").applyInPandas(lambda part: _chunk_terms(part, longer, p, ties), shape))
+            parts = solved.where("d is null").orderBy("_chunk").collect()  # one row per chunk
+            before = dict(zip((int(r["_chunk"]) for r in parts), np.cumsum([0.0, *(r["up"] for r in parts)])))
+            ll = sum(r["ll"] for r in parts) - 0.5 * ridge * n * float(beta @ beta)
+            if not np.isfinite(ll):
+                return -np.inf, np.zeros(p), np.zeros((p, p))
+            placed = rows.join(solved.where("d is not null").select("d", "up", "own"), "d")
+            sums = placed.mapInArrow(_row_terms(beta, top, before, p), "slot bigint, sums array<double>")
+            slots = sums.groupBy("slot").applyInPandas(_merge_slot, "slot bigint, sums array<double>").collect()
+            total = np.sum([np.array(r["sums"]) for r in slots], axis=0)
+            grad = total[:p] - ridge * n * beta
+            outer = np.sum([np.array(r["outer"]) for r in parts], axis=0).reshape(p, p)
+            return ll, grad, outer - total[p:].reshape(p, p) - ridge * n * np.eye(p)
 
     beta = np.zeros(p)
     ll, grad, hess = terms(beta)
@@ -217,7 +312,8 @@ def fit_cox(
 
 def _hourly_baseline(rows: DataFrame, beta: np.ndarray, horizon: int = HORIZON) -> list[tuple]:
     """Cumulative baseline hazard next to every whole hour; at most two durations per hour are kept."""
-    score = sum((F.col(f"z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+    weights = F.array(*[F.lit(float(b)) for b in beta])
+    score = F.aggregate(F.zip_with("z", weights, lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
     per_d = rows.groupBy("d").agg(F.sum(F.exp(score)).alias("w"), F.sum("e").alias("m"))
     at_risk = running_sums(per_d.withColumn("_minus_d", -F.col("d")), ["_minus_d"], {"risk": F.col("w")}).select("d", "m", "risk")
     hazard = running_sums(at_risk, ["d"], {"h": F.col("m") / F.col("risk")}).select("d", "h")

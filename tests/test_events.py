@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,40 @@ def test_cox_matches_direct_newton(spark):
         model.hazard(df.drop("x0"))
 
 
+def test_cox_at_full_width(spark):
+    rng = np.random.default_rng(3)
+    names = [f"x{i}" for i in range(60)]
+    x = rng.normal(size=(300, 60))
+    life = rng.exponential(20 / np.exp(0.5 * x[:, 0] - 0.4 * x[:, 7]))
+    d, e = np.minimum(np.ceil(life / 2), 20.0), (life <= 40).astype(int)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(duration=d, event=e))
+    model = survival.fit_cox(df, names)
+    assert model.converged
+    assert model.beta == pytest.approx(numpy_cox(d, e, x, 0.1, n_steps=8).tolist(), abs=1e-6)
+
+
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
+def test_cox_with_100000_ties(spark, ties):
+    rng = np.random.default_rng(4)
+    n = 260_000
+    x = rng.normal(size=(n, 2))
+    d = np.where(rng.random(n) < 1 / (1 + np.exp(-x[:, 0])), 1.0, 2.0)
+    e = (rng.random(n) < 0.9).astype(int)
+    model = survival.fit_cox(spark.createDataFrame(pd.DataFrame({"duration": d, "event": e, "a": x[:, 0], "b": x[:, 1]})), ["a", "b"], ties=ties)
+    assert model.converged and ((d == 1) & (e == 1)).sum() > 100_000
+    # the score equation holds at the reported coefficients
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    beta = np.array(model.beta) * x.std(0, ddof=1)
+    w = np.exp(z @ beta)
+    score = -0.1 * n * beta
+    for t in (1.0, 2.0):
+        at, died = d >= t, (d == t) & (e == 1)
+        s = np.arange(died.sum()) / died.sum() if ties == "efron" else np.zeros(died.sum())
+        v = w[at].sum() - s * w[died].sum()
+        score = score + z[died].sum(0) - (1 / v).sum() * (w[at] @ z[at]) + (s / v).sum() * (w[died] @ z[died])
+    assert np.abs(score).max() / n < 1e-9
+
+
 def test_smote_balances_classes(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "big" if i < 60 else "small", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(80, 2)))]
