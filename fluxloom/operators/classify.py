@@ -44,8 +44,8 @@ class ClassModel:
         for i, m in enumerate(self.parts):
             m.setPredictionCol(f"_pred{i}").setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_prob{i}")
             out = m.transform(out)
-        each = F.array(*[1 / (1 + F.exp(-2 * vector_to_array(f"_raw{i}")[1])) for i in range(len(self.parts))])
-        out = out.withColumn("_p", _normalised(each))
+        each = [1 / (1 + F.exp(-2 * vector_to_array(f"_raw{i}")[1])) for i in range(len(self.parts))]
+        out = out.withColumn("_p", F.array(1 - each[0], each[0]) if len(self.classes) == 2 else _normalised(F.array(*each)))
         return out.drop(VECTOR, *[f"_{n}{i}" for i in range(len(self.parts)) for n in ("pred", "raw", "prob")])
 
     def probabilities(self, df: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def fit_logistic(train: DataFrame, label: str, columns: Sequence[str], *, weight
 def fit_gbt(
     train: DataFrame, label: str, columns: Sequence[str], *, trees: int = 100, depth: int = 3, rate: float = 0.1, share: float = 0.8, seed: int = 42, threads: int = 4
 ) -> ClassModel:
-    """One boosted model per class against the rest, normalised; classes train side by side."""
+    """One boosted model per class against the rest, normalised; classes train side by side. Two classes need one model, of the second."""
     classes = class_names(train, label)
     data = assemble(train, columns).persist()
 
@@ -120,7 +120,7 @@ def fit_gbt(
         return gbt.fit(marked)
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        parts = list(pool.map(one, classes))
+        parts = list(pool.map(one, classes[1:] if len(classes) == 2 else classes))
     data.unpersist()
     return ClassModel("gbt", classes, list(columns), parts)
 

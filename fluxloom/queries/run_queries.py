@@ -16,8 +16,6 @@ from fluxloom.session import durable, staging_path
 from fluxloom.streaming import live
 
 XS = [f"x{i}" for i in range(DIMENSIONS)]
-# Boosting rounds of the registered queries; the library default is 100.
-GBT = {"trees": 20}
 
 
 def _train(s, d):
@@ -44,14 +42,14 @@ def m15(s, d):
 @query("m16_boosted_classifier")
 def m16(s, d):
     df = _train(s, d)
-    model = classify.fit_gbt(df, "label", XS, **GBT)
+    model = classify.fit_gbt(df, "label", XS)
     return model.probabilities(df).agg(F.avg((classify.predicted_class(model) == F.col("label")).cast("double")).alias("train_accuracy"), F.count("*").alias("n"))
 
 
 @query("m17_train_grid")
 def m17(s, d):
     df = _train(s, d).withColumnRenamed("label", "label_24h").withColumn("label_48h", F.when(F.col("label_24h").isin("c0", "c1"), "low").otherwise("high"))
-    return classify.train_classifiers(df, ["label_24h", "label_48h"], "id", XS, kinds=["logistic"], folds=3)[1]
+    return classify.train_classifiers(df, ["label_24h", "label_48h"], "id", XS)[1]
 
 
 @query("m18_calibration")
@@ -88,7 +86,7 @@ def m33(s, d):
 
 @query("o6_feature_importance")
 def o6(s, d):
-    return classify.fit_gbt(_train(s, d), "label", XS, **GBT).importances(s)
+    return classify.fit_gbt(_train(s, d), "label", XS).importances(s)
 
 
 @query("m34_permutation_importance")
@@ -99,7 +97,6 @@ def m34b(s, d):
 
 # --- survival -----------------------------------------------------------------------------
 
-SX = ["x0", "x1", "x2", "x3"]
 # A fixed model, so that scoring has an oracle: names, means, coefficients, hourly baseline.
 FIXED = survival.CoxModel(
     ["x0", "x1", "x2"], [3.0, 5.0, 5.5], [0.1, -0.05, 0.2],
@@ -112,11 +109,24 @@ def _survival(s, d):
     return view(s, d, "survival")
 
 
+def _survival_rows(s, d, hours=6):
+    """Covariates of every lookback and survival labels of every grid row (class M)."""
+    g = grid(s, d, hours)
+    cov = features.build_covariates(g, flux(s, d), view(s, d, "regions"), view(s, d, "flares"), keys=K)
+    lab = labels.survival_labels(g, view(s, d, "flares"), keys=K, target="M")
+    return durable(labels.survival_set(cov, lab, keys=K))
+
+
+def _covariates_of(rows):
+    return [c for c in survival.covariate_columns(rows) if c not in K]
+
+
 @query("m25_cox_fit")
 def m25(s, d):
-    model = survival.fit_cox(_survival(s, d), SX)
-    rows = [(c, float(b), float(m)) for c, b, m in zip(model.columns, model.beta, model.means)]
-    return s.createDataFrame(rows, "covariate string, beta double, mean double")
+    rows = _survival_rows(s, d)
+    model = survival.fit_cox(rows, _covariates_of(rows))
+    fitted = [(c, float(b), float(m), model.converged) for c, b, m in zip(model.columns, model.beta, model.means)]
+    return s.createDataFrame(fitted, "covariate string, beta double, mean double, converged boolean")
 
 
 @query("m26_cox_curve", oracle(f"""select id, {', '.join(f"q_8(exp(-{0.004 * h!r} * {_RISK})) as s_{h}" for h in (0, 6, 24, 72, 168))} from survival""", "survival"))
@@ -137,7 +147,8 @@ def m28a(s, d):
 
 @query("m28_boosted_survival")
 def m28(s, d):
-    return survival.fit_boosted(_survival(s, d), SX, **GBT).hazard(_survival(s, d)).select("id", "hazard_score")
+    rows = _survival_rows(s, d)
+    return survival.fit_boosted(rows, _covariates_of(rows)).hazard(rows).select(*K, "timestamp", "hazard_score")
 
 
 @query("m29_exponential_curve", oracle(f"""with h as (select id, ln({_RISK}) as h from survival), t as (select max(abs(h)) as top from h)
@@ -150,7 +161,8 @@ def m29(s, d):
 
 @query("m31_survival_models")
 def m31(s, d):
-    return survival.train_survival(_survival(s, d), ["id"], SX, options={"gb": GBT})[1]
+    rows = _survival_rows(s, d)
+    return survival.train_survival(rows, ["timestamp", *K], _covariates_of(rows))[1]
 
 
 @query("m32_score_survival", oracle(f"""with c as (select id, {_RISK} as r from survival) select id, q_8(r) as hazard_score, {', '.join(
@@ -167,31 +179,22 @@ def m34(s, d):
     return rounded(survival.linear_contributions(FIXED, _survival(s, d), ["id"], 2), 8)
 
 
-def _survival_rows(s, d, hours=6):
-    """Covariates and survival labels of every grid row (class M)."""
-    g = grid(s, d, hours)
-    cov = features.build_covariates(g, flux(s, d), view(s, d, "regions"), view(s, d, "flares"), keys=K, lookbacks=(6, 24))
-    lab = labels.survival_labels(g, view(s, d, "flares"), keys=K, target="M")
-    return durable(labels.survival_set(cov, lab, keys=K))
-
-
-_COV = ["flux_long_mean_24h", "flux_long_max_24h", "flux_short_mean_24h", "max_complexity_24h", "flare_count_24h", "hours_since_last_flare_24h"]
-
-
 @query("m35_score_all")
 def m35(s, d):
     rows = _survival_rows(s, d)
-    lab = labels.class_labels(rows, view(s, d, "flares"), keys=K, windows=[24])
+    cov = _covariates_of(rows)
+    lab = labels.class_labels(rows, view(s, d, "flares"), keys=K, windows=[24, 48])
     both = durable(rows.join(lab, [*K, "timestamp"]))
-    clf = classify.fit_logistic(both, "label_24h", _COV)
+    classifiers = {h: (classify.fit_logistic(both, f"label_{h}h", cov), both) for h in (24, 48)}
     broken = survival.CoxModel(["not_there"], [0.0], [1.0], FIXED.baseline)
-    return scoring.score_all(rows, {24: (clf, both)}, {"cox": (survival.fit_cox(rows, _COV), rows), "gb": (broken, rows)}, keys=K)
+    models = {"cox": (survival.fit_cox(rows, cov), rows), "gb": (survival.fit_boosted(rows, cov), rows), "broken": (broken, rows)}
+    return scoring.score_all(rows, classifiers, models, keys=K)
 
 
 @query("m37_backtest_run")
 def m37(s, d):
     rows = _survival_rows(s, d, hours=24)
-    model = survival.fit_cox(rows, _COV)
+    model = survival.fit_cox(rows, _covariates_of(rows))
     actuals = view(s, d, "flares").where("class_category = 'M'").withColumn("series_id", F.col("series_id").cast("int"))
     return scoring.run_backtest(model, rows, actuals, keys=K)
 
@@ -199,12 +202,13 @@ def m37(s, d):
 @query("m39_guarded_run")
 def m39(s, d):
     rows = _survival_rows(s, d)
+    cov = _covariates_of(rows)
     early = F.col("timestamp") < F.expr("timestamp_ntz'2024-01-15'")
-    model = survival.fit_cox(rows.where(early), _COV)
-    reference = monitor.drift_reference(rows.where(early), _COV, ["timestamp", "series_id"])
+    model = survival.fit_cox(rows.where(early), cov)
+    reference = monitor.drift_reference(rows.where(early), cov, ["timestamp", "series_id"])
     score = lambda f: survival.as_log_rows(survival.score_survival(model, f, [*K, "timestamp"]), "survival")
     tests, _ = scoring.score_run(
-        rows.where(~early), _COV, reference, score, log_path=staging_path(s, "log"), logged_at=F.col("observation_timestamp"), order=["timestamp", "series_id"]
+        rows.where(~early), cov, reference, score, log_path=staging_path(s, "log"), logged_at=F.col("observation_timestamp"), order=["timestamp", "series_id"]
     )
     return tests
 
