@@ -269,6 +269,33 @@ def test_cox_with_100000_ties(spark, ties):
     assert np.abs(score).max() / n < 1e-9
 
 
+def test_nan_is_missing_in_preparation(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0, nan), (2, nan, nan), (3, None, nan), (4, 3.0, 5.0)], "id int, a double, b double")
+    values = lambda out, c: [r[c] for r in out.orderBy("id").collect()]
+    assert values(prep.impute(df, "mean", ["a", "b"]), "a") == [1.0, 2.0, 2.0, 3.0]
+    assert values(prep.impute(df, "median", ["a", "b"]), "b") == [5.0] * 4
+    assert values(prep.impute(df, "forward_fill", ["a"], order_by=["id"]), "a") == [1.0, 1.0, 1.0, 3.0]
+    assert values(prep.impute(df, "constant", ["a"], fill_value=7.0), "a") == [1.0, 7.0, 7.0, 3.0]
+    assert [r["id"] for r in prep.impute(df, "drop", ["a"]).orderBy("id").collect()] == [1, 4]
+    assert values(prep.scale(df, ["a"], "minmax"), "a") == pytest.approx([1 / 3, 0.0, 0.0, 1.0])
+    assert prep.sparse_columns(df, ["a", "b"]) == ["b"]
+    assert prep.varying_columns(df, ["a", "b"]) == ["a"]
+
+
+def test_two_classes_share_one_boosted_model(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-5, 5, size=200) + 0.5  # fewer values than bins, so that a split can fall exactly between the classes
+    df = spark.createDataFrame(pd.DataFrame({"id": range(200), "label": np.where(x > 0, "up", "down"), "x": x}))
+    model = classify.fit_gbt(df, "label", ["x"], trees=3)
+    assert model.classes == ["down", "up"] and len(model.parts) == 1
+    path = staging_path(spark, "boosted")
+    model.save(path, spark)
+    for m in (model, classify.ClassModel.load(path, spark)):
+        rows = m.probabilities(df).select("x", "_p").collect()
+        assert all(abs(sum(r["_p"]) - 1) < 1e-12 and (r["_p"][1] > 0.5) == (r["x"] > 0) for r in rows)
+
+
 def test_smote_balances_classes(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "big" if i < 60 else "small", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(80, 2)))]
