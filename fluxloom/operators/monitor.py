@@ -13,16 +13,17 @@ from fluxloom.plans.ordering import running_sums, with_previous
 # Rows kept per feature as reference, and the fewest that allow a test.
 REFERENCE_ROWS = 1000
 FEWEST_REFERENCE = 10
+_KNOWN = "value is not null and not isnan(value)"
 
 
 def drift_reference(df: DataFrame, features: Sequence[str], order: Sequence[str], *, rows: int = REFERENCE_ROWS) -> DataFrame:
-    """The newest ``rows`` non-null values of each feature: (feature, value, order columns).
+    """The newest ``rows`` values, neither null nor NaN, of each feature: (feature, value, order columns).
 
     The rank filter is pushed below the shuffle (a per-task top-k), so each task sends at most
     ``rows`` values per feature.
     """
     long = df.select(*order, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(list(order), list(features), "feature", "value")
-    return newest_per_feature(long.where("value is not null"), order, rows=rows)
+    return newest_per_feature(long.where(_KNOWN), order, rows=rows)
 
 
 def newest_per_feature(long: DataFrame, order: Sequence[str], *, rows: int = REFERENCE_ROWS) -> DataFrame:
@@ -31,14 +32,14 @@ def newest_per_feature(long: DataFrame, order: Sequence[str], *, rows: int = REF
 
 
 def long_form(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], list(features), "feature", "value").where("value is not null")
+    return df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], list(features), "feature", "value").where(_KNOWN)
 
 
 def _value_counts(reference: DataFrame, current: DataFrame) -> DataFrame:
     both = reference.select("feature", "value", F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
         current.select("feature", "value", F.lit(0).alias("r"), F.lit(1).alias("c"))
     )
-    return both.where("value is not null").groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    return both.where(_KNOWN).groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
 
 
 def _kolmogorov_tail(x: Column, terms: int = 60) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluxloom.functions.classes import FILTER_RANK, rank_of
 from fluxloom.functions.curves import bucket_start
+from fluxloom.functions.missing import nan_as_null
 from fluxloom.functions.timing import micros, plus_hours
 
 CLASS_PROBS = ("None", "C", "M", "X")
@@ -107,8 +108,8 @@ def event_rate(survival: DataFrame) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing count and fraction of each column, and of all cells (``*``), in one pass."""
-    counted = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    """Missing (null or NaN) count and fraction of each column, and of all cells (``*``), in one pass."""
+    counted = nan_as_null(df, columns).agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     total = sum((F.col(c) for c in columns), F.lit(0).cast("bigint"))
     entries = F.array(
         F.struct(F.lit("*").alias("column_name"), total.alias("missing"), (F.col("_rows") * len(columns)).alias("cells")),

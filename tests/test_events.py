@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fluxloom.operators import classify, events, metrics, monitor, prep, survival
+from fluxloom.operators import classify, events, metrics, monitor, prep, reports, survival
 from fluxloom.plans.chains import spaced_anchors
 from fluxloom.session import staging_path
 from fluxloom.sources import tables
@@ -283,6 +283,15 @@ def test_nan_is_missing_in_preparation(spark):
     assert prep.varying_columns(df, ["a", "b"]) == ["a"]
 
 
+def test_nan_is_missing_in_monitoring(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(i, float(i % 20)) for i in range(60)], "id int, a double")
+    holed = df.unionByName(spark.createDataFrame([(i, nan) for i in range(100, 140)], "id int, a double"))
+    tests = [monitor.ks_drift(monitor.drift_reference(x, ["a"], ["id"]), monitor.long_form(x, ["a"])).collect() for x in (df, holed)]
+    assert tests[0] == tests[1]
+    assert {r["column_name"]: r["missing"] for r in reports.missing_profile(holed, ["a"]).collect()} == {"*": 40, "a": 40}
+
+
 def test_two_classes_share_one_boosted_model(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(-5, 5, size=200) + 0.5  # fewer values than bins, so that a split can fall exactly between the classes
