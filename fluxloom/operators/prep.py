@@ -164,12 +164,19 @@ def index_labels(df: DataFrame, label: str, output: str = "label_index") -> Data
     return StringIndexer(inputCol=label, outputCol=output, stringOrderType="alphabetAsc").fit(df).transform(df)
 
 
+def _by_label(df: DataFrame, figures: DataFrame, label: str) -> DataFrame:
+    """``df`` with the figures of each row's label; null is a label of its own. The figures are written first: their known size lets
+    the planner broadcast them, instead of hashing the whole table on a handful of labels."""
+    own = durable(figures.withColumnRenamed(label, "_label"))
+    return df.join(own, df[label].eqNullSafe(own["_label"])).drop("_label")
+
+
 def class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
-    """Balanced weights n / (classes * rows of the class)."""
+    """Balanced weights n / (classes * rows of the class); null is a class of its own."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     totals = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     weights = _one_row(counts, totals).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias(output))
-    return df.join(weights, label)
+    return _by_label(df, weights, label)
 
 
 def draw(ident: str, seed: int):
@@ -182,9 +189,9 @@ def _ranked_in_label(df: DataFrame, label: str, ident: str, seed: int) -> DataFr
 
 
 def stratified_split(df: DataFrame, label: str, ident: str, *, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: the given share of every label, drawn repeatably."""
+    """Adds ``is_test``: the given share of every label, rows without label included, drawn repeatably."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = _ranked_in_label(df, label, ident, seed).join(sizes, label)
+    ranked = _by_label(_ranked_in_label(df, label, ident, seed), sizes, label)
     return ranked.withColumn("is_test", F.col("_i") < F.floor(F.col("_n") * test_share + 0.5)).drop("_i", "_n")
 
 

@@ -283,6 +283,15 @@ def test_nan_is_missing_in_preparation(spark):
     assert prep.varying_columns(df, ["a", "b"]) == ["a"]
 
 
+def test_rows_without_label_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i < 10 else "a" if i < 30 else "b") for i in range(40)], "id int, label string")
+    weights = {(r["label"], round(r["weight"], 12)) for r in prep.class_weights(df, "label").collect()}
+    assert weights == {(None, round(40 / 30, 12)), ("a", round(40 / 60, 12)), ("b", round(40 / 30, 12))}
+    split = prep.stratified_split(df, "label", "id")
+    assert {(r["label"], r["n"]) for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {(None, 2), ("a", 4), ("b", 2)}
+    assert split.count() == 40
+
+
 def test_nan_is_missing_in_monitoring(spark):
     nan = float("nan")
     df = spark.createDataFrame([(i, float(i % 20)) for i in range(60)], "id int, a double")
