@@ -209,3 +209,22 @@ def test_attention_scores(spark):
     want = sorted((str(i), len(w), sum(x in counts for x in w), round(sum(np.log10((counts.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), 5)) for i, w in rows)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in out) == want
     assert all(r.train_tokens == n and np.isfinite(r.score) and r.score < 0 for r in out)
+
+
+def test_attention_learns_from_texts_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "SAMPLE", 3)
+    rng = random.Random(7)
+    topics = ["river stone water bridge boat fish".split(), "tax court judge law paper vote".split(), "engine wheel motor brake gear road".split()]
+    rows = [(i, " ".join(rng.choice(topics[i % 3]) for _ in range(60))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sampled = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3).collect()]
+    docs = docs.where((F.col("doc_id") % 3 != 2) | ~F.col("doc_id").isin(sampled))
+    path, kept = queries.vocabulary("word_bpe_49k.json"), {}
+    averaged = attention_lm._averaged
+    monkeypatch.setattr(attention_lm, "_averaged", lambda model, learned: kept.setdefault("after", averaged(kept.setdefault("before", model), learned)))
+    counts = docs.select("text").mapInArrow(attention_lm._counted(path), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).cache()
+    model = attention_lm.fit(docs, counts, path)
+    ids = [packing.WordEncoder.of(path).tokenizer.encode(w).ids[0] for t in topics for w in t]
+    assert len(set(model.class_of[ids])) > 1 and attention_lm.CLASSES - 2 not in model.class_of[ids]
+    moved = np.abs(kept["after"].embed - kept["before"].embed).sum(axis=1) > 0
+    assert moved[ids].all() and np.isfinite(model.embed).all() and 0.5 <= model.mixed <= 0.999
