@@ -3,7 +3,7 @@
 A bounded sample places list centres; every row goes to its nearest centre's list, and large lists are cut into blocks by
 hashed id. A query visits the blocks of the lists nearest to it. Inside a block the vectors are rotated by one random rotation and stored
 in column blocks. After each column block the partial distance, scaled up to all dimensions, is tested against the
-tenth best so far: a candidate that is farther by more than the test's margin is abandoned. Survivors get their exact distance on the
+tenth best so far: a candidate that is farther by more than the test's margin and a slack for rounding is abandoned. Survivors get their exact distance on the
 original vectors in double precision.
 """
 
@@ -25,6 +25,7 @@ PROBED = 0.8  # share of the lists a query visits; isotropic data needs most of
 BLOCK_ROWS = 2048
 COLUMNS = 16
 MARGIN = 3.0
+ROUNDING = 1e-12
 
 
 def centres(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 11) -> np.ndarray:
@@ -68,7 +69,7 @@ def _assign(c: np.ndarray, probed: int):
 def _search(width: int, k: int):
     turn = rotation(width)
 
-    def scan(x: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    def scan(x: np.ndarray, norms: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
         qr = q @ turn
         alive = np.flatnonzero(ids != own)
         first, rest = alive[: 4 * k], alive[4 * k :]
@@ -79,25 +80,27 @@ def _search(width: int, k: int):
         if len(rest):
             limit = best.max() ** 2 if len(best) >= k else np.inf
             partial = np.zeros(len(rest))
+            slack = ROUNDING * (norms[rest] + q @ q)  # copies of q are at 0, but rounded apart by the rotation
             for b, block in enumerate(columns):
                 seen = min(width, (b + 1) * COLUMNS)
                 partial += ((block[:, rest] - qr[b * COLUMNS : seen, None]) ** 2).sum(axis=0)
                 grow = (1 + MARGIN / np.sqrt(seen)) ** 2 if seen < width else 1 + 1e-9
-                stay = partial * (width / seen) <= limit * grow
-                rest, partial = rest[stay], partial[stay]
+                stay = partial * (width / seen) <= limit * grow + slack
+                rest, partial, slack = rest[stay], partial[stay], slack[stay]
             best, at = np.concatenate([best, np.sqrt(((x[rest] - q) ** 2).sum(axis=1))]), np.concatenate([at, rest])
         top = np.lexsort((ids[at], best))[:k]
         return ids[at[top]], best[top]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        data, asked = rows[~rows["query"]], rows[rows["query"]]
+        data, asked = rows[~rows["query"]].sort_values("vec_id", kind="stable"), rows[rows["query"]]
         if data.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids = data.vec_id.to_numpy(np.int64)
         x = np.frombuffer(b"".join(data.v), np.float64).reshape(len(ids), width)
+        norms = (x * x).sum(axis=1)
         turned = np.ascontiguousarray((x @ turn).T)
         columns = [turned[i : i + COLUMNS] for i in range(0, width, COLUMNS)]
-        out = [scan(x, columns, ids, np.frombuffer(v, np.float64), own) for own, v in zip(asked.vec_id, asked.v)]
+        out = [scan(x, norms, columns, ids, np.frombuffer(v, np.float64), own) for own, v in zip(asked.vec_id, asked.v)]
         return pd.DataFrame({"query_id": np.repeat(asked.vec_id.to_numpy(np.int64), [len(o[0]) for o in out]), "vec_id": np.concatenate([o[0] for o in out]), "score": np.concatenate([o[1] for o in out])})
 
     return run

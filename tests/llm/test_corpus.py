@@ -228,3 +228,17 @@ def test_attention_learns_from_texts_outside_the_sample(spark, monkeypatch):
     assert len(set(model.class_of[ids])) > 1 and attention_lm.CLASSES - 2 not in model.class_of[ids]
     moved = np.abs(kept["after"].embed - kept["before"].embed).sum(axis=1) > 0
     assert moved[ids].all() and np.isfinite(model.embed).all() and 0.5 <= model.mixed <= 0.999
+
+
+def test_nearest_among_many_exact_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3600, 48))
+    x[rng.permutation(3600)[:3000]] = x[0]
+    same = np.flatnonzero((x == x[0]).all(axis=1))
+    table = spark.createDataFrame([(int(i), x[i].tolist()) for i in rng.permutation(3600)], "vec_id long, embedding array<double>").repartition(5)
+    asked = [int(i) for i in (same[0], same[1500], same[-1])]
+    found = ann.nearest_neighbours(table, F.col("vec_id").isin(asked), lists=4).collect()
+    for q in asked:
+        got = [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])]
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert got == [(int(i), 0.0) for i in np.lexsort((np.arange(3600), d)) if i != q][:10]
