@@ -242,3 +242,18 @@ def test_nearest_among_many_exact_copies(spark):
         got = [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])]
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         assert got == [(int(i), 0.0) for i in np.lexsort((np.arange(3600), d)) if i != q][:10]
+
+
+def test_whole_license_texts(spark):
+    whole = licenses.TEMPLATES
+    count = lambda t: len(re.findall(r"[A-Za-z0-9]+", t))
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-2.1", "CC-BY-SA-4.0"]
+    owners = lambda t: t.replace("COPYRIGHT HOLDERS", "REGENTS OF THE UNIVERSITY AND MANY OTHERS")
+    texts = [f"Copyright (c) 2020 Someone. {whole[n]} The end." for n in names] + [owners(whole["BSD-2-Clause"]), whole["MIT"][: len(whole["MIT"]) // 2], whole["GPL-2.0"] + "\n\n" + whole["MIT"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): r for r in licenses.license_spans(docs).collect() if r.license in licenses.TEXTS}
+    assert set(got) == {(i, n) for i, n in enumerate(names)} | {(7, "BSD-2-Clause"), (9, "GPL-2.0"), (9, "MIT")}
+    for i, n in enumerate(names):
+        r = got[i, n]
+        assert (r.coverage, r.start_word, r.end_word - r.start_word) == (1.0, 4, r.n_template) and (r.n_template == count(whole[n]) or not whole[n].isascii())
+    assert got[9, "MIT"].coverage == 1.0 and got[9, "MIT"].start_word == got[9, "GPL-2.0"].end_word
