@@ -3,8 +3,9 @@
 Every text block of a page has the path of tags from the root to it. Per path the page's text length and punctuation are summed and
 divided by its number of blocks; both ratios are smoothed over neighbouring paths in page order and fused by their product. Paths over
 a share of the best fused value are content. The smallest container that holds most of the content's text is the article, and
-all its blocks are the result, short ones included. Menus, page headers and footers, sidebars, notices, adverts,
-forms and reader comments are told by element or by words of class, id and role, wherever they stand.
+all its blocks are the result, short ones included. Menus, page headers and footers, sidebars, notices, adverts
+and reader comments are told by element or by words of class, id and role, wherever they stand. A label or a form is only believed
+where it holds neither an article nor a main element nor most of the page's text on high-ratio paths.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ _SPACE = re.compile(r"\s+")
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title".split())
-ASIDE = frozenset("nav footer aside form button dialog menu".split())
-CONTAINERS = frozenset("html body main article section div td table tbody tr center".split())
+ASIDE = frozenset("nav footer aside button dialog menu".split())
+MAIN = frozenset("article main".split())
+CONTAINERS = frozenset("html body main article section div td table tbody tr center form".split())
 BLOCKS = CONTAINERS | ASIDE | frozenset("header h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre figure figcaption hr thead tfoot th caption address details summary fieldset".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILERPLATE = frozenset(
@@ -37,13 +39,14 @@ BOILERPLATE = frozenset(
 PUNCTUATION = frozenset(".,;:!?…。，،؟")
 CONTENT_SHARE = 0.1
 HOLDS = 0.6
+HOLDS_ALL = 0.95  # of a page whose article or main element says where its text is: long comments may hold most of it
 
 
 class _Node:
-    __slots__ = ("tag", "path", "aside", "parent", "weight", "children")
+    __slots__ = ("tag", "path", "aside", "doubtful", "parent", "weight", "children")
 
-    def __init__(self, tag, path, aside, parent):
-        self.tag, self.path, self.aside, self.parent, self.weight, self.children = tag, path, aside, parent, 0.0, []
+    def __init__(self, tag, path, aside, doubtful, parent):
+        self.tag, self.path, self.aside, self.doubtful, self.parent, self.weight, self.children = tag, path, aside, doubtful, parent, 0.0, []
 
 
 def _is_aside(tag: str, attributes: str, parent: _Node) -> bool:
@@ -51,14 +54,17 @@ def _is_aside(tag: str, attributes: str, parent: _Node) -> bool:
         return True
     if tag == "header":  # a page's header; an article's own one holds its title
         node = parent
-        while node is not None and node.tag not in ("article", "main"):
+        while node is not None and node.tag not in MAIN:
             node = node.parent
         return node is None
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
+    return bool(attributes and _HIDDEN.search(attributes))
+
+
+def _is_doubtful(tag: str, attributes: str) -> bool:
+    """Whether an element is an aside by its label, or a form: both may also stand around the article."""
+    if tag == "form":
         return True
-    if tag in ("html", "body", "article", "main"):
+    if not attributes or tag in MAIN or tag in ("html", "body"):
         return False
     words = {w.lower() for m in _LABEL.finditer(attributes) for w in _WORD.findall(m.group(1) or m.group(2) or m.group(3) or "")}
     return not words.isdisjoint(BOILERPLATE)
@@ -66,7 +72,7 @@ def _is_aside(tag: str, attributes: str, parent: _Node) -> bool:
 
 def blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     """The page's root and its text blocks in order, each with the element it stands in."""
-    root = node = _Node("", "", False, None)
+    root = node = _Node("", "", False, False, None)
     out, text = [], []
 
     def flush():
@@ -107,19 +113,15 @@ def blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             continue
         while node.tag == "p" or node.tag in CLOSES.get(tag, ()):
             node = node.parent
-        child = _Node(tag, f"{node.path}/{tag}", node.aside or _is_aside(tag, attributes, node), node)
+        child = _Node(tag, f"{node.path}/{tag}", node.aside or _is_aside(tag, attributes, node), _is_doubtful(tag, attributes), node)
         node.children.append(child)
         node = child
     flush()
     return root, out
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by an empty line; empty if the page has none."""
-    root, found = blocks(page or "")
-    found = [(n, t) for n, t in found if not n.aside]
-    if not found:
-        return ""
+def _weigh(root: _Node, found: list[tuple[_Node, str]]) -> float:
+    """Length of the text on high-ratio paths; every element's weight is what it holds of that."""
     paths: dict[str, list[float]] = {}
     for node, text in found:
         own = paths.setdefault(node.path, [0, 0, 0])
@@ -134,6 +136,8 @@ def main_text(page: str | None) -> str:
 
     fused = {path: smooth(i, 0) * smooth(i, 1) for i, path in enumerate(paths)}
     least = CONTENT_SHARE * max(fused.values())
+    for node in _elements(root):
+        node.weight = 0.0
     total = 0.0
     for node, text in found:
         if fused[node.path] >= least:
@@ -142,6 +146,45 @@ def main_text(page: str | None) -> str:
             while up is not None:
                 up.weight += len(text)
                 up = up.parent
+    return total
+
+
+def _elements(root: _Node) -> Iterator[_Node]:
+    """All elements, parents before their children."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += reversed(node.children)
+
+
+def _settle(root: _Node, found: list[tuple[_Node, str]]) -> None:
+    """Makes doubtful elements asides, with all they hold, but for those around the article: they hold a main element with text, the
+    heaviest article, or a large share of the page's high-ratio text."""
+    total = _weigh(root, found)
+    marked = [n for n in _elements(root) if n.tag in MAIN and n.weight]
+    around = set()
+    articles = [n for n in marked if n.tag == "article"]
+    for node in [n for n in marked if n.tag == "main"] + ([max(articles, key=lambda n: n.weight)] if articles else []):
+        while node is not None:
+            around.add(node)
+            node = node.parent
+    share = HOLDS_ALL if marked else HOLDS
+    for node in _elements(root):
+        if node.parent is not None and node.parent.aside or node.doubtful and node not in around and node.weight < share * total:
+            node.aside = True
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by an empty line; empty if the page has none."""
+    root, found = blocks(page or "")
+    found = [(n, t) for n, t in found if not n.aside]
+    if found and any(n.doubtful for n in _elements(root)):
+        _settle(root, found)
+        found = [(n, t) for n, t in found if not n.aside]
+    if not found:
+        return ""
+    total = _weigh(root, found)
     article = root
     while True:
         inner = max((c for c in article.children if c.tag in CONTAINERS), key=lambda c: c.weight, default=None)

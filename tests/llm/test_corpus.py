@@ -257,3 +257,19 @@ def test_whole_license_texts(spark):
         r = got[i, n]
         assert (r.coverage, r.start_word, r.end_word - r.start_word) == (1.0, 4, r.n_template) and (r.n_template == count(whole[n]) or not whole[n].isascii())
     assert got[9, "MIT"].coverage == 1.0 and got[9, "MIT"].start_word == got[9, "GPL-2.0"].end_word
+
+
+@pytest.mark.parametrize("mark", ['div class="container has-sidebar"', 'div class="no-ads"', 'div class="with-banner"', 'div id="legal-news"', "form"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_labels_around_the_article(mark, inner):
+    text = ["The first paragraph, which is long enough.", "The second one, with more words, ends here."] * 4
+    body = "".join(f"<p>{t}</p>" for t in text)
+    aside = '<div class="sidebar"><p>Read this, too.</p></div><form><p>Your name, please.</p></form><section id="comments"><article><p>Nice, really.</p></article></section>'
+    page = f'<html><body><nav>Home</nav><{mark}><{inner}>{body}</{inner}>{aside}</{mark.split()[0]}><footer>x</footer></body></html>'
+    assert html_text.main_text(page) == "\n\n".join(text)
+
+
+def test_html_long_comments_beside_the_article():
+    comment = "<p>I have read this, and I do not agree, not at all.</p>" * 20
+    page = f'<body><article><p>A short text, but it is the article.</p><p>It ends here, after two lines.</p><section id="comments">{comment}</section></article></body>'
+    assert html_text.main_text(page) == "A short text, but it is the article.\n\nIt ends here, after two lines."
