@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, minhash, packing, pieces, rlz, toxicity
+from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, line_runs, minhash, packing, pieces, rlz, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,20 @@ def op9_pieces(spark, sf_dir):
     coded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), path), path)
     same = F.coalesce(F.col("decoded"), F.lit("")) == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
+@_query
+def op13_line_runs(spark, sf_dir):
+    kept = line_runs.without_common_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_line_runs"] = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as w from documents),
+l as (select doc_id, unnest(w) as line, generate_subscripts(w, 1) as i from d),
+k as (select doc_id, line, i, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10)
+select k.doc_id, count(*) as n_lines, count(c.key) as n_dropped,
+sha256(coalesce(string_agg(k.line, chr(10) order by k.i) filter (where c.key is null), '')) as kept_sha256
+from k left join c on k.key = c.key group by k.doc_id
+"""
