@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, line_runs, minhash, packing, pieces, rlz, toxicity
+from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, line_runs, minhash, packing, pieces, rlz, runs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,36 @@ select k.doc_id, count(*) as n_lines, count(c.key) as n_dropped,
 sha256(coalesce(string_agg(k.line, chr(10) order by k.i) filter (where c.key is null), '')) as kept_sha256
 from k left join c on k.key = c.key group by k.doc_id
 """
+
+
+def _made_periodic(doc_id, text):
+    """The input of ``op12_runs``: by its contract, some documents go on as copies of their own words from one place on."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def tail(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(i))), " "))
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(h % 10 == 0, F.transform(F.array(words), tail)[0]).otherwise(text)
+
+
+@_query
+def op12_runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.with_runs(docs).withColumn("best", runs.strongest())
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
