@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxloom.llm import ann, attention_lm, hnsw, html_text, licenses, line_runs, minhash, packing, pieces, rlz, runs, toxicity
+from fluxloom.llm import alignment, ann, attention_lm, hnsw, html_text, licenses, line_runs, minhash, packing, pieces, rlz, runs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,14 @@ def op12_runs(spark, sf_dir):
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _tokenizers():
+    import public_tokenizers
+
+    return alignment.rank_side(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), alignment.piece_side(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op11_alignment(spark, sf_dir):
+    return alignment.aligned(_table(spark, sf_dir, "documents"), _tokenizers)[0]
