@@ -2,8 +2,9 @@
 
 Every text block of a page has the path of tags from the root to it. Per path the page's text length and punctuation are summed and
 divided by its number of blocks; both ratios are smoothed over neighbouring paths in page order and fused by their product. Paths over
-a share of the best fused value are content. The smallest container that holds most of the content's text is the article, and
-all its blocks are the result, short ones included. Menus, page headers and footers, sidebars, notices, adverts
+a share of the best fused value are content. The article is the heaviest article element, or the main element where that holds content
+beside it; without either, the smallest container that leaves no text on high-ratio paths and no heading outside. All its
+blocks are the result, short ones included. Menus, page headers and footers, sidebars, notices, adverts
 and reader comments are told by element or by words of class, id and role, wherever they stand. A label or a form is only believed
 where it holds neither an article nor a main element nor most of the page's text on high-ratio paths.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,27 +38,29 @@ BOILERPLATE = frozenset(
     "comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended masthead topbar toolbar pagination pager skip copyright legal complementary contentinfo search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = frozenset(".,;:!?…。，،؟")
 CONTENT_SHARE = 0.1
-HOLDS = 0.6
+PART = 0.5  # several articles side by side are parts of one where they hold at least so much of the heaviest one's text
+HOLDS = 0.6  # of a page's high-ratio text: a label on an element that holds so much is not believed
 HOLDS_ALL = 0.95  # of a page whose article or main element says where its text is: long comments may hold most of it
 
 
 class _Node:
-    __slots__ = ("tag", "path", "aside", "doubtful", "parent", "weight", "children")
+    """An element. ``path`` is the number of its tag path, which many elements share."""
+
+    __slots__ = ("tag", "path", "aside", "doubtful", "parent", "weight", "children", "in_main")
 
     def __init__(self, tag, path, aside, doubtful, parent):
         self.tag, self.path, self.aside, self.doubtful, self.parent, self.weight, self.children = tag, path, aside, doubtful, parent, 0.0, []
+        self.in_main = parent is not None and (parent.in_main or parent.tag in MAIN)
 
 
 def _is_aside(tag: str, attributes: str, parent: _Node) -> bool:
     if tag in ASIDE:
         return True
     if tag == "header":  # a page's header; an article's own one holds its title
-        node = parent
-        while node is not None and node.tag not in MAIN:
-            node = node.parent
-        return node is None
+        return not (parent.in_main or parent.tag in MAIN)
     return bool(attributes and _HIDDEN.search(attributes))
 
 
@@ -72,8 +76,11 @@ def _is_doubtful(tag: str, attributes: str) -> bool:
 
 def blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     """The page's root and its text blocks in order, each with the element it stands in."""
-    root = node = _Node("", "", False, False, None)
+    root = node = _Node("", 0, False, False, None)
     out, text = [], []
+    numbers: dict[tuple[int, str], int] = {}  # tag paths by their parent path and last tag
+    standing: Counter[str] = Counter()  # open elements by tag
+    unclosed: set[str] = set()  # tags without a closing one ahead
 
     def flush():
         if text:
@@ -96,25 +103,31 @@ def blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             text.append(" ")
         if tag in RAW and not closing:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end is None:
+                    unclosed.add(tag)
                 at = end.end() if end else (len(page) if tag in ("script", "style") else at)
             continue
         if tag not in BLOCKS:
             continue
         flush()
         if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if standing[tag]:
+                while node.tag != tag:
+                    standing[node.tag] -= 1
+                    node = node.parent
+                standing[tag] -= 1
+                node = node.parent
             continue
         if tag in VOID:
             continue
         while node.tag == "p" or node.tag in CLOSES.get(tag, ()):
+            standing[node.tag] -= 1
             node = node.parent
-        child = _Node(tag, f"{node.path}/{tag}", node.aside or _is_aside(tag, attributes, node), _is_doubtful(tag, attributes), node)
+        path = numbers.setdefault((node.path, tag), len(numbers) + 1)
+        child = _Node(tag, path, node.aside or _is_aside(tag, attributes, node), _is_doubtful(tag, attributes), node)
         node.children.append(child)
+        standing[tag] += 1
         node = child
     flush()
     return root, out
@@ -122,7 +135,7 @@ def blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
 
 def _weigh(root: _Node, found: list[tuple[_Node, str]]) -> float:
     """Length of the text on high-ratio paths; every element's weight is what it holds of that."""
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for node, text in found:
         own = paths.setdefault(node.path, [0, 0, 0])
         own[0] += len(text)
@@ -136,17 +149,16 @@ def _weigh(root: _Node, found: list[tuple[_Node, str]]) -> float:
 
     fused = {path: smooth(i, 0) * smooth(i, 1) for i, path in enumerate(paths)}
     least = CONTENT_SHARE * max(fused.values())
-    for node in _elements(root):
+    elements = list(_elements(root))
+    for node in elements:
         node.weight = 0.0
-    total = 0.0
     for node, text in found:
         if fused[node.path] >= least:
-            total += len(text)
-            up = node
-            while up is not None:
-                up.weight += len(text)
-                up = up.parent
-    return total
+            node.weight += len(text)
+    for node in reversed(elements):
+        if node.parent is not None:
+            node.parent.weight += node.weight
+    return root.weight
 
 
 def _elements(root: _Node) -> Iterator[_Node]:
@@ -162,11 +174,11 @@ def _settle(root: _Node, found: list[tuple[_Node, str]]) -> None:
     """Makes doubtful elements asides, with all they hold, but for those around the article: they hold a main element with text, the
     heaviest article, or a large share of the page's high-ratio text."""
     total = _weigh(root, found)
-    marked = [n for n in _elements(root) if n.tag in MAIN and n.weight]
+    marked = [n for n in _elements(root) if n.tag in MAIN and n.weight >= max(1, CONTENT_SHARE * total)]
     around = set()
     articles = [n for n in marked if n.tag == "article"]
     for node in [n for n in marked if n.tag == "main"] + ([max(articles, key=lambda n: n.weight)] if articles else []):
-        while node is not None:
+        while node is not None and node not in around:
             around.add(node)
             node = node.parent
     share = HOLDS_ALL if marked else HOLDS
@@ -175,6 +187,29 @@ def _settle(root: _Node, found: list[tuple[_Node, str]]) -> None:
             node.aside = True
 
 
+def _parts(root: _Node, found: list[tuple[_Node, str]]) -> list[_Node]:
+    """The elements whose blocks are the main text."""
+    _weigh(root, found)
+    marked = [n for n in _elements(root) if n.tag in MAIN and n.weight and not n.aside]
+    if marked:
+        outer = [n for n in marked if not n.in_main]
+        best = max(outer, key=lambda n: n.weight)
+        if best.tag == "main":
+            inner = max((n for n in marked if n.tag == "article" and n.in_main), key=lambda n: n.weight, default=best)
+            return [inner if inner.weight == best.weight else best]
+        return [n for n in outer if n.weight >= PART * best.weight]
+    headed: Counter[_Node] = Counter(n for n, _ in found if n.tag in HEADINGS)
+    for node in reversed(list(_elements(root))):
+        if node.parent is not None:
+            headed[node.parent] += headed[node]
+    node = root
+    while True:
+        inner = max((c for c in node.children if c.tag in CONTAINERS), key=lambda c: c.weight, default=None)
+        if inner is None or inner.weight < node.weight or headed[inner] < headed[node]:
+            return [node]
+        node = inner
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line; empty if the page has none."""
     root, found = blocks(page or "")
@@ -184,20 +219,8 @@ def main_text(page: str | None) -> str:
         found = [(n, t) for n, t in found if not n.aside]
     if not found:
         return ""
-    total = _weigh(root, found)
-    article = root
-    while True:
-        inner = max((c for c in article.children if c.tag in CONTAINERS), key=lambda c: c.weight, default=None)
-        if inner is None or inner.weight < HOLDS * total:
-            break
-        article = inner
-
-    def inside(node):
-        while node is not None and node is not article:
-            node = node.parent
-        return node is article
-
-    return "\n\n".join(text for node, text in found if inside(node))
+    inside = {n for part in _parts(root, found) for n in _elements(part)}
+    return "\n\n".join(text for node, text in found if node in inside)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
