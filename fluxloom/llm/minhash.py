@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fluxloom.llm.graph import Forest, components
-from fluxloom.llm.words import mix64, signed, sliced_words, span_sums, window_keys
+from fluxloom.llm.words import mix64, release, signed, sliced_words, span_sums, window_keys
 from fluxloom.session import durable, scratch
 
 BANDS, ROWS = 32, 5
@@ -70,6 +70,7 @@ def signatures(keys: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.nda
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids = batch.column(0)
             for a, b, words in sliced_words(batch.column(1), lower=True):

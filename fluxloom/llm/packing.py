@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fluxloom.llm.words import Words, sliced_words
+from fluxloom.llm.words import Words, kept, sliced_words
 from fluxloom.session import durable, scratch
 
 LENGTH = 2048
@@ -28,7 +28,7 @@ BINS_PER_GROUP = 20_000
 FAN_IN = 8
 KNOWN_WORDS = 400_000
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = kept({})
 
 
 class WordEncoder:
@@ -199,9 +199,12 @@ def pack(cut: DataFrame, length: int = LENGTH, nearly_full: float = NEARLY_FULL,
 
     Every row is in exactly one sequence; a sequence's rows stand without gaps from offset 0 and sum up to at most ``length``.
     """
+    given = "_row"
+    while given in cut.columns:
+        given += "_"
     with scratch() as cuts:
-        cut = cuts.cut(cut.withColumn("_row", F.monotonically_increasing_id()))
-        items = cut.select(F.col("_row").alias("row"), F.col("length").cast("long").alias("length"))
+        cut = cuts.cut(cut.withColumn(given, F.monotonically_increasing_id()))
+        items = cut.select(F.col(given).alias("row"), F.col("length").cast("long").alias("length"))
         kinds = "bin long, offset long, length long, row long, done boolean"
         full = items.where(F.col("length") >= length)
         emitted = [full.select(F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), "row")]
@@ -222,5 +225,5 @@ def pack(cut: DataFrame, length: int = LENGTH, nearly_full: float = NEARLY_FULL,
         placed = emitted[0]
         for part in emitted[1:]:
             placed = placed.unionByName(part)
-        placed = placed.select(F.col("row").alias("_row"), F.col("bin").alias("sequence_id"), "offset")
-        return durable(cut.drop("sequence_id", "offset").join(placed, "_row").drop("_row"))
+        placed = placed.select(F.col("row").alias(given), F.col("bin").alias("sequence_id"), "offset")
+        return durable(cut.drop("sequence_id", "offset").join(placed, given).drop(given))

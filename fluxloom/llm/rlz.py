@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fluxloom.llm.words import Words, mix64, signed, sliced_words, span_sums, window_keys
+from fluxloom.llm.words import Words, mix64, release, signed, sliced_words, span_sums, window_keys
 from fluxloom.session import durable, scratch
 
 WINDOW = 50
@@ -64,6 +64,7 @@ MIXED = 0xA0761D6478BD642F
 
 def _heads(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b, words in sliced_words(batch.column(2), lower=False):
                 anchors, starts = window_anchors(words, window)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fluxloom.llm.words import PUNCTUATION, mix64, sliced_words, span_sums
+from fluxloom.llm.words import PUNCTUATION, mix64, release, sliced_words, span_sums
 from fluxloom.session import durable
 
 BITS = 20
@@ -50,6 +50,7 @@ def _features(selected: np.ndarray | None):
     """Distinct buckets of every text; with ``selected``, positions in it of those that are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b, words in sliced_words(batch.column(1), lower=True, gaps=PUNCTUATION):
                 text, term = present(words, selected)
@@ -153,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
 
 def _score(model: FactorizationMachine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b, words in sliced_words(batch.column(0), lower=True, gaps=PUNCTUATION):
                 text, term = present(words, model.selected)
@@ -164,6 +166,9 @@ def _score(model: FactorizationMachine):
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` in 0..1 (replacing a column of that name); empty and null texts get the bias's score."""
     kept = [c for c in docs.columns if c != "score"]
-    rows = docs.select(F.col(text_col).cast("string").alias("_scored"), *kept)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_scored")
+    given = "_scored"
+    while given in kept:
+        given += "_"
+    rows = docs.select(F.col(text_col).cast("string").alias(given), *kept)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(_score(model), f"{kinds}, score double")

@@ -26,10 +26,23 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 PUNCTUATION = np.ones(256, dtype=bool)
 PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _POWERS: dict[int, np.ndarray] = {}
+_KEPT: list[dict] = [_POWERS]
+
+
+def kept(cache: dict) -> dict:
+    """Registers what an operator keeps in a worker from task to task."""
+    _KEPT.append(cache)
+    return cache
+
+
+def release() -> None:
+    """Empties all of it: workers are used again by other operators, which need the memory."""
+    for cache in _KEPT:
+        cache.clear()
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown on demand and kept."""
+    """base**0 .. base**(n-1) modulo 2**64; grown on demand and kept until ``release``."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -40,7 +53,7 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(done, size - done)
             have[done : done + step] = have[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
-        if size <= 1 << 23:
+        if size <= 2 * SLICE_BYTES:  # a longer text's powers go with its slice
             _POWERS[base] = have
     return have[:n]
 
