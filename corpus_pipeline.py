@@ -14,10 +14,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 TOXIC_AT = 0.3
+BATCH_BYTES = 4 << 20  # texts go to Python in batches of so many bytes, however long they are
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """The job's session hands texts over in small batches: buffers beside the heap stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, learnt from the labels, scores at ``TOXIC_AT`` or more go."""
+    bounded_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs.withColumn("_all", F.struct(*docs.columns)).select("text", "_all"), model)
     return scored.where(F.col("score") < TOXIC_AT).select("_all.*")
@@ -25,6 +32,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id. Rows without an id stay."""
+    bounded_batches(spark)
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     if gone.count() <= minhash.BROADCAST_IDS:
         gone = F.broadcast(gone)
@@ -32,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; documents of which nothing is left go."""
+    """Passages that an earlier document holds are cut out; documents of which nothing is left go. Null texts and rows without an id stay as they are."""
+    bounded_batches(spark)
     cut = rlz.without_duplicates(docs)
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     whole = ~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words")))
@@ -40,7 +49,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts placed in training sequences of at most ``packing.LENGTH`` ids."""
+    """Pieces of the texts placed in training sequences of at most ``packing.LENGTH`` ids. A null text is its end id alone; null ids stay null."""
+    bounded_batches(spark)
     return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json")))
 
 
