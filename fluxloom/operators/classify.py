@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fluxloom.functions.curves import curve_at
-from fluxloom.operators import metrics
+from fluxloom.operators import many, metrics
 from fluxloom.operators.prep import class_weights, clean_matrix, draw, fold_column, smote
 from fluxloom.plans.ordering import running_index
 from fluxloom.session import durable
@@ -36,7 +38,14 @@ class ClassModel:
     parts: list = field(default_factory=list)
     calibration: list | None = None
 
+    @property
+    def plain(self) -> bool:
+        """Whether the model is one of ``operators.many``: arrays, scored in batches."""
+        return bool(self.parts) and isinstance(self.parts[0], (many.Softmax, list))
+
     def raw_probabilities(self, df: DataFrame) -> DataFrame:
+        if self.plain:
+            return clean_matrix(df, self.columns).withColumn("_p", many.probability_column(self.parts[0], F.array(*[F.col(c) for c in self.columns])))
         out = assemble(df, self.columns)
         if self.kind == "logistic":
             out = self.parts[0].setPredictionCol("_pred").setRawPredictionCol("_raw").setProbabilityCol("_prob").transform(out)
@@ -56,7 +65,11 @@ class ClassModel:
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """Feature importance: tree gain, or mean absolute coefficient; descending."""
-        if self.kind == "gbt":
+        if self.plain and self.kind == "gbt":
+            sums = [float(v) for v in sum(m.importances(len(self.columns)) for m in self.parts[0]) / len(self.parts[0])]
+        elif self.plain:
+            sums = [float(v) for v in abs(self.parts[0].weights[:, :-1]).mean(axis=0)]
+        elif self.kind == "gbt":
             sums = [sum(float(m.featureImportances[i]) for m in self.parts) / len(self.parts) for i in range(len(self.columns))]
         else:
             matrix = self.parts[0].coefficientMatrix.toArray()
@@ -233,24 +246,84 @@ def fitter(kind: str, *, weighted: bool = False, **options) -> Fit:
     return lambda train, label, columns: fit_logistic(train, label, columns, **options)
 
 
+def training_sets(df: DataFrame, labels: Sequence[str], ident: str, columns: Sequence[str], *, folds: int, oversample: bool, seed: int = 42) -> tuple[list[list[str]], DataFrame, DataFrame]:
+    """(class names of every label, rows with their fold, training rows of every set).
+
+    Set ``folds + 1`` times the label's number plus k holds the rows outside of fold k, and for k = ``folds`` all rows. Rows without a label are
+    in none of its sets. Synthetic rows are made from the set's own rows only.
+    """
+    clean = clean_matrix(df.select(ident, *labels, *columns), columns)
+    x = F.array(*[F.col(c) for c in columns])
+    stacked = None
+    for i, label in enumerate(labels):
+        part = clean.where(F.col(label).isNotNull()).select(F.lit(i).alias("label_no"), F.col(label).cast("string").alias("name"), F.col(ident).cast("bigint").alias("key"), x.alias("x"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    names: list[list[str]] = [[] for _ in labels]
+    for r in stacked.select("label_no", "name").distinct().orderBy("name").collect():  # a handful of classes
+        names[r["label_no"]].append(r["name"])
+    place = F.create_map(*[v for i, own in enumerate(names) for c, name in enumerate(own) for v in (F.concat(F.lit(f"{i}|"), F.lit(name)), F.lit(c))])
+    cls = F.concat(F.col("label_no").cast("string"), F.lit("|"), F.col("name"))
+    folded = durable(fold_column(stacked.withColumn("cls", cls).withColumn("y", place[F.col("cls")]), "cls", "key", folds=folds, seed=seed).select("label_no", "key", "y", "fold", "x"))
+    member = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("fold")))
+    rows = folded.select("label_no", "key", "y", "x", member.alias("k")).select((F.col("label_no") * (folds + 1) + F.col("k")).alias("set"), "key", "y", "x")
+    if oversample:
+        rows = durable(rows)
+        wide = rows.select(F.concat_ws("|", "set", "y").alias("cls"), "set", "key", *[F.col("x")[i].alias(f"x{i}") for i in range(len(columns))])
+        made = smote(wide, "cls", "key", [f"x{i}" for i in range(len(columns))], seed=seed, within="set")
+        split = F.split("cls", r"\|")
+        vector = F.array(*[F.col(f"x{i}") for i in range(len(columns))])
+        made = made.select(split[0].cast("int").alias("set"), split[1].cast("int").alias("y"), vector.alias("x"))
+        # synthetic rows are named by what they hold, so that a lost task draws the same trees again
+        made = made.select("set", (F.xxhash64("y", "x").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("key"), "y", "x")
+        rows = durable(rows.unionByName(made).withColumn("w", F.lit(1.0)))
+    else:
+        weights = class_weights(rows.withColumn("cls", F.concat_ws("|", "set", "y")), "cls", "w")
+        # balanced within the set: as many sets and rows of each as there are cancel out below
+        sizes = rows.groupBy("set").agg(F.count("*").alias("_rows"), F.count_distinct("y").alias("_kinds"))
+        totals = rows.select("set", "y").agg(F.count("*").alias("_all"), F.count_distinct("set", "y").alias("_k"))
+        rows = durable(weights.join(F.broadcast(sizes), "set").join(F.broadcast(totals), F.lit(True)).select("set", "key", "y", "x", (F.col("w") * F.col("_k") / F.col("_all") * F.col("_rows") / F.col("_kinds")).alias("w")))
+    return names, folded, rows
+
+
 def train_classifiers(
     df: DataFrame, labels: Sequence[str], ident: str, columns: Sequence[str], *, kinds: Sequence[str] = ("logistic", "gbt"), oversample: bool = True, folds: int = 5, options: dict | None = None
 ) -> tuple[dict[tuple[str, str], ClassModel], DataFrame]:
-    """Every model kind for every label column: (fitted models, result table)."""
-    models, rows = {}, []
-    for label in labels:
-        data = durable(df.where(F.col(label).isNotNull()).select(ident, label, *columns))
+    """Every model kind for every label column, and its accuracy on held-out folds: (fitted models, result table).
+
+    All folds of all labels are trained side by side (``operators.many``): neither the number of jobs nor the rounds grow with the
+    number of models. ``options`` holds ``many.Boosting`` fields under "gbt", and max_iter and tolerance under "logistic".
+    """
+    options, columns = options or {}, list(columns)
+    names, folded, rows = training_sets(df, labels, ident, columns, folds=folds, oversample=oversample)
+    edges = many.bin_edges(clean_matrix(df.select(*columns), columns), columns)
+    classes = {i * (folds + 1) + k: len(own) for i, own in enumerate(names) if own for k in range(folds + 1)}
+    fitted = many.fit_sets(rows, classes, len(columns), edges, kinds=kinds, boosting=many.Boosting(**options.get("gbt", {})), **options.get("logistic", {}))
+
+    @F.pandas_udf("array<boolean>")
+    def right(label_no: pd.Series, fold: pd.Series, y: pd.Series, x: pd.Series) -> pd.Series:
+        """Which kinds of model that have not seen the row give its class."""
+        out = np.zeros((len(y), len(kinds)), dtype=bool)
+        sets = (label_no * (folds + 1) + fold).to_numpy()
+        for s in np.unique(sets):
+            here = np.flatnonzero(sets == s)
+            values = np.stack(x.to_numpy()[here])
+            for j, kind in enumerate(kinds):
+                if (kind, int(s)) in fitted:
+                    out[here, j] = many.class_probabilities(fitted[kind, int(s)], values).argmax(axis=1) == y.to_numpy()[here]
+        return pd.Series(list(out))
+
+    hits = folded.withColumn("hit", right("label_no", "fold", "y", "x"))
+    found = {(r["label_no"], r["fold"]): r for r in hits.groupBy("label_no", "fold").agg(*[F.avg(F.col("hit")[j].cast("double")).alias(k) for j, k in enumerate(kinds)]).collect()}
+    models, result = {}, []
+    for i, label in enumerate(labels):
         for kind in kinds:
-            fit = fitter(kind, weighted=not oversample and kind == "logistic", **(options or {}).get(kind, {}))
-            scores = cross_validate(data, label, ident, columns, fit, folds=folds, oversample=oversample)
-            train = data
-            if oversample:
-                train = durable(data.select(label, *columns).unionByName(smote(data, label, ident, columns)))
-            models[(label, kind)] = fit(train, label, columns)
+            scores = [found[i, k][kind] for k in range(folds) if (i, k) in found]
+            if not scores or (kind, i * (folds + 1) + folds) not in fitted:
+                continue
+            models[label, kind] = ClassModel(kind, names[i], columns, [fitted[kind, i * (folds + 1) + folds]])
             mean = sum(scores) / len(scores)
-            rows.append((label, kind, oversample, mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)), len(scores)))
-    table = df.sparkSession.createDataFrame(rows, "label string, model string, oversampled boolean, cv_mean double, cv_std double, folds int")
-    return models, table
+            result.append((label, kind, oversample, mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)), len(scores)))
+    return models, df.sparkSession.createDataFrame(result, "label string, model string, oversampled boolean, cv_mean double, cv_std double, folds int")
 
 
 def permutation_importance(model: ClassModel, df: DataFrame, label: str, ident: str, *, seed: int = 42) -> DataFrame:

@@ -234,17 +234,19 @@ def _nearest_in_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def smote(
-    df: DataFrame, label: str, ident: str, columns: Sequence[str], *, k: int = 5, seed: int = 42, block_rows: int = 10_000
+    df: DataFrame, label: str, ident: str, columns: Sequence[str], *, k: int = 5, seed: int = 42, block_rows: int = 10_000, within: str | None = None
 ) -> DataFrame:
-    """Synthetic rows (label + columns) that bring every class to the size of the largest.
+    """Synthetic rows (label + columns) that bring every class to the size of the largest; with ``within``, a column that the label
+    determines, to the largest with the same value of it, so that many tables are balanced at once.
 
     Each is a point between a row and one of its k nearest rows of the same class. Neighbours
     are exact: a class is cut into blocks of ``block_rows``, every pair of blocks is one task,
     and only k candidates per row leave it. Draws come from digests of the row id.
     """
-    sizes = durable(df.groupBy(label).agg(F.count("*").alias("_n")))
-    top = sizes.agg(F.max("_n").alias("_top"))
-    need = _one_row(sizes, top).where("_n < _top and _n > 1").select(label, "_n", (F.col("_top") - F.col("_n")).alias("_need"))
+    by = [within] if within else []
+    sizes = durable(df.groupBy(label, *by).agg(F.count("*").alias("_n")))
+    top = sizes.groupBy(*by).agg(F.max("_n").alias("_top"))
+    need = (sizes.join(top, by) if by else _one_row(sizes, top)).where("_n < _top and _n > 1").select(label, "_n", (F.col("_top") - F.col("_n")).alias("_need"))
     rows = df.join(need, label).select(
         F.col(label).alias("label"), F.col(ident).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"), "_n", "_need"
     )
