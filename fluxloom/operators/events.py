@@ -12,9 +12,10 @@ from fluxloom.functions.classes import CLASS_FLOORS, class_label, class_letter,
 from fluxloom.functions.timing import MINUTE_US, from_micros, hours_to_us, micros
 from fluxloom.operators.features import TS, named
 from fluxloom.plans.chains import anchor_groups, spaced_anchors
-from fluxloom.plans.ordering import running_index
+from fluxloom.plans.ladders import FAN, block_ladder, lowest_before_higher
+from fluxloom.plans.ordering import beside, numbered, range_chunks, running_index
 from fluxloom.plans.ranges import Part, range_aggregate, range_join
-from fluxloom.session import durable
+from fluxloom.session import Cuts, durable, scratch
 
 # Spacing of peaks in samples, reach of start and end in samples, share of the
 # peak flux that ends an event, share of the threshold a peak must stand out by.
@@ -99,145 +100,105 @@ def append_new(existing: DataFrame, batch: DataFrame, *, on: Sequence[str], orde
 # --- peaks --------------------------------------------------------------------------------
 
 
-def _local_maxima(v: np.ndarray) -> np.ndarray:
-    """Middle index of every run of equal values with a lower neighbour on both sides."""
-    starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    ends = np.r_[starts[1:], v.size] - 1
-    level = v[starts]
-    inner = np.arange(1, starts.size - 1)
-    top = inner[(level[inner] > level[inner - 1]) & (level[inner] > level[inner + 1])]
-    return (starts[top] + ends[top]) // 2
+def _spaced(at: np.ndarray, height: np.ndarray, known: np.ndarray, first: int, stop: int, spacing: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, gone) of the candidates of a piece: higher ones first, dropping all closer than ``spacing``.
 
-
-def _space_out(at: np.ndarray, height: np.ndarray, spacing: int, open_left: bool, open_right: bool, first: int, last: int):
-    """(kept, settled) per candidate: higher ones first, dropping all closer than ``spacing``.
-
-    Rounds of "keep what beats every undecided neighbour" give the same result as one pass by
-    falling height. A candidate whose fate hangs on samples outside the piece stays open.
+    Rounds of "keep what beats every undecided neighbour" give the same result as one pass by falling height. Candidates outside of
+    ``first`` <= at < ``stop`` have neighbours that are not here: only those ``known`` to be kept count as kept, the others as undecided.
     """
     n = at.size
     rank = np.empty(n, dtype=np.int64)
     rank[np.lexsort((at, height))] = np.arange(n)  # equal heights: the later one goes first
-    kept, gone = np.zeros(n, bool), np.zeros(n, bool)
-    unsure = (open_left & (at - first < spacing)) | (open_right & (last - at < spacing))
+    kept, gone = known.copy(), np.zeros(n, bool)
+    outside = (at < first) | (at >= stop)
     # maxima are two samples apart at least, so few positions away can be too close
     near = [(k, at[k:] - at[:-k] < spacing) for k in range(1, min(spacing // 2 + 1, n))]
+
+    def drop() -> None:
+        for k, close in near:
+            gone[:-k] |= close & kept[k:]
+            gone[k:] |= close & kept[:-k]
+        gone[kept] = False
+
+    drop()
     while True:
         beaten = np.zeros(n, bool)
         for k, close in near:
             beaten[:-k] |= close & ~gone[k:] & (rank[k:] > rank[:-k])
             beaten[k:] |= close & ~gone[:-k] & (rank[:-k] > rank[k:])
-        fresh = ~kept & ~gone & ~beaten & ~unsure
+        fresh = ~kept & ~gone & ~beaten & ~outside
         if not fresh.any():
-            return kept, kept | gone
+            return kept, gone
         kept |= fresh
-        for k, close in near:
-            gone[:-k] |= close & kept[k:]
-            gone[k:] |= close & kept[:-k]
-        gone &= ~kept
+        drop()
 
 
-def _stands_out(v: np.ndarray, i: int, drop: float, closed: bool, step: int) -> tuple[bool, bool]:
-    """(passes, settled): walking in ``step`` a sample ``drop`` lower comes before a higher one."""
-    side = v[i + 1 :] if step > 0 else v[:i][::-1]
-    stop = np.flatnonzero((side > v[i]) | (v[i] - side >= drop))
-    if stop.size:
-        return bool(v[i] - side[stop[0]] >= drop), True
-    return False, closed
+def spaced_peaks(candidates: DataFrame, *, keys: Sequence[str], spacing: int = PEAK_SPACING, core: int = 65_536, cuts: Cuts) -> DataFrame:
+    """Candidates (keys, idx, v, anything) that stay when higher ones drop all closer than ``spacing``.
 
+    The series is cut by sample number into pieces of ``core`` samples, which see the candidates within ``spacing`` beside them. What hangs on a
+    decision of another piece stays open and goes to the next round, in pieces cut half way between; a piece is bounded whatever
+    the series looks like, and a round settles at least the highest open candidate's piece.
+    """
+    keys = list(keys)
+    columns = [*candidates.columns, "known", "state"]
+    schema = T.StructType([*candidates.schema.fields, T.StructField("known", T.BooleanType()), T.StructField("state", T.IntegerType())])
+    left, done, turn = candidates.withColumn("known", F.lit(False)), None, 0
+    while True:
+        shift = core // 2 if turn % 2 else 0
+        piece = F.sequence(F.expr(f"(idx + {shift + core - spacing}) div {core}"), F.expr(f"(idx + {shift + core + spacing}) div {core}"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("idx")
+            first = (int(pdf["piece"].iloc[0]) - 1) * core - shift  # noqa: B023
+            at, known = pdf["idx"].to_numpy(np.int64), pdf["known"].to_numpy(bool)
+            kept, gone = _spaced(at, pdf["v"].to_numpy(float), known, first, first + core, spacing)
+            mine = (at >= first) & (at < first + core) & ~known & ~gone
+            return pdf[mine].assign(state=kept[mine].astype("int32"))[columns]
+
+        found = cuts.cut(left.withColumn("piece", F.explode(piece)).groupBy(*keys, "piece").applyInPandas(run, schema))
+        settled = found.where("state = 1")
+        done = settled if done is None else done.unionByName(settled)
+        open_ = found.where("state = 0")
+        if open_.isEmpty():
+            return done.select(*candidates.columns)
+        # only what was kept beside an edge can touch what is open
+        edge = F.pmod(F.col("idx") + shift, F.lit(core))
+        beside_edge = settled.where((edge < spacing) | (edge >= core - spacing)).withColumn("known", F.lit(True))
+        left, turn = open_.unionByName(beside_edge).drop("state"), turn + 1
 
-def _wide_enough(v: np.ndarray, i: int, closed_left: bool, closed_right: bool) -> tuple[bool, bool]:
-    """(passes, settled): at least one sample wide at half prominence.
 
-    A longer look can only lower the base and widen the peak, so a pass is final.
-    """
-    higher_l, higher_r = np.flatnonzero(v[:i] > v[i]), np.flatnonzero(v[i + 1 :] > v[i])
-    lo = higher_l[-1] + 1 if higher_l.size else 0
-    hi = i + higher_r[0] + 1 if higher_r.size else v.size
-    base = max(v[lo : i + 1].min(), v[i:hi].min())
-    level = v[i] - (v[i] - base) / 2
-    a = i
-    while a > lo and v[a] > level:
-        a -= 1
-    b = i
-    while b < hi - 1 and v[b] > level:
-        b += 1
-    left = a + (level - v[a]) / (v[a + 1] - v[a]) if v[a] < level else a
-    right = b - (level - v[b]) / (v[b - 1] - v[b]) if v[b] < level else b
-    wide = bool(right - left >= 1.0)
-    return wide, wide or ((closed_left or higher_l.size > 0) and (closed_right or higher_r.size > 0))
-
-
-def _piece_peaks(pdf: pd.DataFrame, floor: float, drop: float, core: int) -> pd.DataFrame:
-    """Peaks of one piece (core rows plus margins); ``settled`` is false where margins are short."""
-    pdf = pdf.sort_values("idx")
-    v, idx = pdf["v"].to_numpy(float), pdf["idx"].to_numpy(np.int64)
-    piece, size = int(pdf["piece"].iloc[0]), int(pdf["series_rows"].iloc[0])
-    open_l, open_r = idx[0] > 0, idx[-1] < size - 1
-    at = _local_maxima(v)
-    if open_l or open_r:  # a run of equal values cut by the margin is no maximum yet
-        at = at[(at > 0) & (at < v.size - 1)]
-    at = at[v[at] >= floor]
-    kept, settled = _space_out(at, v[at], PEAK_SPACING, open_l, open_r, 0, v.size - 1)
-    out = []
-    for j, i in enumerate(at):
-        if not piece * core <= idx[i] < (piece + 1) * core:
-            continue
-        if settled[j] and not kept[j]:
-            continue
-        ok_l, sure_l = _stands_out(v, i, drop, not open_l, -1)
-        ok_r, sure_r = _stands_out(v, i, drop, not open_r, 1)
-        if (sure_l and not ok_l) or (sure_r and not ok_r):
-            continue
-        wide, sure_w = _wide_enough(v, i, not open_l, not open_r)
-        if sure_w and not wide:
-            continue
-        sure = bool(settled[j] and sure_l and sure_r and sure_w)
-        out.append((piece, int(idx[i]), int(pdf["us"].iloc[i]), float(v[i]), sure))
-    frame = pd.DataFrame(out, columns=["piece", "idx", "us", "v", "settled"])
-    return frame.astype({"piece": "int64", "idx": "int64", "us": "int64", "v": "float64", "settled": "bool"})
-
-
-def local_peaks(flux: DataFrame, *, keys: Sequence[str] = (), min_class: str = "C", column: str = "flux_long", core: int = 8192, margin: int = 512) -> DataFrame:
-    """Peaks of the series: at least the class floor, standing out by a tenth of it, one sample
-    wide, ten samples apart (higher first). Gives keys, idx, us, v.
-
-    The series is cut by sample number into pieces of ``core`` rows with margins, so a piece
-    is bounded whatever the key or the burst. Pieces whose margins cannot settle a peak run
-    again with four times the margin, until none is left.
+def local_peaks(flux: DataFrame, *, keys: Sequence[str] = (), min_class: str = "C", column: str = "flux_long", core: int = 65_536) -> DataFrame:
+    """Peaks of the series: at least the class floor, ten samples apart (higher first), standing out by a tenth of the floor and one sample
+    wide at half of that. Gives keys, idx, us, v.
+
+    Candidates are runs of equal values above both neighbours. How far a peak stands out is looked up in a ladder of block extremes: the lowest
+    value on the way to the nearest higher sample on either side, however far that is.
     """
     keys = list(keys)
     floor = CLASS_FLOORS[min_class]
-    clean = flux.where(F.col(column).isNotNull() & ~F.isnan(column)).select(*keys, TS, F.col(column).alias("v"))
-    rows = running_index(clean, [TS], keys).select(*keys, "idx", micros(TS).alias("us"), "v")
-    sizes = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("series_rows"))
-    rows = durable(rows.join(sizes, keys) if keys else rows.join(F.broadcast(sizes), F.lit(True)))
-    fields = [rows.schema[k] for k in keys] + [
-        T.StructField(n, t) for n, t in (("piece", T.LongType()), ("idx", T.LongType()), ("us", T.LongType()), ("v", T.DoubleType()), ("settled", T.BooleanType()))
-    ]
-    schema = T.StructType(fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _piece_peaks(pdf, floor, floor * PROMINENCE_SHARE, core)
-        for i, k in enumerate(keys):
-            found.insert(i, k, pdf[k].iloc[0])
-        return found
-
-    done, pending = None, None
-    while True:
-        pieces = F.sequence(
-            F.expr(f"greatest(0, idx - {margin}) div {core}"), F.expr(f"least(series_rows - 1, idx + {margin}) div {core}")
+    clean = flux.where(F.col(column).isNotNull() & ~F.isnan(column)).select(*keys, micros(TS).alias("us"), F.col(column).cast("double").alias("v"))
+    with scratch() as cuts:
+        rows = numbered(range_chunks(clean, [*keys, "us"]), keys)
+        rows = cuts.cut(beside(rows, F.col("v"), keys, "before", after=False))
+        top = rows.agg(F.max("idx")).first()[0] or 0
+        steps = 1
+        while FAN**steps <= top:
+            steps += 1
+        begins = rows.where("before is null or before <> v")
+        runs = beside(begins, F.struct("idx", "v"), keys, "next")
+        candidates = runs.where(f"before < v and next.v < v and v >= {floor!r}").select(
+            *keys, F.expr("(idx + next.idx - 1) div 2").alias("idx"), "v", (F.col("next.idx") - F.col("idx")).alias("samples"), "before", F.col("next.v").alias("after")
         )
-        spread = rows.withColumn("piece", F.explode(pieces))
-        if pending is not None:
-            spread = spread.join(pending, [*keys, "piece"], "left_semi")
-        found = durable(spread.groupBy(*keys, "piece").applyInPandas(run, schema))
-        pending = durable(found.where("not settled").select(*keys, "piece").distinct())
-        settled = found.join(pending, [*keys, "piece"], "left_anti")
-        done = settled if done is None else done.unionByName(settled)
-        if pending.isEmpty():
-            return done.select(*keys, "idx", "us", "v")
-        margin *= 4
+        peaks = cuts.cut(spaced_peaks(candidates, keys=keys, core=core, cuts=cuts))
+        ladder = cuts.cut(block_ladder(rows, keys=keys, value="v", steps=steps))
+        points = peaks.select(*keys, "idx", "v")
+        low = [lowest_before_higher(points, ladder, keys=keys, steps=steps, side=side).select(*keys, "idx", F.col("low").alias(name)) for side, name in ((-1, "low_a"), (1, "low_b"))]
+        stands = peaks.join(low[0], [*keys, "idx"]).join(low[1], [*keys, "idx"]).withColumn("by", F.expr("v - greatest(low_a, low_b)")).withColumn("level", F.expr("v - by / 2"))
+        # one sample away the level is crossed, unless that sample is above it
+        wide = "samples > 1 or before > level or after > level or (1 - (level - before) / (v - before)) + (1 - (level - after) / (v - after)) >= 1"
+        good = stands.where(f"by >= {floor * PROMINENCE_SHARE!r} and ({wide})").select(*keys, "idx", "v")
+        return durable(good.join(rows.select(*keys, "idx", "us"), [*keys, "idx"]).select(*keys, "idx", "us", "v"))
 
 
 def event_edges(flux: DataFrame, peaks: DataFrame, *, keys: Sequence[str] = (), column: str = "flux_long") -> DataFrame:

@@ -46,14 +46,7 @@ def running_index(
     df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = (), name: str = "idx", chunks: int | None = None
 ) -> DataFrame:
     """Zero-based position of every row inside its key, in ``order``."""
-    keys = list(keys)
-    rows = range_chunks(df, [*keys, *order], chunks)
-    sizes = rows.groupBy("_chunk", *keys).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)))
-    out = _same(keys, rows, offsets.drop("_n"))
-    return out.withColumn(name, F.col("_pos") - F.col("_first") + F.col("_before")).drop(
-        "_pos", "_chunk", "_first", "_before"
-    )
+    return numbered(range_chunks(df, [*keys, *order], chunks), keys, name).drop("_pos", "_chunk")
 
 
 def running_sums(
@@ -79,6 +72,26 @@ def running_sums(
     return out.drop("_pos", "_chunk", *[f"_{p}_{n}" for n in sums for p in "xlo"])
 
 
+def beside(rows: DataFrame, value: Column, keys: Sequence[str] = (), name: str = "next", after: bool = True) -> DataFrame:
+    """``value`` on the row after (before) each one inside its key, null at the end; ``rows`` have ``_pos`` and ``_chunk`` and need not be all of them."""
+    keys = list(keys)
+    here = W.partitionBy("_chunk", *keys).orderBy("_pos")
+    staged = rows.withColumn("_v", value)
+    edge = staged.groupBy("_chunk", *keys).agg((F.min_by if after else F.max_by)("_v", "_pos").alias("_edge"))
+    beyond = W.partitionBy(*keys).orderBy(F.desc("_chunk") if after else "_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = edge.select("_chunk", *keys, F.last("_edge").over(beyond).alias("_carry"))
+    local = staged.withColumn("_near", (F.lead if after else F.lag)("_v").over(here))
+    return _same(keys, local, carry).withColumn(name, F.coalesce("_near", "_carry")).drop("_v", "_near", "_carry")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str] = (), name: str = "idx") -> DataFrame:
+    """Zero-based position of every row of ``range_chunks`` inside its key; keeps ``_pos`` and ``_chunk``."""
+    keys = list(keys)
+    sizes = rows.groupBy("_chunk", *keys).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)))
+    return _same(keys, rows, offsets.drop("_n")).withColumn(name, F.col("_pos") - F.col("_first") + F.col("_before")).drop("_first", "_before")
+
+
 def with_previous(
     df: DataFrame, order: str, keys: Sequence[str] = (), name: str = "prev", tie: Sequence[str] = (), chunks: int | None = None
 ) -> DataFrame:
