@@ -266,7 +266,28 @@ def j7(s, d):
 # --- peaks --------------------------------------------------------------------------------
 
 
-@query("w14_local_peaks")
+# Recursive oracle of the peaks: candidates by falling height, kept unless a kept one is closer than ten samples; then the way to the nearest
+# higher sample on either side, sample by sample.
+_PEAKS = """with recursive clean as (select series_id, timestamp, flux_long as v, row_number() over (partition by series_id order by timestamp) - 1 as idx,
+      count(*) over (partition by series_id) as n from flux where flux_long is not null),
+    steps as (select *, lag(v) over (partition by series_id order by idx) as before from clean),
+    runs as (select series_id, idx, v, before, lead(idx) over w as next_idx, lead(v) over w as after from steps where before is null or before <> v window w as (partition by series_id order by idx)),
+    cand as (select series_id, (idx + next_idx - 1) // 2 as idx, v, next_idx - idx as samples, before, after from runs where before < v and after < v and v >= 1e-6),
+    falling as (select *, row_number() over (partition by series_id order by v desc, idx desc) as r from cand),
+    walk as (select series_id, r, [idx] as kept from falling where r = 1
+      union all select f.series_id, f.r, case when len(list_filter(w.kept, lambda k: abs(k - f.idx) < 10)) = 0 then list_append(w.kept, f.idx) else w.kept end
+      from walk w join falling f on f.series_id = w.series_id and f.r = w.r + 1),
+    spaced as (select series_id, unnest(kept) as idx from (select series_id, arg_max(kept, r) as kept from walk group by series_id) x),
+    tops as (select c.* from cand c join spaced using (series_id, idx)),
+    reach as (select t.series_id, t.idx, t.v, max(c.idx) filter (c.idx < t.idx) as a, min(c.idx) filter (c.idx > t.idx) as b from tops t left join clean c on c.series_id = t.series_id and c.v > t.v group by 1, 2, 3),
+    base as (select t.series_id, t.idx, greatest(min(c.v) filter (c.idx < t.idx), min(c.v) filter (c.idx > t.idx)) as low
+      from reach t join clean c on c.series_id = t.series_id and c.idx > coalesce(t.a, -1) and c.idx < coalesce(t.b, c.n) group by 1, 2),
+    stands as (select t.*, t.v - low as by_, t.v - (t.v - low) / 2 as level from tops t join base using (series_id, idx)),
+    peaks as (select s.series_id, s.idx, c.timestamp, s.v, c.n from stands s join clean c using (series_id, idx) where by_ >= 1e-7 and (samples > 1 or before > level or after > level
+      or (1 - (level - before) / (s.v - before)) + (1 - (level - after) / (s.v - after)) >= 1))"""
+
+
+@query("w14_local_peaks", oracle(f"{_PEAKS} select series_id, idx, epoch_us(timestamp) as us, v from peaks", "flux"))
 def w14(s, d):
     return events.local_peaks(flux(s, d), keys=K)
 
@@ -296,7 +317,22 @@ def w16(s, d):
     return events.event_edges(flux(s, d), _simple_peaks(s, d), keys=K).select("series_id", "idx", "end_time")
 
 
-@query("w17_detect_events")
+@query("w17_detect_events", oracle(f"""{_PEAKS},
+    starts as (select p.series_id, p.idx, coalesce(max(c.timestamp) filter (c.v < p.v * 0.1), min(c.timestamp)) as start_time
+      from peaks p join clean c on c.series_id = p.series_id and c.idx between greatest(0, p.idx - 60) and p.idx group by 1, 2),
+    ends as (select p.series_id, p.idx, coalesce(min(c.timestamp) filter (c.v < p.v * 0.1), max(c.timestamp)) as end_time
+      from peaks p join clean c on c.series_id = p.series_id and c.idx between p.idx and greatest(p.idx, p.idx + least(60, p.n - p.idx - 1) - 1) group by 1, 2),
+    found as (select p.series_id, p.idx as event_no, start_time, p.timestamp as peak_time, end_time, case when v >= 1e-4 then 'X' when v >= 1e-5 then 'M' else 'C' end as class_category,
+        floor(case when v >= 1e-4 then v / 1e-4 when v >= 1e-5 then v / 1e-5 else v / 1e-6 end * 10 + 0.5) / 10.0 as class_magnitude
+      from peaks p join starts using (series_id, idx) join ends using (series_id, idx)),
+    nums as (select *, row_number() over (partition by series_id order by peak_time, event_no) as rn from found),
+    anchors as (select series_id, rn, peak_time as anchor from nums where rn = 1
+      union all select n.series_id, n.rn, case when n.peak_time > w.anchor + interval 60 minute then n.peak_time else w.anchor end from anchors w join nums n on n.series_id = w.series_id and n.rn = w.rn + 1),
+    merged as (select n.series_id, arg_min(n.event_no, (-class_magnitude, peak_time, event_no)) as event_no from nums n join anchors a on a.series_id = n.series_id and a.rn = n.rn group by n.series_id, a.anchor),
+    near as (select f.series_id, f.event_no, arg_max(r.region_number, (r.timestamp, r.region_number)) as active_region from found f join merged using (series_id, event_no)
+      left join regions r on r.series_id = f.series_id and r.timestamp between f.peak_time - interval 6 hour and f.peak_time + interval 6 hour group by 1, 2)
+    select f.series_id, f.event_no, start_time, peak_time, end_time, class_category || printf('%.1f', class_magnitude) as flare_class, class_category, class_magnitude,
+      'auto_detected' as source, false as verified, active_region from found f join near using (series_id, event_no)""", "flux", "regions"))
 def w17(s, d):
     return events.detect_events(flux(s, d), view(s, d, "regions"), keys=K)
 
