@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
+
 from pyspark.sql import functions as F
 
 from fluxloom.functions.curves import bucket_labels
@@ -223,10 +226,22 @@ def _land(s, df, label):
     return path, s.read.parquet(path).schema
 
 
-def _land_in_order(s, df, order, label):
+END = dt.datetime(2100, 1, 1)  # later than any row by more than every lateness
+
+
+def _land_in_order(s, df, order, label, ends: bool = False, after=END):
+    """The same, each file later than the one before; with ``ends`` a last file that closes what is open."""
     path = staging_path(s, label)
     df.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(path)
-    return path, s.read.parquet(path).schema
+    schema = s.read.parquet(path).schema
+    # a stream takes files by their time, and these are written side by side
+    place = s._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(s._jsc.hadoopConfiguration())
+    for i, name in enumerate(sorted(f.getPath().getName() for f in files.listStatus(place))):
+        files.setTimes(s._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), int(time.time() - 3600 + 2 * i) * 1000, -1)
+    if ends:
+        live.end_landing(s, path, schema, order, after)
+    return path, schema
 
 
 @query("t1_incremental_load", """select user_id, o as event_type, n from (select user_id, arg_max(event_type, ts) as o, count(*) as n from events group by 1) x""")
@@ -241,37 +256,55 @@ def t1(s, d):
 @query("t2_drop_repeats", "select event_id, ts, event_type from events")
 def t2(s, d):
     ev = table(s, d, "events").select("event_id", "ts", "event_type")
-    path, schema = _land(s, ev.unionByName(ev), "twice")
-    return live.collected(s, live.drop_repeats(live.read_landed(s, path, schema).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "40 days"), "once").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    path, schema = _land_in_order(s, ev.unionByName(ev), "ts", "twice")
+    stream = live.read_landed(s, path, schema, files_per_batch=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.collected(s, live.drop_repeats(stream, ["event_id"], "ts"), "once").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("t3_sliding_stats", oracle("""select series_id, w as window_start, w + interval 6 hour as window_end, count(flux_long) as n, q_14(avg(flux_long)) as mean, q_14(stddev_samp(flux_long)) as std,
       q_14(min(flux_long)) as min, q_14(max(flux_long)) as max
     from (select series_id, flux_long, unnest(generate_series(date_trunc('hour', timestamp) - interval 5 hour, date_trunc('hour', timestamp), interval 1 hour)) as w from flux) x group by 1, 2""", "flux"))
 def t3(s, d):
-    path, schema = _land(s, flux(s, d), "flux")
-    stream = live.read_landed(s, path, schema).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    out = live.collected_complete(s, live.sliding_stats(stream, "flux_long", keys=K, ts="timestamp"), "sliding")
+    path, schema = _land_in_order(s, flux(s, d), "timestamp", "flux", ends=True)
+    stream = live.read_landed(s, path, schema, files_per_batch=1).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    out = live.collected(s, live.sliding_stats(stream, "flux_long", keys=K, ts="timestamp"), "sliding")
     ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     return rounded(out.withColumns(ntz), 14)
 
 
-@query("t4_live_events")
+# Recursive oracle of the open event: one step per sample; what a step closes is in its e_ columns.
+_LIVE = """with recursive nums as (select series_id, epoch_us(timestamp) as us, flux_long as v, row_number() over (partition by series_id order by timestamp, flux_long) as rn from flux where flux_long is not null),
+    walk as (select series_id, rn, v >= 1e-6 as opened, us as start_us, us as peak_us, v as peak, us as last_us, cast(null as bigint) as e_start, cast(null as bigint) as e_peak_us, cast(null as double) as e_peak, cast(null as bigint) as e_end
+        from nums where rn = 1
+      union all select n.series_id, n.rn,
+        case when w.opened and n.us - w.last_us <= 21600000000 then n.v >= 0.1 * w.peak else n.v >= 1e-6 end,
+        case when w.opened and n.us - w.last_us <= 21600000000 then w.start_us else n.us end,
+        case when w.opened and n.us - w.last_us <= 21600000000 and n.v <= w.peak then w.peak_us else n.us end,
+        case when w.opened and n.us - w.last_us <= 21600000000 and n.v <= w.peak then w.peak else n.v end, n.us,
+        case when w.opened and (n.us - w.last_us > 21600000000 or n.v < 0.1 * w.peak) then w.start_us end, case when w.opened then w.peak_us end, case when w.opened then w.peak end,
+        case when n.us - w.last_us > 21600000000 then w.last_us else n.us end
+      from walk w join nums n on n.series_id = w.series_id and n.rn = w.rn + 1),
+    done as (select series_id, e_start as a, e_peak_us as b, e_end as c, e_peak as peak from walk where e_start is not null
+      union all select series_id, start_us, peak_us, last_us, peak from walk where opened and (series_id, rn) in (select (series_id, max(rn)) from nums group by series_id))
+    select series_id, make_timestamp(a) as start_time, make_timestamp(b) as peak_time, make_timestamp(c) as end_time, peak from done"""
+
+
+@query("t4_live_events", oracle(_LIVE, "flux"))
 def t4(s, d):
     rows = flux(s, d).select("series_id", micros("timestamp").alias("us"), F.col("flux_long").alias("v"))
-    path, schema = _land_in_order(s, rows, "us", "samples")
-    stream = live.read_landed(s, path, schema, files_per_batch=4)
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return live.collected(s, live.live_events(stream, key="series_id"), "live")
+    path, schema = _land_in_order(s, rows, "us", "samples", ends=True, after=int(END.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000)
+    stream = live.read_landed(s, path, schema, files_per_batch=1)
+    with live.state_store(s):
+        return live.collected(s, live.live_events(stream, key="series_id"), "live")
 
 
 @query("t5_grouped_events", oracle("""with b as (select *, case when peak_time - lag(peak_time) over (partition by active_region order by peak_time) < interval 1 hour then 0 else 1 end as o from flares),
       g as (select *, sum(o) over (partition by active_region order by peak_time) as k from b)
     select active_region, min(peak_time) as first_peak, count(*) as events, max(class_magnitude) as class_magnitude, arg_max(event_id, (class_magnitude, event_id)) as event_id from g group by active_region, k""", "flares"))
 def t5(s, d):
-    path, schema = _land(s, view(s, d, "flares"), "flares")
-    stream = live.read_landed(s, path, schema).withColumn("peak_time", F.col("peak_time").cast("timestamp"))
-    out = live.collected_complete(s, live.grouped_events(stream, keys=["active_region"], ts="peak_time"), "sessions")
+    path, schema = _land_in_order(s, view(s, d, "flares"), "peak_time", "flares", ends=True)
+    stream = live.read_landed(s, path, schema, files_per_batch=1).withColumn("peak_time", F.col("peak_time").cast("timestamp"))
+    out = live.collected(s, live.grouped_events(stream, keys=["active_region"], ts="peak_time"), "sessions")
     return out.withColumn("first_peak", F.col("first_peak").cast("timestamp_ntz"))
 
 
@@ -279,11 +312,11 @@ def t5(s, d):
     join flares e on e.series_id = p.series_id and e.peak_time between p.timestamp and p.timestamp + interval 2 hour""", "flares"))
 def t6(s, d):
     preds = table(s, d, "events").where("event_type = 'view'").select(F.col("event_id").alias("id"), F.expr("cast(user_id % 4 as int) as series_id"), F.col("ts").alias("timestamp"))
-    pp, ps = _land(s, preds, "preds")
-    ep, es = _land(s, view(s, d, "flares").select("event_id", "series_id", "peak_time"), "events")
+    pp, ps = _land_in_order(s, preds, "timestamp", "preds")
+    ep, es = _land_in_order(s, view(s, d, "flares").select("event_id", "series_id", "peak_time"), "peak_time", "events")
     as_time = lambda df, c: df.withColumn(c, F.col(c).cast("timestamp"))
-    p, e = as_time(live.read_landed(s, pp, ps), "timestamp"), as_time(live.read_landed(s, ep, es), "peak_time")
-    out = live.collected(s, live.matched_outcomes(p, e, hours=2, lateness="40 days"), "matched")
+    p, e = as_time(live.read_landed(s, pp, ps, files_per_batch=1), "timestamp"), as_time(live.read_landed(s, ep, es, files_per_batch=1), "peak_time")
+    out = live.collected(s, live.matched_outcomes(p, e, hours=2), "matched")
     return out.withColumn("peak_time", F.col("peak_time").cast("timestamp_ntz"))
 
 
@@ -296,11 +329,18 @@ def t7(s, d):
     return s.read.parquet(f"{out}/tests").drop("batch_no")
 
 
-@query("t8_live_status", """select event_type, max(ts) as latest, count(*) as n from events group by 1""")
+_SOURCES = {"view": "xray_flux", "click": "solar_regions", "purchase": "magnetogram", "signup": "flare_events", "error": "donki_flares"}
+
+
+@query("t8_live_status", """select event_type, latest, n as rows, q_8(age) as age_hours, case when age < 24 then 'fresh' when age < 48 then 'stale' else 'outdated' end as status, failed,
+      case when ok = required then 'success' when ok > 0 or optional > 0 then 'partial' else 'failed' end as overall_status
+    from (select *, (epoch_us(timestamp '2024-02-01 00:00:00') - epoch_us(latest)) / 3.6e9 as age, count(*) filter (event_type <> 'error') over () as required,
+        count(*) filter (event_type <> 'error' and not failed) over () as ok, count(*) filter (event_type = 'error' and not failed) over () as optional
+      from (select event_type, max(ts) as latest, count(*) as n, arg_max(value > 60, ts) as failed from events group by 1) x) y""")
 def t8(s, d):
-    path, schema = _land(s, table(s, d, "events"), "status")
+    path, schema = _land_in_order(s, table(s, d, "events"), "ts", "status")
     out = staging_path(s, "statuses")
+    live.live_status(live.read_landed(s, path, schema, files_per_batch=1), ts="ts", path=out, state=staging_path(s, "state"), by="event_type", failed=F.col("value") > 60)
+    names = F.create_map(*[F.lit(v) for pair in _SOURCES.items() for v in pair])[F.col("event_type")]
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    live.live_status(live.read_landed(s, path, schema), ts="ts", now=now, path=out, state=staging_path(s, "state"), by=["event_type"])
-    return s.read.parquet(out).groupBy("event_type").agg(F.max("latest").alias("latest"), F.sum("rows").alias("n"))
-
+    return live.current_status(s, out, by="event_type", now=now, source_names=names).withColumn("age_hours", q(F.col("age_hours"), 8))
