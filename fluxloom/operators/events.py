@@ -190,11 +190,10 @@ def local_peaks(flux: DataFrame, *, keys: Sequence[str] = (), min_class: str = "
         candidates = runs.where(f"before < v and next.v < v and v >= {floor!r}").select(
             *keys, F.expr("(idx + next.idx - 1) div 2").alias("idx"), "v", (F.col("next.idx") - F.col("idx")).alias("samples"), "before", F.col("next.v").alias("after")
         )
-        peaks = cuts.cut(spaced_peaks(candidates, keys=keys, core=core, cuts=cuts))
+        peaks = spaced_peaks(candidates, keys=keys, core=core, cuts=cuts)
         ladder = cuts.cut(block_ladder(rows, keys=keys, value="v", steps=steps))
-        points = peaks.select(*keys, "idx", "v")
-        low = [lowest_before_higher(points, ladder, keys=keys, steps=steps, side=side).select(*keys, "idx", F.col("low").alias(name)) for side, name in ((-1, "low_a"), (1, "low_b"))]
-        stands = peaks.join(low[0], [*keys, "idx"]).join(low[1], [*keys, "idx"]).withColumn("by", F.expr("v - greatest(low_a, low_b)")).withColumn("level", F.expr("v - by / 2"))
+        low = lowest_before_higher(peaks.select(*keys, "idx", "v"), ladder, keys=keys, steps=steps)
+        stands = peaks.join(low, [*keys, "idx"]).withColumn("by", F.expr("v - greatest(low_before, low_after)")).withColumn("level", F.expr("v - by / 2"))
         # one sample away the level is crossed, unless that sample is above it
         wide = "samples > 1 or before > level or after > level or (1 - (level - before) / (v - before)) + (1 - (level - after) / (v - after)) >= 1"
         good = stands.where(f"by >= {floor * PROMINENCE_SHARE!r} and ({wide})").select(*keys, "idx", "v")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-FAN = 64
+FAN = 256
 
 
 def block_ladder(series: DataFrame, *, keys: Sequence[str], value: str, steps: int, idx: str = "idx", fan: int = FAN) -> DataFrame:
@@ -29,57 +29,58 @@ def block_ladder(series: DataFrame, *, keys: Sequence[str], value: str, steps: i
     return out
 
 
-def _look(entries: str, side: int) -> str:
-    """Place of the nearest higher entry of a block among ``entries``, null without one."""
-    return f"{'array_max' if side < 0 else 'array_min'}(filter({entries}, p -> highs[int(p)] > v))"
-
-
 def _span(a: str, b: str) -> str:
     return f"if({a} <= {b}, sequence({a}, {b}), cast(array() as array<bigint>))"
 
 
+def _nearest(before: str, after: str) -> str:
+    """Place of the nearest higher entry: the last of those before on the left side (-1), the first of those after on the right."""
+    higher = "p -> highs[int(p)] > v"
+    return f"if(side < 0, array_max(filter({before}, {higher})), array_min(filter({after}, {higher})))"
+
+
 def _least(a: str, b: str) -> str:
-    """Least value of the entries a to b, null without any."""
-    return f"if({a} <= {b}, array_min(slice(lows, int({a}) + 1, int({b}) - int({a}) + 1)), null)"
+    """The least of ``low`` and the entries a to b, if any; least() passes over nulls."""
+    return f"least(low, if({a} <= {b}, array_min(slice(lows, int({a}) + 1, int({b}) - int({a}) + 1)), null))"
 
 
-def lowest_before_higher(points: DataFrame, ladder: DataFrame, *, keys: Sequence[str], steps: int, side: int, idx: str = "idx", fan: int = FAN) -> DataFrame:
-    """For every point (keys, idx, v): the least value between it and the nearest strictly higher sample before (side -1) or after (1) it,
-    or the end of the series, as ``low``; null where nothing lies between."""
+def lowest_before_higher(points: DataFrame, ladder: DataFrame, *, keys: Sequence[str], steps: int, idx: str = "idx", fan: int = FAN) -> DataFrame:
+    """For every point (keys, idx, v): the least values between it and the nearest strictly higher sample on either side, or the end of the
+    series, as ``low_before`` and ``low_after``; null where nothing lies between."""
     keys = list(keys)
-    names = [*keys, idx, "v"]
-    going = points.select(*names, F.expr(f"{idx} div {fan}").alias("block"), F.expr(f"{idx} % {fan}").alias("at"), F.lit(None).cast("double").alias("low"))
-    done, down = None, None
+    names = [*keys, idx, "v", "side"]
+    both = points.select(*keys, idx, "v", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    going = both.select(*names, F.expr(f"{idx} div {fan}").alias("block"), F.expr(f"{idx} % {fan}").alias("at"), F.lit(None).cast("double").alias("low"))
 
     def at_step(rows: DataFrame, step: int) -> DataFrame:
         return rows.join(ladder.where(F.col("step") == step).drop("step"), [*keys, "block"])
 
-    def merged(a: str, b: str):
-        return F.expr(f"least(low, {_least(a, b)})").alias("low")  # least() passes over nulls
-
-    ended = []
+    last = "size(highs) - 1L"
+    done = None
     entered: list[DataFrame | None] = [None] * steps  # by step: rows that go down into a block of it
+
+    def end(rows: DataFrame) -> None:
+        nonlocal done
+        part = rows.select(*names, "low")
+        done = part if done is None else done.unionByName(part)
+
     for step in range(steps):
-        there = at_step(going, step)
-        if side < 0:
-            there = there.withColumn("q", F.expr(_look(_span("0L", "at - 1"), side))).withColumn("low", merged("coalesce(q + 1, 0L)", "at - 1"))
-        else:
-            there = there.withColumn("q", F.expr(_look(_span("at + 1", "size(highs) - 1L"), side))).withColumn("low", merged("at + 1", "coalesce(q - 1, size(highs) - 1L)"))
+        there = at_step(going, step).withColumn("q", F.expr(_nearest(_span("0L", "at - 1"), _span("at + 1", last))))
+        there = there.withColumn("low", F.expr(f"if(side < 0, {_least('coalesce(q + 1, 0L)', 'at - 1')}, {_least('at + 1', f'coalesce(q - 1, {last})')})"))
         found, rest = there.where("q is not null"), there.where("q is null")
         if step == 0:
-            ended.append(found.select(*names, "low"))
+            end(found)
         else:
             entered[step - 1] = found.select(*names, F.expr(f"block * {fan} + q").alias("block"), "low")
         going = rest.select(*names, F.expr(f"block div {fan}").alias("block"), F.expr(f"block % {fan}").alias("at"), "low")
-    ended.append(going.select(*names, "low"))  # nothing higher on this side of the series
+    end(going)  # nothing higher on this side of the series
+    down = None
     for step in range(steps - 2, -1, -1):
         here = entered[step] if down is None else entered[step].unionByName(down)
-        there = at_step(here, step).withColumn("q", F.expr(_look("sequence(0L, size(highs) - 1L)", side)))
-        there = there.withColumn("low", merged("q + 1", "size(highs) - 1L") if side < 0 else merged("0L", "q - 1"))
+        there = at_step(here, step).withColumn("q", F.expr(_nearest(f"sequence(0L, {last})", f"sequence(0L, {last})")))
+        there = there.withColumn("low", F.expr(f"if(side < 0, {_least('q + 1', last)}, {_least('0L', 'q - 1')})"))
         if step == 0:
-            ended.append(there.select(*names, "low"))
+            end(there)
         else:
             down = there.select(*names, F.expr(f"block * {fan} + q").alias("block"), "low")
-    for part in ended:
-        done = part if done is None else done.unionByName(part)
-    return done
+    return done.groupBy(*keys, idx).agg(F.max(F.expr("if(side < 0, low, null)")).alias("low_before"), F.max(F.expr("if(side > 0, low, null)")).alias("low_after"))

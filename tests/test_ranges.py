@@ -75,6 +75,27 @@ def test_range_medians(spark):
             assert got[i] == pytest.approx(np.median(inside))
 
 
+@pytest.mark.parametrize("kind", ["constant", "narrow", "mixed", "twins"])
+def test_range_medians_of_crowded_bins(spark, kind):
+    rng = np.random.default_rng(2)
+    values = {
+        "constant": np.full(600, 3e-7),
+        "narrow": 5e-6 * (1 + 0.004 * rng.random(600)),
+        "mixed": np.r_[-2e-6 * (1 + 1e-9 * rng.random(200)), np.zeros(200), 4e-6 * (1 + 1e-13 * rng.integers(0, 5, 200))],
+        "twins": np.repeat(1.0 + np.arange(6) * 2.0**-52, 100),  # their logarithms are equal
+    }[kind]
+    rng.shuffle(values)
+    rows = [("k", i, float(v)) for i, v in enumerate(values)]
+    ranges = [("k", i, lo, lo + w) for i, (lo, w) in enumerate((lo, w) for lo in range(-100, 600, 70) for w in (10, 101, 450))]
+    out = range_medians(
+        spark.createDataFrame(ranges, "k string, id int, lo bigint, hi bigint"), spark.createDataFrame(rows, "k string, us bigint, v double"),
+        keys=["k"], group=["id"], value="v", base=16, longest=450, direct=8,
+    )
+    got = {r["id"]: r["median"] for r in out.collect()}
+    want = {i: float(np.median(inside)) for _, i, lo, hi in ranges if (inside := [v for _, u, v in rows if lo <= u <= hi])}
+    assert got == want
+
+
 def test_orderings(spark):
     rows = [(k, u, v, i) for i, (k, u, v) in enumerate(samples(5))]
     df = spark.createDataFrame(rows, "k string, us bigint, v double, id int")
