@@ -15,7 +15,9 @@ from fluxloom.plans.chains import anchor_groups, spaced_anchors
 from fluxloom.plans.ladders import FAN, block_ladder, lowest_before_higher
 from fluxloom.plans.ordering import beside, numbered, range_chunks, running_index
 from fluxloom.plans.ranges import Part, range_aggregate, range_join
-from fluxloom.session import Cuts, durable, scratch
+from fluxloom.session import Cuts, durable, scratch, staging_path
+from fluxloom.sources.store import CommittedTables
+from fluxloom.sources.tables import upsert
 
 # Spacing of peaks in samples, reach of start and end in samples, share of the
 # peak flux that ends an event, share of the threshold a peak must stand out by.
@@ -278,3 +280,28 @@ def backfill(archive: DataFrame, stored: DataFrame, *, start: str, end: str) ->
         .join(missing.agg(F.count("*").alias("missing_days")), one)
     )
     return flux, fresh, totals
+
+
+FLUX_SCHEMA = T.StructType().add("timestamp", T.TimestampNTZType()).add("flux_short", "double").add("flux_long", "double").add("satellite", "string")
+EVENT_SCHEMA = (
+    T.StructType().add("start_time", T.TimestampNTZType()).add("peak_time", T.TimestampNTZType()).add("end_time", T.TimestampNTZType())
+    .add("flare_class", "string").add("class_category", "string").add("class_magnitude", "double").add("source", "string")
+)
+
+
+def backfill_tables(store: CommittedTables, archive: DataFrame, *, start: str, end: str) -> DataFrame:
+    """Stores what an archive's date range holds: its flux is upserted, its new events are appended, and both become visible in one commit.
+
+    The tables are ``flux`` and ``events`` of the store; only the days of the range are read and rewritten. Running it again, also after a crash at any point, gives
+    the same tables: flux rows replace themselves, and events that are stored are not new. Returns the totals of ``backfill``.
+    """
+    spark = archive.sparkSession
+    columns = FLUX_SCHEMA.fieldNames()
+    flux, fresh, totals = backfill(archive, store.read("events", EVENT_SCHEMA), start=start, end=end)
+    flux, totals = durable(flux.select(*columns)), durable(totals)  # before the tables change
+    days = [r["day"] for r in flux.select(F.to_date(TS).cast("string").alias("day")).distinct().collect()]
+    merged = upsert(store.read("flux", FLUX_SCHEMA, days), flux.withColumn("_given", F.lit(1)), keys=[TS], order=["_given", "flux_long", "flux_short"])
+    replaced = store.stage("flux", merged, TS, staging_path(spark, "flux"))
+    added = store.stage("events", fresh.select(*EVENT_SCHEMA.fieldNames()), "peak_time", staging_path(spark, "events"))
+    store.commit({"flux": replaced}, {"events": added})
+    return totals

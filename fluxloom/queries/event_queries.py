@@ -8,11 +8,12 @@ from fluxloom.functions.timing import micros
 from fluxloom.operators import backtest, events
 from fluxloom.plans.ordering import running_index
 from fluxloom.queries.feature_queries import K, flux
-from fluxloom.queries.registry import query, rounded
+from fluxloom.queries.registry import q, query, rounded
 from fluxloom.queries.scalar_queries import _MAG, _POL, prediction_log
 from fluxloom.queries.views import oracle, table, view
 from fluxloom.session import staging_path
 from fluxloom.sources import feeds, tables
+from fluxloom.sources.store import CommittedTables
 
 # --- feeds --------------------------------------------------------------------------------
 
@@ -204,17 +205,6 @@ def s15(s, d):
     return tables.scan_range(s.read.parquet(path), "2024-01-10 00:00:00", "2024-01-12 12:00:00").select("series_id", "timestamp", "flux_long")
 
 
-@query("s16_backfill_totals")
-def s16(s, d):
-    path = staging_path(s, "archive")
-    rows = view(s, d, "flux").select(
-        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time_tag"), F.col("flux_short").alias("xrsa_flux"), F.col("flux_long").alias("xrsb_flux"), F.lit(0).alias("xrsa_flag"), F.lit(0).alias("xrsb_flag")
-    )
-    rows.write.option("header", "true").csv(path)
-    stored = view(s, d, "flares").where("source = 'nasa_donki'")
-    return events.backfill(feeds.read_archive_csv(s, path), stored, start="2024-01-01 00:00:00", end="2024-02-05 00:00:00")[2]
-
-
 # --- sets and keys ------------------------------------------------------------------------
 
 
@@ -268,8 +258,8 @@ def j7(s, d):
 
 # Recursive oracle of the peaks: candidates by falling height, kept unless a kept one is closer than ten samples; then the way to the nearest
 # higher sample on either side, sample by sample.
-_PEAKS = """with recursive clean as (select series_id, timestamp, flux_long as v, row_number() over (partition by series_id order by timestamp) - 1 as idx,
-      count(*) over (partition by series_id) as n from flux where flux_long is not null),
+_PEAKS_OF = """with recursive clean as (select series_id, timestamp, flux_long as v, row_number() over (partition by series_id order by timestamp) - 1 as idx,
+      count(*) over (partition by series_id) as n from {source} where flux_long is not null),
     steps as (select *, lag(v) over (partition by series_id order by idx) as before from clean),
     runs as (select series_id, idx, v, before, lead(idx) over w as next_idx, lead(v) over w as after from steps where before is null or before <> v window w as (partition by series_id order by idx)),
     cand as (select series_id, (idx + next_idx - 1) // 2 as idx, v, next_idx - idx as samples, before, after from runs where before < v and after < v and v >= 1e-6),
@@ -285,6 +275,19 @@ _PEAKS = """with recursive clean as (select series_id, timestamp, flux_long as v
     stands as (select t.*, t.v - low as by_, t.v - (t.v - low) / 2 as level from tops t join base using (series_id, idx)),
     peaks as (select s.series_id, s.idx, c.timestamp, s.v, c.n from stands s join clean c using (series_id, idx) where by_ >= 1e-7 and (samples > 1 or before > level or after > level
       or (1 - (level - before) / (s.v - before)) + (1 - (level - after) / (s.v - after)) >= 1))"""
+_PEAKS = _PEAKS_OF.replace("{source}", "flux")
+# Their start, end and class, and which of them stay when close ones are merged.
+_FOUND = """starts as (select p.series_id, p.idx, coalesce(max(c.timestamp) filter (c.v < p.v * 0.1), min(c.timestamp)) as start_time
+      from peaks p join clean c on c.series_id = p.series_id and c.idx between greatest(0, p.idx - 60) and p.idx group by 1, 2),
+    ends as (select p.series_id, p.idx, coalesce(min(c.timestamp) filter (c.v < p.v * 0.1), max(c.timestamp)) as end_time
+      from peaks p join clean c on c.series_id = p.series_id and c.idx between p.idx and greatest(p.idx, p.idx + least(60, p.n - p.idx - 1) - 1) group by 1, 2),
+    found as (select p.series_id, p.idx as event_no, start_time, p.timestamp as peak_time, end_time, case when v >= 1e-4 then 'X' when v >= 1e-5 then 'M' else 'C' end as class_category,
+        floor(case when v >= 1e-4 then v / 1e-4 when v >= 1e-5 then v / 1e-5 else v / 1e-6 end * 10 + 0.5) / 10.0 as class_magnitude
+      from peaks p join starts using (series_id, idx) join ends using (series_id, idx)),
+    nums as (select *, row_number() over (partition by series_id order by peak_time, event_no) as rn from found),
+    anchors as (select series_id, rn, peak_time as anchor from nums where rn = 1
+      union all select n.series_id, n.rn, case when n.peak_time > w.anchor + interval 60 minute then n.peak_time else w.anchor end from anchors w join nums n on n.series_id = w.series_id and n.rn = w.rn + 1),
+    merged as (select n.series_id, arg_min(n.event_no, (-class_magnitude, peak_time, event_no)) as event_no from nums n join anchors a on a.series_id = n.series_id and a.rn = n.rn group by n.series_id, a.anchor)"""
 
 
 @query("w14_local_peaks", oracle(f"{_PEAKS} select series_id, idx, epoch_us(timestamp) as us, v from peaks", "flux"))
@@ -318,17 +321,7 @@ def w16(s, d):
 
 
 @query("w17_detect_events", oracle(f"""{_PEAKS},
-    starts as (select p.series_id, p.idx, coalesce(max(c.timestamp) filter (c.v < p.v * 0.1), min(c.timestamp)) as start_time
-      from peaks p join clean c on c.series_id = p.series_id and c.idx between greatest(0, p.idx - 60) and p.idx group by 1, 2),
-    ends as (select p.series_id, p.idx, coalesce(min(c.timestamp) filter (c.v < p.v * 0.1), max(c.timestamp)) as end_time
-      from peaks p join clean c on c.series_id = p.series_id and c.idx between p.idx and greatest(p.idx, p.idx + least(60, p.n - p.idx - 1) - 1) group by 1, 2),
-    found as (select p.series_id, p.idx as event_no, start_time, p.timestamp as peak_time, end_time, case when v >= 1e-4 then 'X' when v >= 1e-5 then 'M' else 'C' end as class_category,
-        floor(case when v >= 1e-4 then v / 1e-4 when v >= 1e-5 then v / 1e-5 else v / 1e-6 end * 10 + 0.5) / 10.0 as class_magnitude
-      from peaks p join starts using (series_id, idx) join ends using (series_id, idx)),
-    nums as (select *, row_number() over (partition by series_id order by peak_time, event_no) as rn from found),
-    anchors as (select series_id, rn, peak_time as anchor from nums where rn = 1
-      union all select n.series_id, n.rn, case when n.peak_time > w.anchor + interval 60 minute then n.peak_time else w.anchor end from anchors w join nums n on n.series_id = w.series_id and n.rn = w.rn + 1),
-    merged as (select n.series_id, arg_min(n.event_no, (-class_magnitude, peak_time, event_no)) as event_no from nums n join anchors a on a.series_id = n.series_id and a.rn = n.rn group by n.series_id, a.anchor),
+    {_FOUND},
     near as (select f.series_id, f.event_no, arg_max(r.region_number, (r.timestamp, r.region_number)) as active_region from found f join merged using (series_id, event_no)
       left join regions r on r.series_id = f.series_id and r.timestamp between f.peak_time - interval 6 hour and f.peak_time + interval 6 hour group by 1, 2)
     select f.series_id, f.event_no, start_time, peak_time, end_time, class_category || printf('%.1f', class_magnitude) as flare_class, class_category, class_magnitude,
@@ -337,6 +330,58 @@ def w17(s, d):
     return events.detect_events(flux(s, d), view(s, d, "regions"), keys=K)
 
 
+_BACKFILL = _PEAKS_OF.replace("{source}", "(select 0 as series_id, timestamp, flux_long from flux where flux_short > 0 and flux_long > 0) valid") + f""",
+    {_FOUND},
+    stored as (select * from flares where source = 'nasa_donki'),
+    batch as (select f.* from found f join merged using (series_id, event_no)
+      where not exists (select 1 from stored e where e.class_category = f.class_category and e.peak_time between f.peak_time - interval 30 minute and f.peak_time + interval 30 minute)),
+    turns as (select *, row_number() over (partition by class_category order by peak_time, event_no) as rn from batch),
+    spacing as (select class_category, rn, peak_time as anchor, true as opens from turns where rn = 1
+      union all select n.class_category, n.rn, case when n.peak_time > w.anchor + interval 30 minute then n.peak_time else w.anchor end, n.peak_time > w.anchor + interval 30 minute
+      from spacing w join turns n on n.class_category = w.class_category and n.rn = w.rn + 1),
+    new as (select t.peak_time, t.class_magnitude from turns t join spacing using (class_category, rn) where opens),
+    every as (select peak_time, class_magnitude from new union all select peak_time, class_magnitude from stored)
+"""
+
+
+def _archive(s, d):
+    """Archive files of the flux view."""
+    path = staging_path(s, "archive")
+    rows = view(s, d, "flux").select(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time_tag"), F.col("flux_short").alias("xrsa_flux"), F.col("flux_long").alias("xrsb_flux"), F.lit(0).alias("xrsa_flag"), F.lit(0).alias("xrsb_flag")
+    )
+    rows.write.option("header", "true").csv(path)
+    return feeds.read_archive_csv(s, path)
+
+
+@query("s16_backfill_totals", oracle(f"""{_BACKFILL}
+    select (select count(*) from clean) as rows, (select count(*) from new) as events,
+      (select count(*) from (select unnest(generate_series(date '2024-01-01', date '2024-02-05', interval 1 day)) as day) x where cast(day as date) not in (select cast(timestamp as date) from clean)) as missing_days""", "flux", "flares"))
+def s16_totals(s, d):
+    stored = view(s, d, "flares").where("source = 'nasa_donki'")
+    return events.backfill(_archive(s, d), stored, start="2024-01-01 00:00:00", end="2024-02-05 00:00:00")[2]
+
+
+@query("s16_backfill", oracle(f"""{_BACKFILL}
+    select 'flux' as kind, cast(timestamp as date) as day, count(*) as n, q_13(sum(flux_long)) as total from flux where flux_short > 0 and flux_long > 0 group by 2
+    union all select 'events', cast(peak_time as date), count(*), q_6(sum(class_magnitude)) from every group by 2
+    union all select 'appended', null, count(*), 0e0 from new
+    union all select 'appended again', null, 0, 0e0""", "flux", "flares"))
+def s16(s, d):
+    """A range of archive files stored twice over: what the tables hold by day, and how many events each run appended."""
+    store = CommittedTables(s, staging_path(s, "store"))
+    stored = view(s, d, "flares").where("source = 'nasa_donki'").withColumn("flare_class", F.lit(None).cast("string"))
+    store.commit(added={"events": store.stage("events", stored.select(*events.EVENT_SCHEMA.fieldNames()), "peak_time", staging_path(s, "events"))})
+    archive = _archive(s, d)
+    runs = [events.backfill_tables(store, archive, start="2024-01-01 00:00:00", end="2024-02-05 00:00:00").select(F.lit(kind).alias("kind"), F.col("events").alias("n")) for kind in ("appended", "appended again")]
+    flux_rows, event_rows = store.read("flux", events.FLUX_SCHEMA), store.read("events", events.EVENT_SCHEMA)
+    by_day = lambda df, kind, ts, value, digits: df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), q(F.sum(value), digits).alias("total")).select(F.lit(kind).alias("kind"), "day", "n", "total")
+    out = by_day(flux_rows, "flux", "timestamp", "flux_long", 13).unionByName(by_day(event_rows, "events", "peak_time", "class_magnitude", 6))
+    for run in runs:
+        out = out.unionByName(run.select("kind", F.lit(None).cast("date").alias("day"), "n", F.lit(0.0).alias("total")))
+    return out
+
+
 # --- backtest -----------------------------------------------------------------------------
 
 

@@ -99,7 +99,7 @@ def brute_peaks(v, floor, drop, spacing):
     return out
 
 
-@pytest.mark.parametrize("core", [40, 1000])
+@pytest.mark.parametrize("core", [40])
 def test_local_peaks(spark, core):
     rng = np.random.default_rng(core)
     series = {
