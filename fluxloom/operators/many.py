@@ -472,3 +472,13 @@ def probability_column(model: Softmax | list[Trees], x: Column) -> Column:
         return pd.Series(list(class_probabilities(model, np.stack(values.to_numpy())))) if len(values) else pd.Series([], dtype=object)
 
     return score(x)
+
+
+def margin_column(model: Trees, x: Column) -> Column:
+    """Sum of the trees for the array column ``x``."""
+
+    @pandas_udf("double")
+    def score(values: pd.Series) -> pd.Series:
+        return pd.Series(model.margin(np.stack(values.to_numpy())) if len(values) else [], dtype="float64")
+
+    return score(x)

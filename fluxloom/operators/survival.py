@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fluxloom.functions.curves import BUCKET_HOURS, bucket_probabilities
+from fluxloom.operators.many import Trees, margin_column
 from fluxloom.operators.metrics import concordance
 from fluxloom.operators.prep import clean_matrix, tail_split, varying_columns
 from fluxloom.operators.reports import top_contributions
@@ -349,10 +350,14 @@ def boosting_target(df: DataFrame, output: str = "_target") -> DataFrame:
 @dataclass
 class BoostedModel:
     columns: list[str]
-    model: GBTRegressionModel
+    model: GBTRegressionModel | Trees
     scale: float  # largest absolute hazard seen in training
 
     def hazard(self, df: DataFrame, output: str = "hazard_score") -> DataFrame:
+        if isinstance(self.model, Trees):
+            cleaned = clean_matrix(df.select("*", *[F.col(c).alias(f"_x_{c}") for c in self.columns]), [f"_x_{c}" for c in self.columns])
+            x = F.array(*[F.col(f"_x_{c}") for c in self.columns])
+            return cleaned.withColumn(output, margin_column(self.model, x)).drop(*[f"_x_{c}" for c in self.columns])
         vec = VectorAssembler(inputCols=self.columns, outputCol="_vec").transform(clean_matrix(df, self.columns))
         return self.model.setFeaturesCol("_vec").setPredictionCol(output).transform(vec).drop("_vec")
 
@@ -360,7 +365,8 @@ class BoostedModel:
         return exponential_curve(self.hazard(df, "_h"), "_h", output, scale=self.scale if scale == "train" else None).drop("_h")
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, float(self.model.featureImportances[i])) for i, c in enumerate(self.columns)]
+        share = self.model.importances(len(self.columns)) if isinstance(self.model, Trees) else self.model.featureImportances
+        rows = [(c, float(share[i])) for i, c in enumerate(self.columns)]
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions.curves import bucket_labels
 from fluxloom.functions.timing import micros
-from fluxloom.operators import classify, features, labels, monitor, scoring, survival
+from fluxloom.operators import classify, features, labels, model_store, monitor, scoring, survival
 from fluxloom.operators.prep import stratified_split
 from fluxloom.queries.feature_queries import K, flux, grid
 from fluxloom.queries.model_queries import DIMENSIONS, vectors
@@ -87,6 +87,35 @@ def m33(s, d):
     return classify.score_classes(classify.ClassModel.load(path, s), df, ["id"], window_hours=24)
 
 
+def _stored(s, folder, name, model):
+    """The model after it was stored and loaded."""
+    model_store.save_model(s, folder, name, model)
+    return model_store.load_model(s, folder, name)
+
+
+@query("m33_model_store", oracle("""select kind, n, true as same from (select 'logistic' as kind, count(*) as n from embeddings union all select 'gbt', count(*) from embeddings union all select 'calibrated', count(*) from embeddings
+    union all select 'cox', count(*) from survival union all select 'boosted survival', count(*) from survival) x""", "survival"))
+def m33_store(s, d):
+    """Models of every kind score all rows alike before and after they are stored."""
+    df, rows, folder = _train(s, d), durable(_survival(s, d)), staging_path(s, "models")
+    fit = classify.fitter("logistic")
+    logistic = fit(df, "label", XS)
+    models = {"logistic": logistic, "gbt": classify.fit_gbt(df, "label", XS, trees=5), "calibrated": classify.calibrate(logistic, df, "label", "id", fit)}
+    out = None
+    for kind, model in models.items():
+        again = _stored(s, folder, kind, model)
+        both = model.probabilities(df).select("id", F.col("_p").alias("a")).join(again.probabilities(df).select("id", F.col("_p").alias("b")), "id")
+        far = F.array_max(F.zip_with("a", "b", lambda a, b: F.abs(a - b)))
+        part = both.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), (F.max(far) < 1e-9).alias("same"))
+        out = part if out is None else out.unionByName(part)
+    covariates = ["x0", "x1", "x2"]
+    for kind, model in (("cox", survival.fit_cox(rows, covariates)), ("boosted survival", survival.fit_boosted(rows, covariates, trees=10))):
+        again = _stored(s, folder, kind, model)
+        both = model.hazard(rows, "a").select("id", "a").join(again.hazard(rows, "b").select("id", "b"), "id")
+        out = out.unionByName(both.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), (F.max(F.abs(F.col("a") - F.col("b"))) < 1e-9).alias("same")))
+    return out
+
+
 @query("o6_feature_importance")
 def o6(s, d):
     return classify.fit_gbt(_train(s, d), "label", XS).importances(s)

@@ -37,10 +37,10 @@ class CommittedTables:
             return []
         return [tuple(r) for r in self.spark.read.parquet(f"{self.folder}/commits/{version}").select("name", "day", "path").collect()]  # one row per folder
 
-    def read(self, name: str, schema: StructType, days: Iterable[str] | None = None) -> DataFrame:
-        """The table as of the newest commit; with ``days`` only their folders."""
+    def read(self, name: str, schema: StructType, days: Iterable[str] | None = None, version: int | None = None) -> DataFrame:
+        """The table as of a commit, the newest one without; with ``days`` only their folders."""
         wanted = None if days is None else set(days)
-        paths = [path for table, day, path in self._manifest(self.version()) if table == name and (wanted is None or day in wanted)]
+        paths = [path for table, day, path in self._manifest(self.version() if version is None else version) if table == name and (wanted is None or day in wanted)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def stage(self, name: str, rows: DataFrame, ts: str, path: str) -> Folders:
