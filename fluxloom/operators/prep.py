@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fluxloom.functions.missing import nan_as_null
 from fluxloom.plans.ordering import carried_values, running_index
 from fluxloom.plans.quantiles import column_quantiles
-from fluxloom.session import durable
+from fluxloom.session import Cuts, durable, scratch
 
 # Columns that would leak the label, and identifiers.
 LEAK_PREFIXES = ("label_", "num_flares_", "max_magnitude_", "flare_classes_")
 ID_COLUMNS = ("timestamp", "region_number")
 
 
+MOST_PIVOTS = 2048  # of a class in the search for neighbours
+
+
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -210,27 +213,126 @@ def tail_split(df: DataFrame, order: Sequence[str], *, test_share: float = 0.2)
 # --- oversampling -------------------------------------------------------------------------
 
 
-def _nearest_in_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest right-side rows of each left-side row of one block pair."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    names = ["label", "id", "other", "dist", "vec", "other_vec"]
-    if left.empty or right.empty:
-        return pd.DataFrame(columns=names)
-    a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-    ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-    norm_b = (b * b).sum(1)
-    out = []
-    for s in range(0, len(a), 512):
-        block = a[s : s + 512]
-        d2 = np.maximum((block * block).sum(1)[:, None] + norm_b[None, :] - 2 * block @ b.T, 0)
-        d2[ids_a[s : s + 512][:, None] == ids_b[None, :]] = np.inf
-        take = min(k, d2.shape[1])
-        near = np.argpartition(d2, take - 1, axis=1)[:, :take]
-        for i in range(len(block)):
-            for j in near[i]:
-                if np.isfinite(d2[i, j]):
-                    out.append((pdf["label"].iloc[0], ids_a[s + i], ids_b[j], float(d2[i, j]), block[i].tolist(), b[j].tolist()))
-    return pd.DataFrame(out, columns=names)
+def exact_neighbours(points: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other's id, squared distance) of the k nearest others of every point, itself left out; ties go to the smaller id.
+
+    Products of the vectors find who may be near; the distances that count are taken from the differences.
+    """
+    rows, near, dist = [], [], []
+    norm = (others * others).sum(1)
+    for s in range(0, len(points), 512):
+        block, own = points[s : s + 512], ids[s : s + 512]
+        rough = np.maximum((block * block).sum(1)[:, None] + norm[None, :] - 2 * block @ others.T, 0)
+        rough[own[:, None] == other_ids[None, :]] = np.inf
+        take = min(k, rough.shape[1])
+        limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
+        slack = 1e-9 * ((block * block).sum(1) + (norm.max() if len(norm) else 0.0))
+        at, place = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
+        exact = ((block[at] - others[place]) ** 2).sum(1)
+        order = np.lexsort((other_ids[place], exact, at))
+        at, place, exact = at[order], place[order], exact[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        rows.append(s + at[kept])
+        near.append(other_ids[place[kept]])
+        dist.append(exact[kept])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(rows, np.int64), join(near, np.int64), join(dist, np.float64)
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
+
+
+def _to_pivots(pivots: dict, label: object, x: np.ndarray) -> np.ndarray:
+    """Distance of every row to every pivot of its class."""
+    own = pivots[label]
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (own * own).sum(1)[None, :] - 2 * x @ own.T, 0))
+
+
+def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) -> DataFrame:
+    """(label, id, other, dist): the k nearest rows of the same class for every row that seeds.
+
+    ``rows`` has label, id, vec, _n (rows of the class), _i (its place in a drawn order) and seeds. The first ``sqrt(_n)`` rows of a class, ``MOST_PIVOTS`` at
+    most, are its pivots; a row belongs to the cell of the nearest one. A row's own cell gives its k best so far; by the triangle inequality
+    only cells whose radius reaches into that distance can hold nearer ones, and only those are visited. Cells are cut into blocks, so a task is
+    bounded; ids and distances alone leave it. Results are exact whatever the pivots; they decide how many cells are left out.
+    """
+    count = F.least(F.ceil(F.sqrt("_n")), F.lit(MOST_PIVOTS))
+    pivots: dict[object, list] = {}
+    for r in rows.where(F.col("_i") < count).select("label", "vec").orderBy("label", "_i").collect():  # MOST_PIVOTS a class at most
+        pivots.setdefault(r["label"], []).append(r["vec"])
+    pivots = {label: np.array(vecs, dtype=np.float64) for label, vecs in pivots.items()}
+    label_type = rows.schema["label"].dataType
+
+    def by_label(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
+        labels = batch.column(0).to_pylist()
+        for label in dict.fromkeys(labels):
+            yield label, np.array([i for i, v in enumerate(labels) if v == label])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, dist = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
+            x = _vectors(batch.column(2))
+            for label, own in by_label(batch):
+                far = _to_pivots(pivots, label, x[own])
+                cell[own] = far.argmin(axis=1)
+                dist[own] = far[np.arange(len(own)), cell[own]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], [*batch.schema.names, "cell", "away"])
+
+    kinds = T.StructType([rows.schema["label"], rows.schema["id"], rows.schema["vec"], rows.schema["seeds"]])
+    placed = cuts.cut(rows.select("label", "id", "vec", "seeds").mapInArrow(assign, T.StructType(kinds.fields + [T.StructField("cell", T.LongType()), T.StructField("away", T.DoubleType())])))
+    cells = durable(placed.groupBy("label", "cell").agg(F.count("*").alias("members"), F.max("away").alias("radius")))
+    radius = {(r["label"], r["cell"]): r["radius"] for r in cells.collect()}  # one row per pivot
+    blocks = cells.select("label", "cell", F.expr(f"(members + {block_rows - 1}) div {block_rows}").alias("blocks"))
+    members = placed.join(blocks, ["label", "cell"]).select("label", "cell", "id", "vec", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    found = T.StructType([T.StructField("label", label_type), T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("dist", T.DoubleType())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Nearest members of a block for the queries that visit it."""
+        asks = table["side"].to_numpy() == 0
+        x, ids = _vectors(table["vec"]), table["id"].to_numpy()
+        row, other, dist = exact_neighbours(x[asks], ids[asks], x[~asks], ids[~asks], k)
+        label = table["label"].combine_chunks() if isinstance(table["label"], pa.ChunkedArray) else table["label"]
+        return pa.table({"label": label.take(pa.array(np.zeros(len(row), np.int64))), "id": pa.array(ids[asks][row]), "other": pa.array(other), "dist": pa.array(dist)})
+
+    def visited(queries: DataFrame) -> DataFrame:
+        """k best of each query in every block of the cells it visits; queries of a block are dealt out, too."""
+        share = F.pmod(F.xxhash64("id", F.lit(1)), "parts")
+        sizes = queries.groupBy("label", "cell").agg(F.expr(f"(count(*) + {block_rows - 1}) div {block_rows}").alias("parts"))
+        ask = queries.join(sizes, ["label", "cell"]).join(blocks, ["label", "cell"])
+        ask = ask.select("label", "cell", "id", "vec", share.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
+        have = members.join(sizes, ["label", "cell"])
+        have = have.select("label", "cell", "id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", F.lit(1).alias("side"))
+        return ask.unionByName(have).groupBy("label", "cell", "part", "block").applyInArrow(compare, found)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("label", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("near"))
+
+    seeds = placed.where("seeds").select("label", "cell", "id", "vec")
+    own = cuts.cut(best(visited(seeds)))
+    reach = F.when(F.size("near") >= k, F.sqrt(F.element_at("near", -1)["dist"])).otherwise(F.lit(float("inf")))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Further cells that may hold nearer rows."""
+        for batch in batches:
+            x, cell, limit = _vectors(batch.column(2)), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            for label, rows_of in by_label(batch):
+                far = _to_pivots(pivots, label, x[rows_of])
+                span = np.array([radius.get((label, j), -np.inf) for j in range(far.shape[1])])
+                least = far - span[None, :]
+                # products round: a little more than the triangle inequality asks for
+                open_ = least <= (limit[rows_of] * (1 + 1e-9) + 1e-7 * (1 + far.max(axis=1)))[:, None]
+                open_[np.arange(len(rows_of)), cell[rows_of]] = False
+                at, where = np.nonzero(open_)
+                picked = pa.array(rows_of[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), pa.array(where.astype(np.int64)), batch.column(1).take(picked), batch.column(2).take(picked)], ["label", "cell", "id", "vec"])
+
+    asked = seeds.join(own.select("label", "id", reach.alias("reach")), ["label", "id"], "left").select("label", "id", "vec", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    further = cuts.cut(asked.mapInArrow(others, T.StructType([rows.schema["label"], T.StructField("cell", T.LongType()), rows.schema["id"], rows.schema["vec"]])))
+    more = visited(further)
+    pairs = own.select("label", "id", F.explode("near").alias("x")).select("label", "id", F.col("x.other").alias("other"), F.col("x.dist").alias("dist")).unionByName(more)
+    return best(pairs)
 
 
 def smote(
@@ -239,36 +341,24 @@ def smote(
     """Synthetic rows (label + columns) that bring every class to the size of the largest; with ``within``, a column that the label
     determines, to the largest with the same value of it, so that many tables are balanced at once.
 
-    Each is a point between a row and one of its k nearest rows of the same class. Neighbours
-    are exact: a class is cut into blocks of ``block_rows``, every pair of blocks is one task,
-    and only k candidates per row leave it. Draws come from digests of the row id.
+    Each is a point between a row and one of its k nearest rows of the same class. Neighbours are exact (``class_neighbours``). Draws come from
+    digests of the row id. Ids are unique in a class.
     """
     by = [within] if within else []
-    sizes = durable(df.groupBy(label, *by).agg(F.count("*").alias("_n")))
-    top = sizes.groupBy(*by).agg(F.max("_n").alias("_top"))
-    need = (sizes.join(top, by) if by else _one_row(sizes, top)).where("_n < _top and _n > 1").select(label, "_n", (F.col("_top") - F.col("_n")).alias("_need"))
-    rows = df.join(need, label).select(
-        F.col(label).alias("label"), F.col(ident).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"), "_n", "_need"
-    )
-    ranked = durable(running_index(rows.withColumn("_draw", draw("id", seed)), ["_draw", "id"], ["label"], name="_i"))
-    blocks = F.expr(f"(_n + {block_rows - 1}) div {block_rows}")
-    placed = ranked.withColumn("_b", F.expr(f"_i div {block_rows}")).withColumn("_blocks", blocks)
-    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    seeding = F.expr("_need div _n + if(_i < _need % _n, 1, 0)") > 0
-    left = placed.where(seeding).select("label", "id", "vec", F.lit(0).alias("side"), F.col("_b").alias("a"), others.alias("b"))
-    right = placed.select("label", "id", "vec", F.lit(1).alias("side"), others.alias("a"), F.col("_b").alias("b"))
-    label_type = df.schema[label].dataType.simpleString()
-    schema = f"label {label_type}, id bigint, other bigint, dist double, vec array<double>, other_vec array<double>"
-    pairs = left.unionByName(right).groupBy("label", "a", "b").applyInPandas(lambda pdf: _nearest_in_block(pdf, k), schema)
-    # k candidates per block and row: keep the k best of them, in a fixed order
-    best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "other", "other_vec"))), 1, k)
-    near = pairs.groupBy("label", "id").agg(F.first("vec").alias("vec"), best.alias("near"))
-    seeds = near.join(ranked.select("label", "id", "_i", "_n", "_need"), ["label", "id"])
-    copies = F.expr("_need div _n + if(_i < _need % _n, 1, 0)")
-    spread = seeds.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    digest = F.xxhash64("id", "copy", F.lit(seed))
-    other = F.get(F.col("near"), F.pmod(digest, F.size("near")).cast("int"))["other_vec"]
-    share = F.pmod(F.xxhash64("id", "copy", F.lit(seed + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    point = F.zip_with("vec", other, lambda x, y: x + share * (y - x))
-    made = spread.select(F.col("label").alias(label), point.alias("_v"))
-    return made.select(label, *[F.col("_v")[i].alias(c) for i, c in enumerate(columns)])
+    with scratch() as cuts:
+        sizes = cuts.cut(df.groupBy(label, *by).agg(F.count("*").alias("_n")))
+        top = sizes.groupBy(*by).agg(F.max("_n").alias("_top"))
+        need = (sizes.join(top, by) if by else _one_row(sizes, top)).where("_n < _top and _n > 1").select(label, "_n", (F.col("_top") - F.col("_n")).alias("_need"))
+        rows = df.join(need, label).select(
+            F.col(label).alias("label"), F.col(ident).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"), "_n", "_need"
+        )
+        copies = F.expr("_need div _n + if(_i < _need % _n, 1, 0)")
+        ranked = cuts.cut(running_index(rows.withColumn("_draw", draw("id", seed)), ["_draw", "id"], ["label"], name="_i").withColumn("copies", copies).withColumn("seeds", F.col("copies") > 0))
+        near = class_neighbours(ranked, k=k, block_rows=block_rows, cuts=cuts)
+        spread = ranked.where("seeds").join(near, ["label", "id"]).select("label", "id", "vec", "near", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+        digest = F.xxhash64("id", "copy", F.lit(seed))
+        share = F.pmod(F.xxhash64("id", "copy", F.lit(seed + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        chosen = spread.select("label", "vec", share.alias("share"), F.get(F.col("near"), F.pmod(digest, F.size("near")).cast("int"))["other"].alias("other"))
+        ends = chosen.join(ranked.select("label", F.col("id").alias("other"), F.col("vec").alias("end")), ["label", "other"])
+        point = F.zip_with("vec", "end", lambda x, y: x + F.col("share") * (y - x))
+        return durable(ends.select(F.col("label").alias(label), point.alias("_v")).select(label, *[F.col("_v")[i].alias(c) for i, c in enumerate(columns)]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators import classify, events, metrics, monitor, prep, reports, survival
 from fluxloom.plans.chains import spaced_anchors
-from fluxloom.session import staging_path
+from fluxloom.session import scratch, staging_path
 from fluxloom.sources import tables
 
 BASE = dt.datetime(2024, 1, 1)
@@ -334,6 +334,33 @@ def test_smote_balances_classes(spark):
         assert ok
 
 
+def test_neighbours_are_exact_and_most_cells_are_left_out(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 3)) * 100
+    pts = np.r_[(centres[rng.integers(0, 30, 900)] + rng.normal(size=(900, 3))).round(3), np.tile([[1.0, 2.0, 3.0]], (40, 1))]  # clusters and copies
+    rows = [("a" if i % 9 else "b", i, [float(v) for v in p], i % 2 == 0) for i, p in enumerate(pts)]
+    sizes = {c: sum(r[0] == c for r in rows) for c in "ab"}
+    seen = {c: 0 for c in "ab"}
+    given = []
+    for c, i, v, s in rows:
+        given.append((c, i, v, s, sizes[c], seen[c]))
+        seen[c] += 1
+    df = spark.createDataFrame(given, "label string, id bigint, vec array<double>, seeds boolean, _n bigint, _i bigint").repartition(3)
+    with scratch() as cuts:
+        got = {(r["label"], r["id"]): [(x["other"], x["dist"]) for x in r["near"]] for r in prep.class_neighbours(df, k=4, block_rows=50, cuts=cuts).collect()}
+    assert set(got) == {(c, i) for c, i, _, s in rows if s}
+    for (c, i), near in got.items():
+        d = sorted((float(((pts[i] - pts[j]) ** 2).sum()), j) for cc, j, _, _ in rows if cc == c and j != i)[:4]
+        assert [j for j, _ in near] == [j for _, j in d] and np.allclose([x for _, x in near], [x for x, _ in d])
+    # visited: a seed's own cell, and the few cells that reach into its four best
+    far = prep._to_pivots({"x": pts[:31]}, "x", pts[:900])
+    cell = far.argmin(axis=1)
+    radius = np.array([far[cell == j, j].max(initial=-np.inf) for j in range(31)])
+    best = np.array([np.sort(((pts[i] - pts[:900][cell == cell[i]]) ** 2).sum(1))[min(4, (cell == cell[i]).sum() - 1)] ** 0.5 for i in range(900)])
+    visited = (far - radius[None, :] <= best[:, None]).sum(axis=1)
+    assert visited.mean() < 31 / 3
+
+
 def test_missing_data_frame(spark):
     rows = [(1, 1.0, 10.0, None), (2, 2.0, None, None), (3, None, 30.0, None), (4, 4.0, 40.0, None), (5, 5.0, 50.0, None)]
     df = spark.createDataFrame(rows, "i int, a double, b double, c double")
