@@ -17,10 +17,10 @@ VIEWS = {
                case when event_type = 'signup' then null else value * 2e-8 end as flux_short
         from {events}""",
     "xray_raw": """
-        select date_trunc('hour', ts) as time_tag,
-               case when user_id % 2 = 0 then '0.05-0.4nm' else '0.1-0.8nm' end as energy,
-               cast(floor(avg(value) * 1e6 + 0.537) as double) / 1e13 as flux, 'G16' as satellite
-        from {events} group by 1, 2""",
+        select ts as time_tag, '0.05-0.4nm' as energy, cast(floor(value * 1e6 + 0.537) as double) / 2e14 as flux, 'G16' as satellite
+        from {events} where event_type <> 'signup'
+        union all
+        select ts, '0.1-0.8nm', cast(floor(value * 1e6 + 0.537) as double) / 1e13, 'G16' from {events} where event_type <> 'error'""",
     "flares": """
         select event_id, ts as start_time, ts + interval 15 minutes as peak_time, ts + interval 40 minutes as end_time,
                case when f >= 1e-4 then 'X' when f >= 1e-5 then 'M' when f >= 1e-6 then 'C' else 'B' end as class_category,
