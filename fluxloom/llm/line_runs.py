@@ -64,6 +64,10 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
+    def _plain(self, paths: list[str]) -> DataFrame:
+        """Rows of some runs, which may be empty."""
+        return self.spark.read.schema("key long, docs long, common boolean").parquet(*paths)
+
     def add(self, counts: DataFrame) -> None:
         """Takes a batch in, given its (key, docs)."""
         runs, new = self.runs(), counts.select("key", F.col("docs").alias("docs"))
@@ -83,7 +87,7 @@ class LineRuns:
         """All runs of a level become one of the next."""
         old = self.levels[level]
         # Read as plain files: a union of bucketed scans would pass for bucketed and not be summed across runs.
-        merged = self.spark.read.parquet(*[path for _, path in old]).groupBy("key").agg(F.sum("docs").alias("docs"), F.max("common").alias("common"))
+        merged = self._plain([path for _, path in old]).groupBy("key").agg(F.sum("docs").alias("docs"), F.max("common").alias("common"))
         self._write(merged, level + 1)
         self.levels[level] = []
         for made in old:
@@ -91,7 +95,7 @@ class LineRuns:
 
     def common(self) -> DataFrame:
         """Keys found in at least ``min_docs`` documents of the batches so far."""
-        return self.spark.read.parquet(*[path for level in self.levels for _, path in level]).where("common").select("key")
+        return self._plain([path for level in self.levels for _, path in level]).where("common").select("key")
 
     def drop(self) -> None:
         for level in self.levels:
