@@ -226,9 +226,8 @@ def m35(s, d):
 @query("m37_backtest_run")
 def m37(s, d):
     rows = _survival_rows(s, d, hours=24)
-    model = survival.fit_cox(rows, _covariates_of(rows))
     actuals = view(s, d, "flares").where("class_category = 'M'").withColumn("series_id", F.col("series_id").cast("int"))
-    return scoring.run_backtest(model, rows, actuals, keys=K)
+    return scoring.split_backtest(lambda part: survival.fit_cox(part, _covariates_of(part)), rows, actuals, since="2024-01-20 00:00:00", keys=K)[1]
 
 
 @query("m39_guarded_run")
