@@ -137,6 +137,18 @@ def m14(s, d):
     return prep.smote(df, "label", "id", [f"x{i}" for i in range(DIMENSIONS)])
 
 
+@query("m14_smote_balance", """with v as (select cast(case when label % 10 < 5 then 0 when label % 10 < 7 then 1 when label % 10 < 9 then 2 else 3 end as int) as label from embeddings),
+    n as (select label, count(*) as n from v group by 1) select label, (select max(n) from n) - n as made, true as inside from n where n < (select max(n) from n)""")
+def m14_balance(s, d):
+    """How many rows SMOTE makes of each class, and whether each lies in its class's box."""
+    df, names = vectors(s, d), [f"x{i}" for i in range(DIMENSIONS)]
+    made = prep.smote(df, "label", "id", names)
+    box = df.groupBy("label").agg(F.array(*[F.min(c) for c in names]).alias("least"), F.array(*[F.max(c) for c in names]).alias("most"))
+    values = F.array(*[F.col(c) for c in names])
+    inside = F.forall(F.arrays_zip("least", "most", values.alias("v")), lambda x: (x["v"] >= x["least"] - 1e-9) & (x["v"] <= x["most"] + 1e-9))
+    return made.join(box, "label").groupBy("label").agg(F.count("*").alias("made"), F.bool_and(inside).alias("inside"))
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 PROBS = {"None": "p_none", "C": "p_c", "M": "p_m", "X": "p_x"}
@@ -242,7 +254,10 @@ def q3(s, d):
     return rounded(monitor.rank_drift(ref, monitor.long_form(late, _DRIFT)), 4).select("feature", "ref_rows", "cur_rows", "statistic")
 
 
-@query("q4_drift_summary")
+@query("q4_drift_summary", f"""with {_COUNTED}, ks as (select feature, nr, nc, max(abs(ur / nr - uc / nc)) as d from (
+      select feature, sum(r) over w as ur, sum(c) over w as uc, sum(r) over (partition by feature) as nr, sum(c) over (partition by feature) as nc from v window w as (partition by feature order by value)) y group by 1, 2, 3),
+    tail as (select feature, 2 * (exp(-2 * l) - exp(-8 * l) + exp(-18 * l) - exp(-32 * l) + exp(-50 * l)) as p from (select feature, d * d * nr * nc / (nr + nc) as l from ks) x)
+    select coalesce(list_sort(list(feature) filter (p < 0.05)), []) as drifted_features, count(*) as tested, coalesce(bool_or(p < 0.05), false) as overall_drift from tail""")
 def q4(s, d):
     early, late = _halves(s, d)
     ref = monitor.drift_reference(early, _DRIFT, ["ts", "event_id"])
