@@ -11,6 +11,7 @@ from fluxloom.functions.curves import bucket_labels
 from fluxloom.functions.timing import micros
 from fluxloom.operators import classify, features, labels, model_store, monitor, scoring, survival
 from fluxloom.operators.prep import stratified_split
+from fluxloom.plans.ordering import beside, range_chunks
 from fluxloom.queries.feature_queries import K, flux, grid
 from fluxloom.queries.model_queries import DIMENSIONS, vectors
 from fluxloom.queries.registry import q, query, rounded
@@ -42,6 +43,25 @@ def m15(s, d):
     return right.withColumn("cv_mean", F.lit(sum(scores) / len(scores))).withColumn("folds", F.lit(len(scores)))
 
 
+_CLASS = "concat('c', case when label % 10 < 5 then 0 when label % 10 < 7 then 1 when label % 10 < 9 then 2 else 3 end)"
+
+
+@query("m15_logistic_slopes", f"select distinct {_CLASS} as class_name, true as at_minimum from embeddings")
+def m15_slopes(s, d):
+    """Whether the penalised mean loss has no slope left at the fitted weights, per class."""
+    df = _train(s, d)
+    model = classify.fit_logistic(df, "label", XS)
+    n, weights = df.count(), model.parts[0].coefficientMatrix.toArray()
+    scored = model.probabilities(df)
+    out = None
+    for i, c in enumerate(model.classes):
+        error = F.get("_p", i) - (F.col("label") == c).cast("double")
+        slopes = [F.abs(F.avg(error * F.col(x)) + F.lit(float(weights[i, j]) / n)) for j, x in enumerate(XS)] + [F.abs(F.avg(error))]
+        part = scored.agg(F.lit(c).alias("class_name"), (F.greatest(*slopes) < 1e-3).alias("at_minimum"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("m16_boosted_classifier")
 def m16(s, d):
     df = _train(s, d)
@@ -63,6 +83,23 @@ def m18(s, d):
     return model.probabilities(test).select("id", "label", F.posexplode("_p").alias("class_no", "p"))
 
 
+@query("m18_calibration_facts", """select class_no, true as rising, true as in_range from (select unnest(range(4)) as class_no) x""")
+def m18_facts(s, d):
+    """Per class: whether calibrated probabilities never fall as the raw ones rise, before they are normalised, and lie in 0..1."""
+    train, test = _split(s, d)
+    fit = classify.fitter("logistic")
+    model = fit(train, "label", XS)
+    maps = classify.calibrate(model, train, "label", "id", fit).calibration
+    raw = model.raw_probabilities(test).select(*[F.struct(F.get("_p", i).alias("raw"), classify._mapped(F.get("_p", i), m).alias("p")).alias(f"c{i}") for i, m in enumerate(maps)])
+    out = None
+    for i in range(len(maps)):
+        rows = beside(range_chunks(raw.select(f"c{i}.*"), ["raw", "p"]), F.col("p"), name="before", after=False)
+        rises = F.coalesce(F.col("p") >= F.col("before") - 1e-12, F.lit(True))
+        part = rows.agg(F.lit(i).cast("bigint").alias("class_no"), F.bool_and(rises).alias("rising"), F.bool_and(F.col("p").between(0, 1)).alias("in_range"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("m23_evaluation")
 def m23(s, d):
     train, test = _split(s, d)
@@ -79,6 +116,16 @@ def m24(s, d):
     return classify.score_classes(model, df, ["id"], window_hours=24)
 
 
+@query("m24_score_facts", "select vec_id as id, 24 as window_hours, 'logistic' as model_type, true as sums_to_one, true as picks_the_largest from embeddings")
+def m24_facts(s, d):
+    """Whether every row's probabilities sum to one and its class is the likeliest."""
+    df = _train(s, d)
+    scored = classify.score_classes(classify.fit_logistic(df, "label", XS), df, ["id"], window_hours=24)
+    values = F.map_values("class_probabilities")
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return scored.select("id", "window_hours", "model_type", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (F.col("class_probabilities")[F.col("predicted_class")] == F.array_max(values)).alias("picks_the_largest"))
+
+
 @query("m33_save_and_load")
 def m33(s, d):
     df = _train(s, d)
@@ -121,6 +168,16 @@ def o6(s, d):
     return classify.fit_gbt(_train(s, d), "label", XS).importances(s)
 
 
+@query("o6_importance_facts", "select cast(max(len(embedding)) as int) as features, true as sums_to_one, true as descending from embeddings")
+def o6_facts(s, d):
+    """Whether the shares of all features sum to one and come in order."""
+    df = _train(s, d)
+    model = classify.fit_gbt(df.withColumn("label", F.when(F.col("label") == "c0", "low").otherwise("high")), "label", XS)
+    shares = [r["importance"] for r in model.importances(s).collect()]  # one row per feature
+    facts = [(len(shares), abs(sum(shares) - 1) < 1e-9, shares == sorted(shares, reverse=True))]
+    return s.createDataFrame(facts, "features int, sums_to_one boolean, descending boolean")
+
+
 @query("m34_permutation_importance")
 def m34b(s, d):
     df = _train(s, d)
