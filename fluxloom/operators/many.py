@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fluxloom.session import Cuts, scratch
+from fluxloom.session import Cuts
 
 BINS = 32
 RIDGE = 1.0  # added to a node's hessian
@@ -263,14 +263,23 @@ def _summed(rows: DataFrame, partial: Callable[[int, np.ndarray, np.ndarray, np.
     return {r["set"]: np.frombuffer(bytes(r["sums"]), dtype=np.float64) for r in slots.groupBy("set").applyInArrow(together, kinds).collect()}
 
 
-def _boost_by_level(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], options: Boosting, cuts: Cuts) -> dict[int, list[Trees]]:
-    """All models of all sets, one aggregation a level."""
+def _boost_by_level(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], options: Boosting) -> dict[int, list[Trees]]:
+    """All models of all sets, one aggregation a level. Rows with margins are kept once: the table before goes when the next is written."""
+    kept = [Cuts()]
+    try:
+        return _levels(rows, classes, edges, options, kept)
+    finally:
+        for cuts in kept:
+            cuts.drop()
+
+
+def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], options: Boosting, kept: list[Cuts]) -> dict[int, list[Trees]]:
     width, features = 1 + max([len(e) for e in edges], default=0), len(edges)
     counts: dict[int, dict[int, int]] = {}
     for r in rows.groupBy("set", "y").count().collect():  # one row per set and class
         counts.setdefault(r["set"], {})[r["y"]] = r["count"]
     models = {s: [_Growing(_base(own.get(c, 0) / sum(own.values())), options.depth, edges) for c in targets(classes[s])] for s, own in counts.items()}
-    data, written = cuts.cut(rows.select("set", "key", "y", "x", F.array().cast("array<double>").alias("margins"))), 0
+    data, written = kept[-1].cut(rows.select("set", "key", "y", "x", F.array().cast("array<double>").alias("margins"))), 0
 
     def margins(s: int, bins: np.ndarray, had: np.ndarray) -> np.ndarray:
         own = had if had.shape[1] else np.tile([m.base for m in models[s]], (len(bins), 1))
@@ -286,7 +295,9 @@ def _boost_by_level(rows: DataFrame, classes: dict[int, int], edges: list[np.nda
 
     for tree in range(options.trees):
         if tree and tree % REFRESH == 0:
-            data = cuts.cut(data.mapInArrow(rewritten, data.schema))
+            kept.append(Cuts())
+            data = kept[-1].cut(data.mapInArrow(rewritten, data.schema))
+            kept.pop(0).drop()
             written = tree
         for own in models.values():
             for m in own:
@@ -422,11 +433,10 @@ def fit_sets(
     largest = rows.groupBy("set").count().agg(F.max("count")).first()[0] or 0
     if largest * max(features, 1) > cells_in_task:
         out: dict[tuple[str, int], Softmax | list[Trees]] = {}
-        with scratch() as cuts:
-            if "logistic" in kinds:
-                out |= {("logistic", s): m for s, m in _softmax_by_step(rows, classes, features, max_iter, tolerance).items()}
-            if "gbt" in kinds:
-                out |= {("gbt", s): m for s, m in _boost_by_level(rows, classes, edges, boosting, cuts).items()}
+        if "logistic" in kinds:
+            out |= {("logistic", s): m for s, m in _softmax_by_step(rows, classes, features, max_iter, tolerance).items()}
+        if "gbt" in kinds:
+            out |= {("gbt", s): m for s, m in _boost_by_level(rows, classes, edges, boosting).items()}
         return out
 
     def whole(table: pa.Table) -> pa.Table:
