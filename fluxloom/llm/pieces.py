@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
@@ -98,15 +99,25 @@ def _lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
 
 
 def join_pairs(unit: str, ranks: dict[str, float], ids: dict[str, int], byte0: int) -> list[int]:
-    """The same rule for one unit: join the leftmost neighbouring pair of best rank until none is a piece."""
-    parts = list(unit)
-    while True:
-        best = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
-        if best is None:
-            break
-        k = best[1]
-        parts[k : k + 2] = [parts[k] + parts[k + 1]]
-    return [i for p in parts for i in ([ids[p]] if p in ids else [byte0 + b for b in p.encode("utf-8")])]
+    """The same rule for one unit: join the leftmost neighbouring pair of best rank until none is a piece. Pairs wait in a heap, so a unit of n
+    characters takes n * log(n) steps."""
+    parts: list[str | None] = list(unit)
+    before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+    waiting = [(ranks[x + y], k, x + y) for k, (x, y) in enumerate(zip(unit, unit[1:])) if x + y in ranks]
+    heapify(waiting)
+    while waiting:
+        _, k, joined = heappop(waiting)
+        right = after[k]
+        # the pair may be gone: one of its parts was joined with another neighbour meanwhile
+        if parts[k] is None or right >= len(parts) or parts[k] + parts[right] != joined:
+            continue
+        parts[k], parts[right], after[k] = joined, None, after[right]
+        if after[k] < len(parts):
+            before[after[k]] = k
+        for left, end in ((before[k], k), (k, after[k])):
+            if left >= 0 and end < len(parts) and parts[left] + parts[end] in ranks:
+                heappush(waiting, (ranks[parts[left] + parts[end]], left, parts[left] + parts[end]))
+    return [i for p in parts if p is not None for i in ([ids[p]] if p in ids else [byte0 + b for b in p.encode("utf-8")])]
 
 
 def _long_units(rows: list[tuple[str, int, float]], byte0: int):
