@@ -1,7 +1,8 @@
 """Nearest neighbours by adaptive dimension scan over inverted lists.
 
 A bounded sample places list centres; every row goes to its nearest centre's list, and large lists are cut into blocks by
-hashed id. A query visits the blocks of the lists nearest to it. Inside a block the vectors are rotated by one random rotation and stored
+hashed id. A query visits the blocks of the lists nearest to it; where many visit one list they are
+dealt to copies of its blocks, so a task is bounded on both sides. Inside a block the vectors are rotated by one random rotation and stored
 in column blocks. After each column block the partial distance, scaled up to all dimensions, is tested against the
 tenth best so far: a candidate that is farther by more than the test's margin and a slack for rounding is abandoned. Survivors get their exact distance on the
 original vectors in double precision.
@@ -23,6 +24,7 @@ SAMPLE = 16_384  # rows that place the centres: those of smallest hashed id
 LISTS = 128
 PROBED = 0.8  # share of the lists a query visits; isotropic data needs most of them
 BLOCK_ROWS = 2048
+QUERY_ROWS = 32_768  # queries that one task compares with a block; more are dealt to several copies of it
 COLUMNS = 16
 MARGIN = 3.0
 ROUNDING = 1e-12
@@ -106,7 +108,7 @@ def _search(width: int, k: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, probed: float = PROBED) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, probed: float = PROBED, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row where the column ``queries`` holds, nearest first.
 
     Score is the Euclidean distance on the original vectors; ties go to the smaller id. A query's candidates are all rows with another id.
@@ -127,10 +129,17 @@ def nearest_neighbours(vectors: DataFrame, queries, k: int = 10, id_col: str = "
         kinds = "vec_id long, lists array<int>, v binary"
         placed = cuts.cut(rows.select("vec_id", "v").mapInArrow(_assign(c, 1), kinds).select("vec_id", F.col("lists")[0].alias("list"), "v"))
         sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-        data = placed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "v", F.lit(False).alias("query"))
-        asked = rows.where("query").dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(_assign(c, visits), kinds).select("vec_id", "v", F.explode("lists").alias("list"))
-        asked = asked.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v", F.lit(True).alias("query"))
-        found = data.unionByName(asked).groupBy("list", "block").applyInPandas(_search(width, k), "query_id long, vec_id long, score double")
+        asked = rows.where("query").dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(_assign(c, visits), kinds)
+        asked = cuts.cut(asked)
+        # lists are few, so are these figures: blocks of the list's rows, shares of the queries that visit it
+        shares = asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("shares"))
+        sizes = cuts.cut(sizes.join(shares, "list"))
+        data = placed.join(F.broadcast(sizes), "list").select(
+            "list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "v", F.lit(False).alias("query")
+        )
+        asked = asked.select("vec_id", "v", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
+        asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), "shares").cast("int").alias("share"), "vec_id", "v", F.lit(True).alias("query"))
+        found = data.unionByName(asked).groupBy("list", "block", "share").applyInPandas(_search(width, k), "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return durable(best.select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

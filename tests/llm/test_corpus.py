@@ -163,6 +163,8 @@ def test_vectors_against_brute_force(spark):
         best = [int(ids[j]) for j in np.lexsort((ids, d)) if ids[j] != q][:10]
         hit += len(set(best) & {r.vec_id for r in found if r.query_id == q})
     assert hit >= 0.9 * 60
+    dealt = ann.nearest_neighbours(table, F.col("vec_id") % 50 == 0, lists=4, query_rows=2).orderBy("query_id", "rank").collect()
+    assert dealt == found
     assert ann.nearest_neighbours(table.limit(0), F.lit(True)).count() == 0 and hnsw.near_duplicates(table.limit(0)).count() == 0
 
 
