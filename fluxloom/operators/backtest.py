@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fluxloom.functions.classes import LABEL_RANK, rank_name, rank_of
 from fluxloom.functions.timing import HOUR_US, from_micros, hours_to_us, micros
+from fluxloom.plans.ordering import carried_values
 from fluxloom.plans.ranges import Part, range_aggregate
 
 PRED_TS = "timestamp"
@@ -80,24 +81,25 @@ def backtest_metrics(
 def record_outcomes(
     log: DataFrame, events: DataFrame, *, keys: Sequence[str] = (), recorded_at: Column, default_hours: int = 24
 ) -> DataFrame:
-    """Log rows with the strongest class that followed, its first time, and when it was recorded."""
+    """Log rows with the strongest class that followed, its first time, and when it was recorded.
+
+    Every row looks up the next event of each class, one ordered pass over both tables; those after the row's window do not count.
+    """
     rank = rank_of("class_category", LABEL_RANK)
-    best = F.struct(rank.alias("r"), (-F.col("us")).alias("u"))
-    found = range_aggregate(
-        _ahead(log, keys, default_hours),
-        events.withColumn("us", micros("peak_time")),
-        keys=keys,
-        group=[*keys, "id"],
-        parts=[Part("best", best, "max")],
-        finals=[F.max("best").alias("_b")],
-        base=hours_to_us(default_hours) // 16,
-        longest=hours_to_us(default_hours),
-    )
+    ranks = sorted((r for r in LABEL_RANK.values() if r > 0), reverse=True)
+    asks = _ahead(log, keys, default_hours).select(*keys, "id", F.col("lo").alias("us"), "hi", F.lit(0).alias("_side"))
+    known = events.select(*keys, micros("peak_time").alias("us"), rank.alias("_rank")).where("_rank > 0").dropna(subset=[*keys, "us"])  # null keys belong to no series
+    known = known.select(*keys, "us", *[F.when(F.col("_rank") == r, F.col("us")).alias(f"at_{r}") for r in ranks], F.lit(1).alias("_side"))
+    both = asks.unionByName(known, allowMissingColumns=True)
+    ahead = carried_values(both, ["us", "_side"], [f"at_{r}" for r in ranks], keys, backward=True).where("_side = 0")
+    inside = [F.min(F.when((F.col("us") <= F.col(f"_fill_at_{r}")) & (F.col(f"_fill_at_{r}") <= F.col("hi")), F.col(f"_fill_at_{r}"))).alias(f"at_{r}") for r in ranks]
+    found = ahead.groupBy(*keys, "id").agg(*inside)
+    top = F.coalesce(*[F.when(F.col(f"at_{r}").isNotNull(), r) for r in ranks], F.lit(0))
     seen = found.select(
         *keys,
         "id",
-        rank_name(F.coalesce("_b.r", F.lit(0)), LABEL_RANK).alias("actual_flare_class"),
-        F.when(F.col("_b.r") > 0, from_micros(-F.col("_b.u"))).alias("actual_flare_time"),
+        rank_name(top, LABEL_RANK).alias("actual_flare_class"),
+        from_micros(F.coalesce(*[F.col(f"at_{r}") for r in ranks])).alias("actual_flare_time"),
         recorded_at.alias("outcome_recorded_at"),
     )
     old = [c for c in ("actual_flare_class", "actual_flare_time", "outcome_recorded_at") if c in log.columns]

@@ -28,3 +28,18 @@ def test_streams_meet_by_bucket_of_time(spark, tmp_path):
     assert "_bucket" in joined._jdf.queryExecution().logical().toString()
     found = [tuple(r) for r in live.collected(spark, joined, "matched").select("id", "event_id").collect()]
     assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_outcomes_of_crowded_predictions(spark):
+    log = spark.createDataFrame([(i, T0 + i * SECOND, 1 + i % 3) for i in range(300)] + [(900, None, 1), (901, T0, None)], "id long, timestamp timestamp_ntz, window_hours int")
+    rows = [(T0 + s * SECOND, c) for s, c in ((0, "B"), (10, "C"), (10, "M"), (200, "M"), (3600, "X"), (3700, "C"), (7300, None))]
+    happened = spark.createDataFrame(rows, "peak_time timestamp_ntz, class_category string")
+    out = backtest.record_outcomes(log, happened, recorded_at=F.lit(T0), default_hours=2)
+    assert "origin" not in _plan(out)  # no cells of time, in which all predictions would meet all events
+    found = {r.id: (r.actual_flare_class, r.actual_flare_time) for r in out.collect()}
+    rank = {"C": 1, "M": 2, "X": 3}
+    for r in log.collect():
+        end = None if r.timestamp is None else r.timestamp + (r.window_hours or 2) * 3600 * SECOND
+        seen = [(-rank.get(c, 0), at, c) for at, c in rows if end is not None and r.timestamp <= at <= end and c in rank]
+        assert found.pop(r.id) == ((min(seen)[2], min(seen)[1]) if seen else ("None", None))
+    assert not found
