@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fluxloom.functions.classes import CLASS_FLOORS, class_label, class_letter, class_magnitude
 from fluxloom.functions.timing import MINUTE_US, from_micros, hours_to_us, micros
-from fluxloom.operators.features import TS, named
+from fluxloom.operators.features import TS
 from fluxloom.plans.chains import anchor_groups, spaced_anchors
 from fluxloom.plans.ladders import FAN, block_ladder, lowest_before_higher
-from fluxloom.plans.ordering import beside, numbered, range_chunks, running_index
+from fluxloom.plans.ordering import beside, carried_values, numbered, range_chunks, running_index
 from fluxloom.plans.ranges import Part, range_aggregate, range_join
 from fluxloom.session import Cuts, durable, scratch, staging_path
 from fluxloom.sources.store import CommittedTables
@@ -31,19 +31,17 @@ PROMINENCE_SHARE = 0.1
 
 
 def attach_region(events: DataFrame, regions: DataFrame, *, keys: Sequence[str] = (), hours: int = 6, ident: str = "event_id") -> DataFrame:
-    """Number of the newest region row within ``hours`` of each event's peak, either side."""
-    at = micros("peak_time")
-    ranges = events.select(*keys, ident, (at - hours_to_us(hours)).alias("lo"), (at + hours_to_us(hours)).alias("hi"))
-    found = range_aggregate(
-        ranges,
-        regions.withColumn("us", micros(TS)),
-        keys=keys,
-        group=[ident],
-        parts=[Part("r", F.struct("us", "region_number"), "max")],
-        finals=[named("max(r).region_number", "active_region")],
-        base=hours_to_us(hours) // 8,
-        longest=2 * hours_to_us(hours),
-    )
+    """Number of the newest region row within ``hours`` of each event's peak, either side.
+
+    That is the last region row up to the later end, if it is not before the earlier one: one ordered pass over both tables, however dense they are.
+    """
+    at, us = micros("peak_time"), micros(TS)
+    asks = events.select(*keys, ident, (at - hours_to_us(hours)).alias("lo"), (at + hours_to_us(hours)).alias("us"), F.lit(1).alias("_side"))
+    known = regions.select(*keys, us.alias("us"), "region_number", F.struct(us.alias("us"), "region_number").alias("r"), F.lit(0).alias("_side"))
+    known = known.dropna(subset=[*keys, "us"])  # null keys belong to no series
+    both = asks.unionByName(known, allowMissingColumns=True)
+    last = carried_values(both, ["us", "_side", "region_number"], ["r"], keys).where("_side = 1")
+    found = last.groupBy(ident).agg(F.max(F.when(F.col("_fill_r.us") >= F.col("lo"), F.col("_fill_r"))).alias("r")).select(ident, F.col("r.region_number").alias("active_region"))
     return events.drop("active_region").join(found, ident, "left")
 
 

@@ -43,3 +43,18 @@ def test_outcomes_of_crowded_predictions(spark):
         seen = [(-rank.get(c, 0), at, c) for at, c in rows if end is not None and r.timestamp <= at <= end and c in rank]
         assert found.pop(r.id) == ((min(seen)[2], min(seen)[1]) if seen else ("None", None))
     assert not found
+
+
+def test_region_of_crowded_events(spark):
+    hour = 3600 * SECOND
+    rows = [(i % 2, T0 + i * SECOND, i % 7) for i in range(200)] + [(0, T0 + 50 * SECOND, 9), (None, T0, 5), (1, T0 + 30 * hour, None)]
+    regions = spark.createDataFrame(rows, "series_id int, timestamp timestamp_ntz, region_number int")
+    peaks = [(i, i % 3, T0 + (i * 37 - 3000) * SECOND) for i in range(100)] + [(300, 0, T0 + 6 * hour + 50 * SECOND), (301, 0, T0 + 7 * hour), (302, None, T0), (303, 0, None), (304, 1, T0 + 24 * hour)]
+    flares = spark.createDataFrame(peaks, "event_id long, series_id int, peak_time timestamp_ntz")
+    out = events.attach_region(flares, regions, keys=["series_id"])
+    assert "origin" not in _plan(out)
+    found = {r.event_id: r.active_region for r in out.collect()}
+    for i, s, at in peaks:
+        near = [(t, -1 if n is None else n) for z, t, n in rows if s is not None and z == s and at is not None and abs(t - at) <= 6 * hour]
+        assert found.pop(i) == (None if not near or max(near)[1] < 0 else max(near)[1])
+    assert not found
