@@ -33,6 +33,15 @@ def curve_at(curve: Column, hour: Column | float) -> Column:
     return _let(F.array_sort(curve), lambda points: _interpolated(points, h))
 
 
+def beside_hours(points: Sequence, times: Sequence[float], hours: Sequence[float]) -> list:
+    """The points, of those at ``times``, that interpolation at ``hours`` reads: the last one up to each hour and the first one after it."""
+    order = sorted(range(len(times)), key=lambda i: times[i])
+    kept = set()
+    for h in hours:
+        kept |= set([i for i in order if times[i] <= h][-1:] + [i for i in order if times[i] > h][:1])
+    return [points[i] for i in order if i in kept]
+
+
 def bucket_labels(bounds: Sequence[int] = BUCKET_HOURS) -> list[str]:
     return [f"{a}h-{b}h" for a, b in zip(bounds, bounds[1:])]
 

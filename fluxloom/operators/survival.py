@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fluxloom.functions.curves import BUCKET_HOURS, bucket_probabilities
+from fluxloom.functions.curves import BUCKET_HOURS, beside_hours, bucket_probabilities
 from fluxloom.operators.many import Trees, margin_column
 from fluxloom.operators.metrics import concordance
 from fluxloom.operators.prep import clean_matrix, tail_split, varying_columns
@@ -60,12 +60,13 @@ class CoxModel:
         self._require(df)
         return df.withColumn(output, F.exp(sum(self.contributions().values(), F.lit(0.0))))
 
-    def curve(self, df: DataFrame, output: str = "curve") -> DataFrame:
+    def curve(self, df: DataFrame, output: str = "curve", around: Sequence[float] | None = None) -> DataFrame:
         """Hourly survival curve as an array of (t, s): interpolated between the durations seen
-        in training, 1 before the first, flat after the last."""
+        in training, 1 before the first, flat after the last. With ``around``, only its points beside those hours."""
         scored = self.hazard(df, "_risk")
         point = "struct<t:double,a:double,ha:double,b:double,hb:double>"
-        rows = ",".join("struct(" + ",".join("cast(null as double)" if v is None else f"{v!r}D" for v in r) + ")" for r in self.baseline)
+        wanted = self.baseline if around is None else beside_hours(self.baseline, [r[0] for r in self.baseline], around)
+        rows = ",".join("struct(" + ",".join("cast(null as double)" if v is None else f"{v!r}D" for v in r) + ")" for r in wanted)
         steps = F.expr(f"cast(array({rows}) as array<{point}>)")
         risk = F.col("_risk")
 
@@ -361,8 +362,8 @@ class BoostedModel:
         vec = VectorAssembler(inputCols=self.columns, outputCol="_vec").transform(clean_matrix(df, self.columns))
         return self.model.setFeaturesCol("_vec").setPredictionCol(output).transform(vec).drop("_vec")
 
-    def curve(self, df: DataFrame, output: str = "curve", scale: str = "train") -> DataFrame:
-        return exponential_curve(self.hazard(df, "_h"), "_h", output, scale=self.scale if scale == "train" else None).drop("_h")
+    def curve(self, df: DataFrame, output: str = "curve", scale: str = "train", around: Sequence[float] | None = None) -> DataFrame:
+        return exponential_curve(self.hazard(df, "_h"), "_h", output, scale=self.scale if scale == "train" else None, around=around).drop("_h")
 
     def importances(self, spark: SparkSession) -> DataFrame:
         share = self.model.importances(len(self.columns)) if isinstance(self.model, Trees) else self.model.featureImportances
@@ -370,8 +371,10 @@ class BoostedModel:
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def exponential_curve(df: DataFrame, hazard: str, output: str, *, scale: float | None = None, horizon: int = HORIZON) -> DataFrame:
-    """Hourly exp(-h / scale * t) clipped to 0..1; without a scale the batch's largest |h| is used."""
+def exponential_curve(
+    df: DataFrame, hazard: str, output: str, *, scale: float | None = None, horizon: int = HORIZON, around: Sequence[float] | None = None
+) -> DataFrame:
+    """Hourly exp(-h / scale * t) clipped to 0..1; without a scale the batch's largest |h| is used. With ``around``, only the points beside those hours."""
     if scale is None:
         top = df.agg(F.max(F.abs(hazard)).alias("_top"))  # one row
         out = df.join(F.broadcast(top), F.lit(True))
@@ -380,7 +383,8 @@ def exponential_curve(df: DataFrame, hazard: str, output: str, *, scale: float |
         out, unit = df, F.lit(scale if scale > 0 else 1.0)
     h = F.col(hazard) / unit
     value = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-h * t)))
-    hours = F.sequence(F.lit(0), F.lit(horizon))
+    every = range(horizon + 1)
+    hours = F.sequence(F.lit(0), F.lit(horizon)) if around is None else F.array(*[F.lit(t) for t in beside_hours(every, every, around)])
     return out.withColumn(output, F.transform(hours, lambda t: F.struct(t.cast("double").alias("t"), value(t).alias("s")))).drop("_top")
 
 
@@ -419,9 +423,9 @@ def train_survival(
 
 
 def score_survival(model, df: DataFrame, keep: Sequence[str], *, kind: str = "cox", buckets: Sequence[int] = BUCKET_HOURS) -> DataFrame:
-    """Hazard, hourly curve and bucket probabilities of every row."""
-    scored = model.curve(model.hazard(df), "curve")
-    return scored.select(*keep, "hazard_score", "curve", bucket_probabilities(F.col("curve"), buckets).alias("probability_distribution"), F.lit(kind).alias("model_type"))
+    """Hazard, hourly curve and bucket probabilities of every row. The latter read few points of the curve, so only these are made for them."""
+    scored = model.curve(model.curve(model.hazard(df), "curve"), "_ends", around=buckets)
+    return scored.select(*keep, "hazard_score", "curve", bucket_probabilities(F.col("_ends"), buckets).alias("probability_distribution"), F.lit(kind).alias("model_type"))
 
 
 def linear_contributions(model: CoxModel, df: DataFrame, keep: Sequence[str], n: int = 15) -> DataFrame:

@@ -58,3 +58,19 @@ def test_region_of_crowded_events(spark):
         near = [(t, -1 if n is None else n) for z, t, n in rows if s is not None and z == s and at is not None and abs(t - at) <= 6 * hour]
         assert found.pop(i) == (None if not near or max(near)[1] < 0 else max(near)[1])
     assert not found
+
+
+def test_buckets_make_only_the_points_they_read(spark):
+    from fluxloom.functions.curves import beside_hours, bucket_probabilities
+    from fluxloom.operators import survival
+
+    assert beside_hours("abcde", [0, 1, 2, 5, 9], [1, 3, 9, 20]) == list("bcde")
+    baseline = [(float(t), None, 0.0, 2.0, 0.1) if t < 2 else (float(t), 2.0, 0.1 * t, 170.0, 30.0) for t in range(169)]
+    model = survival.CoxModel(["x"], [0.5], [0.3], baseline)
+    df = spark.createDataFrame([(i, float(i)) for i in range(-5, 9)], "id long, x double")
+    curve = model.curve(df, "few", around=(0, 6, 12))
+    assert [p.t for p in curve.first().few] == [0.0, 1.0, 6.0, 7.0, 12.0, 13.0]
+    for buckets in ((0, 6, 12, 24, 48, 168), (0, 2.5, 200)):
+        scored = survival.score_survival(model, df, ["id"], buckets=buckets)
+        assert len(scored.first()["curve"]) == 169
+        assert scored.where(F.map_entries("probability_distribution") != F.map_entries(bucket_probabilities(F.col("curve"), buckets))).count() == 0
