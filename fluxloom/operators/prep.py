@@ -20,6 +20,8 @@ ID_COLUMNS = ("timestamp", "region_number")
 
 
 MOST_PIVOTS = 2048  # of a class in the search for neighbours
+AT_ONCE = 1 << 15  # rows or pairs of vectors a task has in hand
+CELLS_AT_ONCE = 1 << 21  # distances a task has in hand
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -216,19 +218,21 @@ def tail_split(df: DataFrame, order: Sequence[str], *, test_share: float = 0.2)
 def exact_neighbours(points: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other's id, squared distance) of the k nearest others of every point, itself left out; ties go to the smaller id.
 
-    Products of the vectors find who may be near; the distances that count are taken from the differences.
+    Products of the vectors find who may be near; the distances that count are taken from the differences, ``AT_ONCE`` pairs at a time, as
+    any number of rows may be as near.
     """
     rows, near, dist = [], [], []
     norm = (others * others).sum(1)
-    for s in range(0, len(points), 512):
-        block, own = points[s : s + 512], ids[s : s + 512]
+    step = max(1, min(512, CELLS_AT_ONCE // max(len(others), 1)))
+    for s in range(0, len(points) if len(others) else 0, step):
+        block, own = points[s : s + step], ids[s : s + step]
         rough = np.maximum((block * block).sum(1)[:, None] + norm[None, :] - 2 * block @ others.T, 0)
         rough[own[:, None] == other_ids[None, :]] = np.inf
         take = min(k, rough.shape[1])
         limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
         slack = 1e-9 * ((block * block).sum(1) + (norm.max() if len(norm) else 0.0))
         at, place = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
-        exact = ((block[at] - others[place]) ** 2).sum(1)
+        exact = np.concatenate([((block[at[i : i + AT_ONCE]] - others[place[i : i + AT_ONCE]]) ** 2).sum(1) for i in range(0, max(len(at), 1), AT_ONCE)])
         order = np.lexsort((other_ids[place], exact, at))
         at, place, exact = at[order], place[order], exact[order]
         kept = np.arange(len(at)) - np.searchsorted(at, at) < k
@@ -250,13 +254,29 @@ def _to_pivots(pivots: dict, label: object, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (own * own).sum(1)[None, :] - 2 * x @ own.T, 0))
 
 
+def near_order(points: np.ndarray) -> np.ndarray:
+    """Numbers of the points in an order that keeps near ones together: halved again and again by the widest coordinate."""
+    done, left = [], [np.arange(len(points))]
+    while left:
+        own = left.pop()
+        if len(own) <= 2:
+            done.append(own)
+            continue
+        axis = np.ptp(points[own], axis=0).argmax()
+        own = own[np.argsort(points[own, axis], kind="stable")]
+        left += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
 def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) -> DataFrame:
     """(label, id, other, dist): the k nearest rows of the same class for every row that seeds.
 
     ``rows`` has label, id, vec, _n (rows of the class), _i (its place in a drawn order) and seeds. The first ``sqrt(_n)`` rows of a class, ``MOST_PIVOTS`` at
-    most, are its pivots; a row belongs to the cell of the nearest one. A row's own cell gives its k best so far; by the triangle inequality
-    only cells whose radius reaches into that distance can hold nearer ones, and only those are visited. Cells are cut into blocks, so a task is
-    bounded; ids and distances alone leave it. Results are exact whatever the pivots; they decide how many cells are left out.
+    most, are its pivots; a row belongs to the cell of the nearest one. Cells are packed into blocks of about ``block_rows`` rows, near cells
+    together, and a larger cell is cut into several. A row's own block gives its k best so far; by the triangle inequality only cells whose radius
+    reaches into that distance can hold nearer ones, and only blocks with such cells are visited: a row travels once per block, not per cell.
+    A task has the rows of one block and a block's worth of queries; ids and distances alone leave it. Results are exact whatever the
+    pivots; they decide how much is left out.
     """
     count = F.least(F.ceil(F.sqrt("_n")), F.lit(MOST_PIVOTS))
     pivots: dict[object, list] = {}
@@ -266,12 +286,20 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
     label_type = rows.schema["label"].dataType
 
     def by_label(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
-        labels = batch.column(0).to_pylist()
-        for label in dict.fromkeys(labels):
-            yield label, np.array([i for i, v in enumerate(labels) if v == label])
+        codes = batch.column(0).dictionary_encode()
+        at = codes.indices.to_numpy()
+        for c, label in enumerate(codes.dictionary.to_pylist()):
+            yield label, np.flatnonzero(at == c)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of which the distances to all pivots fit."""
+        step = max(1, CELLS_AT_ONCE // MOST_PIVOTS)
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                yield batch.slice(i, step)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cell, dist = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
             x = _vectors(batch.column(2))
             for label, own in by_label(batch):
@@ -282,61 +310,101 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
 
     kinds = T.StructType([rows.schema["label"], rows.schema["id"], rows.schema["vec"], rows.schema["seeds"]])
     placed = cuts.cut(rows.select("label", "id", "vec", "seeds").mapInArrow(assign, T.StructType(kinds.fields + [T.StructField("cell", T.LongType()), T.StructField("away", T.DoubleType())])))
-    cells = durable(placed.groupBy("label", "cell").agg(F.count("*").alias("members"), F.max("away").alias("radius")))
-    radius = {(r["label"], r["cell"]): r["radius"] for r in cells.collect()}  # one row per pivot
-    blocks = cells.select("label", "cell", F.expr(f"(members + {block_rows - 1}) div {block_rows}").alias("blocks"))
-    members = placed.join(blocks, ["label", "cell"]).select("label", "cell", "id", "vec", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
-    found = T.StructType([T.StructField("label", label_type), T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("dist", T.DoubleType())])
+    sizes: dict[object, dict[int, tuple[int, float]]] = {}
+    for r in placed.groupBy("label", "cell").agg(F.count("*").alias("members"), F.max("away").alias("radius")).collect():  # one row per pivot
+        sizes.setdefault(r["label"], {})[r["cell"]] = (r["members"], r["radius"])
+    # of every pivot: its radius, its cell's first block and number of blocks
+    radius, first, parts = {}, {}, {}
+    for label, own in pivots.items():
+        found = sizes.get(label, {})
+        radius[label] = np.array([found.get(c, (0, -np.inf))[1] for c in range(len(own))])
+        first[label], parts[label] = np.zeros(len(own), np.int64), np.ones(len(own), np.int64)
+        block = held = 0
+        for c in near_order(own):
+            members = found.get(int(c), (0, 0))[0]
+            if held and held + members > block_rows:
+                block, held = block + 1, 0
+            first[label][c], parts[label][c] = block, max(1, -(-members // block_rows))
+            if parts[label][c] > 1:
+                block, held = block + int(parts[label][c]), 0
+            else:
+                held += members
+    blocks = rows.sparkSession.createDataFrame(
+        [(label, c, int(first[label][c]), int(parts[label][c])) for label in pivots for c in range(len(pivots[label]))],
+        T.StructType([T.StructField("label", label_type), T.StructField("cell", T.LongType()), T.StructField("first", T.LongType()), T.StructField("parts", T.LongType())]),
+    )
+    members = placed.join(F.broadcast(blocks), ["label", "cell"]).select("label", "cell", "id", "vec", "seeds", "first", "parts", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+    found_type = T.StructType([T.StructField("label", label_type), T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("dist", T.DoubleType())])
+
+    def open_cells(label: object, x: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Which cells may hold rows within ``limit`` of each of ``x``."""
+        far = _to_pivots(pivots, label, x)
+        # products round: a little more than the triangle inequality asks for
+        return far - radius[label][None, :] <= (limit * (1 + 1e-9) + 1e-7 * (1 + far.max(axis=1)))[:, None]
 
     def compare(table: pa.Table) -> pa.Table:
-        """Nearest members of a block for the queries that visit it."""
-        asks = table["side"].to_numpy() == 0
-        x, ids = _vectors(table["vec"]), table["id"].to_numpy()
-        row, other, dist = exact_neighbours(x[asks], ids[asks], x[~asks], ids[~asks], k)
-        label = table["label"].combine_chunks() if isinstance(table["label"], pa.ChunkedArray) else table["label"]
-        return pa.table({"label": label.take(pa.array(np.zeros(len(row), np.int64))), "id": pa.array(ids[asks][row]), "other": pa.array(other), "dist": pa.array(dist)})
+        """Nearest members of a block for the queries that visit it; cells out of reach of 256 neighbouring queries are skipped."""
+        label, asks = table["label"][0].as_py(), table["side"].to_numpy() == 0
+        x, ids, cell, limit = _vectors(table["vec"]), table["id"].to_numpy(), table["cell"].to_numpy(), table["reach"].to_numpy()
+        place = {int(c): i for i, c in enumerate(near_order(pivots[label]))}
+        mine, have = np.flatnonzero(asks), np.flatnonzero(~asks)
+        mine = mine[np.argsort([place[int(c)] for c in cell[mine]], kind="stable")]
+        out = []
+        for i in range(0, len(mine), 256):
+            own = mine[i : i + 256]
+            near = have if not np.isfinite(limit[own]).all() else have[open_cells(label, x[own], limit[own]).any(axis=0)[cell[have]]]
+            row, other, dist = exact_neighbours(x[own], ids[own], x[near], ids[near], k)
+            out.append((ids[own][row], other, dist))
+        got = [np.concatenate(p) for p in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        names = table["label"].combine_chunks()
+        return pa.table({"label": names.take(pa.array(np.zeros(len(got[0]), np.int64))), "id": pa.array(got[0]), "other": pa.array(got[1]), "dist": pa.array(got[2])})
 
     def visited(queries: DataFrame) -> DataFrame:
-        """k best of each query in every block of the cells it visits; queries of a block are dealt out, too."""
-        share = F.pmod(F.xxhash64("id", F.lit(1)), "parts")
-        sizes = queries.groupBy("label", "cell").agg(F.expr(f"(count(*) + {block_rows - 1}) div {block_rows}").alias("parts"))
-        ask = queries.join(sizes, ["label", "cell"]).join(blocks, ["label", "cell"])
-        ask = ask.select("label", "cell", "id", "vec", share.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
-        have = members.join(sizes, ["label", "cell"])
-        have = have.select("label", "cell", "id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", F.lit(1).alias("side"))
-        return ask.unionByName(have).groupBy("label", "cell", "part", "block").applyInArrow(compare, found)
+        """k best of each query (label, block, id, vec, cell, reach) in the block; queries of a block are dealt out, too."""
+        dealt = queries.groupBy("label", "block").agg(F.expr(f"(count(*) + {block_rows - 1}) div {block_rows}").alias("shares"))
+        ask = queries.join(F.broadcast(dealt), ["label", "block"])
+        ask = ask.select("label", "block", "id", "vec", "cell", "reach", F.pmod(F.xxhash64("id", F.lit(1)), "shares").alias("part"), F.lit(0).alias("side"))
+        have = members.join(F.broadcast(dealt), ["label", "block"])
+        have = have.select("label", "block", "id", "vec", "cell", F.lit(0.0).alias("reach"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"), F.lit(1).alias("side"))
+        return ask.unionByName(have).groupBy("label", "block", "part").applyInArrow(compare, found_type)
 
     def best(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("label", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("near"))
 
-    seeds = placed.where("seeds").select("label", "cell", "id", "vec")
-    own = cuts.cut(best(visited(seeds)))
+    seeds = members.where("seeds")
+    everywhere = F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1))
+    own = cuts.cut(best(visited(seeds.select("label", everywhere.alias("block"), "id", "vec", "cell", F.lit(float("inf")).alias("reach")))))
     reach = F.when(F.size("near") >= k, F.sqrt(F.element_at("near", -1)["dist"])).otherwise(F.lit(float("inf")))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Further cells that may hold nearer rows."""
-        for batch in batches:
-            x, cell, limit = _vectors(batch.column(2)), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+        """Further blocks that may hold nearer rows."""
+        for batch in slices(batches):
+            x, cell, limit = _vectors(batch.column(3)), batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
             for label, rows_of in by_label(batch):
-                far = _to_pivots(pivots, label, x[rows_of])
-                span = np.array([radius.get((label, j), -np.inf) for j in range(far.shape[1])])
-                least = far - span[None, :]
-                # products round: a little more than the triangle inequality asks for
-                open_ = least <= (limit[rows_of] * (1 + 1e-9) + 1e-7 * (1 + far.max(axis=1)))[:, None]
-                open_[np.arange(len(rows_of)), cell[rows_of]] = False
-                at, where = np.nonzero(open_)
-                picked = pa.array(rows_of[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), pa.array(where.astype(np.int64)), batch.column(1).take(picked), batch.column(2).take(picked)], ["label", "cell", "id", "vec"])
-
-    asked = seeds.join(own.select("label", "id", reach.alias("reach")), ["label", "id"], "left").select("label", "id", "vec", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-    further = cuts.cut(asked.mapInArrow(others, T.StructType([rows.schema["label"], T.StructField("cell", T.LongType()), rows.schema["id"], rows.schema["vec"]])))
-    more = visited(further)
-    pairs = own.select("label", "id", F.explode("near").alias("x")).select("label", "id", F.col("x.other").alias("other"), F.col("x.dist").alias("dist")).unionByName(more)
+                open_ = open_cells(label, x[rows_of], limit[rows_of])
+                # a cell may lie in several blocks, a block may hold several cells
+                reached = np.zeros((len(rows_of), int((first[label] + parts[label]).max())), dtype=bool)
+                for c in np.flatnonzero(open_.any(axis=0)):
+                    reached[:, first[label][c] : first[label][c] + parts[label][c]] |= open_[:, c : c + 1]
+                had = cell[rows_of]
+                number = np.arange(reached.shape[1])[None, :]
+                reached &= (number < first[label][had][:, None]) | (number >= (first[label][had] + parts[label][had])[:, None])
+                pairs = np.stack(np.nonzero(reached), axis=1)
+                for i in range(0, len(pairs), AT_ONCE):
+                    picked = pa.array(rows_of[pairs[i : i + AT_ONCE, 0]])
+                    columns = [batch.column(0), batch.column(2), batch.column(3), batch.column(1), batch.column(4)]
+                    took = [c.take(picked) for c in columns]
+                    yield pa.RecordBatch.from_arrays([took[0], pa.array(pairs[i : i + AT_ONCE, 1]), *took[1:]], ["label", "block", "id", "vec", "cell", "reach"])
+
+    asked = seeds.join(own.select("label", "id", reach.alias("reach")), ["label", "id"], "left").select("label", "cell", "id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    visits = T.StructType([rows.schema["label"], T.StructField("block", T.LongType()), rows.schema["id"], rows.schema["vec"], T.StructField("cell", T.LongType()), T.StructField("reach", T.DoubleType())])
+    further = cuts.cut(asked.mapInArrow(others, visits))
+    pairs = own.select("label", "id", F.explode("near").alias("x")).select("label", "id", F.col("x.other").alias("other"), F.col("x.dist").alias("dist")).unionByName(visited(further))
     return best(pairs)
 
 
 def smote(
-    df: DataFrame, label: str, ident: str, columns: Sequence[str], *, k: int = 5, seed: int = 42, block_rows: int = 10_000, within: str | None = None
+    df: DataFrame, label: str, ident: str, columns: Sequence[str], *, k: int = 5, seed: int = 42, block_rows: int = 30_000, within: str | None = None
 ) -> DataFrame:
     """Synthetic rows (label + columns) that bring every class to the size of the largest; with ``within``, a column that the label
     determines, to the largest with the same value of it, so that many tables are balanced at once.

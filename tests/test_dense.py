@@ -74,3 +74,30 @@ def test_buckets_make_only_the_points_they_read(spark):
         scored = survival.score_survival(model, df, ["id"], buckets=buckets)
         assert len(scored.first()["curve"]) == 169
         assert scored.where(F.map_entries("probability_distribution") != F.map_entries(bucket_probabilities(F.col("curve"), buckets))).count() == 0
+
+
+def test_neighbours_travel_by_block_and_ties_stay_bounded(spark, monkeypatch):
+    import tracemalloc
+
+    from fluxloom.operators import prep
+    from fluxloom.session import Cuts, scratch
+
+    same = np.ones((1500, 64))
+    tracemalloc.start()
+    row, other, dist = prep.exact_neighbours(same, np.arange(1500), same, np.arange(1500), 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6 and len(row) == 4500 and (dist == 0).all() and other[-3:].tolist() == [0, 1, 2]
+
+    rng = np.random.default_rng(8)
+    pts = rng.normal(size=(400, 10))
+    data = [("a", i, [float(v) for v in p], 400, i, True) for i, p in enumerate(pts)]
+    rows = spark.createDataFrame(data, "label string, id long, vec array<double>, _n long, _i long, seeds boolean")
+    made = []
+    cut = Cuts.cut
+    monkeypatch.setattr(Cuts, "cut", lambda self, df: made.append(cut(self, df)) or made[-1])
+    with scratch() as cuts:
+        near = {r.id: [x.other for x in r.near] for r in prep.class_neighbours(rows, k=5, block_rows=100, cuts=cuts).collect()}
+        assert made[-1].count() <= 400 * 6  # a visit is one of few blocks, not one of 20 cells
+    for i, p in enumerate(pts):
+        assert near[i] == [j for j in np.lexsort((np.arange(400), ((pts - p) ** 2).sum(1))) if j != i][:5]
