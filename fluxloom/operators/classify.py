@@ -267,7 +267,7 @@ def training_sets(df: DataFrame, labels: Sequence[str], ident: str, columns: Seq
     member = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("fold")))
     rows = folded.select("label_no", "key", "y", "x", member.alias("k")).select((F.col("label_no") * (folds + 1) + F.col("k")).alias("set"), "key", "y", "x")
     if oversample:
-        rows = durable(rows)
+        # only the rows of ``folded`` and the synthetic ones are written down: the sets repeat the former
         wide = rows.select(F.concat_ws("|", "set", "y").alias("cls"), "set", "key", *[F.col("x")[i].alias(f"x{i}") for i in range(len(columns))])
         made = smote(wide, "cls", "key", [f"x{i}" for i in range(len(columns))], seed=seed, within="set")
         split = F.split("cls", r"\|")
@@ -275,7 +275,7 @@ def training_sets(df: DataFrame, labels: Sequence[str], ident: str, columns: Seq
         made = made.select(split[0].cast("int").alias("set"), split[1].cast("int").alias("y"), vector.alias("x"))
         # synthetic rows are named by what they hold, so that a lost task draws the same trees again
         made = made.select("set", (F.xxhash64("y", "x").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("key"), "y", "x")
-        rows = durable(rows.unionByName(made).withColumn("w", F.lit(1.0)))
+        rows = rows.unionByName(made).withColumn("w", F.lit(1.0))
     else:
         weights = class_weights(rows.withColumn("cls", F.concat_ws("|", "set", "y")), "cls", "w")
         # balanced within the set: as many sets and rows of each as there are cancel out below

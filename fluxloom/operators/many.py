@@ -5,7 +5,7 @@ classes take every step together, so the number of jobs does not depend on how m
 
 Boosting. Features are binned once by quantiles. Each level of a tree is one aggregation of (set, class, node, feature, bin) to gradient, hessian and
 count: tasks add up the histograms of their rows, partial sums meet by set in two levels, and only the chosen splits reach the driver.
-Margins are written down every ``REFRESH`` trees; in between a task applies the few newest trees to its rows.
+Bins and margins are all that is written of a row. Margins are written down every ``REFRESH`` trees; in between a task applies the few newest trees to its rows.
 
 Logistic regression. Each Newton step is one aggregation of loss, gradient and second moments by set.
 
@@ -279,7 +279,18 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
     for r in rows.groupBy("set", "y").count().collect():  # one row per set and class
         counts.setdefault(r["set"], {})[r["y"]] = r["count"]
     models = {s: [_Growing(_base(own.get(c, 0) / sum(own.values())), options.depth, edges) for c in targets(classes[s])] for s, own in counts.items()}
-    data, written = kept[-1].cut(rows.select("set", "key", "y", "x", F.array().cast("array<double>").alias("margins"))), 0
+    kind = np.dtype(np.uint8 if width <= 256 else np.uint16)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = _binned(_matrix(batch.column(3)), edges).astype(kind) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b.tobytes() for b in bins], pa.binary()), batch.column(4)], ["set", "key", "y", "bins", "margins"])
+
+    def unpacked(column: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), features).astype(np.int64)
+
+    small = rows.select("set", "key", "y", "x", F.array().cast("array<double>").alias("margins"))
+    data, written = kept[-1].cut(small.mapInArrow(reduced, "set int, key long, y int, bins binary, margins array<double>")), 0
 
     def margins(s: int, bins: np.ndarray, had: np.ndarray) -> np.ndarray:
         own = had if had.shape[1] else np.tile([m.base for m in models[s]], (len(bins), 1))
@@ -290,7 +301,7 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
             sets = batch.column(0).to_numpy()
             for s in np.unique(sets):
                 here = batch.filter(pa.array(sets == s))
-                now = margins(int(s), _binned(_matrix(here.column(3)), edges), _matrix(here.column(4)))
+                now = margins(int(s), unpacked(here.column(3).to_numpy(zero_copy_only=False)), _matrix(here.column(4)))
                 yield pa.RecordBatch.from_arrays([*here.columns[:4], pa.array(list(now), pa.list_(pa.float64()))], batch.schema.names)
 
     for tree in range(options.trees):
@@ -304,9 +315,9 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
                 m.begin()
         for level in range(options.depth):
 
-            def partial(s: int, key: np.ndarray, y: np.ndarray, x: np.ndarray, had: np.ndarray, tree: int = tree, level: int = level) -> np.ndarray:
+            def partial(s: int, key: np.ndarray, y: np.ndarray, packed: np.ndarray, had: np.ndarray, tree: int = tree, level: int = level) -> np.ndarray:
                 seen = _drawn(key, tree, options.share, options.seed)
-                bins = _binned(x[seen], edges)
+                bins = unpacked(packed[seen])
                 margin = margins(s, bins, had[seen])
                 out = []
                 for i, (m, c) in enumerate(zip(models[s], targets(classes[s]))):
@@ -314,7 +325,7 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
                     out.append(histogram(bins, m.nodes(bins, level), 1 << level, g, h, width))
                 return np.concatenate([o.ravel() for o in out])
 
-            for s, sums in _summed(data, partial, ["key", "y", "x", "margins"]).items():
+            for s, sums in _summed(data, partial, ["key", "y", "bins", "margins"]).items():
                 for m, hist in zip(models[s], sums.reshape(len(models[s]), 3, 1 << level, features, width)):
                     m.split(level, *best_splits(hist), options.rate)
     return {s: [m.finished() for m in own] for s, own in models.items()}

@@ -101,3 +101,23 @@ def test_neighbours_travel_by_block_and_ties_stay_bounded(spark, monkeypatch):
         assert made[-1].count() <= 400 * 6  # a visit is one of few blocks, not one of 20 cells
     for i, p in enumerate(pts):
         assert near[i] == [j for j in np.lexsort((np.arange(400), ((pts - p) ** 2).sum(1))) if j != i][:5]
+
+
+def test_boosting_writes_bins_and_margins_only(spark, monkeypatch):
+    from fluxloom.operators import classify, many
+    from fluxloom.session import Cuts
+
+    df = spark.createDataFrame([(i, f"k{i % 3 % 2}", float(i % 7), float(i * 37 % 101)) for i in range(90)], "id long, label string, a double, b double")
+    names, folded, rows = classify.training_sets(df, ["label"], "id", ["a", "b"], folds=2, oversample=True)
+    read = [f for f in rows.inputFiles() if f not in folded.inputFiles()]
+    assert set(folded.inputFiles()) <= set(rows.inputFiles())  # the sets repeat the folded rows, they are not written again
+    assert read and sum(spark.read.parquet(f).count() for f in read) == rows.where(F.col("key") >= 1 << 62).count()
+    edges = many.bin_edges(df, ["a", "b"])
+    whole = many.fit_sets(rows, {0: 2, 1: 2, 2: 2}, 2, edges, kinds=["gbt"], boosting=many.Boosting(trees=12))
+    made = []
+    cut = Cuts.cut
+    monkeypatch.setattr(Cuts, "cut", lambda self, d: made.append(d.columns) or cut(self, d))
+    level = many.fit_sets(rows, {0: 2, 1: 2, 2: 2}, 2, edges, kinds=["gbt"], boosting=many.Boosting(trees=12), cells_in_task=10)
+    assert made and all(c == ["set", "key", "y", "bins", "margins"] for c in made)
+    for k in whole:
+        assert np.array_equal(whole[k][0].feature, level[k][0].feature) and np.allclose(whole[k][0].value, level[k][0].value)
