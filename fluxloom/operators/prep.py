@@ -322,10 +322,11 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
         block = held = 0
         for c in near_order(own):
             members = found.get(int(c), (0, 0))[0]
-            if held and held + members > block_rows:
+            alone = members > block_rows or (members and not np.isfinite(radius[label][c]))  # rows without a distance keep to their cell
+            if held and (alone or held + members > block_rows):
                 block, held = block + 1, 0
             first[label][c], parts[label][c] = block, max(1, -(-members // block_rows))
-            if parts[label][c] > 1:
+            if alone:
                 block, held = block + int(parts[label][c]), 0
             else:
                 held += members
