@@ -1,33 +1,35 @@
 """SentencePiece encoding and decoding of a byte-pair model as a relational lattice.
 
 Texts are split into units that no piece crosses: white space and the word after it. Every different unit is encoded once:
-its substrings up to the longest piece are exploded and equi-joined to the piece table, the edges found are grouped by unit, and Spark's
-``aggregate`` folds them. A byte-pair model does not choose the path of best summed score, which is what a Viterbi fold finds; its
-tokenizer joins the neighbouring pair of best score first. So the fold keeps the unit's cuts as bits and in every step applies the best edge that
-joins exactly two present pieces. The result is that of the reference library, id by id. Characters without a piece become byte pieces.
-Units of over ``LONGEST`` characters do not fit the bits; they are joined one by one in a task, by the same rule.
-
-Units meet their documents again by bucket of documents: each bucket holds every unit once, however often it occurs there.
+its substrings up to the longest piece are exploded and equi-joined to the piece table, the edges found are grouped by the unit's 64-bit key, and
+Spark's ``aggregate`` folds them. A byte-pair model does not choose the path of best summed score, which is what a Viterbi fold finds; its
+tokenizer joins the neighbouring pair of best score first. So the fold keeps the unit's cuts as bits and applies an edge where it joins exactly two present
+pieces. One pass over the edges, best first, does that unless a join completes the parts of a better edge that was passed by; such units are
+folded step by step, taking the best edge of all each time. The result is that of the reference library, id by id. Characters without a piece become byte pieces.
+Units of over ``LONGEST`` characters do not fit the bits; they are joined one by one in the task that holds their texts, by the same rule.
+
+Units meet their documents again by bucket of documents: each bucket asks once for every unit it holds, however often it occurs there. The buckets that ask
+for a unit travel with it, and its ids go back to them; texts are shuffled once, for both the asking and the meeting.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluxloom.session import durable, scratch
+from fluxloom.llm.words import MIX, SLICE_BYTES, mix64, signed, span_sums, text_buffer
 
 SPACE = "▁"
 LONGEST = 60
-BUCKET_CHARS = 8_000_000
-UNITS_PER_TASK = 40_000
+BUCKET_CHARS = 16_000_000
+CHARS_PER_TASK = 4_000_000
 ID_BITS = 22
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+TOGETHER = 256  # texts decoded in one go
 
 
 class Pieces:
@@ -48,54 +50,130 @@ class Pieces:
         self.width = max(len(t) for t, _, _ in self.rows)
 
 
-def units_of(text: str) -> list[str]:
-    """A dummy space opens every text that is not empty, as in the library."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
+class Units:
+    """Units of consecutive texts: byte spans in ``data`` (white space as 0x20), 64-bit keys, lengths, and the first unit of every text.
 
-def _lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
-    """(unit, ids) of units up to ``LONGEST`` characters.
+    A dummy space opens every text that is not empty, as in the library.
+    """
 
-    Units are dealt out once, by ``unit``; their substrings are exploded, joined and grouped where they lie. An edge is one number: the order in
-    which its piece joins, where it starts, its size, and the piece's id plus 1 (0: a character without a piece).
+    def __init__(self, raw: np.ndarray, text_ends: np.ndarray):
+        begins = np.concatenate([[0], text_ends[:-1]])
+        full = text_ends > begins
+        self.data = np.insert(raw, begins[full], 32)
+        text_ends = text_ends + np.cumsum(full)
+        opens = np.concatenate([[0], text_ends[:-1]])[full]
+        gap = self.data == 32
+        start = gap.copy()
+        start[1:] &= ~gap[:-1]
+        start[opens] = True
+        self.starts = np.flatnonzero(start)
+        self.ends = np.append(self.starts[1:], len(self.data)) if len(self.starts) else self.starts
+        sums = span_sums(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+        self.keys = mix64(sums + (self.ends - self.starts).astype(np.uint64) * np.uint64(MIX[1]))
+        chars = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        self.long = chars[self.ends] - chars[self.starts] > LONGEST
+        self.first = np.searchsorted(self.starts, np.concatenate([[0], text_ends]))
+
+    def texts(self, chosen: np.ndarray) -> pa.Array:
+        """The chosen units, with ``SPACE`` for white space."""
+        starts, size = self.starts[chosen], self.ends[chosen] - self.starts[chosen]
+        at = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.arange(at[-1]) + np.repeat(starts - at[:-1], size)]
+        found = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+        return pc.replace_substring(found, " ", SPACE)
+
+
+def _sliced_units(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, Units]]:
+    """(number of texts, units) over slices of about ``SLICE_BYTES``; a longer text is a slice of its own."""
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        raw, ends = text_buffer(pc.replace_substring(chunk, SPACE, " "))
+        row, n = 0, len(ends)
+        while row < n:
+            begin = int(ends[row - 1]) if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, begin + SLICE_BYTES, side="right")))
+            yield stop - row, Units(raw[begin : int(ends[stop - 1])], ends[row:stop] - begin)
+            row = stop
+
+
+def _asked(table: pa.Table) -> pa.Table:
+    """(bucket, key, unit) of a bucket's texts, each unit once; long ones are not asked for."""
+    seen, keys, texts = np.zeros(0, dtype=np.uint64), [], []
+    for _, units in _sliced_units(table.column("text")):
+        key, at = np.unique(units.keys, return_index=True)
+        at = at[~units.long[at]]
+        key = units.keys[at]
+        fresh = np.searchsorted(seen, key)
+        new = seen[np.minimum(fresh, len(seen) - 1)] != key if len(seen) else np.ones(len(key), dtype=bool)
+        keys.append(key[new])
+        texts.append(units.texts(at[new]))
+        seen = np.insert(seen, fresh[new], key[new])
+    n = sum(len(k) for k in keys)
+    bucket = pa.array(np.full(n, table.column("bucket")[0].as_py() if len(table) else 0, dtype=np.int32))
+    unit = pa.chunked_array(texts, pa.large_string()).combine_chunks().cast(pa.string())
+    return pa.table({"bucket": bucket, "key": pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *keys]))), "unit": unit})
+
+
+def _lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(buckets, key, ids) of units (buckets, key, unit) up to ``LONGEST`` characters, which lie together by ``key``.
+
+    An edge is one number: the order in which its piece joins, where it starts, its size, and the piece's id; for a character without a piece
+    the order is the last and its code point stands for the id.
     """
     n = F.char_length("unit")
     order = {r: k for k, r in enumerate(sorted({r for _, _, r in pieces.rows}))}
-    if max(len(order), max(i for _, i, _ in pieces.rows) + 2) >= 1 << ID_BITS:
+    if max(len(order), max(i for _, i, _ in pieces.rows)) >= 1 << ID_BITS:
         raise ValueError("the model has too many pieces")
-    table = units.sparkSession.createDataFrame([(t, (order[r] << ID_BITS + 12) + i + 1) for t, i, r in pieces.rows], "piece string, code long")
-    starts = units.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    spans = starts.select("unit", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.width), n - F.col("i")))).alias("size"))
-    spans = spans.select("unit", "i", "size", F.substring("unit", F.col("i") + 1, F.col("size")).alias("piece"))
+    left = lambda c, bits: F.call_function("shiftleft", c, bits if isinstance(bits, Column) else F.lit(bits))
+    last = len(order) << ID_BITS + 12
+    table = units.sparkSession.createDataFrame([(t, (order[r] << ID_BITS + 12) + i) for t, i, r in pieces.rows], "piece string, code long")
+    starts = units.select("buckets", "key", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    spans = starts.select("buckets", "key", "unit", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.width), n - F.col("i")))).alias("size"))
+    spans = spans.select(F.when((F.col("i") == 0) & (F.col("size") == 1), F.col("buckets")).alias("buckets"), "key", "i", "size", F.substring("unit", F.col("i") + 1, F.col("size")).alias("piece"))
     edges = spans.join(F.broadcast(table), "piece", "left").where(F.col("code").isNotNull() | (F.col("size") == 1))
-    last = F.lit(len(order) << ID_BITS + 12)
-    code = F.coalesce("code", last) + F.call_function("shiftleft", (F.col("i") * 64 + F.col("size")).cast("long"), F.lit(ID_BITS))
-    grouped = edges.groupBy("unit").agg(F.collect_list(code).alias("codes"))
+    code = F.coalesce("code", last + F.ascii("piece")) + left((F.col("i") * 64 + F.col("size")).cast("long"), ID_BITS)
+    grouped = edges.groupBy("key").agg(F.first("buckets", ignorenulls=True).alias("buckets"), F.array_sort(F.collect_list(code)).alias("codes"))
 
     def edge(c: Column) -> Column:
-        i, size = F.shiftright(c, ID_BITS + 6).bitwiseAND(63).cast("int"), F.shiftright(c, ID_BITS).bitwiseAND(63).cast("int")
-        low, high = F.call_function("shiftleft", F.lit(1).cast("long"), i), F.call_function("shiftleft", F.lit(1).cast("long"), i + size)
-        return F.struct(c.alias("code"), i.alias("i"), (low + high).alias("ends"), (high - low).alias("inside"))
+        low = left(F.lit(1).cast("long"), F.shiftright(c, ID_BITS + 6).bitwiseAND(63).cast("int"))
+        high = left(low, F.shiftright(c, ID_BITS).bitwiseAND(63).cast("int"))
+        return F.struct(c.alias("code"), (low + high).alias("ends"), (high - low).alias("inside"), low.alias("low"))
 
-    def present(cuts: Column, pieces_inside: int):
-        return lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inside"])) == pieces_inside)
+    def present(cuts: Column, e: Column, pieces_inside: int) -> Column:
+        return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inside"])) == pieces_inside)
 
-    def join(cuts: Column, _: Column) -> Column:
-        best = F.array_min(F.filter("joins", present(cuts, 2)))
-        start = best["inside"].bitwiseAND(-best["inside"])
-        return F.coalesce(cuts - cuts.bitwiseAND(best["inside"]) + start, cuts)
+    def joined(cuts: Column, e: Column) -> Column:
+        return cuts - cuts.bitwiseAND(e["inside"]) + e["low"]
 
-    def ids(e: Column) -> Column:
-        code = F.hex(F.encode(F.substring("unit", e["i"] + 1, F.lit(1)), "UTF-8"))
-        each = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + pieces.byte0)
-        own = e["code"].bitwiseAND((1 << ID_BITS) - 1).cast("int")
-        return F.when(own == 0, each).otherwise(F.array(own - 1))
+    def one_pass(state: Column, e: Column) -> Column:
+        cuts = joined(state["cuts"], e)
+        passed = F.exists("joins", lambda f: (f["code"] < e["code"]) & present(cuts, f, 2))
+        return F.when(present(state["cuts"], e, 2), F.struct(cuts.alias("cuts"), (state["late"] | passed).alias("late"))).otherwise(state)
+
+    def best_of_all(cuts: Column, _: Column) -> Column:
+        best = F.get(F.filter("joins", lambda e: present(cuts, e, 2)), F.lit(0))
+        return F.coalesce(joined(cuts, best), cuts)
 
-    grouped = grouped.withColumn("edges", F.transform("codes", edge)).withColumn("joins", F.filter("edges", lambda e: F.bit_count(e["inside"]) > 1))
-    every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    grouped = grouped.withColumn("cuts", F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, join))
-    path = F.array_sort(F.transform(F.filter("edges", present(F.col("cuts"), 1)), lambda e: F.struct(e["i"].alias("i"), e["code"].alias("code"))))
-    return grouped.select("unit", F.flatten(F.transform(path, ids)).alias("ids"))
+    def ids(e: Column) -> Column:
+        """Of a present piece (where it starts, id or code point, whether it has an id)."""
+        c, mark, low = e["id"], lambda bits: F.shiftright(e["id"], bits).bitwiseAND(63) + 128, lambda c: c.cast("int") + pieces.byte0
+        each = F.when(c < 0x80, F.array(low(c))).when(c < 0x800, F.array(low(F.shiftright(c, 6) + 0xC0), low(mark(0))))
+        each = each.when(c < 0x10000, F.array(low(F.shiftright(c, 12) + 0xE0), low(mark(6)), low(mark(0))))
+        each = each.otherwise(F.array(low(F.shiftright(c, 18) + 0xF0), low(mark(12)), low(mark(6)), low(mark(0))))
+        return F.when(e["known"], F.array(e["id"])).otherwise(each)
+
+    several = lambda c: F.shiftright(c, ID_BITS).bitwiseAND(63) > 1
+    grouped = grouped.withColumn("joins", F.transform(F.filter("codes", several), edge))
+    size = F.aggregate("codes", F.lit(0).cast("long"), lambda m, c: F.greatest(m, F.shiftright(c, ID_BITS + 6).bitwiseAND(63) + 1))
+    grouped = grouped.withColumn("every", left(F.lit(1).cast("long"), (size + 1).cast("int")) - 1)
+    grouped = grouped.withColumn("pass", F.aggregate("joins", F.struct(F.col("every").alias("cuts"), F.lit(False).alias("late")), one_pass))
+    stepwise = F.aggregate(F.sequence(F.lit(2), F.greatest(F.bit_count("every"), F.lit(2))), F.col("every"), best_of_all)
+    grouped = grouped.withColumn("cuts", F.when(F.col("pass.late"), stepwise).otherwise(F.col("pass.cuts")))
+    here = lambda c: present(F.col("cuts"), edge(c), 1)
+    piece = lambda c: F.struct(F.shiftright(c, ID_BITS + 6).bitwiseAND(63).cast("int").alias("i"), c.bitwiseAND((1 << ID_BITS) - 1).cast("int").alias("id"), (c < last).alias("known"))
+    path = F.array_sort(F.transform(F.filter("codes", here), piece))
+    plain = F.transform("path", lambda e: e["id"])
+    grouped = grouped.select("buckets", "key", path.alias("path"))
+    return grouped.select("buckets", "key", F.when(F.exists("path", lambda e: ~e["known"]), F.flatten(F.transform("path", ids))).otherwise(plain).alias("ids"))
 
 
 def join_pairs(unit: str, ranks: dict[str, float], ids: dict[str, int], byte0: int) -> list[int]:
@@ -120,12 +198,37 @@ def join_pairs(unit: str, ranks: dict[str, float], ids: dict[str, int], byte0: i
     return [i for p in parts if p is not None for i in ([ids[p]] if p in ids else [byte0 + b for b in p.encode("utf-8")])]
 
 
-def _long_units(rows: list[tuple[str, int, float]], byte0: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assembled(rows: list[tuple[str, int, float]], byte0: int):
+    """A bucket's texts with the ids of their units, from what it asked for."""
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         ranks, ids = {t: r for t, _, r in rows}, {t: i for t, i, _ in rows}
-        for batch in batches:
-            done = [join_pairs(u, ranks, ids, byte0) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.list_(pa.int32()))], ["unit", "ids"])
+        lists = known.column("ids").combine_chunks()
+        keys, sizes, flat = known.column("key").to_numpy().view(np.uint64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
+        order = np.argsort(keys)
+        keys, size, start = keys[order], sizes[order], (np.cumsum(sizes) - sizes)[order]
+        out, counts, long = [], [], {}
+        for n, units in _sliced_units(texts.column("text")):
+            place = np.minimum(np.searchsorted(keys, units.keys), max(len(keys) - 1, 0))
+            at, count, pool = (start[place], size[place], flat) if len(keys) else (np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), flat)
+            if not (units.long | (keys[place] == units.keys if len(keys) else False)).all():
+                raise ValueError("a unit has come back without its ids")
+            if units.long.any():
+                which, own = np.unique(units.keys[units.long], return_index=True)
+                for k, text in zip(which.tolist(), units.texts(np.flatnonzero(units.long)[own]).to_pylist()):
+                    if k not in long:
+                        long[k] = np.array(join_pairs(text, ranks, ids, byte0), dtype=np.int32)
+                more = [long[k] for k in units.keys[units.long].tolist()]
+                at, count = at.copy(), count.copy()
+                count[units.long] = [len(x) for x in more]
+                at[units.long] = len(flat) + np.cumsum(count[units.long]) - count[units.long]
+                pool = np.concatenate([flat, *more])
+            ends = np.concatenate([[0], np.cumsum(count)])
+            out.append(pool[np.arange(ends[-1]) + np.repeat(at - ends[:-1], count)].astype(np.int32))
+            counts.append(np.diff(ends[units.first]))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))]).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": found})
 
     return run
 
@@ -134,36 +237,33 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, text, ids) for every row of ``docs``; the text is null where it was, and then has no ids.
 
     Ids are those of the model file's library. Empty texts have none. Rows with null or repeated ids are encoded like others. Other columns are not read.
+    The result is not written down: it is made where it is read.
     """
     pieces = Pieces(path)
-
-    def distinct_units(rows: pd.DataFrame) -> pd.DataFrame:
-        found = dict.fromkeys(u for t in rows.text if t for u in units_of(t))
-        return pd.DataFrame({"bucket": rows.bucket.iloc[0], "unit": list(found)}).astype({"bucket": "int32"})
-
-    def assemble(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(known.unit, (list(x) for x in known.ids)))
-        ids = [[i for u in units_of(t) for i in of[u]] if t else [] for t in rows.text]
-        return pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "text": rows.text, "ids": ids})
-
-    with scratch() as cuts:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(total) // BUCKET_CHARS + 1)).cast("int"))
-        asked = cuts.cut(dealt.groupBy("bucket").applyInPandas(distinct_units, "bucket int, unit string"))
-        units = cuts.cut(asked.select("unit").distinct())
-        short = _lattice(units.where(F.char_length("unit") <= LONGEST), pieces, units.count() // UNITS_PER_TASK + 1)
-        long = units.where(F.char_length("unit") > LONGEST).mapInArrow(_long_units(pieces.rows, pieces.byte0), "unit string, ids array<int>")
-        known = cuts.cut(asked.join(short.unionByName(long), "unit"))
-        return durable(dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(assemble, "doc_id long, text string, ids array<int>"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = int(rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // BUCKET_CHARS + 1)).cast("int")).groupBy("bucket")
+    asked = dealt.applyInArrow(_asked, "bucket int, key long, unit string").repartition(total // CHARS_PER_TASK + 1, "key")
+    units = asked.groupBy("key").agg(F.collect_list("bucket").alias("buckets"), F.first("unit").alias("unit"))
+    known = _lattice(units, pieces).select(F.explode("buckets").alias("bucket"), "key", "ids")
+    return dealt.cogroup(known.groupBy("bucket")).applyInArrow(_assembled(pieces.rows, pieces.byte0), "doc_id long, text string, ids array<int>")
 
 
 def _decoded(texts: list[str], byte0: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [bytes([i - byte0]) if byte0 <= i < byte0 + 256 else t.replace(SPACE, " ").encode("utf-8") for i, t in enumerate(texts)]
+        size = np.array([len(x) for x in raw], dtype=np.int64)
+        start, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), dtype=np.uint8)
         for batch in batches:
-            at = batch.num_columns - 1
-            out = [None if x is None else b"".join(raw[i] for i in x).decode("utf-8", "replace").removeprefix(" ") for x in batch.column(at).to_pylist()]
+            lists, out = batch.column(batch.num_columns - 1), []
+            for at in range(0, len(lists), TOGETHER):
+                part = lists.slice(at, TOGETHER)
+                ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(size[ids])])
+                text = data[np.arange(ends[-1]) + np.repeat(start[ids] - ends[:-1], size[ids])].tobytes()
+                counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                bounds = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+                out += [text[a:b].decode("utf-8", "replace").removeprefix(" ") if known else None for a, b, known in zip(bounds, bounds[1:], part.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     return run

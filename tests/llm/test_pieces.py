@@ -1,11 +1,13 @@
 """Long units against the library, in useful time."""
 
+import os
 import random
 import time
 
 import sentencepiece
 
 from fluxloom.llm import pieces, queries
+from fluxloom.session import shared_folder
 
 
 def test_long_units_equal_the_library():
@@ -20,3 +22,25 @@ def test_long_units_equal_the_library():
     begin = time.time()
     long = "".join(rng.choice("etaoinshrdlu") for _ in range(100_000))
     assert pieces.join_pairs("▁" + long, ranks, ids, byte0) == library.encode(long) and time.time() - begin < 5
+
+
+def test_encoding_by_buckets_writes_nothing_down(spark, monkeypatch):
+    """Units of every kind over several buckets and tasks; texts pass through one shuffle and no table in the shared folder."""
+    monkeypatch.setattr(pieces, "BUCKET_CHARS", 4000)
+    monkeypatch.setattr(pieces, "CHARS_PER_TASK", 2000)
+    path = queries.vocabulary("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    alphabets = ["ab ", "etaoin shr", "漢字日本語 ", "ab🙂é▁ ", "the  \n", "&$#*ß ü"]
+    rows = [(i % 7 if i % 5 else None, "".join(rng.choice(alphabets[i % 6]) for _ in range(rng.choice([0, 1, 3, 20, 200, 900])))) for i in range(120)]
+    rows += [(1, None), (1, ""), (2, "   "), (3, "▁"), (3, "a▁▁b"), (4, "x" * 500), (4, " trailing  "), (5, "a" * 59), (5, "é" * 60), (5, "é" * 61), (5, "é" * 61)]
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pieces.decode(pieces.encode(docs, path), path).collect()
+    assert set(os.listdir(folder)) == before
+    order = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in got), key=order) == sorted(rows, key=order)
+    for r in got:
+        assert list(r.ids) == library.encode(r.text or "") and r.decoded == (r.text or "").replace("▁", " "), r.text[:40]
+    assert pieces.encode(docs.where("false"), path).count() == 0
