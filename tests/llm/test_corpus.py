@@ -232,6 +232,30 @@ def test_attention_learns_from_texts_outside_the_sample(spark, monkeypatch):
     assert moved[ids].all() and np.isfinite(model.embed).all() and 0.5 <= model.mixed <= 0.999
 
 
+def test_attention_weights_start_in_a_task(spark, monkeypatch):
+    """The driver reads no text: it has no tokenizer here."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(200) if i % 9 else None, " ".join(rng.choice("river stone water bridge boat fish court tax".split()) for _ in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = queries.vocabulary("word_bpe_49k.json")
+    hashed = lambda r: (r.h, -1 if r.doc_id is None else r.doc_id)
+    want = sorted(docs.withColumn("h", F.xxhash64("doc_id")).collect(), key=hashed)[:50]
+    got = [r.text for r in attention_lm._sample(docs, 50).collect()]
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add(t)
+    assert len(got) == 50 and all(t in texts[r.doc_id] for t, r in zip(got, want))
+    counts = docs.select("text").mapInArrow(attention_lm._counted(path), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).cache()
+
+    def none(_):
+        raise AssertionError("a tokenizer on the driver")
+
+    monkeypatch.setattr(attention_lm.WordEncoder, "of", none)
+    model = attention_lm.fit(docs, counts, path)
+    assert np.isfinite(model.embed).all() and 0.5 <= model.mixed <= 0.999
+    assert attention_lm.fit(docs.where("false"), counts.where("false"), path).embed.any()
+
+
 def test_nearest_among_many_exact_copies(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3600, 48))
