@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fluxloom.functions.classes import CLASS_FLOORS, class_label, class_letter, class_magnitude
 from fluxloom.functions.timing import MINUTE_US, from_micros, hours_to_us, micros
@@ -250,6 +250,7 @@ def detect_events(flux: DataFrame, regions: DataFrame | None = None, *, keys: Se
         F.lit("auto_detected").alias("source"),
         F.lit(False).alias("verified"),
     )
+    events = durable(events)  # merging and what follows read them several times; the series is gone through once
     merged = merge_close_events(events, keys=keys, tie=["event_no"])
     if regions is None:
         return merged.withColumn("active_region", F.lit(None).cast("int"))
@@ -257,27 +258,38 @@ def detect_events(flux: DataFrame, regions: DataFrame | None = None, *, keys: Se
     return attach_region(ident, regions, keys=keys, ident="_id").drop("_id")
 
 
-def backfill(archive: DataFrame, stored: DataFrame, *, start: str, end: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Archive rows of a date range as one plan: (valid flux, events to append, totals).
+def _new_events(flux: DataFrame, stored: DataFrame) -> DataFrame:
+    return dedupe_append(stored, detect_events(flux, keys=[]), tie=["event_no"])
 
-    The range is processed whole, so no event is cut at a batch edge. Totals count rows,
-    new events and days without any sample.
-    """
-    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    flux = archive.where(F.col(TS).between(lo, hi))
-    found = detect_events(flux, keys=[])
-    fresh = dedupe_append(stored, found, tie=["event_no"])
+
+def _totals(flux: DataFrame, fresh: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """One row: rows, new events and days without any sample."""
     days = flux.sparkSession.range(1).select(
         F.explode(F.sequence(F.to_date(lo), F.to_date(hi), F.expr("interval 1 day"))).alias("day")
     )
     missing = days.join(flux.select(F.to_date(TS).alias("day")).distinct(), "day", "left_anti")
     one = F.lit(True)
-    totals = (
+    return (
         flux.agg(F.count("*").alias("rows"))
         .join(fresh.agg(F.count("*").alias("events")), one)
         .join(missing.agg(F.count("*").alias("missing_days")), one)
     )
-    return flux, fresh, totals
+
+
+def _span(start: str, end: str) -> tuple[Column, Column]:
+    return F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+
+
+def backfill(archive: DataFrame, stored: DataFrame, *, start: str, end: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Archive rows of a date range as one plan: (valid flux, events to append, totals).
+
+    The range is processed whole, so no event is cut at a batch edge. Totals count rows,
+    new events and days without any sample.
+    """
+    lo, hi = _span(start, end)
+    flux = archive.where(F.col(TS).between(lo, hi))
+    fresh = _new_events(flux, stored)
+    return flux, fresh, _totals(flux, fresh, lo, hi)
 
 
 FLUX_SCHEMA = T.StructType().add("timestamp", T.TimestampNTZType()).add("flux_short", "double").add("flux_long", "double").add("satellite", "string")
@@ -295,8 +307,11 @@ def backfill_tables(store: CommittedTables, archive: DataFrame, *, start: str, e
     """
     spark = archive.sparkSession
     columns = FLUX_SCHEMA.fieldNames()
-    flux, fresh, totals = backfill(archive, store.read("events", EVENT_SCHEMA), start=start, end=end)
-    flux, totals = durable(flux.select(*columns)), durable(totals)  # before the tables change
+    lo, hi = _span(start, end)
+    # both are read several times, and before the tables change: the archive is parsed once, events are looked for once
+    flux = durable(archive.where(F.col(TS).between(lo, hi)).select(*columns))
+    fresh = durable(_new_events(flux, store.read("events", EVENT_SCHEMA)))
+    totals = durable(_totals(flux, fresh, lo, hi))
     days = [r["day"] for r in flux.select(F.to_date(TS).cast("string").alias("day")).distinct().collect()]
     merged = upsert(store.read("flux", FLUX_SCHEMA, days), flux.withColumn("_given", F.lit(1)), keys=[TS], order=["_given", "flux_long", "flux_short"])
     replaced = store.stage("flux", merged, TS, staging_path(spark, "flux"))

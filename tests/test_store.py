@@ -48,6 +48,21 @@ def test_backfill_is_all_or_nothing(spark, monkeypatch):
     assert contents(torn) == want
 
 
+def test_backfill_reads_its_archive_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = archive(spark, 3)
+    store = CommittedTables(spark, staging_path(spark, "store"))
+    total = run(store, rows.mapInArrow(counted, rows.schema), 3)
+    assert (total.rows, total.events, total.missing_days) == (144, 6, 0) and read.value == 144
+    assert run(store, rows.mapInArrow(counted, rows.schema), 3).events == 0 and read.value == 288
+
+
 def test_days_are_replaced_or_added_to(spark):
     store = CommittedTables(spark, staging_path(spark, "store"))
     put = lambda rows: store.stage("flux", rows, "timestamp", staging_path(spark, "flux"))
