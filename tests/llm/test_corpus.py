@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import re
 import zlib
 
@@ -256,6 +257,21 @@ def test_attention_weights_start_in_a_task(spark, monkeypatch):
     assert attention_lm.fit(docs.where("false"), counts.where("false"), path).embed.any()
 
 
+def test_a_step_makes_no_table_of_the_vocabulary():
+    """What a step needs beside the weights grows with its windows alone."""
+    rng = np.random.default_rng(3)
+    size, none = 200_000, np.zeros(0)
+    model = attention_lm.Attention(**attention_lm._drawn(size, np.zeros(attention_lm.CLASSES, np.float32), rng), class_of=none, share=none, lexicon=none, lexicon_count=none, begins=none, mixed=0.9)
+    given, target, weight = rng.integers(0, size, (2, attention_lm.WINDOW)), rng.integers(0, attention_lm.CLASSES, (2, attention_lm.WINDOW)), np.ones((2, attention_lm.WINDOW), np.float32)
+    squares = {}
+    model.step(given, target, weight, squares)
+    tracemalloc.start()
+    model.step(given, target, weight, squares)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+
+
 def test_nearest_among_many_exact_copies(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3600, 48))
