@@ -30,6 +30,31 @@ def test_streams_meet_by_bucket_of_time(spark, tmp_path):
     assert len(found) == len(set(found)) and set(found) == wanted
 
 
+def test_streams_store_runs_and_not_pairs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    start = T0 - 3600 * SECOND
+    steps = [0, 1, 3599, 3600, 7199, 7200, 7201] + [int(v) for v in rng.integers(0, 14_400, 290)]  # some at the ends of buckets and ranges
+    preds = [(None if i == 5 else i, None if i == 6 else "ab"[i % 2], start + v * SECOND) for i, v in enumerate(steps)] + [(99, "a", None)]
+    peaks = [(i, None if i == 4 else "ab"[i % 2], start + (v + 7200 * (i % 3)) * SECOND) for i, v in enumerate(steps)] + [(7, "a", None), (8, "c", start), (8, "a", start)]
+    wanted = sorted((-1 if p is None else p, e, at) for p, s, t in preds for e, z, at in peaks if None not in (s, t, at) and s == z and t <= at <= t + 7200 * SECOND)
+
+    def streams(name):
+        kinds = {"p": "id long, series_id string, timestamp timestamp", "e": "event_id long, series_id string, peak_time timestamp"}
+        for side, rows in (("p", preds), ("e", peaks)):
+            for part in (rows[:100], rows[100:]):  # two files, out of order
+                spark.createDataFrame(part, kinds[side]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/{side}")
+        return [live.read_landed(spark, f"{tmp_path}/{name}/{side}", kinds[side], files_per_batch=1) for side in "pe"]
+
+    def same(df):
+        return sorted((-1 if r.id is None else r.id, r.event_id, r.peak_time) for r in df.select("id", "event_id", "peak_time").collect()) == wanted
+
+    runs = live.collected(spark, live.matched_outcomes(*streams("whole"), hours=2, runs=True), "runs")
+    assert runs.count() < 100 and len(wanted) > 10_000 and same(live.pairs(runs))
+    monkeypatch.setattr(live, "BLOCK", 7)
+    monkeypatch.setattr(live, "HELD", 60)
+    assert same(live.collected(spark, live.matched_outcomes(*streams("cut"), hours=2), "matched"))
+
+
 def test_outcomes_of_crowded_predictions(spark):
     log = spark.createDataFrame([(i, T0 + i * SECOND, 1 + i % 3) for i in range(300)] + [(900, None, 1), (901, T0, None)], "id long, timestamp timestamp_ntz, window_hours int")
     rows = [(T0 + s * SECOND, c) for s, c in ((0, "B"), (10, "C"), (10, "M"), (200, "M"), (3600, "X"), (3700, "C"), (7300, None))]
