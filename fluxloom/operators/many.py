@@ -10,7 +10,7 @@ Bins and margins are all that is written of a row. Margins are written down ever
 Logistic regression. Each Newton step is one aggregation of loss, gradient and second moments by set.
 
 Sets of up to ``CELLS_IN_TASK`` cells (rows times features, counted first) run all of their steps inside one task instead, by the same functions: one
-job for everything. Larger ones go level by level.
+job for everything. Boosting needs their bins only, a byte a cell, and does so up to ``BINS_A_CELL`` times as many. Larger ones go level by level.
 
 ``rows`` always has the columns set (int), key (long, names a row within its set), y (int, the class number), w (double, its weight in the logistic
 regression) and x (array of double, without nulls).
@@ -33,6 +33,8 @@ BINS = 32
 RIDGE = 1.0  # added to a node's hessian
 REFRESH = 10
 CELLS_IN_TASK = 8_000_000
+BINS_A_CELL = 20
+ROWS_AT_ONCE = 16_384  # whose histogram or moments are added up in the processor's cache
 SLOTS = 16  # partial sums of a set meet in so many groups first
 _MIX = np.uint64(0xFF51AFD7ED558CCD)  # fixed value: multiplier of a well-known 64-bit mixer
 
@@ -97,6 +99,11 @@ def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1) if len(edges) else np.zeros((len(x), 0), np.int64)
 
 
+def _bin_kind(edges: list[np.ndarray]) -> np.dtype:
+    """Type that holds a bin's number."""
+    return np.dtype(np.uint8 if max([len(e) for e in edges], default=0) < 256 else np.uint16)
+
+
 def _drawn(key: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
     """Which rows a tree sees: by a digest of the row's key, the same on every retry and in every plan."""
     with np.errstate(over="ignore"):
@@ -112,12 +119,18 @@ def _slopes(margin: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def histogram(bins: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
-    """(3, nodes, features, width): gradient, hessian and count."""
-    n, features = bins.shape
-    at = ((node[:, None] * features + np.arange(features)) * width + bins).ravel()
-    size = nodes * features * width
-    parts = [np.bincount(at, np.repeat(v, features), minlength=size) for v in (g, h, np.ones(n))]
-    return np.stack(parts).reshape(3, nodes, features, width)
+    """(3, nodes, features, width): gradient, hessian, and 1 where there are rows. ``bins`` has a line per feature."""
+    features, n = bins.shape
+    sums = np.zeros((features, nodes * width), dtype=np.complex128)  # both sums in one pass
+    both, start, at = g + 1j * h, node * width, np.empty(min(n, ROWS_AT_ONCE), dtype=np.int64)
+    for i in range(0, n, ROWS_AT_ONCE):
+        own = slice(i, i + ROWS_AT_ONCE)
+        place = at[: len(start[own])]
+        for f in range(features):
+            np.add(start[own], bins[f, own], out=place)
+            np.add.at(sums[f], place, both[own])
+    sums = sums.reshape(features, nodes, width).transpose(1, 0, 2)
+    return np.stack([sums.real, sums.imag, sums.imag > 0])
 
 
 def best_splits(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +139,8 @@ def best_splits(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     whole = left[:, :, :1, -1:]
     right = whole - left
     score = lambda s: s[0] ** 2 / (s[1] + RIDGE)
-    gain = np.where((left[2] > 0.5) & (right[2] > 0.5), score(left) + score(right) - score(whole), -np.inf)
+    after = left[2][:, :, -1:] - left[2]  # every feature has its own number of bins with rows
+    gain = np.where((left[2] > 0.5) & (after > 0.5), score(left) + score(right) - score(whole), -np.inf)
     flat = gain.reshape(gain.shape[0], -1)
     # sums taken in another order differ in their last digits: gains that close are ties
     top = flat.max(axis=1)
@@ -157,13 +171,17 @@ class _Growing:
         self.place.append(np.zeros(nodes, dtype=np.int64))
         self.gain.append(np.zeros(nodes))
 
+    def below(self, bins: np.ndarray, node: np.ndarray, level: int, tree: int = -1) -> np.ndarray:
+        """Node of every row one level below its node of a level, both counted within their levels."""
+        at = node + (1 << level) - 1
+        f = self.feature[tree][at]
+        return 2 * node + ((f >= 0) & (bins[np.arange(len(bins)), f] > self.place[tree][at]))
+
     def nodes(self, bins: np.ndarray, levels: int, tree: int = -1) -> np.ndarray:
         """Node of every row after so many levels, counted within its level."""
-        node, rows = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
+        node = np.zeros(len(bins), dtype=np.int64)
         for level in range(levels):
-            at = node + (1 << level) - 1
-            f = self.feature[tree][at]
-            node = 2 * node + ((f >= 0) & (bins[rows, f] > self.place[tree][at]))
+            node = self.below(bins, node, level, tree)
         return node
 
     def split(self, level: int, feature: np.ndarray, place: np.ndarray, gain: np.ndarray, sides: np.ndarray, rate: float) -> None:
@@ -218,10 +236,12 @@ def boost(bins: np.ndarray, key: np.ndarray, hit: np.ndarray, edges: list[np.nda
         model.begin()
         seen = _drawn(key, tree, options.share, options.seed)
         g, h = _slopes(margin[seen], hit[seen])
+        lines, node = np.ascontiguousarray(bins[seen].T), np.zeros(len(hit), dtype=np.int64)
         for level in range(options.depth):
-            hist = histogram(bins[seen], model.nodes(bins[seen], level), 1 << level, g, h, width)
+            hist = histogram(lines, node[seen], 1 << level, g, h, width)
             model.split(level, *best_splits(hist), options.rate)
-        margin += model.margin(bins, tree)
+            node = model.below(bins, node, level)
+        margin += model.value[tree][node]
     return model.finished()
 
 
@@ -279,7 +299,7 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
     for r in rows.groupBy("set", "y").count().collect():  # one row per set and class
         counts.setdefault(r["set"], {})[r["y"]] = r["count"]
     models = {s: [_Growing(_base(own.get(c, 0) / sum(own.values())), options.depth, edges) for c in targets(classes[s])] for s, own in counts.items()}
-    kind = np.dtype(np.uint8 if width <= 256 else np.uint16)
+    kind = _bin_kind(edges)
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +307,7 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b.tobytes() for b in bins], pa.binary()), batch.column(4)], ["set", "key", "y", "bins", "margins"])
 
     def unpacked(column: np.ndarray) -> np.ndarray:
-        return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), features).astype(np.int64)
+        return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), features)
 
     small = rows.select("set", "key", "y", "x", F.array().cast("array<double>").alias("margins"))
     data, written = kept[-1].cut(small.mapInArrow(reduced, "set int, key long, y int, bins binary, margins array<double>")), 0
@@ -319,10 +339,10 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
                 seen = _drawn(key, tree, options.share, options.seed)
                 bins = unpacked(packed[seen])
                 margin = margins(s, bins, had[seen])
-                out = []
+                out, lines = [], np.ascontiguousarray(bins.T)
                 for i, (m, c) in enumerate(zip(models[s], targets(classes[s]))):
                     g, h = _slopes(margin[:, i], (y[seen] == c).astype(np.float64))
-                    out.append(histogram(bins, m.nodes(bins, level), 1 << level, g, h, width))
+                    out.append(histogram(lines, m.nodes(bins, level), 1 << level, g, h, width))
                 return np.concatenate([o.ravel() for o in out])
 
             for s, sums in _summed(data, partial, ["key", "y", "bins", "margins"]).items():
@@ -331,11 +351,47 @@ def _levels(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], o
     return {s: [m.finished() for m in own] for s, own in models.items()}
 
 
+def _boost_in_tasks(rows: DataFrame, classes: dict[int, int], edges: list[np.ndarray], options: Boosting) -> dict[int, list[Trees]]:
+    """All models of all sets, one task a model: of its rows it gets keys, classes and bins, packed by batch."""
+    kind, features = _bin_kind(edges), len(edges)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, key, y = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int32)
+            bins = _binned(_matrix(batch.column(3)), edges).astype(kind) if batch.num_rows else np.zeros((0, features), kind)
+            found = np.unique(sets)
+            parts = [[v[sets == s].tobytes() for s in found] for v in (key, y, bins)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *[pa.array(p, pa.binary()) for p in parts]], ["set", "key", "y", "bins"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        s, part = int(table["set"][0].as_py()), int(table["part"][0].as_py())
+        key, y, bins = (np.concatenate([np.frombuffer(v.as_buffer(), dtype) for v in table[c]]) for c, dtype in (("key", np.int64), ("y", np.int32), ("bins", kind)))
+        order = np.argsort(key, kind="stable")
+        model = boost(bins.reshape(len(key), features)[order], key[order], (y[order] == targets(classes[s])[part]).astype(np.float64), edges, options)
+        made = [np.ascontiguousarray(a, dtype=np.float64).tobytes() for a in (np.float64(model.base), model.feature, model.cut, model.gain, model.value)]
+        return pa.table({"set": pa.array([s], pa.int32()), "part": pa.array([part], pa.int32()), "model": pa.array([made], pa.list_(pa.binary()))})
+
+    wanted = rows.sparkSession.createDataFrame([(s, p) for s, k in classes.items() for p in range(len(targets(k)))], "set int, part int")
+    small = rows.select("set", "key", "y", "x").mapInArrow(packed, "set int, key binary, y binary, bins binary")
+    found = small.join(F.broadcast(wanted), "set").groupBy("set", "part").applyInArrow(whole, "set int, part int, model array<binary>").collect()
+    out: dict[int, list[Trees]] = {}
+    for r in sorted(found, key=lambda r: (r["set"], r["part"])):
+        base, feature, cut, gain, value = (np.frombuffer(bytes(p), dtype=np.float64) for p in r["model"])
+        shape = (options.trees, -1)
+        out.setdefault(r["set"], []).append(Trees(float(base[0]), feature.reshape(shape).astype(np.int64), cut.reshape(shape), gain.reshape(shape), value.reshape(shape)))
+    return out
+
+
 # --- logistic regression ----------------------------------------------------------------------
 
 
 def _moments(weights: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Summed weight, loss, gradient and second moments of the rows, in one array."""
+    step = ROWS_AT_ONCE // 16
+    return sum(_moments_of(weights, x[i : i + step], y[i : i + step], w[i : i + step]) for i in range(0, max(len(x), 1), step))
+
+
+def _moments_of(weights: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     k, d = weights.shape
     one = np.hstack([x, np.ones((len(x), 1))])
     z = one @ weights.T
@@ -396,6 +452,21 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, max_i
     return model.finished()
 
 
+def _softmax_in_tasks(rows: DataFrame, classes: dict[int, int], features: int, max_iter: int, tolerance: float) -> dict[int, Softmax]:
+    """All models of all sets, one task a set."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        s = int(table["set"][0].as_py())
+        x, y, w, key = _matrix(table["x"]), table["y"].to_numpy().astype(np.int64), table["w"].to_numpy(), table["key"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        made = softmax_fit(x[order], y[order], w[order], classes[s], max_iter, tolerance).weights.tobytes()
+        return pa.table({"set": pa.array([s], pa.int32()), "model": pa.array([made], pa.binary())})
+
+    known = rows.where(F.col("set").isin(list(classes))).select("set", "key", "y", "w", "x")
+    found = known.groupBy("set").applyInArrow(whole, "set int, model binary").collect()
+    return {r["set"]: Softmax(np.frombuffer(bytes(r["model"]), dtype=np.float64).reshape(classes[r["set"]], features + 1)) for r in found}
+
+
 def _softmax_by_step(rows: DataFrame, classes: dict[int, int], features: int, max_iter: int, tolerance: float) -> dict[int, Softmax]:
     models = {s: _Newton(k, features) for s, k in classes.items()}
     for _ in range(max_iter):
@@ -415,18 +486,6 @@ def _softmax_by_step(rows: DataFrame, classes: dict[int, int], features: int, ma
 # --- all sets ---------------------------------------------------------------------------------
 
 
-def _pack(model: Trees | Softmax) -> list[bytes]:
-    if isinstance(model, Softmax):
-        return [model.weights.tobytes()]
-    return [np.float64(model.base).tobytes(), *[np.ascontiguousarray(a, dtype=np.float64).tobytes() for a in (model.feature, model.cut, model.gain, model.value)]]
-
-
-def _unpack_trees(parts: list[bytes], trees: int) -> Trees:
-    base, feature, cut, gain, value = (np.frombuffer(bytes(p), dtype=np.float64) for p in parts)
-    shape = (trees, -1)
-    return Trees(float(base[0]), feature.reshape(shape).astype(np.int64), cut.reshape(shape), gain.reshape(shape), value.reshape(shape))
-
-
 def fit_sets(
     rows: DataFrame,
     classes: dict[int, int],
@@ -441,36 +500,16 @@ def fit_sets(
 ) -> dict[tuple[str, int], Softmax | list[Trees]]:
     """Every kind of model for every set: ``classes`` gives its number of classes. A boosted fit has one model per class (see ``targets``)."""
     boosting = boosting or Boosting()
-    largest = rows.groupBy("set").count().agg(F.max("count")).first()[0] or 0
-    if largest * max(features, 1) > cells_in_task:
-        out: dict[tuple[str, int], Softmax | list[Trees]] = {}
-        if "logistic" in kinds:
-            out |= {("logistic", s): m for s, m in _softmax_by_step(rows, classes, features, max_iter, tolerance).items()}
-        if "gbt" in kinds:
-            out |= {("gbt", s): m for s, m in _boost_by_level(rows, classes, edges, boosting).items()}
-        return out
-
-    def whole(table: pa.Table) -> pa.Table:
-        s, part = int(table["set"][0].as_py()), int(table["part"][0].as_py())
-        x, y, w, key = _matrix(table["x"]), table["y"].to_numpy().astype(np.int64), table["w"].to_numpy(), table["key"].to_numpy()
-        order = np.argsort(key, kind="stable")
-        x, y, w, key = x[order], y[order], w[order], key[order]
-        if part < 0:
-            made = _pack(softmax_fit(x, y, w, classes[s], max_iter, tolerance))
-        else:
-            made = _pack(boost(_binned(x, edges), key, (y == targets(classes[s])[part]).astype(np.float64), edges, boosting))
-        return pa.table({"set": pa.array([s], pa.int32()), "part": pa.array([part], pa.int32()), "model": pa.array([made], pa.list_(pa.binary()))})
-
-    # one task per model: a set's rows go to each of its models
-    parts = {s: ([-1] if "logistic" in kinds else []) + (list(range(len(targets(k)))) if "gbt" in kinds else []) for s, k in classes.items()}
-    wanted = rows.sparkSession.createDataFrame([(s, p) for s, own in parts.items() for p in own], "set int, part int")
-    found = rows.join(F.broadcast(wanted), "set").groupBy("set", "part").applyInArrow(whole, "set int, part int, model array<binary>").collect()
-    out = {}
-    for r in sorted(found, key=lambda r: (r["set"], r["part"])):
-        if r["part"] < 0:
-            out["logistic", r["set"]] = Softmax(np.frombuffer(bytes(r["model"][0]), dtype=np.float64).reshape(classes[r["set"]], features + 1))
-        else:
-            out.setdefault(("gbt", r["set"]), []).append(_unpack_trees(r["model"], boosting.trees))
+    cells = (rows.groupBy("set").count().agg(F.max("count")).first()[0] or 0) * max(features, 1)
+    out: dict[tuple[str, int], Softmax | list[Trees]] = {}
+    if "logistic" in kinds and cells <= cells_in_task:
+        out |= {("logistic", s): m for s, m in _softmax_in_tasks(rows, classes, features, max_iter, tolerance).items()}
+    elif "logistic" in kinds:
+        out |= {("logistic", s): m for s, m in _softmax_by_step(rows, classes, features, max_iter, tolerance).items()}
+    if "gbt" in kinds and cells <= cells_in_task * BINS_A_CELL:
+        out |= {("gbt", s): m for s, m in _boost_in_tasks(rows, classes, edges, boosting).items()}
+    elif "gbt" in kinds:
+        out |= {("gbt", s): m for s, m in _boost_by_level(rows, classes, edges, boosting).items()}
     return out
 
 

@@ -87,6 +87,26 @@ def test_both_plans_make_the_same_models(both):
             assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.value, b.value) and a.base == b.base
 
 
+def test_boosting_in_tasks_holds_bins(spark, both, monkeypatch):
+    sets, rows, one, _ = both
+
+    def no(*_):
+        raise AssertionError("a job per level")
+
+    monkeypatch.setattr(many, "_boost_by_level", no)
+    edges = many.bin_edges(rows.select(*[F.col("x")[i].alias(f"x{i}") for i in range(4)]), [f"x{i}" for i in range(4)], bins=8)
+    made = many.fit_sets(rows, {0: 3, 3: 3, 7: 2}, 4, edges, kinds=["gbt"], boosting=many.Boosting(trees=12, depth=2), cells_in_task=260 * 4 // 2)
+    assert made.keys() == {("gbt", s) for s in sets}
+    for key, model in made.items():
+        for a, b in zip(model, one[key], strict=True):
+            assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.array_equal(a.value, b.value)
+    wide = [np.arange(300) / 100.0 - 1.5] * 4  # bins that take two bytes
+    made = many.fit_sets(rows, {0: 3, 3: 3, 7: 2}, 4, wide, kinds=["gbt"], boosting=many.Boosting(trees=2, depth=2))
+    x, y = sets[7]
+    alone = many.boost(many._binned(x, wide), np.arange(len(x)), (y == 1).astype(float), wide, many.Boosting(trees=2, depth=2))
+    assert np.array_equal(made["gbt", 7][0].feature, alone.feature) and np.array_equal(made["gbt", 7][0].value, alone.value)
+
+
 def test_logistic_weights_equal_the_library(spark, both):
     sets, rows, one, _ = both
     for s in (0, 7):
