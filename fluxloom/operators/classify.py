@@ -265,18 +265,20 @@ def training_sets(df: DataFrame, labels: Sequence[str], ident: str, columns: Seq
     cls = F.concat(F.col("label_no").cast("string"), F.lit("|"), F.col("name"))
     folded = durable(fold_column(stacked.withColumn("cls", cls).withColumn("y", place[F.col("cls")]), "cls", "key", folds=folds, seed=seed).select("label_no", "key", "y", "fold", "x"))
     member = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("fold")))
-    rows = folded.select("label_no", "key", "y", "x", member.alias("k")).select((F.col("label_no") * (folds + 1) + F.col("k")).alias("set"), "key", "y", "x")
+    number = (F.col("label_no") * (folds + 1) + F.col("k")).alias("set")
+    rows = folded.select("label_no", "key", "y", "x", "fold", member.alias("k")).select(number, "key", "y", "x", "label_no", "fold", "k")
     if oversample:
         # only the rows of ``folded`` and the synthetic ones are written down: the sets repeat the former
-        wide = rows.select(F.concat_ws("|", "set", "y").alias("cls"), "set", "key", *[F.col("x")[i].alias(f"x{i}") for i in range(len(columns))])
-        made = smote(wide, "cls", "key", [f"x{i}" for i in range(len(columns))], seed=seed, within="set")
+        wide = rows.select(F.concat_ws("|", "set", "y").alias("cls"), "set", "key", F.concat_ws("|", "label_no", "y").alias("base"), "fold", "k", *[F.col("x")[i].alias(f"x{i}") for i in range(len(columns))])
+        made = smote(wide, "cls", "key", [f"x{i}" for i in range(len(columns))], seed=seed, within="set", folded=("base", "fold", "k"), folds=folds)
         split = F.split("cls", r"\|")
         vector = F.array(*[F.col(f"x{i}") for i in range(len(columns))])
         made = made.select(split[0].cast("int").alias("set"), split[1].cast("int").alias("y"), vector.alias("x"))
         # synthetic rows are named by what they hold, so that a lost task draws the same trees again
         made = made.select("set", (F.xxhash64("y", "x").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("key"), "y", "x")
-        rows = rows.unionByName(made).withColumn("w", F.lit(1.0))
+        rows = rows.select("set", "key", "y", "x").unionByName(made).withColumn("w", F.lit(1.0))
     else:
+        rows = rows.select("set", "key", "y", "x")
         weights = class_weights(rows.withColumn("cls", F.concat_ws("|", "set", "y")), "cls", "w")
         # balanced within the set: as many sets and rows of each as there are cancel out below
         sizes = rows.groupBy("set").agg(F.count("*").alias("_rows"), F.count_distinct("y").alias("_kinds"))

@@ -371,9 +371,12 @@ def _boost_in_tasks(rows: DataFrame, classes: dict[int, int], edges: list[np.nda
         made = [np.ascontiguousarray(a, dtype=np.float64).tobytes() for a in (np.float64(model.base), model.feature, model.cut, model.gain, model.value)]
         return pa.table({"set": pa.array([s], pa.int32()), "part": pa.array([part], pa.int32()), "model": pa.array([made], pa.list_(pa.binary()))})
 
-    wanted = rows.sparkSession.createDataFrame([(s, p) for s, k in classes.items() for p in range(len(targets(k)))], "set int, part int")
+    models = [(s, p) for s, k in classes.items() for p in range(len(targets(k)))]
+    wanted = rows.sparkSession.createDataFrame(models, "set int, part int")
     small = rows.select("set", "key", "y", "x").mapInArrow(packed, "set int, key binary, y binary, bins binary")
-    found = small.join(F.broadcast(wanted), "set").groupBy("set", "part").applyInArrow(whole, "set int, part int, model array<binary>").collect()
+    # models are few and long: more tasks than models, so that few of them share one
+    dealt = small.join(F.broadcast(wanted), "set").repartition(8 * max(len(models), 1), "set", "part")
+    found = dealt.groupBy("set", "part").applyInArrow(whole, "set int, part int, model array<binary>").collect()
     out: dict[int, list[Trees]] = {}
     for r in sorted(found, key=lambda r: (r["set"], r["part"])):
         base, feature, cut, gain, value = (np.frombuffer(bytes(p), dtype=np.float64) for p in r["model"])

@@ -22,6 +22,8 @@ ID_COLUMNS = ("timestamp", "region_number")
 MOST_PIVOTS = 2048  # of a class in the search for neighbours
 AT_ONCE = 1 << 15  # rows or pairs of vectors a task has in hand
 CELLS_AT_ONCE = 1 << 21  # distances a task has in hand
+LINES = 256  # queries that are compared together
+FIRST_SLICE = 2048  # rows that bound how far a query's nearest are
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -215,32 +217,78 @@ def tail_split(df: DataFrame, order: Sequence[str], *, test_share: float = 0.2)
 # --- oversampling -------------------------------------------------------------------------
 
 
+def _needed(row: np.ndarray, fold: np.ndarray, k: int, folds: int) -> np.ndarray:
+    """Which of the entries, sorted by row and nearness, are among the k first of their row, or among those outside of some fold."""
+    kept = np.zeros(len(row), dtype=bool)
+    first = np.searchsorted(row, row)
+    for f in range(max(folds, 1)):
+        out = np.ones(len(row), dtype=bool) if not folds else fold != f
+        before = np.cumsum(out) - out
+        kept |= out & (before - before[first] < k)
+    return kept
+
+
+def _kth(rough: np.ndarray, fold: np.ndarray, k: int, folds: int) -> np.ndarray:
+    """Of every line a bound that at least k values keep to, whichever fold is left out."""
+    each = [rough[:, fold == f] for f in range(folds)] if folds else [rough]
+    least = [np.partition(r, k - 1, axis=1)[:, k - 1] if r.shape[1] >= k else np.full(len(r), np.inf) for r in each]
+    return np.partition(np.stack(least), 1, axis=0)[1] if len(least) > 1 else least[0]
+
+
 def exact_neighbours(points: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other's id, squared distance) of the k nearest others of every point, itself left out; ties go to the smaller id.
+    """(row, other's id, squared distance) of the k nearest others of every point, itself left out; ties go to the smaller id."""
+    row, place, dist = nearest(points, ids, others, other_ids, k)
+    return row, other_ids[place], dist
+
+
+def nearest(
+    points: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int, *, reach: np.ndarray | None = None, fold: np.ndarray | None = None, folds: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``exact_neighbours`` with the others' places instead of their ids. With ``folds``, the k nearest outside of each ``fold`` of the others. ``reach`` is
+    how far it is worth looking from a point.
 
-    Products of the vectors find who may be near; the distances that count are taken from the differences, ``AT_ONCE`` pairs at a time, as
-    any number of rows may be as near.
+    Products of the vectors find who may be near: a first slice of the others bounds how far that is, and what is found tightens it for the next.
+    The distances that count are taken from the differences, ``AT_ONCE`` pairs at a time, as any number of rows may be as near.
     """
-    rows, near, dist = [], [], []
+    fold = np.zeros(len(others), dtype=np.int64) if fold is None else fold
     norm = (others * others).sum(1)
-    step = max(1, min(512, CELLS_AT_ONCE // max(len(others), 1)))
-    for s in range(0, len(points) if len(others) else 0, step):
-        block, own = points[s : s + step], ids[s : s + step]
-        rough = np.maximum((block * block).sum(1)[:, None] + norm[None, :] - 2 * block @ others.T, 0)
-        rough[own[:, None] == other_ids[None, :]] = np.inf
-        take = min(k, rough.shape[1])
-        limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        slack = 1e-9 * ((block * block).sum(1) + (norm.max() if len(norm) else 0.0))
-        at, place = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
-        exact = np.concatenate([((block[at[i : i + AT_ONCE]] - others[place[i : i + AT_ONCE]]) ** 2).sum(1) for i in range(0, max(len(at), 1), AT_ONCE)])
-        order = np.lexsort((other_ids[place], exact, at))
-        at, place, exact = at[order], place[order], exact[order]
-        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
-        rows.append(s + at[kept])
-        near.append(other_ids[place[kept]])
-        dist.append(exact[kept])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(rows, np.int64), join(near, np.int64), join(dist, np.float64)
+    most = norm.max() if len(norm) else 0.0
+    right = np.hstack([others, norm[:, None]])
+    slices = [0, *range(FIRST_SLICE, len(others), CELLS_AT_ONCE // LINES)]
+    out = []
+    for s in range(0, len(points) if len(others) else 0, LINES):
+        block, own = points[s : s + LINES], ids[s : s + LINES]
+        square = (block * block).sum(1)
+        left = np.hstack([-2 * block, np.ones((len(block), 1))])
+        limit = np.full(len(block), np.inf) if reach is None else reach[s : s + LINES] ** 2
+        slack = 1e-9 * (square + most)
+        row, place, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for a, b in zip(slices, [*slices[1:], len(others)]):
+            rough = left @ right[a:b].T  # but for the point's own square
+            if a == 0 and not np.isfinite(limit).all():
+                rough[own[:, None] == other_ids[None, a:b]] = np.inf
+                limit = np.fmin(limit, np.maximum(_kth(rough, fold[a:b], k, folds) + square, 0))
+            at, near = np.nonzero(rough <= (limit + slack - square)[:, None])
+            near += a
+            apart = own[at] != other_ids[near]
+            at, near = at[apart], near[apart]
+            for i in range(0, len(at), AT_ONCE):
+                some, these = at[i : i + AT_ONCE], near[i : i + AT_ONCE]
+                exact = ((block[some] - others[these]) ** 2).sum(1)
+                real = np.isfinite(exact)
+                row, place, dist = np.concatenate([row, some[real]]), np.concatenate([place, these[real]]), np.concatenate([dist, exact[real]])
+                order = np.lexsort((other_ids[place], dist, row))
+                order = order[_needed(row[order], fold[place[order]], k, folds)]
+                row, place, dist = row[order], place[order], dist[order]
+            if len(row):
+                # the last of a row's entries is as far as it is worth looking once there are k outside of every fold
+                counts = np.stack([np.bincount(row[fold[place] != f] if folds else row, minlength=len(block)) for f in range(max(folds, 1))])
+                full = np.flatnonzero(counts.min(axis=0) >= k)
+                ends = np.searchsorted(row, full, side="right") - 1
+                limit[full] = np.fmin(limit[full], dist[ends])
+        out.append((s + row, place, dist))
+    kinds = (np.int64, np.int64, np.float64)
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, c) for c in kinds)
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -268,8 +316,9 @@ def near_order(points: np.ndarray) -> np.ndarray:
     return np.concatenate(done) if done else np.zeros(0, np.int64)
 
 
-def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) -> DataFrame:
-    """(label, id, other, dist): the k nearest rows of the same class for every row that seeds.
+def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts, folds: int = 0) -> DataFrame:
+    """(label, id, fold, near): the k nearest rows of the same class for every row that seeds, as (dist, other, its fold), nearest first. With ``folds``, ``rows`` has
+    a fold, and near are the k nearest outside of each other fold: one search for as many tables that leave out a fold each.
 
     ``rows`` has label, id, vec, _n (rows of the class), _i (its place in a drawn order) and seeds. The first ``sqrt(_n)`` rows of a class, ``MOST_PIVOTS`` at
     most, are its pivots; a row belongs to the cell of the nearest one. Cells are packed into blocks of about ``block_rows`` rows, near cells
@@ -284,6 +333,7 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
         pivots.setdefault(r["label"], []).append(r["vec"])
     pivots = {label: np.array(vecs, dtype=np.float64) for label, vecs in pivots.items()}
     label_type = rows.schema["label"].dataType
+    rows = rows if folds else rows.withColumn("fold", F.lit(0))
 
     def by_label(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
         codes = batch.column(0).dictionary_encode()
@@ -308,8 +358,8 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
                 dist[own] = far[np.arange(len(own)), cell[own]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], [*batch.schema.names, "cell", "away"])
 
-    kinds = T.StructType([rows.schema["label"], rows.schema["id"], rows.schema["vec"], rows.schema["seeds"]])
-    placed = cuts.cut(rows.select("label", "id", "vec", "seeds").mapInArrow(assign, T.StructType(kinds.fields + [T.StructField("cell", T.LongType()), T.StructField("away", T.DoubleType())])))
+    kinds = T.StructType([rows.schema[c] for c in ("label", "id", "vec", "seeds", "fold")])
+    placed = cuts.cut(rows.select("label", "id", "vec", "seeds", "fold").mapInArrow(assign, T.StructType(kinds.fields + [T.StructField("cell", T.LongType()), T.StructField("away", T.DoubleType())])))
     sizes: dict[object, dict[int, tuple[int, float]]] = {}
     for r in placed.groupBy("label", "cell").agg(F.count("*").alias("members"), F.max("away").alias("radius")).collect():  # one row per pivot
         sizes.setdefault(r["label"], {})[r["cell"]] = (r["members"], r["radius"])
@@ -334,8 +384,8 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
         [(label, c, int(first[label][c]), int(parts[label][c])) for label in pivots for c in range(len(pivots[label]))],
         T.StructType([T.StructField("label", label_type), T.StructField("cell", T.LongType()), T.StructField("first", T.LongType()), T.StructField("parts", T.LongType())]),
     )
-    members = placed.join(F.broadcast(blocks), ["label", "cell"]).select("label", "cell", "id", "vec", "seeds", "first", "parts", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"))
-    found_type = T.StructType([T.StructField("label", label_type), T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("dist", T.DoubleType())])
+    members = placed.join(F.broadcast(blocks), ["label", "cell"]).select("label", "cell", "id", "vec", "seeds", "fold", "first", "parts", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+    found_type = T.StructType([T.StructField("label", label_type), *[T.StructField(c, kind) for c, kind in (("id", T.LongType()), ("fold", T.IntegerType()), ("other", T.LongType()), ("dist", T.DoubleType()), ("of", T.IntegerType()))]])
 
     def open_cells(label: object, x: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Which cells may hold rows within ``limit`` of each of ``x``."""
@@ -346,41 +396,47 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
     def compare(table: pa.Table) -> pa.Table:
         """Nearest members of a block for the queries that visit it; cells out of reach of 256 neighbouring queries are skipped."""
         label, asks = table["label"][0].as_py(), table["side"].to_numpy() == 0
-        x, ids, cell, limit = _vectors(table["vec"]), table["id"].to_numpy(), table["cell"].to_numpy(), table["reach"].to_numpy()
+        x, ids, cell, limit, fold = _vectors(table["vec"]), table["id"].to_numpy(), table["cell"].to_numpy(), table["reach"].to_numpy(), table["fold"].to_numpy()
         place = {int(c): i for i, c in enumerate(near_order(pivots[label]))}
         mine, have = np.flatnonzero(asks), np.flatnonzero(~asks)
         mine = mine[np.argsort([place[int(c)] for c in cell[mine]], kind="stable")]
         out = []
-        for i in range(0, len(mine), 256):
-            own = mine[i : i + 256]
+        for i in range(0, len(mine), LINES):
+            own = mine[i : i + LINES]
             near = have if not np.isfinite(limit[own]).all() else have[open_cells(label, x[own], limit[own]).any(axis=0)[cell[have]]]
-            row, other, dist = exact_neighbours(x[own], ids[own], x[near], ids[near], k)
-            out.append((ids[own][row], other, dist))
-        got = [np.concatenate(p) for p in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            row, place, dist = nearest(x[own], ids[own], x[near], ids[near], k, reach=limit[own], fold=fold[near], folds=folds)
+            out.append((ids[own][row], fold[own][row], ids[near][place], dist, fold[near][place]))
+        empty = [np.zeros(0, kind) for kind in (np.int64, np.int32, np.int64, np.float64, np.int32)]
+        got = [np.concatenate(p) for p in zip(*out)] if out else empty
         names = table["label"].combine_chunks()
-        return pa.table({"label": names.take(pa.array(np.zeros(len(got[0]), np.int64))), "id": pa.array(got[0]), "other": pa.array(got[1]), "dist": pa.array(got[2])})
+        return pa.table({"label": names.take(pa.array(np.zeros(len(got[0]), np.int64))), **{c: pa.array(v) for c, v in zip(("id", "fold", "other", "dist", "of"), got)}})
 
     def visited(queries: DataFrame) -> DataFrame:
         """k best of each query (label, block, id, vec, cell, reach) in the block; queries of a block are dealt out, too."""
         dealt = queries.groupBy("label", "block").agg(F.expr(f"(count(*) + {block_rows - 1}) div {block_rows}").alias("shares"))
         ask = queries.join(F.broadcast(dealt), ["label", "block"])
-        ask = ask.select("label", "block", "id", "vec", "cell", "reach", F.pmod(F.xxhash64("id", F.lit(1)), "shares").alias("part"), F.lit(0).alias("side"))
+        ask = ask.select("label", "block", "id", "fold", "vec", "cell", "reach", F.pmod(F.xxhash64("id", F.lit(1)), "shares").alias("part"), F.lit(0).alias("side"))
         have = members.join(F.broadcast(dealt), ["label", "block"])
-        have = have.select("label", "block", "id", "vec", "cell", F.lit(0.0).alias("reach"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"), F.lit(1).alias("side"))
+        have = have.select("label", "block", "id", "fold", "vec", "cell", F.lit(0.0).alias("reach"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"), F.lit(1).alias("side"))
         return ask.unionByName(have).groupBy("label", "block", "part").applyInArrow(compare, found_type)
 
     def best(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("label", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("near"))
+        near = F.array_sort(F.collect_list(F.struct("dist", "other", "of")))
+        return pairs.groupBy("label", "id", "fold").agg((near if folds else F.slice(near, 1, k)).alias("near"))
 
     seeds = members.where("seeds")
     everywhere = F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1))
-    own = cuts.cut(best(visited(seeds.select("label", everywhere.alias("block"), "id", "vec", "cell", F.lit(float("inf")).alias("reach")))))
-    reach = F.when(F.size("near") >= k, F.sqrt(F.element_at("near", -1)["dist"])).otherwise(F.lit(float("inf")))
+    own = cuts.cut(best(visited(seeds.select("label", everywhere.alias("block"), "id", "fold", "vec", "cell", F.lit(float("inf")).alias("reach")))))
+    last = lambda near: F.when(F.size(near) >= k, F.sqrt(F.get(near, F.lit(k - 1))["dist"])).otherwise(F.lit(float("inf")))
+    reach = last(F.col("near"))
+    if folds:  # the farthest of those that the tables without another fold ask for
+        outside = lambda f: F.filter("near", lambda x: x["of"] != f)
+        reach = F.greatest(reach, *[F.when(F.col("fold") == f, 0.0).otherwise(last(outside(f))) for f in range(folds)])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Further blocks that may hold nearer rows."""
         for batch in slices(batches):
-            x, cell, limit = _vectors(batch.column(3)), batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            x, cell, limit = _vectors(batch.column(3)), batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)  # fold comes last
             for label, rows_of in by_label(batch):
                 open_ = open_cells(label, x[rows_of], limit[rows_of])
                 # a cell may lie in several blocks, a block may hold several cells
@@ -393,41 +449,70 @@ def class_neighbours(rows: DataFrame, *, k: int, block_rows: int, cuts: Cuts) ->
                 pairs = np.stack(np.nonzero(reached), axis=1)
                 for i in range(0, len(pairs), AT_ONCE):
                     picked = pa.array(rows_of[pairs[i : i + AT_ONCE, 0]])
-                    columns = [batch.column(0), batch.column(2), batch.column(3), batch.column(1), batch.column(4)]
+                    columns = [batch.column(0), batch.column(2), batch.column(5), batch.column(3), batch.column(1), batch.column(4)]
                     took = [c.take(picked) for c in columns]
-                    yield pa.RecordBatch.from_arrays([took[0], pa.array(pairs[i : i + AT_ONCE, 1]), *took[1:]], ["label", "block", "id", "vec", "cell", "reach"])
+                    yield pa.RecordBatch.from_arrays([took[0], pa.array(pairs[i : i + AT_ONCE, 1]), *took[1:]], ["label", "block", "id", "fold", "vec", "cell", "reach"])
 
-    asked = seeds.join(own.select("label", "id", reach.alias("reach")), ["label", "id"], "left").select("label", "cell", "id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-    visits = T.StructType([rows.schema["label"], T.StructField("block", T.LongType()), rows.schema["id"], rows.schema["vec"], T.StructField("cell", T.LongType()), T.StructField("reach", T.DoubleType())])
+    asked = seeds.join(own.select("label", "id", "fold", reach.alias("reach")), ["label", "id", "fold"], "left").select("label", "cell", "id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"), "fold")
+    visits = T.StructType([rows.schema["label"], T.StructField("block", T.LongType()), rows.schema["id"], rows.schema["fold"], rows.schema["vec"], T.StructField("cell", T.LongType()), T.StructField("reach", T.DoubleType())])
     further = cuts.cut(asked.mapInArrow(others, visits))
-    pairs = own.select("label", "id", F.explode("near").alias("x")).select("label", "id", F.col("x.other").alias("other"), F.col("x.dist").alias("dist")).unionByName(visited(further))
+    pairs = own.select("label", "id", "fold", F.explode("near").alias("x")).select("label", "id", "fold", "x.other", "x.dist", "x.of").unionByName(visited(further))
     return best(pairs)
 
 
 def smote(
-    df: DataFrame, label: str, ident: str, columns: Sequence[str], *, k: int = 5, seed: int = 42, block_rows: int = 30_000, within: str | None = None
+    df: DataFrame,
+    label: str,
+    ident: str,
+    columns: Sequence[str],
+    *,
+    k: int = 5,
+    seed: int = 42,
+    block_rows: int = 30_000,
+    within: str | None = None,
+    folded: tuple[str, str, str] | None = None,
+    folds: int = 0,
 ) -> DataFrame:
     """Synthetic rows (label + columns) that bring every class to the size of the largest; with ``within``, a column that the label
     determines, to the largest with the same value of it, so that many tables are balanced at once.
 
     Each is a point between a row and one of its k nearest rows of the same class. Neighbours are exact (``class_neighbours``). Draws come from
     digests of the row id. Ids are unique in a class.
+
+    Tables that repeat the same rows, each without one fold, share one search: ``folded`` names the columns of the class that the labels of those tables
+    have in common, of the row's fold (0 to ``folds`` - 1), and of the fold that the table leaves out (``folds`` in the table of all rows, which must be there).
     """
-    by = [within] if within else []
+    by, shared = [within] if within else [], ["base", "fold", "without"] if folded else []
     with scratch() as cuts:
         sizes = cuts.cut(df.groupBy(label, *by).agg(F.count("*").alias("_n")))
         top = sizes.groupBy(*by).agg(F.max("_n").alias("_top"))
         need = (sizes.join(top, by) if by else _one_row(sizes, top)).where("_n < _top and _n > 1").select(label, "_n", (F.col("_top") - F.col("_n")).alias("_need"))
-        rows = df.join(need, label).select(
-            F.col(label).alias("label"), F.col(ident).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"), "_n", "_need"
-        )
+        vec = F.array(*[F.col(c).cast("double") for c in columns]).alias("vec")
+        names = [F.col(c).alias(name) for c, name in zip(folded or (), shared)]
+        rows = df.join(need, label).select(F.col(label).alias("label"), F.col(ident).cast("bigint").alias("id"), vec, "_n", "_need", *names)
+        drawn = lambda rows: running_index(rows.withColumn("_draw", draw("id", seed)), ["_draw", "id"], ["label"], name="_i")
         copies = F.expr("_need div _n + if(_i < _need % _n, 1, 0)")
-        ranked = cuts.cut(running_index(rows.withColumn("_draw", draw("id", seed)), ["_draw", "id"], ["label"], name="_i").withColumn("copies", copies).withColumn("seeds", F.col("copies") > 0))
-        near = class_neighbours(ranked, k=k, block_rows=block_rows, cuts=cuts)
-        spread = ranked.where("seeds").join(near, ["label", "id"]).select("label", "id", "vec", "near", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+        ranked = cuts.cut(drawn(rows).withColumn("copies", copies).withColumn("seeds", F.col("copies") > 0))
+        seeds = ranked.where("seeds")
+        if not folded:
+            near = class_neighbours(ranked, k=k, block_rows=block_rows, cuts=cuts)
+            spread, pool, here = seeds.join(near.select("label", "id", "near"), ["label", "id"]), ranked.select("label", F.col("id").alias("other"), F.col("vec").alias("end")), ["label", "other"]
+        else:
+            asked = cuts.cut(seeds.select(F.col("base").alias("label"), "id").distinct().withColumn("seeds", F.lit(True)))
+            whole = df.where(F.col(folded[2]) == folds).join(F.broadcast(sizes.select(label, "_n")), label)
+            whole = whole.select(F.col(folded[0]).alias("label"), "_n", F.col(ident).cast("bigint").alias("id"), vec, F.col(folded[1]).cast("int").alias("fold"))
+            whole = whole.join(F.broadcast(asked.select("label").distinct()), "label").join(asked, ["label", "id"], "left").withColumn("seeds", F.coalesce("seeds", F.lit(False)))
+            every = cuts.cut(drawn(whole))
+            found = class_neighbours(every, k=k, block_rows=block_rows, cuts=cuts, folds=folds).groupBy(F.col("label").alias("base"), "id").agg(F.collect_list(F.struct("fold", "near")).alias("found"))
+            own = F.flatten(F.transform(F.filter("found", lambda f: f["fold"] != F.col("without")), lambda f: f["near"]))
+            near = F.slice(F.array_sort(F.filter(own, lambda x: x["of"] != F.col("without"))), 1, k)
+            spread = seeds.join(found, ["base", "id"]).withColumn("near", near).where(F.size("near") > 0)
+            pool, here = every.select(F.col("label").alias("base"), F.col("id").alias("other"), F.col("vec").alias("end"), F.col("fold").alias("of")), ["base", "other"]
+        spread = spread.select("label", "id", "vec", "near", *[c for c in shared if c != "fold"], F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
         digest = F.xxhash64("id", "copy", F.lit(seed))
         share = F.pmod(F.xxhash64("id", "copy", F.lit(seed + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        chosen = spread.select("label", "vec", share.alias("share"), F.get(F.col("near"), F.pmod(digest, F.size("near")).cast("int"))["other"].alias("other"))
-        ends = chosen.join(ranked.select("label", F.col("id").alias("other"), F.col("vec").alias("end")), ["label", "other"])
+        chosen = spread.select("label", "vec", share.alias("share"), F.get(F.col("near"), F.pmod(digest, F.size("near")).cast("int"))["other"].alias("other"), *[c for c in shared if c != "fold"])
+        ends = chosen.join(pool, here)
+        ends = ends.where("of <> without") if folded else ends
         point = F.zip_with("vec", "end", lambda x, y: x + F.col("share") * (y - x))
         return durable(ends.select(F.col("label").alias(label), point.alias("_v")).select(label, *[F.col("_v")[i].alias(c) for i, c in enumerate(columns)]))

@@ -128,6 +128,44 @@ def test_neighbours_travel_by_block_and_ties_stay_bounded(spark, monkeypatch):
         assert near[i] == [j for j in np.lexsort((np.arange(400), ((pts - p) ** 2).sum(1))) if j != i][:5]
 
 
+def test_sets_that_leave_out_a_fold_share_one_search(spark, monkeypatch):
+    from fluxloom.operators import prep
+
+    rng = np.random.default_rng(3)
+    searched = []
+    search = prep.class_neighbours
+    monkeypatch.setattr(prep, "class_neighbours", lambda rows, **o: searched.append(rows.count()) or search(rows, **o))
+    plain = lambda made: sorted((r.cls, round(r.a, 9), round(r.b, 9)) for r in made.collect())
+    # some rows of b seed; all of a and b do, and ids repeat, in one fold and in others
+    for letters, again in (("abbbccccc", 0), ("abccccc", 1)):
+        rows = [(i, letters[i % len(letters)], i % 3, *map(float, rng.integers(0, 6, 2))) for i in range(210)]  # many ties
+        rows += again * [(7, "a", 0, *rows[7][3:]), (7, "a", 2, *rows[7][3:]), *rows[28:37]]
+        sets = [(f"{w}|{c}", w, i, c, f, w, a, b) for i, c, f, a, b in rows for w in range(4) if w != f]
+        df = spark.createDataFrame(sets, "cls string, set int, key long, base string, fold int, k int, a double, b double").repartition(3)
+        for block_rows in (30_000, 13):
+            searched.clear()
+            alone = plain(prep.smote(df, "cls", "key", ["a", "b"], within="set", block_rows=block_rows))
+            assert alone and plain(prep.smote(df, "cls", "key", ["a", "b"], within="set", block_rows=block_rows, folded=("base", "fold", "k"), folds=3)) == alone
+            assert searched[1] == sum(r[1] != "c" for r in rows) and searched[0] > 2.5 * searched[1]
+
+
+def test_nearest_outside_of_every_fold():
+    from fluxloom.operators import prep
+
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(2600, 5)), 1)  # more than the first slice, with ties
+    ids, fold = np.arange(2600) // 2, rng.integers(0, 4, 2600)  # ids come twice
+    row, place, dist = prep.nearest(x[:40], ids[:40], x, ids, 3, fold=fold, folds=4)
+    for i in range(40):
+        d = ((x - x[i]) ** 2).sum(1)
+        order = [j for j in np.lexsort((ids, d)) if ids[j] != ids[i]]
+        mine = place[row == i]
+        assert np.allclose(dist[row == i], d[mine]) and len(mine) <= 3 * 4
+        for f in (None, 0, 1, 2, 3):
+            assert np.allclose(d[[j for j in mine if fold[j] != f][:3]], d[[j for j in order if fold[j] != f][:3]])
+            assert [ids[j] for j in mine if fold[j] != f][:3] == [ids[j] for j in order if fold[j] != f][:3]
+
+
 def test_boosting_writes_bins_and_margins_only(spark, monkeypatch):
     from fluxloom.operators import classify, many
     from fluxloom.session import Cuts
