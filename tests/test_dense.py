@@ -52,6 +52,8 @@ def test_streams_store_runs_and_not_pairs(spark, tmp_path, monkeypatch):
     assert runs.count() < 100 and len(wanted) > 10_000 and same(live.pairs(runs))
     monkeypatch.setattr(live, "BLOCK", 7)
     monkeypatch.setattr(live, "HELD", 60)
+    monkeypatch.setattr(live, "PAIRS", 10)
+    assert same(live.pairs(runs))
     assert same(live.collected(spark, live.matched_outcomes(*streams("cut"), hours=2), "matched"))
 
 
